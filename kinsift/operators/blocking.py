@@ -1,6 +1,6 @@
 """Candidate pairs from blocking rules.
 
-A rule is a list of fields that must all be equal (null never equals anything). Every rule is one
+A rule is a list of fields that must all be equal (null never equals anything). All rules share one
 equi-join; a pair found by several rules is emitted once, by the first of them. Blocks larger than
 `hot_block` records are cut into tiles so that no task ever holds a whole hot block: a record of a
 block with c chunks belongs to one chunk and meets each of the c chunks in a tile of its own.
@@ -41,57 +41,70 @@ def rule_sql(rule):
     return " AND ".join(f'l."{f}" = r."{f}"' for f in rule)
 
 
-def _equal(fields):
-    out = F.lit(True)
-    for f in fields:
-        out = out & (F.col(f"{f}_l") == F.col(f"{f}_r"))
-    return out
-
-
 def covers(fields):
     """True when all fields are present and equal on both sides, never null."""
-    return F.coalesce(_equal(fields), F.lit(False))
+    return F.expr("coalesce(" + " AND ".join(f"`{f}_l` = `{f}_r`" for f in fields) + ", false)")
 
 
-def _side(records, suffix, fields):
-    columns = ["unique_id", "source_dataset"] + [f for f in fields if f not in ("unique_id", "source_dataset")]
-    return records.select(*[F.col(c).alias(f"{c}_{suffix}") for c in columns],
-                          node().alias(f"_node_{suffix}"))
+def _first_cover(rules):
+    """Index of the first rule whose fields are all equal on both sides."""
+    steps = " ".join(f"WHEN {' AND '.join(f'`{f}_l` = `{f}_r`' for f in rule)} THEN {i}" for i, rule in enumerate(rules))
+    return F.expr(f"CASE {steps} END")
 
 
-def _block_chunks(records, rule, hot_block, name):
-    """Chunk count of every block above the limit: at most n_records / hot_block rows."""
-    sized = records.dropna(subset=rule).groupBy(*rule).count().where(F.col("count") > hot_block)
-    return sized.select(*rule, F.ceil(F.col("count") / F.lit(hot_block)).cast("int").alias(name))
+def _keyed(records, rules, carried):
+    """One row per record and rule that has all its fields: rule number and hash of the key."""
+    columns = ["unique_id", "source_dataset"] + [f for f in carried if f not in ("unique_id", "source_dataset")]
+    keys = []
+    for i, rule in enumerate(rules):
+        there = " AND ".join(f"`{f}` IS NOT NULL" for f in rule)
+        parts = ", ".join(f"`{f}`" for f in rule)
+        keys.append(f"CASE WHEN {there} THEN named_struct('_rule', {i}, '_key', xxhash64({parts})) END")
+    return records.selectExpr(
+        *[f"`{c}`" for c in columns], "source_dataset || '-' || unique_id AS _node",
+        f"inline(array_compact(array({', '.join(keys)})))")
 
 
-def _tiled(side, suffix, rule, chunks, own, other):
-    """Give each record its tile(s): one for a normal block, one per partner chunk for a hot one."""
-    keyed = chunks.select(*[F.col(f).alias(f"{f}_{suffix}") for f in rule], own, other)
-    side = side.join(F.broadcast(keyed), [f"{f}_{suffix}" for f in rule], "left")
-    mine = F.pmod(F.xxhash64(f"_node_{suffix}"), F.coalesce(F.col(own), F.lit(1))).cast("int")
-    meets = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
-    return side.select("*", mine.alias(f"_mine_{suffix}"), F.explode(meets).alias(f"_meets_{suffix}")).drop(own, other)
+def _hot(rows, hot_block, name):
+    """Chunk count of every block above the limit: at most n_rows / hot_block rows."""
+    sized = rows.groupBy("_rule", "_key").count().where(F.col("count") > hot_block)
+    return sized.selectExpr("_rule", "_key", f"cast(ceil(count / {hot_block}) as int) AS {name}")
 
 
-def block_join(left, right, rule, fields, dedupe, hot_block=HOT_BLOCK):
-    """All pairs that agree on `rule`; in dedupe mode `left` is `right` and pairs are ordered."""
-    carried = list(dict.fromkeys(list(rule) + list(fields)))
-    l = _side(left.dropna(subset=rule), "l", carried)
-    r = _side(right.dropna(subset=rule), "r", carried)
-    on = [F.col(f"{f}_l") == F.col(f"{f}_r") for f in rule]
-    if hot_block:
-        if dedupe:
-            chunks = _block_chunks(left, rule, hot_block, "_n_l").withColumn("_n_r", F.col("_n_l"))
-        else:
-            chunks = _block_chunks(left, rule, hot_block, "_n_l").join(
-                _block_chunks(right, rule, hot_block, "_n_r"), rule, "full")
-        l = _tiled(l, "l", rule, chunks, "_n_l", "_n_r")
-        r = _tiled(r, "r", rule, chunks, "_n_r", "_n_l")
-        on += [F.col("_mine_l") == F.col("_meets_r"), F.col("_meets_l") == F.col("_mine_r")]
+def paired(a, b, joins, carried, hot_block=HOT_BLOCK):
+    """All pairs that share a join key, each once, with the fields of both sides as <f>_l and <f>_r.
+
+    Records are read once and exploded to one row per key, so all rules share one shuffle, which the
+    self-join reuses on both sides. Keys are hashed for the join; the residual test on the first rule
+    that truly covers the pair makes the result exact and keeps a pair found by several rules once.
+    """
+    dedupe = b is None
+    left = _keyed(a, joins, carried)
+    right = left if dedupe else _keyed(b, joins, carried)
+    on = ["_rule", "_key"]
+    if hot_block and dedupe:
+        # A record of a block with n chunks meets every chunk in the tile of the two chunk numbers.
+        left = left.join(F.broadcast(_hot(left, hot_block, "_n")), on, "left").selectExpr(
+            "*", "cast(pmod(xxhash64(_node), coalesce(_n, 1)) as int) AS _mine",
+            "explode(sequence(0, coalesce(_n, 1) - 1)) AS _meets")
+        left = right = left.selectExpr("*", "least(_mine, _meets) AS _tile1", "greatest(_mine, _meets) AS _tile2").drop("_n", "_meets")
+        on += ["_tile1", "_tile2"]
+    elif hot_block:
+        hot = _hot(left, hot_block, "_na").join(_hot(right, hot_block, "_nb"), on, "full")
+        left = left.join(F.broadcast(hot), on, "left").selectExpr(
+            "*", "cast(pmod(xxhash64(_node), coalesce(_na, 1)) as int) AS _tile1", "explode(sequence(0, coalesce(_nb, 1) - 1)) AS _tile2")
+        right = right.join(F.broadcast(hot), on, "left").selectExpr(
+            "*", "cast(pmod(xxhash64(_node), coalesce(_nb, 1)) as int) AS _tile2", "explode(sequence(0, coalesce(_na, 1) - 1)) AS _tile1")
+        left, right = left.drop("_na", "_nb"), right.drop("_na", "_nb")
+        on += ["_tile1", "_tile2"]
+    left = left.toDF(*[f"{c}_l" for c in left.columns])
+    right = right.toDF(*[f"{c}_r" for c in right.columns])
+    test = " AND ".join(f"{c}_l = {c}_r" for c in on)
     if dedupe:
-        on.append(F.col("_node_l") < F.col("_node_r"))
-    return l.join(r, on, "inner")
+        test += " AND _node_l < _node_r"
+        if hot_block:
+            test += " AND (_tile1_l = _tile2_l OR _mine_l <> _mine_r)"
+    return left.join(right, F.expr(test) & (_first_cover(joins) == F.col("_rule_l")), "inner")
 
 
 def sharpen(rules, fields, at_least):
@@ -120,31 +133,16 @@ def candidate_pairs(a, rules, fields, b=None, join_rules=None, hot_block=HOT_BLO
 
     `join_rules` may name a sharper set of composites (see `sharpen`) that covers the pairs wanted.
     """
-    dedupe = b is None
     needed = list(dict.fromkeys([f for rule in rules for f in rule] + list(fields)))
-    joins = join_rules or rules
-    parts = []
-    for i, rule in enumerate(joins):
-        found = block_join(a, a if dedupe else b, rule, needed, dedupe, hot_block)
-        for earlier in joins[:i]:
-            found = found.where(~covers(earlier))
-        parts.append(found)
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    key = F.lit(None).cast("int")
-    for i in reversed(range(len(rules))):
-        key = F.when(covers(rules[i]), F.lit(i)).otherwise(key)
+    pairs = paired(a, b, join_rules or rules, needed, hot_block)
     kept = ["unique_id_l", "unique_id_r", "source_dataset_l", "source_dataset_r"]
     shown = [f"{f}_{s}" for f in needed if f not in ("unique_id", "source_dataset") for s in "lr"]
-    return pairs.select(*kept, key.cast("int").alias("match_key"), *shown)
+    return pairs.select(*kept, _first_cover(rules).cast("int").alias("match_key"), *shown)
 
 
 def agreement_count(fields):
-    total = F.lit(0)
-    for f in fields:
-        total = total + covers([f]).cast("int")
-    return total
+    """On how many of the fields both sides have the same value."""
+    return F.expr(" + ".join(f"cast(coalesce(`{f}_l` = `{f}_r`, false) as int)" for f in fields))
 
 
 def deterministic_pairs(a, rules, fields, b=None, hot_block=HOT_BLOCK):
@@ -156,25 +154,33 @@ def deterministic_pairs(a, rules, fields, b=None, hot_block=HOT_BLOCK):
             .withColumn("match_weight", F.lit(100.0)))
 
 
-def deterministic_links(a, rules, fields, b=None):
+def deterministic_links(a, rules, fields, b=None, hot_block=HOT_BLOCK):
     """Edges with the same connected components as `deterministic_pairs`, linear in the records.
 
-    All records that share a composite key are joined to one leader of the block, instead of to each
-    other. In link mode a block counts only when it holds records of both tables.
+    All records that share a composite key are tied to one leader of the block, instead of to each
+    other. In link mode a block counts only when it holds records of both tables. Leaders of hot
+    blocks (at most n_rows / hot_block) are broadcast; their records take no part in the shuffle on
+    the key, so no task receives a hot block.
     """
     need = min(2 if len(fields) > 1 else 1, len(fields))
     both = a if b is None else a.unionByName(b, allowMissingColumns=True)
-    links = None
-    for rule in sharpen(rules, fields, need):
-        rows = both.dropna(subset=rule).select(*rule, "source_dataset", node().alias("_node"))
-        leader = rows.groupBy(*rule).agg(
-            F.min("_node").alias("_leader"), F.count("*").alias("_n"),
-            F.min("source_dataset").alias("_s1"), F.max("source_dataset").alias("_s2"))
-        leader = leader.where("_n > 1" if b is None else "_s1 <> _s2").drop("_n", "_s1", "_s2")
-        found = (rows.join(leader, rule).where("_node <> _leader")
-                 .select(F.col("_node").alias("node_l"), F.col("_leader").alias("node_r")))
-        links = found if links is None else links.unionByName(found)
-    return links
+    keys = []
+    for i, rule in enumerate(sharpen(rules, fields, need)):
+        there = " AND ".join(f"`{f}` IS NOT NULL" for f in rule)
+        parts = ", ".join(f"cast(`{f}` as string)" for f in rule)
+        keys.append(f"CASE WHEN {there} THEN to_json(array('{i}', {parts})) END")
+    rows = both.selectExpr("source_dataset", "source_dataset || '-' || unique_id AS _node",
+                           f"explode(array_compact(array({', '.join(keys)}))) AS _key")
+    enough = "_n > 1" if b is None else "_s1 <> _s2"
+    leaders = rows.groupBy("_key").agg(
+        F.min("_node").alias("_leader"), F.count("*").alias("_n"),
+        F.min("source_dataset").alias("_s1"), F.max("source_dataset").alias("_s2")).where(enough)
+    hot = leaders.where(F.col("_n") > hot_block).selectExpr("_key", "_leader AS _hot")
+    cold = leaders.where(F.col("_n") <= hot_block).selectExpr("_key AS _spread", "_leader")
+    spread = F.expr("CASE WHEN _hot IS NULL THEN _key ELSE cast(xxhash64(_node) as string) END")
+    found = (rows.join(F.broadcast(hot), "_key", "left").withColumn("_spread", spread)
+             .join(cold, "_spread", "left").withColumn("_to", F.coalesce("_hot", "_leader")))
+    return found.where("_to <> _node").selectExpr("_node AS node_l", "_to AS node_r")
 
 
 # ---- counting without making pairs -------------------------------------------------------------
@@ -190,6 +196,18 @@ def block_counts(records, rule, link=False):
     return sizes.agg(F.coalesce(F.sum(pairs_of("n")), F.lit(0)).alias("n_pairs"))
 
 
+def _pairs_per_set(records, fields, sets, link):
+    """Pairs that agree on all fields of each set: (mask, c), from one grouping-sets aggregation.
+    Rows are folded before the shuffle, so a frequent value costs no more than a rare one."""
+    grouped = records.select("source_dataset", *fields).groupingSets(sets, *fields).agg(
+        F.count_if(F.col("source_dataset") == "A").alias("na"), F.count("*").alias("n"),
+        *[F.grouping(f).alias(f"_out_{f}") for f in fields])
+    there = " AND ".join(f"(_out_{f} = 1 OR `{f}` IS NOT NULL)" for f in fields)
+    mask = " + ".join(f"(1 - cast(_out_{f} as int)) * {1 << i}" for i, f in enumerate(fields))
+    size = F.expr("na * (n - na)") if link else pairs_of("n")
+    return grouped.where(there).select(F.expr(mask).alias("mask"), size.alias("c")).groupBy("mask").agg(F.sum("c").alias("c"))
+
+
 def agreement_patterns(records, fields, link=False):
     """How many record pairs agree on exactly which of the fields, for every pattern that occurs.
 
@@ -200,19 +218,8 @@ def agreement_patterns(records, fields, link=False):
     """
     if len(fields) > 12:
         raise ValueError("agreement_patterns doubles its work per field; pass at most 12 fields")
-    sides = [F.count_if(F.col("source_dataset") == "A").alias("na"), F.count("*").alias("n")]
-    profiles = records.groupBy(*fields).agg(*sides)
     sets = [list(c) for k in range(1, len(fields) + 1) for c in combinations(fields, k)]
-    grouped = profiles.groupingSets(sets, *fields).agg(
-        F.sum("na").alias("na"), F.sum("n").alias("n"),
-        *[F.grouping(f).alias(f"_out_{f}") for f in fields])
-    for f in fields:
-        grouped = grouped.where((F.col(f"_out_{f}") == 1) | F.col(f).isNotNull())
-    mask = F.lit(0)
-    for i, f in enumerate(fields):
-        mask = mask + (1 - F.col(f"_out_{f}").cast("int")) * F.lit(1 << i)
-    size = F.expr("na * (n - na)") if link else pairs_of("n")
-    at_least = grouped.select(mask.alias("mask"), size.alias("c")).groupBy("mask").agg(F.sum("c").alias("c"))
+    at_least = _pairs_per_set(records, fields, sets, link)
     subset = F.filter(F.sequence(F.lit(1), F.col("mask")), lambda s: s.bitwiseAND(F.col("mask")) == s)
     sign = F.when(F.bit_count(F.col("mask").bitwiseXOR(F.col("sub"))) % 2 == 0, F.col("c")).otherwise(-F.col("c"))
     exact = (at_least.select("mask", "c", F.explode(subset).alias("sub"))
@@ -237,6 +244,30 @@ def first_rule(rules, labels=None):
     return out
 
 
+def rule_increments(a, rules, b=None):
+    """(rule_index, n): pairs each rule adds beyond the rules before it, by inclusion and exclusion.
+
+    Every set of rules asks for the pairs that agree on the union of its fields, with a sign, and is
+    credited to its last rule. Only those unions are counted.
+    """
+    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
+    fields = list(dict.fromkeys(f for rule in rules for f in rule))
+    bit = {f: 1 << i for i, f in enumerate(fields)}
+    terms = {}
+    for size in range(1, len(rules) + 1):
+        for chosen in combinations(range(len(rules)), size):
+            mask = 0
+            for i in chosen:
+                for f in rules[i]:
+                    mask |= bit[f]
+            key = (mask, max(chosen))
+            terms[key] = terms.get(key, 0) + (1 if size % 2 else -1)
+    sets = [[f for f in fields if bit[f] & mask] for mask in sorted({m for m, _ in terms})]
+    counts = _pairs_per_set(both, fields, sets, b is not None)
+    signs = both.sparkSession.createDataFrame([(m, i, t) for (m, i), t in terms.items()], "mask int, rule_index int, sign int")
+    return counts.join(F.broadcast(signs), "mask").groupBy("rule_index").agg(F.sum(F.col("c") * F.col("sign")).alias("n"))
+
+
 def candidate_count(a, rules, b=None):
     """Exact size of the candidate set for a rule list, without making pairs."""
     both = a if b is None else a.unionByName(b, allowMissingColumns=True)
@@ -246,20 +277,12 @@ def candidate_count(a, rules, b=None):
         return a.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_pairs"))
     if len(rules) == 1:
         return block_counts(both, rules[0], link=b is not None)
-    fields = list(dict.fromkeys(f for rule in rules for f in rule))
-    patterns = agreement_patterns(both, fields, link=b is not None)
-    covered = patterns.where(first_rule(rules).isNotNull())
-    return covered.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))
+    return rule_increments(a, rules, b).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
 def rule_counts(a, rules, b=None):
-    """Pairs that each rule adds beyond the rules before it, with a running total."""
-    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
-    fields = list(dict.fromkeys(f for rule in rules for f in rule))
-    patterns = agreement_patterns(both, fields, link=b is not None)
-    found = (patterns.select(first_rule(rules).alias("rule_index"), "n_pairs").where("rule_index is not null")
-             .groupBy("rule_index").agg(F.sum("n_pairs").alias("n")))
-    return named_rules(found, rules)
+    """Pairs that each rule adds beyond the rules before it, with the rule text."""
+    return named_rules(rule_increments(a, rules, b).where("n > 0"), rules)
 
 
 def named_rules(counts, rules):
@@ -302,7 +325,7 @@ def estimate_per_rule(a, rules, b=None, warning=500_000, danger=5_000_000):
 
 def truth_pairs(records, link=False, hot_block=HOT_BLOCK):
     """Ground-truth pairs: records of one cluster, ordered; across sources only in link mode."""
-    pairs = block_join(records, records, ["cluster"], [], True, hot_block)
+    pairs = paired(records, None, [["cluster"]], ["cluster"], hot_block)
     if link:
         pairs = pairs.where("source_dataset_l <> source_dataset_r")
     return pairs.select("unique_id_l", "source_dataset_l", "unique_id_r", "source_dataset_r",

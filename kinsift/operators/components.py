@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinsift.operators.blocking import node
-from kinsift.session import ensure_checkpoint_dir
+from kinsift.session import materialise
 
 HOT_NODE = 1_000_000
 
@@ -30,29 +30,34 @@ def _with_lowest(edges, lowest, hottest, hot_node):
     return hot.unionByName(cold)
 
 
+def _state(stars):
+    """Edge count, busiest low end, and whether every component is a star already: no node is both a
+    high and a low end, and no high end has two low ends. One aggregation, folded before its shuffle."""
+    ends = stars.selectExpr("inline(array(named_struct('node', hi, 'up', 1L, 'down', 0L), named_struct('node', lo, 'up', 0L, 'down', 1L)))")
+    row = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).agg(
+        F.sum("up").alias("edges"), F.max("down").alias("busiest"), F.max("up").alias("most_up"),
+        F.count_if(F.expr("up > 0 and down > 0")).alias("inner")).first()
+    return (row["edges"] or 0), (row["busiest"] or 0), (row["most_up"] or 0) <= 1 and (row["inner"] or 0) == 0
+
+
 def component_labels(edges, hot_node=HOT_NODE, max_rounds=60):
     """(node, label) for every node that has an edge; label is the smallest node of its component."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    stars = _down(edges).checkpoint()
-    before, hottest = None, 0
+    stars = materialise(_down(edges))
     for _ in range(max_rounds):
+        _, busiest, done = _state(stars)
+        if done:
+            break
         # Large star: hang every higher neighbour of a node under that node's lowest neighbour.
         lowest = stars.groupBy("hi").agg(F.min("lo").alias("low"))
-        up = _with_lowest(stars, lowest, hottest, hot_node).select("hi", F.coalesce("low", "lo").alias("lo")).distinct()
+        up = _with_lowest(stars, lowest, busiest, hot_node).select("hi", F.coalesce("low", "lo").alias("lo")).distinct()
         # Small star: hang a node's lower neighbours, and the node itself, under the lowest of them.
         least = up.groupBy("hi").agg(F.min("lo").alias("low"))
-        moved = up.join(least, "hi").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
-        stars = moved.unionByName(least.select("hi", F.col("low").alias("lo"))).distinct().checkpoint()
-        state = (stars.groupBy("lo").agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h"))
-                 .agg(F.sum("n"), F.sum("h"), F.max("n")).first())
-        hottest = state[2] or 0
-        if (state[0], state[1]) == before:
-            break
-        before = (state[0], state[1])
+        moved = up.join(least, "hi").where("lo <> low").selectExpr("lo AS hi", "low AS lo")
+        stars = materialise(moved.unionByName(least.selectExpr("hi", "low AS lo")).distinct())
     else:
         raise RuntimeError("components did not settle")
-    heads = stars.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    return stars.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(heads)
+    heads = stars.selectExpr("lo AS node").distinct().selectExpr("node", "node AS label")
+    return stars.selectExpr("hi AS node", "lo AS label").unionByName(heads)
 
 
 def cluster_records(records, edges, hot_node=HOT_NODE):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinsift.fixed_values import (EM_CONVERGENCE, MAX_ITERATIONS, RECALL, TRAINING_HINTS, U_SAMPLE_PAIRS)
 from kinsift.functions.draws import SPAN, draw
 from kinsift.functions.numbers import pairs_of, ratio
-from kinsift.operators.blocking import block_counts, block_join, node
+from kinsift.operators.blocking import block_counts, paired
 from kinsift.operators.comparators import level_gammas, with_gammas
 from kinsift.session import ensure_checkpoint_dir
 
@@ -98,8 +98,7 @@ def pattern_counts(a, rule, comparisons, b=None):
             F.count("*").alias("_n"))
 
     left = profiles(a)
-    right = left if b is None else profiles(b)
-    pairs = block_join(left, right, rule, columns + ["_n"], b is None)
+    pairs = paired(left, None if b is None else profiles(b), [list(rule)], columns + ["_n"])
     weighted = pairs.select(*[f"{f}_{s}" for f in fields for s in "lr"], (F.col("_n_l") * F.col("_n_r")).alias("_w"))
     if b is None:
         inside = left.where("_n > 1").select(*[F.col(f).alias(f"{f}_{s}") for f in fields for s in "lr"],

@@ -8,7 +8,10 @@ from kinsift.operators.blocking import truth_pair_count, truth_pairs
 
 
 def label_predictions(pairs, records):
-    """Pairs plus the true cluster of both sides and whether they agree."""
+    """Pairs plus the true cluster of both sides and whether they agree. A pair table that kept the
+    cluster of both sides needs no join."""
+    if {"cluster_l", "cluster_r"} <= set(pairs.columns):
+        return pairs.withColumn("is_true_match", F.expr("coalesce(cluster_l = cluster_r, false)"))
     truth = records.select("unique_id", "source_dataset", "cluster")
     out = pairs
     for side in "lr":
@@ -66,24 +69,21 @@ def truth_space(pairs, records, link=False, strict=False):
     predicted. Unpredicted truth shows up as one last row without a probability. The window runs
     over one row per distinct probability, never over pairs.
     """
-    labelled = label_predictions(pairs, records)
-    grouped = labelled.groupBy("match_probability").agg(
+    grouped = label_predictions(pairs, records).groupBy("match_probability").agg(
         F.count_if("is_true_match").alias("tp1"), F.count_if(~F.col("is_true_match")).alias("fp1"))
-    total = grouped.agg(F.coalesce(F.sum("tp1"), F.lit(0)).alias("tp_all"))
-    missed = _with_truth_count(total, records, link).select((F.col("n_gt_edges") - F.col("tp_all")).alias("missed"))
-    if not strict:
-        gap = missed.where("missed > 0").select(
-            F.lit(None).cast("double").alias("match_probability"), F.lit(0).cast("long").alias("tp1"),
-            F.lit(0).cast("long").alias("fp1"))
-        grouped = grouped.unionByName(gap)
+    rest = pairs.sparkSession.createDataFrame([(None, 0, 0)], "match_probability double, tp1 long, fp1 long")
+    grouped = grouped.unionByName(rest).groupBy("match_probability").agg(F.sum("tp1").alias("tp1"), F.sum("fp1").alias("fp1"))
     high_first = Window.orderBy(F.col("match_probability").desc_nulls_last())
     up = high_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = high_first.rowsBetween(1, Window.unboundedFollowing)
-    table = grouped.select("match_probability", F.sum("tp1").over(up).alias("tp"), F.sum("fp1").over(up).alias("fp"),
-                           F.coalesce(F.sum("tp1").over(down), F.lit(0)).alias("fn"))
+    table = grouped.select(
+        "match_probability", F.sum("tp1").over(up).alias("tp"), F.sum("fp1").over(up).alias("fp"),
+        F.coalesce(F.sum("tp1").over(down), F.lit(0)).alias("fn"), F.sum("tp1").over(Window.partitionBy()).alias("tp_all"), (F.col("tp1") + F.col("fp1")).alias("n"))
+    table = _with_truth_count(table, records, link).withColumn("missed", F.col("n_gt_edges") - F.col("tp_all"))
     if strict:
-        table = table.withColumn("_one", F.lit(1)).join(F.broadcast(missed.withColumn("_one", F.lit(1))), "_one")
-        table = table.withColumn("fn", F.col("fn") + F.col("missed")).drop("missed", "_one")
+        table = table.where("match_probability is not null").withColumn("fn", F.col("fn") + F.col("missed"))
+    else:
+        table = table.where("match_probability is not null or missed > 0 or n > 0")
     precision = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return table.select(

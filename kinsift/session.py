@@ -1,6 +1,7 @@
 """Spark session and checkpoint helpers."""
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +38,12 @@ def ensure_checkpoint_dir(spark):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kinsift-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+
+
+def materialise(df):
+    """Write a table to the shared folder and read it back: the lineage ends there, a lost executor
+    costs nothing, and the planner knows the real size."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
