@@ -11,6 +11,8 @@ from kinsift.functions.draws import draw, hit, pick
 from kinsift.functions.numbers import rounded
 from kinsift.operators import blocking, scoring
 from kinsift.operators.comparators import build_comparisons
+from kinsift.operators.components import cluster_records
+from kinsift.session import materialise
 
 
 def load(spark, sf_dir, table):
@@ -72,6 +74,11 @@ def doc_records(spark, sf_dir):
         F.when(~hit(0.04, "lang", uid), F.col("lang")).alias("lang"), F.col("source"), F.md5(bare).alias("cluster"))
 
 
+def narrow_docs(spark, sf_dir):
+    """The derived records written once, so that the texts are read once however often the records are."""
+    return materialise(doc_records(spark, sf_dir))
+
+
 _uid = "doc_id::VARCHAR"
 DOC = f"""doc_records AS (SELECT {_uid} AS unique_id, 'A' AS source_dataset, md5(text) AS body,
   n_chars::VARCHAR AS n_chars,
@@ -319,9 +326,9 @@ Q_GAMMA = {
 }
 
 
-def q_weight():
-    total = f"{math.log2(PRIOR / (1 - PRIOR))!r}::DOUBLE"
-    for f, levels in M_U.items():
+def q_weight(m_u=None, prior=PRIOR):
+    total = f"{math.log2(prior / (1 - prior))!r}::DOUBLE"
+    for f, levels in (m_u or M_U).items():
         top = len(levels) - 1
         steps = " ".join(f"WHEN {top - i} THEN log2({m}::DOUBLE / {u}::DOUBLE)" for i, (m, u) in enumerate(levels))
         total += f" + CASE gamma_{f} {steps} ELSE 0.0::DOUBLE END"
@@ -355,19 +362,15 @@ def q_components(records, edges, out, threshold=0.8):
 
 
 def doc_clusters(spark, sf_dir, rules=DOC_RULES, fields=DOC_FIELDS):
-    from kinsift.operators.components import cluster_records
-
-    records = doc_records(spark, sf_dir)
+    records = narrow_docs(spark, sf_dir)
     return cluster_records(records, blocking.deterministic_links(records, rules, fields))
 
 
 def doc_pairs(spark, sf_dir, rules=DOC_RULES, fields=DOC_FIELDS):
-    return blocking.deterministic_pairs(doc_records(spark, sf_dir), rules, fields)
+    return blocking.deterministic_pairs(narrow_docs(spark, sf_dir), rules, fields)
 
 
 def link_clusters(spark, sf_dir):
-    from kinsift.operators.components import cluster_records
-
     a, b = link_a(spark, sf_dir), link_b(spark, sf_dir)
     return cluster_records(a.unionByName(b), blocking.deterministic_links(a, LINK_RULES, LINK_FIELDS, b))
 
@@ -379,3 +382,129 @@ LINK_RUN = LINK_ALL + f", link_pairs AS ({q_deterministic('link_a', LINK_RULES,
 
 def with_recursive(*parts):
     return "WITH RECURSIVE " + ", ".join(parts) + " "
+
+# ---- people against a noisy copy of them: true links with typos, shifted dates, missing values ------------------------------
+
+
+def noisy_people(spark, sf_dir):
+    """Every person again with errors; the truth cluster is the id of the original."""
+    from kinsift.operators import perturb
+
+    key = F.col("unique_id")
+    people = person_records(spark, sf_dir)
+    change = {
+        "first_name": F.when(hit(0.5, "n-first", key), perturb.typo(F.col("first_name"), "n-first", key)).otherwise(F.col("first_name")),
+        "surname": F.when(hit(0.3, "n-last", key), perturb.typo(F.col("surname"), "n-last", key)).otherwise(F.col("surname")),
+        "email": F.when(hit(0.5, "n-mail", key), perturb.email_variant(F.col("email"), "n-mail", key)).otherwise(F.col("email")),
+        "dob": F.when(hit(0.2, "n-dob", key), perturb.shift_date(F.col("dob")))
+                .when(hit(0.2, "n-swap", key), F.expr("concat(substr(dob, 1, 8), substr(dob, 10, 1), substr(dob, 9, 1))"))
+                .when(hit(0.1, "n-none", key), F.lit(None)).otherwise(F.col("dob")),
+        "postcode": F.when(hit(0.3, "n-post", key), F.replace("postcode", F.lit("AB"), F.lit("XY")))
+                     .when(hit(0.2, "n-sector", key), F.expr("concat(outward, ' 9ZZ')")).otherwise(F.col("postcode")),
+    }
+    shown = [change[c].alias(c) if c in change else F.col(c) for c in people.columns if c not in ("unique_id", "source_dataset")]
+    return people.select(F.concat("unique_id", F.lit("_B")).alias("unique_id"), F.lit("B").alias("source_dataset"), *shown)
+
+
+PEOPLE_RULES = [["surname", "birth_year", "gender"], ["dob"], ["email"]]
+PEOPLE_FIELDS = ["first_name", "surname", "dob", "email", "postcode"]
+PEOPLE_TYPES = {"first_name": "NameComparison", "surname": "JaroAtThresholds", "dob": "DateOfBirthComparison",
+                "email": "EmailComparison", "postcode": "PostcodeComparison"}
+PEOPLE_M_U = {
+    "first_name": [(0.50, 0.125), (0.20, 0.01), (0.10, 0.01), (0.15, 0.05), (0.05, 0.805)],
+    "surname": [(0.70, 0.09), (0.05, 0.01), (0.20, 0.05), (0.05, 0.85)],
+    "dob": [(0.55, 0.0005), (0.20, 0.001), (0.05, 0.004), (0.10, 0.04), (0.05, 0.30), (0.05, 0.6545)],
+    "email": [(0.50, 0.01), (0.25, 0.01), (0.15, 0.05), (0.05, 0.05), (0.05, 0.88)],
+    "postcode": [(0.56, 0.03), (0.24, 0.01), (0.15, 0.20), (0.03, 0.01), (0.02, 0.75)],
+}
+PEOPLE_PRIOR = 0.001
+
+
+def people_model():
+    comparisons = build_comparisons(PEOPLE_FIELDS, PEOPLE_TYPES)
+    for c in comparisons:
+        real = [level for level in c["comparison_levels"] if not level["is_null_level"]]
+        for level, (m, u) in zip(real, PEOPLE_M_U[c["output_column_name"]]):
+            level["m_probability"], level["u_probability"] = m, u
+    return {"link_type": "link_only", "unique_id_column_name": "unique_id", "comparisons": comparisons,
+            "probability_two_random_records_match": PEOPLE_PRIOR,
+            "blocking_rules_to_generate_predictions": [{"blocking_rule": blocking.rule_sql(r)} for r in PEOPLE_RULES]}
+
+
+def people_pairs(spark, sf_dir, rules=PEOPLE_RULES):
+    return score_columns(scoring.predict(person_records(spark, sf_dir), rules, people_model(), noisy_people(spark, sf_dir), keep=["cluster"]))
+
+
+def people_all(spark, sf_dir):
+    return person_records(spark, sf_dir).unionByName(noisy_people(spark, sf_dir))
+
+
+def _q_noisy():
+    from queries import noise_sql as q
+
+    shift = q.q_shift_date("dob")
+    return f"""noisy_people AS (SELECT * REPLACE (unique_id || '_B' AS unique_id, 'B' AS source_dataset,
+  CASE WHEN {q_hit(0.5, 'n-first')} THEN {q.q_typo('first_name', 'n-first')} ELSE first_name END AS first_name,
+  CASE WHEN {q_hit(0.3, 'n-last')} THEN {q.q_typo('surname', 'n-last')} ELSE surname END AS surname,
+  CASE WHEN {q_hit(0.5, 'n-mail')} THEN {q.q_email_variant('email', 'n-mail')} ELSE email END AS email,
+  CASE WHEN {q_hit(0.2, 'n-dob')} THEN {shift} WHEN {q_hit(0.2, 'n-swap')} THEN substr(dob, 1, 8) || substr(dob, 10, 1) || substr(dob, 9, 1)
+   WHEN {q_hit(0.1, 'n-none')} THEN NULL ELSE dob END AS dob,
+  CASE WHEN {q_hit(0.3, 'n-post')} THEN replace(postcode, 'AB', 'XY') WHEN {q_hit(0.2, 'n-sector')} THEN outward || ' 9ZZ' ELSE postcode END AS postcode)
+  FROM person_records),
+people_all AS (SELECT * FROM person_records UNION ALL SELECT * FROM noisy_people)"""
+
+
+def q_ladder(field, steps, null=None):
+    """A gamma CASE from the conditions above the else level."""
+    l, r = f"{field}_l", f"{field}_r"
+    top = len(steps)
+    cases = " ".join(f"WHEN {s} THEN {top - i}" for i, s in enumerate(steps))
+    return f"(CASE WHEN {null or f'{l} IS NULL OR {r} IS NULL'} THEN -1 {cases} ELSE 0 END)::INT"
+
+
+def q_similar(function, field, thresholds):
+    return [f"{function}({field}_l, {field}_r) >= {t}" for t in thresholds]
+
+
+def q_part_of(field, pattern):
+    l, r = f"regexp_extract({field}_l, '{pattern}')", f"regexp_extract({field}_r, '{pattern}')"
+    return f"{l} <> '' AND {l} = {r}"
+
+
+def q_same(field):
+    return f"{field}_l = {field}_r"
+
+
+def q_dob_gamma(f):
+    l, r = f"try_strptime({f}_l, '%Y-%m-%d')::DATE", f"try_strptime({f}_r, '%Y-%m-%d')::DATE"
+    near = [f"abs(date_diff('day', {l}, {r})) <= {n}" for n in (30, 365, 3650)]
+    return q_ladder(f, [q_same(f), f"damerau_levenshtein({f}_l, {f}_r) <= 1"] + near, f"{l} IS NULL OR {r} IS NULL")
+
+
+def q_email_gamma(f):
+    ul, ur = f"split_part({f}_l, '@', 1)", f"split_part({f}_r, '@', 1)"
+    return q_ladder(f, [q_same(f), f"{ul} = {ur}", f"jaro_winkler_similarity({f}_l, {f}_r) >= 0.88", f"jaro_winkler_similarity({ul}, {ur}) >= 0.88"])
+
+
+def q_postcode_gamma(f):
+    return q_ladder(f, [q_same(f), q_part_of(f, "^[A-Z]{1,2}[0-9][A-Z0-9]? [0-9]"), q_part_of(f, "^[A-Z]{1,2}[0-9][A-Z0-9]?"), q_part_of(f, "^[A-Z]{1,2}")])
+
+
+Q_PEOPLE_GAMMA = {
+    "first_name": q_ladder("first_name", [q_same("first_name")] + q_similar("jaro_winkler_similarity", "first_name", [0.92, 0.88, 0.7])),
+    "surname": q_ladder("surname", [q_same("surname")] + q_similar("jaro_similarity", "surname", [0.9, 0.7])),
+    "dob": q_dob_gamma("dob"), "email": q_email_gamma("email"), "postcode": q_postcode_gamma("postcode"),
+}
+
+
+def q_people_run(name="people_run", rules=PEOPLE_RULES):
+    gammas = ", ".join(f"{Q_PEOPLE_GAMMA[f]} AS gamma_{f}" for f in PEOPLE_FIELDS)
+    return f"""{name}_pairs AS ({q_pairs('person_records', rules, PEOPLE_FIELDS + ['cluster'], 'noisy_people')}),
+{name}_gammas AS (SELECT *, {gammas} FROM {name}_pairs),
+{name}_weights AS (SELECT *, {q_weight(PEOPLE_M_U, PEOPLE_PRIOR)} AS w FROM {name}_gammas),
+{name} AS (SELECT * EXCLUDE (w), {q_round('w', 6)} AS match_weight,
+  {q_round('pow(2.0::DOUBLE, w) / (1.0::DOUBLE + pow(2.0::DOUBLE, w))', 6)} AS match_probability FROM {name}_weights WHERE w >= -5)"""
+
+
+PEOPLE = PERSON + ", " + _q_noisy()
+PEOPLE_RUN = PEOPLE + ", " + q_people_run()
