@@ -3,11 +3,17 @@
 Each batch is reduced to its distinct value pairs first; Jaro works on whole arrays of code
 points, one column position at a time.
 """
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+# Ship these functions with the job, so that workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _distinct_pairs(left, right):
     present = left.notna() & right.notna()

@@ -431,12 +431,22 @@ def people_model():
             "blocking_rules_to_generate_predictions": [{"blocking_rule": blocking.rule_sql(r)} for r in PEOPLE_RULES]}
 
 
-def people_pairs(spark, sf_dir, rules=PEOPLE_RULES):
-    return score_columns(scoring.predict(person_records(spark, sf_dir), rules, people_model(), noisy_people(spark, sf_dir), keep=["cluster"]))
+LINKED = ["unique_id", "source_dataset", "first_name", "surname", "dob", "email", "postcode", "birth_year", "gender", "race_code", "cluster"]
+
+
+def people_tables(spark, sf_dir):
+    """Both tables, written once as a run would keep them."""
+    return (materialise(person_records(spark, sf_dir).select(*LINKED)), materialise(noisy_people(spark, sf_dir).select(*LINKED)))
 
 
-def people_all(spark, sf_dir):
-    return person_records(spark, sf_dir).unionByName(noisy_people(spark, sf_dir))
+def people_run(spark, sf_dir, rules=PEOPLE_RULES):
+    """Scored pairs, and all records."""
+    a, b = people_tables(spark, sf_dir)
+    return score_columns(scoring.predict(a, rules, people_model(), b, keep=["cluster"])), a.unionByName(b)
+
+
+def people_pairs(spark, sf_dir, rules=PEOPLE_RULES):
+    return people_run(spark, sf_dir, rules)[0]
 
 
 def _q_noisy():
