@@ -1,6 +1,7 @@
 """Estimating the model: prior, u-probabilities and EM for the m-probabilities."""
 import copy
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,10 +10,11 @@ from kinsift.functions.draws import SPAN, draw
 from kinsift.functions.numbers import pairs_of, ratio
 from kinsift.operators.blocking import block_counts, paired
 from kinsift.operators.comparators import level_gammas, with_gammas
-from kinsift.session import ensure_checkpoint_dir
+from kinsift.session import materialise
 
 FLOOR = 1e-10
 U_SAMPLE_RECORDS = 4000
+DRIVER_PATTERNS = 100_000
 
 
 def rank_training_fields(fields, toggles=None):
@@ -95,14 +97,14 @@ def pattern_counts(a, rule, comparisons, b=None):
     def profiles(records):
         return records.dropna(subset=rule).groupBy(*columns).agg(
             F.min("unique_id").alias("unique_id"), F.min("source_dataset").alias("source_dataset"),
-            F.count("*").alias("_n"))
+            F.count("*").alias("_copies"))
 
     left = profiles(a)
-    pairs = paired(left, None if b is None else profiles(b), [list(rule)], columns + ["_n"])
-    weighted = pairs.select(*[f"{f}_{s}" for f in fields for s in "lr"], (F.col("_n_l") * F.col("_n_r")).alias("_w"))
+    pairs = paired(left, None if b is None else profiles(b), [list(rule)], columns + ["_copies"])
+    weighted = pairs.select(*[f"{f}_{s}" for f in fields for s in "lr"], (F.col("_copies_l") * F.col("_copies_r")).alias("_w"))
     if b is None:
-        inside = left.where("_n > 1").select(*[F.col(f).alias(f"{f}_{s}") for f in fields for s in "lr"],
-                                            pairs_of("_n").alias("_w"))
+        inside = left.where("_copies > 1").select(*[F.col(f).alias(f"{f}_{s}") for f in fields for s in "lr"],
+                                            pairs_of("_copies").alias("_w"))
         weighted = weighted.unionByName(inside)
     scored = with_gammas(weighted, comparisons)
     return scored.groupBy(*[f"gamma_{f}" for f in fields]).agg(F.sum("_w").alias("n"))
@@ -152,26 +154,63 @@ def em_rows(step, m):
     return step.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def em_train(patterns, m, u, prior, max_iterations=MAX_ITERATIONS, convergence=EM_CONVERGENCE):
-    """Iterate over the pattern table; only one row of parameters reaches the driver per round.
+def _step_on_spark(patterns, fields):
+    """Parameters after a step, from one aggregation; only that row reaches the driver."""
+    def step(m, u, prior):
+        row = em_step(patterns, m, u, prior).first()
+        return {f: {g: row[f"m_{f}_{g}"] for g in m[f]} for f in fields}, row["prior"]
+    return step
+
+
+def _step_on_driver(patterns, fields):
+    """The same step on a pattern table that the model bounds to a few rows."""
+    rows = patterns.collect()
+    n = np.array([float(r["n"]) for r in rows])
+    seen = {f: np.array([r[f"gamma_{f}"] for r in rows]) for f in fields}
+
+    def likelihood(params):
+        total = np.ones(len(n))
+        for f in fields:
+            for g, p in params[f].items():
+                total[seen[f] == g] *= max(p, FLOOR)
+        return total
+
+    def step(m, u, prior):
+        match, other = prior * likelihood(m), (1.0 - prior) * likelihood(u)
+        expected = n * match / (match + other)
+        new = {f: {g: _share(expected, seen[f] == g, seen[f] >= 0) for g in m[f]} for f in fields}
+        return new, (expected.sum() / n.sum() if n.sum() else None)
+    return step
+
+
+def _share(expected, hit, known):
+    whole = expected[known].sum()
+    return float(expected[hit].sum() / whole) if hit.any() and whole else None
+
+
+def em_train(patterns, m, u, prior, max_iterations=MAX_ITERATIONS, convergence=EM_CONVERGENCE, driver_patterns=DRIVER_PATTERNS):
+    """Iterate over the pattern table. The model bounds its size to the product of its level counts;
+    up to `driver_patterns` it is iterated in memory, beyond that every round is an aggregation.
     A level that no pair shows keeps its starting value."""
-    ensure_checkpoint_dir(patterns.sparkSession)
-    patterns = patterns.coalesce(1).checkpoint()
-    m = copy.deepcopy(m)
-    unseen = set()
+    fields = list(m)
+    bound = 1
+    for f in fields:
+        bound *= len(m[f]) + 1
+    patterns = materialise(patterns)
+    step = (_step_on_driver if bound <= driver_patterns else _step_on_spark)(patterns, fields)
+    m, unseen = copy.deepcopy(m), set()
     for _ in range(max_iterations):
-        row = em_step(patterns, m, u, prior).first()
+        new, found = step(m, u, prior)
         change = 0.0
-        for f in m:
-            for g in m[f]:
-                value = row[f"m_{f}_{g}"]
+        for f in fields:
+            for g, value in new[f].items():
                 if value is None:
                     unseen.add((f, g))
                     continue
                 value = max(value, FLOOR)
                 change = max(change, abs(value - m[f][g]))
                 m[f][g] = value
-        prior = min(max(row["prior"] or FLOOR, FLOOR), 1.0 - FLOOR)
+        prior = min(max(found or FLOOR, FLOOR), 1.0 - FLOOR)
         if change < convergence:
             break
     return m, prior, unseen

@@ -126,7 +126,7 @@ upairs AS (SELECT {', '.join(f'a.{f} AS {f}_l, b.{f} AS {f}_r' for f in x.PART_F
   WHERE step <= (a.k_size - 1) // 2 AND b.pos = (a.pos + step) % a.k_size),
 ugammas AS (SELECT {', '.join(f'({x.Q_GAMMA[f]})::INT AS gamma_{f}' for f in x.PART_FIELDS)} FROM upairs),
 ulong AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, gamma_{f} AS gamma FROM ugammas WHERE gamma_{f} >= 0" for f in x.PART_FIELDS)}),
-u AS (SELECT field, gamma, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY field) AS u_prob FROM ulong GROUP BY ALL)"""
+u AS (SELECT field, gamma, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY field) AS u_prob FROM ulong GROUP BY field, gamma)"""
 
 
 @query("estimate_u", q_with(x.PART, Q_U) + f"SELECT field, gamma, n, {q_round('u_prob', 9)} AS u_prob FROM u")
