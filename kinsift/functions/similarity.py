@@ -90,27 +90,31 @@ def _damerau_array(left, right):
     return np.array([damerau_distance(a, b) for a, b in zip(left, right)], dtype=float)
 
 
-def _batched(function, left, right):
+def _batched(function, left, right, equal):
+    """`function` over the distinct pairs of a batch; pairs of one non-empty value score `equal`."""
     out = np.full(len(left), np.nan)
-    present, slot, a, b = _distinct_pairs(left, right)
+    same = ((left == right) & (left != "")).fillna(False).to_numpy(dtype=bool)
+    out[same] = equal
+    rest = ~same
+    present, slot, a, b = _distinct_pairs(left[rest], right[rest])
     if len(a):
-        out[present] = function(a, b)[slot]
+        out[np.flatnonzero(rest)[present]] = function(a, b)[slot]
     return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def jaro_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batched(jaro_array, left, right)
+    return _batched(jaro_array, left, right, 1.0)
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batched(jaro_winkler_array, left, right)
+    return _batched(jaro_winkler_array, left, right, 1.0)
 
 
 @F.pandas_udf(IntegerType())
 def damerau_levenshtein(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batched(_damerau_array, left, right).astype("Int32")
+    return _batched(_damerau_array, left, right, 0.0).astype("Int32")
 
 
 def register(spark):

@@ -87,7 +87,7 @@ def paired(a, b, joins, carried, hot_block=HOT_BLOCK):
         left = left.join(F.broadcast(_hot(left, hot_block, "_n")), on, "left").selectExpr(
             "*", "cast(pmod(xxhash64(_node), coalesce(_n, 1)) as int) AS _mine",
             "explode(sequence(0, coalesce(_n, 1) - 1)) AS _meets")
-        left = right = left.selectExpr("*", "least(_mine, _meets) AS _tile1", "greatest(_mine, _meets) AS _tile2").drop("_n", "_meets")
+        left = left.selectExpr("*", "least(_mine, _meets) AS _tile1", "greatest(_mine, _meets) AS _tile2").drop("_n", "_meets")
         on += ["_tile1", "_tile2"]
     elif hot_block:
         hot = _hot(left, hot_block, "_na").join(_hot(right, hot_block, "_nb"), on, "full")
@@ -97,6 +97,11 @@ def paired(a, b, joins, carried, hot_block=HOT_BLOCK):
             "*", "cast(pmod(xxhash64(_node), coalesce(_nb, 1)) as int) AS _tile2", "explode(sequence(0, coalesce(_na, 1) - 1)) AS _tile1")
         left, right = left.drop("_na", "_nb"), right.drop("_na", "_nb")
         on += ["_tile1", "_tile2"]
+    # A join that multiplies rows must keep its parallelism, so the partition count is not left to
+    # be shrunk by the size of the input.
+    width = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.repartition(width, *on)
+    right = left if dedupe else right.repartition(width, *on)
     left = left.toDF(*[f"{c}_l" for c in left.columns])
     right = right.toDF(*[f"{c}_r" for c in right.columns])
     test = " AND ".join(f"{c}_l = {c}_r" for c in on)
@@ -244,6 +249,14 @@ def first_rule(rules, labels=None):
     return out
 
 
+def field_counts(a, fields, b=None):
+    """(field, n_pairs) of every single-field rule, in one aggregation."""
+    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
+    counts = _pairs_per_set(both, fields, [[f] for f in fields], b is not None)
+    names = both.sparkSession.createDataFrame([(1 << i, f) for i, f in enumerate(fields)], "mask int, field string")
+    return F.broadcast(names).join(counts, "mask", "left").select("field", F.coalesce("c", F.lit(0)).alias("n_pairs"))
+
+
 def rule_increments(a, rules, b=None):
     """(rule_index, n): pairs each rule adds beyond the rules before it, by inclusion and exclusion.
 

@@ -1,6 +1,6 @@
 """Cleaning: names, null handling, text, dates, duplicates, ids."""
 import re
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -125,11 +125,24 @@ def standardise_dates(df, columns=None):
     return df.select(*out), done
 
 
-@dataclass
 class CleanResult:
-    data: object
-    types: dict
-    log: dict = field(default_factory=dict)
+    """A cleaned table, the inferred types, and a log that is counted only when asked for."""
+
+    def __init__(self, data, types, facts, before):
+        self.data, self.types = data, types
+        self._facts, self._before = facts, before
+
+    @cached_property
+    def log(self):
+        kept, final = self._before.count(), self.data.count()
+        rows = self._facts["rows"]
+        return {
+            "field_names": self._facts["renamed"], "null_columns_dropped": self._facts["empty"],
+            "null_rows_removed": self._facts["sparse"], "dates_standardised": self._facts["dates"],
+            "duplicates_removed": kept - final,
+            "summary": {"original_rows": rows, "rows_removed": rows - final, "final_rows": final,
+                        "cols_removed": len(self._facts["empty"])},
+        }
 
     def summary(self):
         """The log as (step, key, value) rows."""
@@ -143,8 +156,8 @@ class CleanResult:
 
 
 def clean_records(df, id_col=None, prenormalise=False, as_coded=True):
-    """The whole cleaning chain in its fixed order. Three counting passes feed the log; the data
-    itself stays lazy."""
+    """The whole cleaning chain in its fixed order. One pass finds the empty columns and sparse rows,
+    one the date columns; the cleaned table itself stays lazy."""
     df, renamed = clean_field_names(df)
     if prenormalise:
         df = normalise_null_tokens(df)
@@ -154,23 +167,12 @@ def clean_records(df, id_col=None, prenormalise=False, as_coded=True):
         *[F.count_if(n == k).alias(f"rows_{k}") for k in (0, 1, 2)]).first()
     empty = [c for c in df.columns if passes[f"c_{c}"] == 0]
     kept = clean_text(sparse_row_filter(df.drop(*empty), as_coded))
-    kept, dates = standardise_dates(kept)
-    unique = drop_exact_duplicates(kept)
-    before = passes["n_rows"] - passes["rows_0"] - passes["rows_1"] - passes["rows_2"]
-    if not as_coded and len(df.columns) - len(empty) < 3:
-        before = kept.count()
-    after = unique.count()
-    log = {
-        "field_names": renamed,
-        "null_columns_dropped": empty,
-        "null_rows_removed": {"100%_null": passes["rows_0"], "n-1_null": passes["rows_1"], "n-2_null": passes["rows_2"]},
-        "dates_standardised": dates,
-        "duplicates_removed": before - after,
-        "summary": {"original_rows": passes["n_rows"], "rows_removed": passes["n_rows"] - after,
-                    "final_rows": after, "cols_removed": len(empty)},
-    }
+    dated, dates = standardise_dates(kept)
+    facts = {"renamed": renamed, "empty": empty, "dates": dates, "rows": passes["n_rows"],
+             "sparse": {"100%_null": passes["rows_0"], "n-1_null": passes["rows_1"], "n-2_null": passes["rows_2"]}}
+    unique = drop_exact_duplicates(dated)
     mapped = renamed.get(id_col, id_col) if id_col else None
-    return CleanResult(unique, infer_types(unique.columns, mapped), log)
+    return CleanResult(unique, infer_types(unique.columns, mapped), facts, kept)
 
 
 # ---- ids, sources and truth -----------------------------------------------------------------------

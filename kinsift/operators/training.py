@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinsift.fixed_values import (EM_CONVERGENCE, MAX_ITERATIONS, RECALL, TRAINING_HINTS, U_SAMPLE_PAIRS)
 from kinsift.functions.draws import SPAN, draw
 from kinsift.functions.numbers import pairs_of, ratio
-from kinsift.operators.blocking import block_counts, paired
+from kinsift.operators.blocking import block_counts, field_counts, paired
 from kinsift.operators.comparators import level_gammas, with_gammas
 from kinsift.session import materialise
 
@@ -231,8 +231,8 @@ def train(a, comparisons, toggles=None, b=None, hyperparams=None, seed=42):
     hp = hyperparams or {}
     fields = [c["output_column_name"] for c in comparisons]
     candidates = rank_training_fields(fields, toggles)
-    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
-    usable = [f for f in candidates if block_counts(both, [f], b is not None).first()["n_pairs"] > 0]
+    found = {r["field"]: r["n_pairs"] for r in field_counts(a, candidates, b).collect()}     # one row per field
+    usable = [f for f in candidates if found[f] > 0]
     if not usable:
         raise ValueError("Could not train: none of the fields " + ", ".join(candidates) + " is shared by two records.")
     prior = estimate_prior(a, [usable[0]], hp.get("recall_estimate", RECALL), b).first()["prior"]

@@ -155,7 +155,8 @@ def person_records(spark, sf_dir):
         F.col("c_nationkey").cast("string").alias("nation"))
     uid = F.col("unique_id")
     dob = F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.pmod(draw("dob", uid), F.lit(18000)).cast("int")), "yyyy-MM-dd")
-    mail = F.concat(F.lower(F.coalesce("first_name", F.lit("x"))), F.lit("."), F.lower(F.coalesce("surname", F.lit("y"))), F.lit("@example.org"))
+    mail = F.concat(F.lower(F.coalesce("first_name", F.lit("x"))), F.lit("."), F.lower(F.coalesce("surname", F.lit("y"))),
+                    F.pmod(draw("mail", uid), F.lit(700)).cast("string"), F.lit("@example.org"))
     year = (F.pmod(draw("year", uid), F.lit(150)) + 1890).cast("string")
     return base.select(
         "*", F.when(~hit(0.04, "null-dob", uid), dob).alias("dob"), F.when(~hit(0.05, "null-mail", uid), mail).alias("email"),
@@ -175,7 +176,7 @@ PERSON = f"""person_base AS (SELECT uid AS unique_id, 'A' AS source_dataset, {',
   c_nationkey::VARCHAR AS nation FROM (SELECT *, c_custkey::VARCHAR AS uid FROM customer)),
 person_records AS (SELECT *,
   CASE WHEN NOT {q_hit(0.04, 'null-dob')} THEN strftime(DATE '1950-01-01' + ({q_draw('dob')} % 18000)::INT, '%Y-%m-%d') END AS dob,
-  CASE WHEN NOT {q_hit(0.05, 'null-mail')} THEN lower(coalesce(first_name, 'x')) || '.' || lower(coalesce(surname, 'y')) || '@example.org' END AS email,
+  CASE WHEN NOT {q_hit(0.05, 'null-mail')} THEN lower(coalesce(first_name, 'x')) || '.' || lower(coalesce(surname, 'y')) || ({q_draw('mail')} % 700)::VARCHAR || '@example.org' END AS email,
   outward || ' ' || ({q_draw('inward')} % 9 + 1)::VARCHAR || 'AB' AS postcode,
   CASE WHEN {q_hit(0.02, 'bad-year')} THEN 'n/a' ELSE ({q_draw('year')} % 150 + 1890)::VARCHAR END AS birth_year,
   ({q_draw('age')} % 135)::VARCHAR AS age_at_year_end, unique_id AS cluster FROM person_base)"""
