@@ -102,21 +102,25 @@ def _batched(function, left, right, equal):
     return pd.Series(out)
 
 
-@F.pandas_udf(DoubleType())
-def jaro_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+def _jaro(left: pd.Series, right: pd.Series) -> pd.Series:
     return _batched(jaro_array, left, right, 1.0)
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     return _batched(jaro_winkler_array, left, right, 1.0)
 
 
-@F.pandas_udf(IntegerType())
-def damerau_levenshtein(left: pd.Series, right: pd.Series) -> pd.Series:
+def _damerau(left: pd.Series, right: pd.Series) -> pd.Series:
     return _batched(_damerau_array, left, right, 0.0).astype("Int32")
 
 
+# Declared nondeterministic so that the optimizer evaluates each call once, in its own column, instead
+# of copying it into every filter and projection above.
+jaro_similarity = F.pandas_udf(_jaro, DoubleType()).asNondeterministic()
+jaro_winkler_similarity = F.pandas_udf(_jaro_winkler, DoubleType()).asNondeterministic()
+damerau_levenshtein = F.pandas_udf(_damerau, IntegerType()).asNondeterministic()
+
+
 def register(spark):
     """Make the similarities callable by name in SQL conditions of a model."""
     spark.udf.register("jaro_similarity", jaro_similarity)

@@ -150,10 +150,11 @@ def agreement_count(fields):
     return F.expr(" + ".join(f"cast(coalesce(`{f}_l` = `{f}_r`, false) as int)" for f in fields))
 
 
-def deterministic_pairs(a, rules, fields, b=None, hot_block=HOT_BLOCK):
+def deterministic_pairs(a, rules, fields, b=None, hot_block=HOT_BLOCK, keep=()):
     """Pairs that satisfy a rule and agree on two compared fields (one if only one is compared)."""
     need = min(2 if len(fields) > 1 else 1, len(fields))
-    pairs = candidate_pairs(a, rules, fields, b, join_rules=sharpen(rules, fields, need), hot_block=hot_block)
+    carried = list(dict.fromkeys(list(fields) + list(keep)))
+    pairs = candidate_pairs(a, rules, carried, b, join_rules=sharpen(rules, fields, need), hot_block=hot_block)
     return (pairs.where(agreement_count(fields) >= need)
             .withColumn("match_probability", F.lit(1.0))
             .withColumn("match_weight", F.lit(100.0)))

@@ -129,35 +129,38 @@ def to_spark_sql(condition):
     return re.sub(r"\bepoch\(", "unix_timestamp(", text, flags=re.IGNORECASE)
 
 
-def uses_similarity(comparison):
-    text = " ".join(level["sql_condition"] for level in comparison["comparison_levels"])
-    return any(name in text for name in ("jaro", "damerau"))
+# A call of one of the Arrow similarities, with at most one nested call per argument.
+SIMILARITY_CALL = re.compile(r"(?:jaro_winkler_similarity|jaro_similarity|damerau_levenshtein)\((?:[^()]|\([^()]*\))*\)")
 
 
-def gamma(comparison):
-    """The gamma column of one comparison."""
+def gamma(comparison, known=None):
+    """The gamma column of one comparison; `known` maps similarity calls to columns that hold them."""
     levels = comparison["comparison_levels"]
-    height = sum(1 for level in levels if not level.get("is_null_level"))
-    column, rank = None, height
+    rank = sum(1 for level in levels if not level.get("is_null_level"))
+    steps, last = "", "NULL"
     for level in levels:
-        if level.get("is_null_level"):
-            value = -1
-        else:
+        if not level.get("is_null_level"):
             rank -= 1
-            value = rank
+        value = -1 if level.get("is_null_level") else rank
         if level["sql_condition"].strip().upper() == "ELSE":
-            column = F.lit(value) if column is None else column.otherwise(F.lit(value))
+            last = value
             break
-        test = F.expr(to_spark_sql(level["sql_condition"]))
-        column = F.when(test, F.lit(value)) if column is None else column.when(test, F.lit(value))
+        test = SIMILARITY_CALL.sub(lambda call: (known or {}).get(call.group(0), call.group(0)), to_spark_sql(level["sql_condition"]))
+        steps += f" WHEN {test} THEN {value}"
+    column = F.expr(f"CASE{steps} ELSE {last} END") if steps else F.lit(last)
     return column.cast("int").alias(f"gamma_{comparison['output_column_name']}")
 
 
 def with_gammas(pairs, comparisons):
-    """Pairs plus one gamma column per comparison."""
-    if any(uses_similarity(c) for c in comparisons):
+    """Pairs plus one gamma column per comparison. Every similarity is computed once, in a column."""
+    calls = [call for c in comparisons for level in c["comparison_levels"]
+             for call in SIMILARITY_CALL.findall(to_spark_sql(level["sql_condition"]))]
+    known = {call: f"_similarity_{i}" for i, call in enumerate(dict.fromkeys(calls))}
+    columns = pairs.columns
+    if known:
         similarity.register(pairs.sparkSession)
-    return pairs.select("*", *[gamma(c) for c in comparisons])
+        pairs = pairs.select("*", *[F.expr(call).alias(name) for call, name in known.items()])
+    return pairs.select(*columns, *[gamma(c, known) for c in comparisons])
 
 
 def level_gammas(comparison):

@@ -19,23 +19,18 @@ def level_weight(level):
 
 
 def match_weight(model):
-    """Prior plus the weight of each comparison's level."""
-    total = F.lit(prior_log_odds(model["probability_two_random_records_match"]))
-    for comparison in model["comparisons"]:
-        choice = F.lit(0.0)
-        column = F.col(f"gamma_{comparison['output_column_name']}")
-        for level, value in zip(comparison["comparison_levels"], level_gammas(comparison)):
-            weight = level_weight(level)
-            if weight is not None:
-                choice = F.when(column == value, F.lit(weight)).otherwise(choice)
-        total = total + choice
-    return total
+    """Prior plus the weight of each comparison's level, looked up by gamma."""
+    total = repr(prior_log_odds(model["probability_two_random_records_match"])) + "D"
+    for c in model["comparisons"]:
+        weights = dict(zip(level_gammas(c), (level_weight(level) or 0.0 for level in c["comparison_levels"])))
+        table = ", ".join(f"{weights.get(g, 0.0)!r}D" for g in range(-1, max(weights) + 1))
+        total += f" + coalesce(try_element_at(array({table}), `gamma_{c['output_column_name']}` + 2), 0.0D)"
+    return F.expr(total)
 
 
 def probability(weight):
     """2^w / (1 + 2^w), with w held inside what a double can carry."""
-    odds = F.pow(F.lit(2.0), F.greatest(F.least(weight, F.lit(1000.0)), F.lit(-1000.0)))
-    return odds / (F.lit(1.0) + odds)
+    return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(2.0), F.greatest(F.least(-weight, F.lit(1000.0)), F.lit(-1000.0))))
 
 
 def best_weights(comparison):
@@ -91,8 +86,20 @@ def reachable_rules(model, rules, threshold):
     return kept
 
 
+def hopeful(pairs, model, threshold):
+    """Drop pairs that stay under the threshold whatever their similarities turn out to be: a cheap
+    test on plain equality that spares them the comparisons."""
+    total = repr(prior_log_odds(model["probability_two_random_records_match"]))
+    for c in model["comparisons"]:
+        f, (exact, other) = c["output_column_name"], best_weights(c)
+        total += f" + CASE WHEN `{f}_l` = `{f}_r` THEN {exact!r}D ELSE {other!r}D END"
+    return pairs.where(F.expr(f"{total} >= {float(threshold) - 1e-9!r}"))
+
+
 def score(pairs, model, threshold=WEIGHT_THRESHOLD):
     """Gammas, weight and probability of each pair; pairs under the weight threshold are dropped."""
+    if threshold is not None:
+        pairs = hopeful(pairs, model, threshold)
     scored = with_gammas(pairs, model["comparisons"]).withColumn("match_weight", match_weight(model))
     if threshold is not None:
         scored = scored.where(F.col("match_weight") >= F.lit(float(threshold)))

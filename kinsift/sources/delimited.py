@@ -57,7 +57,10 @@ def read_delimited(spark, path, sep=None, rows=0, detect=False, multiline=False)
     # A flagged line is too short or too long: count its separators outside quotes to tell.
     bare = F.regexp_replace(F.col(f"`{BAD}`"), '"[^"]*"', "")
     extra = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
-    df = df.where(F.col(f"`{BAD}`").isNull() | (extra < F.lit(len(names)))).drop(BAD)
+    fits = F.col(f"`{BAD}`").isNull() | (extra < F.lit(len(names)))
+    # Spark refuses to read the flag alone, as a plain count() would, so the test names a real column too.
+    read = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    df = df.where(fits & read).drop(BAD)
     return df.limit(rows) if rows else df
 
 
