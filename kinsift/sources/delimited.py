@@ -58,15 +58,16 @@ def read_delimited(spark, path, sep=None, rows=0, detect=False, multiline=False)
     bare = F.regexp_replace(F.col(f"`{BAD}`"), '"[^"]*"', "")
     extra = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
     fits = F.col(f"`{BAD}`").isNull() | (extra < F.lit(len(names)))
-    # Spark refuses to read the flag alone, as a plain count() would, so the test names a real column too.
-    read = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
-    df = df.where(fits & read).drop(BAD)
+    # The flag is only right when the whole line is parsed, so the test names every column: a query
+    # that needs few columns, or a plain count(), then keeps the same rows.
+    whole = F.length(F.concat_ws("", *[F.col(f"`{n}`") for n in names])) >= 0
+    df = df.where(fits & whole).drop(BAD)
     return df.limit(rows) if rows else df
 
 
 def write_delimited(df, path, mode="error"):
     """A folder of files with a header each, one per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_parquet(df, path, mode="error"):

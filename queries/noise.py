@@ -9,18 +9,16 @@ from kinsift.functions.draws import SPAN as SPAN_SQL
 from queries.fixtures import q_draw, q_hit, q_with
 from queries.registry import query
 
-KEY = F.col("unique_id")
-
-
 def people(spark, sf_dir):
     return x.person_records(spark, sf_dir)
 
 
-def one(name, column, spark_change, sql_change, extra=""):
+def one(name, column, change, sql_change, extra=""):
     """A query that shows one field before and after its noise."""
     @query(name, q_with(x.PERSON) + f"SELECT unique_id, {column} AS before, {sql_change} AS after FROM person_records{extra}")
     def run(spark, sf_dir):
-        return people(spark, sf_dir).select("unique_id", F.col(column).alias("before"), spark_change.alias("after"))
+        changed = change(F.col(column), F.col("unique_id"))
+        return people(spark, sf_dir).select("unique_id", F.col(column).alias("before"), changed.alias("after"))
     return run
 
 
@@ -29,21 +27,21 @@ def hash_sample(spark, sf_dir):
     return perturb.hash_sample(people(spark, sf_dir).select("unique_id", "surname"), 0.3)
 
 
-one("perturb_typo", "surname", perturb.typo(F.col("surname"), "t", KEY), q.q_typo("surname", "t"))
-one("perturb_missing", "dob", F.when(~x.hit(0.05, "m", KEY), F.col("dob")), f"CASE WHEN NOT {q_hit(0.05, 'm')} THEN dob END")
-one("perturb_email", "email", perturb.email_variant(F.col("email"), "e", KEY), q.q_email_variant("email", "e"))
-one("perturb_email_digit", "email", perturb.email_digit(F.col("email"), "e", KEY), q.q_email_digit("email", "e"))
-one("perturb_place", "city", perturb.short_place(F.col("city")), q.q_short_place("city"))
-one("perturb_place_clip", "city", perturb.clipped_place(F.col("city")), q.q_clipped_place("city"))
-one("perturb_code", "race_code", perturb.other_code(F.col("race_code"), VALID_CODES["race_code"], "c", KEY), q.q_other_code("race_code", VALID_CODES["race_code"], "c"))
-one("perturb_gender", "gender", perturb.flip_gender(F.col("gender"), "g", KEY), q.q_flip_gender("gender", "g"))
-one("perturb_chars", "surname", perturb.scramble(F.col("surname"), "h", KEY), q.q_scramble("surname", "h"))
-one("perturb_last_char", "postcode", perturb.last_char(F.col("postcode"), "l", KEY), q.q_last_char("postcode", "l"))
-one("perturb_letters", "email", perturb.change_letters(F.col("email"), 2, "w", KEY), q.q_change_letters("email", 2, "w"))
-one("shift_date", "dob", perturb.shift_date(F.col("dob")), q.q_shift_date("dob"))
-one("shift_year", "birth_year", perturb.shift_year(F.col("birth_year"), "y", KEY, 2), q.q_shift_year("birth_year", "y", shift=2))
-one("synthetic_code", "city", perturb.synthetic_code(F.col("city"), "s", KEY), q.q_synthetic("city", "s"))
-one("assign_weighted", "gender", perturb.weighted_choice("a", KEY),
+one("perturb_typo", "surname", lambda v, key: perturb.typo(v, "t", key), q.q_typo("surname", "t"))
+one("perturb_missing", "dob", lambda v, key: F.when(~x.hit(0.05, "m", key), v), f"CASE WHEN NOT {q_hit(0.05, 'm')} THEN dob END")
+one("perturb_email", "email", lambda v, key: perturb.email_variant(v, "e", key), q.q_email_variant("email", "e"))
+one("perturb_email_digit", "email", lambda v, key: perturb.email_digit(v, "e", key), q.q_email_digit("email", "e"))
+one("perturb_place", "city", lambda v, key: perturb.short_place(v), q.q_short_place("city"))
+one("perturb_place_clip", "city", lambda v, key: perturb.clipped_place(v), q.q_clipped_place("city"))
+one("perturb_code", "race_code", lambda v, key: perturb.other_code(v, VALID_CODES["race_code"], "c", key), q.q_other_code("race_code", VALID_CODES["race_code"], "c"))
+one("perturb_gender", "gender", lambda v, key: perturb.flip_gender(v, "g", key), q.q_flip_gender("gender", "g"))
+one("perturb_chars", "surname", lambda v, key: perturb.scramble(v, "h", key), q.q_scramble("surname", "h"))
+one("perturb_last_char", "postcode", lambda v, key: perturb.last_char(v, "l", key), q.q_last_char("postcode", "l"))
+one("perturb_letters", "email", lambda v, key: perturb.change_letters(v, 2, "w", key), q.q_change_letters("email", 2, "w"))
+one("shift_date", "dob", lambda v, key: perturb.shift_date(v), q.q_shift_date("dob"))
+one("shift_year", "birth_year", lambda v, key: perturb.shift_year(v, "y", key, 2), q.q_shift_year("birth_year", "y", shift=2))
+one("synthetic_code", "city", lambda v, key: perturb.synthetic_code(v, "s", key), q.q_synthetic("city", "s"))
+one("assign_weighted", "gender", lambda v, key: perturb.weighted_choice("a", key),
     f"CASE WHEN {q_draw('a')} < {int(round(0.48 * SPAN_SQL))} THEN 'M' WHEN {q_draw('a')} < {int(round(0.96 * SPAN_SQL))} THEN 'F' ELSE 'Unknown' END")
 
 FIELDS = ["unique_id", "first_name", "surname", "dob", "email", "city", "postcode", "gender", "nation"]
