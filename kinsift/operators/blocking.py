@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinsift.functions.numbers import pairs_of
 
 HOT_BLOCK = 50_000
+MAX_RULE_SETS = 8
 
 
 def node(source="source_dataset", uid="unique_id"):
@@ -262,8 +263,11 @@ def rule_increments(a, rules, b=None):
     """(rule_index, n): pairs each rule adds beyond the rules before it, by inclusion and exclusion.
 
     Every set of rules asks for the pairs that agree on the union of its fields, with a sign, and is
-    credited to its last rule. Only those unions are counted.
+    credited to its last rule. Only those unions are counted. The sets double with every rule, so a
+    long rule list is counted from the pairs themselves.
     """
+    if len(rules) > MAX_RULE_SETS:
+        return candidate_pairs(a, rules, [], b).groupBy(F.col("match_key").alias("rule_index")).agg(F.count("*").alias("n"))
     both = a if b is None else a.unionByName(b, allowMissingColumns=True)
     fields = list(dict.fromkeys(f for rule in rules for f in rule))
     bit = {f: 1 << i for i, f in enumerate(fields)}

@@ -1,5 +1,4 @@
 """Metrics of a cluster table."""
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinsift.functions.numbers import rounded
@@ -63,9 +62,11 @@ def cluster_stats(clusters):
 
 def value_breakdown(clusters, column):
     """Frequency and share of the values of a column, nulls left out."""
-    counts = clusters.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_records"))
-    share = F.lit(100.0) * F.col("n_records") / F.sum("n_records").over(Window.partitionBy())
-    return counts.select(column, "n_records", rounded(share, 1).alias("pct")).orderBy(F.desc("n_records"), column)
+    counts = clusters.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_records"), F.lit(1).alias("_one"))
+    total = counts.agg(F.sum("n_records").alias("_total"), F.lit(1).alias("_one"))      # one row
+    share = F.lit(100.0) * F.col("n_records") / F.col("_total")
+    return (counts.join(F.broadcast(total), "_one").select(column, "n_records", rounded(share, 1).alias("pct"))
+            .orderBy(F.desc("n_records"), column))
 
 
 def with_linked_flag(clusters):

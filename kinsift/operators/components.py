@@ -14,45 +14,46 @@ def _down(edges):
             .select(F.greatest("node_l", "node_r").alias("hi"), F.least("node_l", "node_r").alias("lo")).distinct())
 
 
-def _with_lowest(edges, lowest, hottest, hot_node):
-    """Join each edge's low end with the lowest neighbour of that node, if it has one.
+def _join_unique(edges, values, key, how, hottest, hot_node):
+    """Join edges with a table that has one row per `key`.
 
-    Low ends met by more than `hot_node` edges are joined by broadcast: there are at most
-    n_edges / hot_node of them, and no task then holds all edges of one hub.
+    Keys met by more than `hot_node` edges are joined by broadcast: there are at most
+    n_edges / hot_node of them, and no task then receives all edges of one hub.
     """
-    lowest = lowest.select(F.col("hi").alias("lo"), "low")
     if hottest <= hot_node:
-        return edges.join(lowest, "lo", "left")
-    hubs = edges.groupBy("lo").count().where(F.col("count") > hot_node).select("lo")
-    hub_low = lowest.join(F.broadcast(hubs), "lo", "left_semi")
-    hot = edges.join(F.broadcast(hubs), "lo", "left_semi").join(F.broadcast(hub_low), "lo", "left")
-    cold = edges.join(F.broadcast(hubs), "lo", "left_anti").join(lowest, "lo", "left")
+        return edges.join(values, key, how)
+    hubs = edges.groupBy(key).count().where(F.col("count") > hot_node).select(key)
+    hub_values = values.join(F.broadcast(hubs), key, "left_semi")
+    hot = edges.join(F.broadcast(hubs), key, "left_semi").join(F.broadcast(hub_values), key, how)
+    cold = edges.join(F.broadcast(hubs), key, "left_anti").join(values, key, how)
     return hot.unionByName(cold)
 
 
 def _state(stars):
-    """Edge count, busiest low end, and whether every component is a star already: no node is both a
-    high and a low end, and no high end has two low ends. One aggregation, folded before its shuffle."""
+    """Most edges that meet at a low end and at a high end, and whether every component is a star
+    already: no node is both a high and a low end, and no high end has two low ends. One aggregation,
+    folded before its shuffle."""
     ends = stars.selectExpr("inline(array(named_struct('node', hi, 'up', 1L, 'down', 0L), named_struct('node', lo, 'up', 0L, 'down', 1L)))")
     row = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).agg(
-        F.sum("up").alias("edges"), F.max("down").alias("busiest"), F.max("up").alias("most_up"),
+        F.max("down").alias("down"), F.max("up").alias("up"),
         F.count_if(F.expr("up > 0 and down > 0")).alias("inner")).first()
-    return (row["edges"] or 0), (row["busiest"] or 0), (row["most_up"] or 0) <= 1 and (row["inner"] or 0) == 0
+    return (row["down"] or 0), (row["up"] or 0), (row["up"] or 0) <= 1 and (row["inner"] or 0) == 0
 
 
 def component_labels(edges, hot_node=HOT_NODE, max_rounds=60):
     """(node, label) for every node that has an edge; label is the smallest node of its component."""
     stars = materialise(_down(edges))
     for _ in range(max_rounds):
-        _, busiest, done = _state(stars)
+        low_degree, high_degree, done = _state(stars)
         if done:
             break
         # Large star: hang every higher neighbour of a node under that node's lowest neighbour.
-        lowest = stars.groupBy("hi").agg(F.min("lo").alias("low"))
-        up = _with_lowest(stars, lowest, busiest, hot_node).select("hi", F.coalesce("low", "lo").alias("lo")).distinct()
+        lowest = stars.groupBy("hi").agg(F.min("lo").alias("low")).selectExpr("hi AS lo", "low")
+        up = (_join_unique(stars, lowest, "lo", "left", low_degree, hot_node)
+              .select("hi", F.coalesce("low", "lo").alias("lo")).distinct())
         # Small star: hang a node's lower neighbours, and the node itself, under the lowest of them.
         least = up.groupBy("hi").agg(F.min("lo").alias("low"))
-        moved = up.join(least, "hi").where("lo <> low").selectExpr("lo AS hi", "low AS lo")
+        moved = _join_unique(up, least, "hi", "inner", high_degree, hot_node).where("lo <> low").selectExpr("lo AS hi", "low AS lo")
         stars = materialise(moved.unionByName(least.selectExpr("hi", "low AS lo")).distinct())
     else:
         raise RuntimeError("components did not settle")

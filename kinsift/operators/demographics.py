@@ -40,8 +40,9 @@ def _long(df, fields, value):
 
 
 def _shares(counts):
-    share = F.lit(100.0) * F.col("n_records") / F.sum("n_records").over(Window.partitionBy("field"))
-    return counts.select("field", "value", "label", "n_records", rounded(share, 1).alias("pct"))
+    total = counts.groupBy("field").agg(F.sum("n_records").alias("_total"))     # one row per field
+    share = F.lit(100.0) * F.col("n_records") / F.col("_total")
+    return counts.join(F.broadcast(total), "field").select("field", "value", "label", "n_records", rounded(share, 1).alias("pct"))
 
 
 def coded_breakdown(records, fields=None):

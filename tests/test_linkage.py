@@ -438,3 +438,10 @@ def test_link_mode_uses_common_columns_only(spark):
     assert pair_set(run.predict()) == {("1", "2")}
     with pytest.raises(ValueError):
         Linker(a, LinkConfig(["city"], {"city": True}, "link"), b)
+
+
+def test_long_rule_lists_are_counted_too(spark, monkeypatch):
+    rows = random_records(spark, 60, 23)
+    df = table(spark, rows, ["name", "city", "size"])
+    monkeypatch.setattr(blocking, "MAX_RULE_SETS", 2)
+    assert blocking.candidate_count(df, RULES).first()["n_pairs"] == len(brute(rows, RULES))
