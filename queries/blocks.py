@@ -10,7 +10,7 @@ IDS = "unique_id_l, unique_id_r, source_dataset_l, source_dataset_r"
 
 
 def docs(spark, sf_dir):
-    return x.doc_records(spark, sf_dir)
+    return x.narrow_docs(spark, sf_dir)
 
 
 @query("block_single", q_with(x.DOC) + q_pairs("doc_records", [["n_chars"]], ["lang"]))
