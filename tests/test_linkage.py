@@ -445,3 +445,16 @@ def test_long_rule_lists_are_counted_too(spark, monkeypatch):
     df = table(spark, rows, ["name", "city", "size"])
     monkeypatch.setattr(blocking, "MAX_RULE_SETS", 2)
     assert blocking.candidate_count(df, RULES).first()["n_pairs"] == len(brute(rows, RULES))
+
+
+def test_a_third_of_all_records_in_one_block(spark):
+    """A hot block costs counts and stars no pairs: 200 million of them here."""
+    n = 60_000
+    rows = spark.range(n).selectExpr(
+        "cast(id as string) AS unique_id", "'A' AS source_dataset", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('n', id div 2) END AS name",
+        "CASE WHEN id % 3 = 0 THEN 'x' ELSE concat('c', id div 4) END AS city")
+    hot = n // 3
+    assert blocking.block_counts(rows, ["name", "city"]).first()["n_pairs"] >= hot * (hot - 1) // 2
+    links = blocking.deterministic_links(rows, [["name"]], ["name", "city"], hot_block=1000)
+    sizes = components.cluster_records(rows, links, hot_node=1000).groupBy("cluster_id").count().agg(F.max("count"), F.sum("count")).first()
+    assert tuple(sizes) == (hot, n)
