@@ -10,7 +10,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Text bytes hashed at once; bounds the temporary arrays of a task. A longer document is a piece of its own.
-PIECE = 4_000_000
+PIECE = 400_000
 
 
 def mix(x):
@@ -22,48 +22,64 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base, n):
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.cumprod(out, out=out)
+def _powers(base, n, kept={}):
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; the longest run asked for is kept."""
+    if len(kept.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        out[0] = 1
+        kept[base] = np.cumprod(out, out=out)
+    return kept[base][:n]
+
+
+def byte_set(values):
+    out = np.zeros(256, dtype=bool)
+    out[list(values)] = True
     return out
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What separates words; and, for comparing wordings, everything but ASCII letters, digits and bytes of other scripts.
+SPACES = byte_set([9, 10, 11, 12, 13, 32])
+PUNCTUATION = byte_set(b for b in range(128) if not chr(b).isalnum())
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: An odd-looking value for each byte, so that words of one or two bytes do not start out alike.
-_SALT = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
+#: A value with many bits set for each byte, so that short words do not start out alike.
+_BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
+_BYTE_LOWER = _BYTE[_LOWER]
+
+
+def word_spans(data, separators=SPACES):
+    """(first byte, end byte) of every word in a byte array."""
+    word = ~separators[data]
+    edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return edges[::2], edges[1::2]
 
 
-def word_hashes(texts, lower=True):
-    """(hashes of all words, first word of each text and the end): texts are bytes or None."""
-    joined = b" ".join(t or b"" for t in texts)
-    lengths = np.array([len(t or b"") for t in texts], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    data = np.frombuffer(joined, dtype=np.uint8)
+def word_hashes(texts, lower=True, separators=SPACES):
+    """(hashes of all words, number of the first word of each text, then of the end). Texts are bytes or None."""
+    sizes = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    data = np.frombuffer(b" ".join(t or b"" for t in texts), dtype=np.uint8)
     if not len(data):
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    word = ~_SPACE[data]
-    edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    first, end = edges[::2], edges[1::2]
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_SALT[_LOWER[data] if lower else data] * _powers(BASE, len(data)), out=total[1:])
+    first, end = word_spans(data, separators)
+    total = np.empty(len(data) + 1, dtype=np.uint64)
+    total[0] = 0
+    values = (_BYTE_LOWER if lower else _BYTE)[data]
+    values *= _powers(BASE, len(data))
+    np.cumsum(values, out=total[1:])
     hashes = (total[end] - total[first]) * _powers(BASE_INVERSE, len(data))[first]
-    hashes = mix(hashes + (end - first).astype(np.uint64))
-    return hashes, np.searchsorted(first, starts)
+    return mix(hashes + (end - first).astype(np.uint64)), np.searchsorted(first, starts)
 
 
 def grams(hashes, n):
-    """Hashes of all runs of n neighbouring words of one text."""
+    """Hashes of all runs of n neighbouring words."""
     if len(hashes) < n:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = out * np.uint64(BASE) + mix(hashes[k:len(hashes) - n + 1 + k] + np.uint64(k + 1))
+    size = len(hashes) - n + 1
+    out = hashes[:size].copy()
+    for k in range(1, n):
+        out *= np.uint64(BASE)
+        out += hashes[k:size + k]
     return mix(out)
 
 

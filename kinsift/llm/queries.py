@@ -1,4 +1,6 @@
 """One query for each operator, over its whole tables, with the SQL that must give the same rows where SQL can say it."""
+import os
+
 from pyspark.sql import functions as F
 
 from kinsift.llm import common
@@ -8,6 +10,8 @@ QUERIES, ORACLE = {}, {}
 #: Fixed by the contract of op7.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: A public unigram-style vocabulary; read on the driver, never copied here.
+VOCABULARY = os.environ.get("KINSIFT_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 #: White space and words in DuckDB's regular expressions.
 SQL_WORD = r"'[^\x20\x09-\x0D]+'"
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -22,6 +26,14 @@ def query(name, sql=None):
     return add
 
 
+@query("op3_token_counts")
+def op3(spark, sf_dir):
+    """Words and tokens of every document."""
+    from kinsift.llm.token_counts import count_tokens, read_pieces
+
+    return count_tokens(common.table(spark, sf_dir, "documents"), read_pieces(VOCABULARY))
+
+
 @query("op4_line_dedup", r"""
     WITH u AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
                FROM documents),
@@ -39,6 +51,14 @@ def op4(spark, sf_dir):
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_digest"))
 
 
+@query("op6_html_extraction")
+def op6(spark, sf_dir):
+    """Main text of every page."""
+    from kinsift.llm.html_extract import extract
+
+    return extract(common.table(spark, sf_dir, "pages"))
+
+
 @query("op7_url_filters", f"""
     WITH cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     p AS (SELECT page_id, {SQL_LOWER.format("regexp_extract(rest, '^[^/?#]*', 0)")} AS host,
@@ -78,3 +98,11 @@ def op9(spark, sf_dir):
     return out.select("doc_id", F.col("f_words").alias("n_words"), F.col("f_chars").alias("word_chars"), F.col("f_symbols").alias("n_symbols"),
                       F.col("f_dup_lines").alias("n_dup_lines"), F.col("f_repeat").alias("n_repeat_words"), "base_failed", "kept",
                       F.round("quality", 6).alias("quality"))
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    """License wordings in every document."""
+    from kinsift.llm.license_scan import scan_licenses
+
+    return scan_licenses(common.table(spark, sf_dir, "documents"))
