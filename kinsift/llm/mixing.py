@@ -40,7 +40,8 @@ def targets(weighted, growth=1.5, cap=2.0):
         "open": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
         "level": level})
     shared = shared.withColumn("share", F.col("budget") / F.col("open"))
-    water = F.min(F.when(F.col("share") < F.col("level"), F.col("share"))).over(whole)
+    under = F.when(F.col("share") < F.col("level"), F.struct("level", "share"))
+    water = F.min(under).over(whole)["share"]
     return shared.select("source", "words", "weight", F.coalesce(F.least(cap * F.col("words"), F.col("weight") * water), cap * F.col("words")).alias("target"))
 
 

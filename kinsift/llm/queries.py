@@ -26,6 +26,14 @@ def query(name, sql=None):
     return add
 
 
+@query("op1_ngram_jaccard_join")
+def op1(spark, sf_dir):
+    """Size of every document's shingle set, and the group of near copies it is in."""
+    from kinsift.llm.ngram_join import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class", "component")
+
+
 @query("op3_token_counts")
 def op3(spark, sf_dir):
     """Words and tokens of every document."""
@@ -51,6 +59,23 @@ def op4(spark, sf_dir):
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_digest"))
 
 
+@query("op5_benchmark_decontamination", f"""
+    WITH d AS (SELECT doc_id AS id, regexp_extract_all({SQL_LOWER.format("text")}, {SQL_WORD}) AS w FROM documents),
+    b AS (SELECT item_id AS id, regexp_extract_all({SQL_LOWER.format("text")}, {SQL_WORD}) AS w FROM benchmark),
+    ds AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+    bs AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
+    m AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
+    SELECT ds.id AS doc_id, bs.id AS item_id, count(*)::INT AS n_shared, any_value(m.n)::INT AS n_item, count(*) / any_value(m.n) AS containment
+    FROM bs JOIN ds USING (s) JOIN m ON m.id = bs.id GROUP BY ds.id, bs.id HAVING 100 * count(*) >= 75 * any_value(m.n)""")
+def op5(spark, sf_dir):
+    """Documents that contain a benchmark item, with the item."""
+    from kinsift.llm.decontaminate import contained_items
+
+    return contained_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_html_extraction")
 def op6(spark, sf_dir):
     """Main text of every page."""
