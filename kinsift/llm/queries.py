@@ -34,6 +34,14 @@ def op1(spark, sf_dir):
     return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class", "component")
 
 
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    """Language-model scores of every document."""
+    from kinsift.llm.lm_scoring import score
+
+    return score(common.table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_counts")
 def op3(spark, sf_dir):
     """Words and tokens of every document."""
