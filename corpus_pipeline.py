@@ -1,35 +1,56 @@
 """A corpus from raw documents: five operators in turn, each over all that the one before it kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. A caller
+writes each result as Parquet and reads it again as the next stage's docs, as run() does.
 """
 from pyspark.sql import functions as F
 
 from kinsift.llm import common
+from kinsift.llm.decontaminate import without_contaminated
+from kinsift.llm.line_dedup import dedup_units
+from kinsift.llm.mixing import mix
+from kinsift.llm.ngram_join import keep_one
+from kinsift.llm.quality_rules import keep_good
 from kinsift.session import materialise
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that the weakly supervised quality rules reject go."""
-    from kinsift.llm.quality_rules import keep_good
-
+    """Documents that the weakly supervised rules reject go; the rest stays as it is."""
     return keep_good(docs)
 
 
-def mixing(spark, docs, sf_dir):
-    """What the mix takes of every document that is left, as columns beside its own."""
-    from kinsift.llm.mixing import mix
+def near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies stays: the one with the smallest id. Texts without words all stay."""
+    return keep_one(docs)
+
+
+def substrings(spark, docs, sf_dir):
+    """Lines of ten words or more that an earlier document has go out of the text; a document left without words goes."""
+    cut = dedup_units(docs).select(*docs.columns)
+    if "n_chars" in cut.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    return cut.where(common.n_words(F.col("text")) > 0)
 
-    sized = docs.withColumn("size", common.n_words(F.col("text")))
-    narrow = materialise(sized.select("doc_id", "source", "size"))
-    return mix(narrow).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that contain a benchmark item go."""
+    return without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark, docs, sf_dir):
+    """How often the mix takes each document that is left: copies and words beside the document's own columns."""
+    sized = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"))
+    return mix(materialise(sized)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-STAGES = [("quality_rules", quality), ("mixing", mixing)]
+STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_copies), ("substring_dedup", substrings),
+          ("benchmark_decontamination", decontamination), ("mixing", mixing)]
+#: SQL cannot say the first and the last stage; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -60,25 +60,26 @@ def align(template, words, band=BAND):
     """(matched words, first, last) of the longest common subsequence inside a band.
 
     `words` starts `band` words before the candidate's diagonal; template word i may meet words i .. i + 2 * band.
-    Of equally long matches the shortest span wins, then the earliest.
+    Of equally long matches the shortest span wins, then the one that starts nearest to the diagonal.
     """
     width = 2 * band + 1
-    before = [(0, 0, 0)] * (width + 1)  # (matched, -span, -first) by offset, of the rows so far
+    none = (0, 0, 0, 0)
+    before = [none] * (width + 1)  # (matched, -span, -distance of the first from the diagonal, first), by offset
     for i, wanted in enumerate(template):
         row = []
         for d in range(width):
             j = i + d
-            options = [before[d + 1] if d + 1 < width else (0, 0, 0)]
+            options = [before[d + 1]]
             if d:
                 options.append(row[d - 1])
             if j < len(words) and words[j] == wanted:
-                m, _, first = before[d]
-                start = j if m == 0 else -first
-                options.append((m + 1, -(j - start), -start))
+                m, _, _, first = before[d]
+                first = first if m else j
+                options.append((m + 1, first - j, -abs(first - band), first))
             row.append(max(options))
-        before = row + [(0, 0, 0)]
-    matched, span, first = max(before)
-    return matched, -first, -first - span
+        before = row + [none]
+    matched, span, _, first = max(before)
+    return matched, first, first - span
 
 
 def scan_words(hashes, index, coverage):
