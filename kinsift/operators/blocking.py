@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from kinsift.functions.numbers import pairs_of
 
-HOT_BLOCK = 50_000
-MAX_RULE_SETS = 8
+#: Records of a block that one tile holds on a side: at most four million pairs, whatever the block.
+HOT_BLOCK = 2_000
+#: Grouping sets of one aggregation; more sets are counted in several.
+SETS_AT_ONCE = 64
 
 
 def node(source="source_dataset", uid="unique_id"):
@@ -47,12 +49,50 @@ def covers(fields):
     return F.expr("coalesce(" + " AND ".join(f"`{f}_l` = `{f}_r`" for f in fields) + ", false)")
 
 
+class Rule(list):
+    """A rule as a list of key columns, with what else must hold of a pair: SQL over <column>_l and <column>_r."""
+
+    def __init__(self, fields, residual=None, needs=()):
+        super().__init__(fields)
+        self.residual, self.needs = residual, list(needs)
+
+
+def residual(rule):
+    return getattr(rule, "residual", None)
+
+
 def _first_cover(rules):
-    """Index of the first rule whose fields are all equal on both sides."""
-    steps = " ".join(f"WHEN {' AND '.join(f'`{f}_l` = `{f}_r`' for f in rule)} THEN {i}" for i, rule in enumerate(rules))
+    """Index of the first rule whose fields are all equal on both sides and whose further test holds."""
+    steps = " ".join("WHEN {} THEN {}".format(" AND ".join(
+        [f"`{f}_l` = `{f}_r`" for f in rule] + ([f"({residual(rule)})"] if residual(rule) else [])), i) for i, rule in enumerate(rules))
     return F.expr(f"CASE {steps} END")
 
 
+def common_types(a, b):
+    """Both tables with the columns they share in one type: the wider of two numbers, else text.
+
+    A join key is hashed, and a hash tells an int 1 from a bigint 1, so this comes before any key is made.
+    """
+    numbers = ["byte", "short", "int", "bigint", "float", "double"]
+    rank = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "float": 4, "double": 5}
+    kinds_a, kinds_b = dict(a.dtypes), dict(b.dtypes)
+    casts = {}
+    for c in a.columns:
+        x, y = kinds_a[c], kinds_b.get(c)
+        if y is not None and x != y:
+            casts[c] = numbers[max(rank[x], rank[y])] if x in rank and y in rank else "string"
+    change = lambda df: df.withColumns({c: F.col(c).cast(t) for c, t in casts.items()}) if casts else df
+    return change(a), change(b)
+
+
+def both_tables(a, b):
+    """All records of one or two tables, shared columns in one type."""
+    if b is None:
+        return a
+    a, b = common_types(a, b)
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def _keyed(records, rules, carried):
     """One row per record and rule that has all its fields: rule number and hash of the key."""
     columns = ["unique_id", "source_dataset"] + [f for f in carried if f not in ("unique_id", "source_dataset")]
@@ -67,7 +107,8 @@ def _keyed(records, rules, carried):
 
 
 def _hot(rows, hot_block, name):
-    """Chunk count of every block above the limit: at most n_rows / hot_block rows."""
+    """Chunk count of every block above the limit. The list grows with the data, so it is joined as any table:
+    Spark broadcasts it only while it is small."""
     sized = rows.groupBy("_rule", "_key").count().where(F.col("count") > hot_block)
     return sized.selectExpr("_rule", "_key", f"cast(ceil(count / {hot_block}) as int) AS {name}")
 
@@ -80,29 +121,28 @@ def paired(a, b, joins, carried, hot_block=HOT_BLOCK):
     that truly covers the pair makes the result exact and keeps a pair found by several rules once.
     """
     dedupe = b is None
+    if not dedupe:
+        a, b = common_types(a, b)
     left = _keyed(a, joins, carried)
     right = left if dedupe else _keyed(b, joins, carried)
     on = ["_rule", "_key"]
     if hot_block and dedupe:
         # A record of a block with n chunks meets every chunk in the tile of the two chunk numbers.
-        left = left.join(F.broadcast(_hot(left, hot_block, "_n")), on, "left").selectExpr(
+        left = left.join(_hot(left, hot_block, "_n"), on, "left").selectExpr(
             "*", "cast(pmod(xxhash64(_node), coalesce(_n, 1)) as int) AS _mine",
             "explode(sequence(0, coalesce(_n, 1) - 1)) AS _meets")
         left = left.selectExpr("*", "least(_mine, _meets) AS _tile1", "greatest(_mine, _meets) AS _tile2").drop("_n", "_meets")
         on += ["_tile1", "_tile2"]
     elif hot_block:
         hot = _hot(left, hot_block, "_na").join(_hot(right, hot_block, "_nb"), on, "full")
-        left = left.join(F.broadcast(hot), on, "left").selectExpr(
+        left = left.join(hot, on, "left").selectExpr(
             "*", "cast(pmod(xxhash64(_node), coalesce(_na, 1)) as int) AS _tile1", "explode(sequence(0, coalesce(_nb, 1) - 1)) AS _tile2")
-        right = right.join(F.broadcast(hot), on, "left").selectExpr(
+        right = right.join(hot, on, "left").selectExpr(
             "*", "cast(pmod(xxhash64(_node), coalesce(_nb, 1)) as int) AS _tile2", "explode(sequence(0, coalesce(_na, 1) - 1)) AS _tile1")
         left, right = left.drop("_na", "_nb"), right.drop("_na", "_nb")
         on += ["_tile1", "_tile2"]
-    # A join that multiplies rows must keep its parallelism, so the partition count is not left to
-    # be shrunk by the size of the input.
-    width = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.repartition(width, *on)
-    right = left if dedupe else right.repartition(width, *on)
+    # No number of partitions is asked for: adaptive execution chooses it from the measured sizes and splits skewed ones.
+    right = left if dedupe else right
     left = left.toDF(*[f"{c}_l" for c in left.columns])
     right = right.toDF(*[f"{c}_r" for c in right.columns])
     test = " AND ".join(f"{c}_l = {c}_r" for c in on)
@@ -110,7 +150,7 @@ def paired(a, b, joins, carried, hot_block=HOT_BLOCK):
         test += " AND _node_l < _node_r"
         if hot_block:
             test += " AND (_tile1_l = _tile2_l OR _mine_l <> _mine_r)"
-    return left.join(right, F.expr(test) & (_first_cover(joins) == F.col("_rule_l")), "inner")
+    return left.join(right, F.expr(test) & (_first_cover([list(j) for j in joins]) == F.col("_rule_l")), "inner")
 
 
 def sharpen(rules, fields, at_least):
@@ -139,11 +179,12 @@ def candidate_pairs(a, rules, fields, b=None, join_rules=None, hot_block=HOT_BLO
 
     `join_rules` may name a sharper set of composites (see `sharpen`) that covers the pairs wanted.
     """
-    needed = list(dict.fromkeys([f for rule in rules for f in rule] + list(fields)))
+    needed = list(dict.fromkeys([f for rule in rules for f in [*rule, *getattr(rule, "needs", ())]] + list(fields)))
     pairs = paired(a, b, join_rules or rules, needed, hot_block)
     kept = ["unique_id_l", "unique_id_r", "source_dataset_l", "source_dataset_r"]
     shown = [f"{f}_{s}" for f in needed if f not in ("unique_id", "source_dataset") for s in "lr"]
-    return pairs.select(*kept, _first_cover(rules).cast("int").alias("match_key"), *shown)
+    out = pairs.select(*kept, _first_cover(rules).cast("int").alias("match_key"), *shown)
+    return out.where("match_key IS NOT NULL") if any(residual(r) for r in rules) else out
 
 
 def agreement_count(fields):
@@ -161,16 +202,14 @@ def deterministic_pairs(a, rules, fields, b=None, hot_block=HOT_BLOCK, keep=()):
             .withColumn("match_weight", F.lit(100.0)))
 
 
-def deterministic_links(a, rules, fields, b=None, hot_block=HOT_BLOCK):
+def deterministic_links(a, rules, fields, b=None):
     """Edges with the same connected components as `deterministic_pairs`, linear in the records.
 
     All records that share a composite key are tied to one leader of the block, instead of to each
-    other. In link mode a block counts only when it holds records of both tables. Leaders of hot
-    blocks (at most n_rows / hot_block) are broadcast; their records take no part in the shuffle on
-    the key, so no task receives a hot block.
+    other. In link mode a block counts only when it holds records of both tables.
     """
     need = min(2 if len(fields) > 1 else 1, len(fields))
-    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
+    both = both_tables(a, b)
     keys = []
     for i, rule in enumerate(sharpen(rules, fields, need)):
         there = " AND ".join(f"`{f}` IS NOT NULL" for f in rule)
@@ -182,37 +221,49 @@ def deterministic_links(a, rules, fields, b=None, hot_block=HOT_BLOCK):
     leaders = rows.groupBy("_key").agg(
         F.min("_node").alias("_leader"), F.count("*").alias("_n"),
         F.min("source_dataset").alias("_s1"), F.max("source_dataset").alias("_s2")).where(enough)
-    hot = leaders.where(F.col("_n") > hot_block).selectExpr("_key", "_leader AS _hot")
-    cold = leaders.where(F.col("_n") <= hot_block).selectExpr("_key AS _spread", "_leader")
-    spread = F.expr("CASE WHEN _hot IS NULL THEN _key ELSE cast(xxhash64(_node) as string) END")
-    found = (rows.join(F.broadcast(hot), "_key", "left").withColumn("_spread", spread)
-             .join(cold, "_spread", "left").withColumn("_to", F.coalesce("_hot", "_leader")))
+    # Leaders are joined by key: a plain equi-join, whose skewed partitions adaptive execution splits, for the leaders'
+    # side has one row per key.
+    found = rows.join(leaders.select("_key", F.col("_leader").alias("_to")), "_key")
     return found.where("_to <> _node").selectExpr("_node AS node_l", "_to AS node_r")
 
 
 # ---- counting without making pairs -------------------------------------------------------------
 
 def block_counts(records, rule, link=False):
-    """Pairs of one rule from block sizes alone."""
-    rows = records.dropna(subset=rule)
-    if link:
-        sizes = rows.groupBy(*rule).agg(F.count_if(F.col("source_dataset") == "A").alias("na"),
-                                        F.count_if(F.col("source_dataset") != "A").alias("nb"))
-        return sizes.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("n_pairs"))
-    sizes = rows.groupBy(*rule).agg(F.count("*").alias("n"))
-    return sizes.agg(F.coalesce(F.sum(pairs_of("n")), F.lit(0)).alias("n_pairs"))
+    """Pairs of one rule from block sizes alone; a record is never paired with one of the same id."""
+    counts = _pairs_per_set(records, list(dict.fromkeys(rule)), [list(dict.fromkeys(rule))], link)
+    return counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_pairs"))
 
 
 def _pairs_per_set(records, fields, sets, link):
-    """Pairs that agree on all fields of each set: (mask, c), from one grouping-sets aggregation.
-    Rows are folded before the shuffle, so a frequent value costs no more than a rare one."""
-    grouped = records.select("source_dataset", *fields).groupingSets(sets, *fields).agg(
-        F.count_if(F.col("source_dataset") == "A").alias("na"), F.count("*").alias("n"),
-        *[F.grouping(f).alias(f"_out_{f}") for f in fields])
-    there = " AND ".join(f"(_out_{f} = 1 OR `{f}` IS NOT NULL)" for f in fields)
-    mask = " + ".join(f"(1 - cast(_out_{f} as int)) * {1 << i}" for i, f in enumerate(fields))
-    size = F.expr("na * (n - na)") if link else pairs_of("n")
-    return grouped.where(there).select(F.expr(mask).alias("mask"), size.alias("c")).groupBy("mask").agg(F.sum("c").alias("c"))
+    """Pairs that agree on all fields of each set: (mask, c), from grouping-sets aggregations.
+
+    Rows are folded before the shuffle, so a frequent value costs no more than a rare one. Records are first folded by
+    identity and values; what records of one id and the same values would make among themselves is taken off again.
+    """
+    parts = []
+    for start in range(0, len(sets), SETS_AT_ONCE):
+        some = sets[start:start + SETS_AT_ONCE]
+        used = [f for f in fields if any(f in one for one in some)]
+        there = " AND ".join(f"(_out_{f} = 1 OR `{f}` IS NOT NULL)" for f in used)
+        mask = " + ".join(f"(1 - cast(_out_{f} as int)) * {1 << fields.index(f)}L" for f in used)
+        outs = [F.grouping(f).alias(f"_out_{f}") for f in used]
+        grouped = records.select("source_dataset", *used).groupingSets(some, *used).agg(
+            F.count_if(F.col("source_dataset") == "A").alias("na"), F.count("*").alias("n"), *outs)
+        size = F.expr("na * (n - na)") if link else pairs_of("n")
+        counted = grouped.where(there).select(F.expr(mask).alias("mask"), size.alias("c"))
+        if not link:
+            # Same identity on both sides: pairs inside an id, by the same sets. Ids that occur once add nothing.
+            repeated = records.groupBy("source_dataset", "unique_id").agg(F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
+            twice = records.select("source_dataset", "unique_id", *used).join(repeated, ["source_dataset", "unique_id"], "left_semi")
+            within = twice.groupingSets([["source_dataset", "unique_id", *one] for one in some], "source_dataset", "unique_id", *used).agg(
+                F.count("*").alias("n"), *outs)
+            counted = counted.unionByName(within.where(there).select(F.expr(mask).alias("mask"), (-pairs_of("n")).alias("c")))
+        parts.append(counted.groupBy("mask").agg(F.sum("c").alias("c")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def agreement_patterns(records, fields, link=False):
@@ -223,11 +274,9 @@ def agreement_patterns(records, fields, link=False):
     leaves the exact counts. No pair is made, so a value shared by a third of all records costs the
     same as any other. Gives covers_<f> flags and n_pairs; pairs agreeing on nothing are left out.
     """
-    if len(fields) > 12:
-        raise ValueError("agreement_patterns doubles its work per field; pass at most 12 fields")
     sets = [list(c) for k in range(1, len(fields) + 1) for c in combinations(fields, k)]
     at_least = _pairs_per_set(records, fields, sets, link)
-    subset = F.filter(F.sequence(F.lit(1), F.col("mask")), lambda s: s.bitwiseAND(F.col("mask")) == s)
+    subset = F.filter(F.sequence(F.lit(1).cast("long"), F.col("mask")), lambda s: s.bitwiseAND(F.col("mask")) == s)
     sign = F.when(F.bit_count(F.col("mask").bitwiseXOR(F.col("sub"))) % 2 == 0, F.col("c")).otherwise(-F.col("c"))
     exact = (at_least.select("mask", "c", F.explode(subset).alias("sub"))
              .groupBy("sub").agg(F.sum(sign).alias("n_pairs")).where("n_pairs > 0"))
@@ -253,47 +302,51 @@ def first_rule(rules, labels=None):
 
 def field_counts(a, fields, b=None):
     """(field, n_pairs) of every single-field rule, in one aggregation."""
-    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
+    both = both_tables(a, b)
     counts = _pairs_per_set(both, fields, [[f] for f in fields], b is not None)
-    names = both.sparkSession.createDataFrame([(1 << i, f) for i, f in enumerate(fields)], "mask int, field string")
+    names = both.sparkSession.createDataFrame([(1 << i, f) for i, f in enumerate(fields)], "mask long, field string")
     return F.broadcast(names).join(counts, "mask", "left").select("field", F.coalesce("c", F.lit(0)).alias("n_pairs"))
 
 
 def rule_increments(a, rules, b=None):
     """(rule_index, n): pairs each rule adds beyond the rules before it, by inclusion and exclusion.
 
-    Every set of rules asks for the pairs that agree on the union of its fields, with a sign, and is
-    credited to its last rule. Only those unions are counted. The sets double with every rule, so a
-    long rule list is counted from the pairs themselves.
+    A pair new with rule i agrees on its fields and on those of no earlier rule. Unions of fields that come about in several
+    ways are counted once, with their signs added up, and rules implied by an earlier one add nothing; so the number of counts is
+    bounded by the combinations of fields, not of rules. No pair is made. A rule with a further test is counted from
+    its pairs, for group sizes cannot tell.
     """
-    if len(rules) > MAX_RULE_SETS:
+    if any(residual(r) for r in rules):
         return candidate_pairs(a, rules, [], b).groupBy(F.col("match_key").alias("rule_index")).agg(F.count("*").alias("n"))
-    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
+    both = both_tables(a, b)
     fields = list(dict.fromkeys(f for rule in rules for f in rule))
     bit = {f: 1 << i for i, f in enumerate(fields)}
-    terms = {}
-    for size in range(1, len(rules) + 1):
-        for chosen in combinations(range(len(rules)), size):
-            mask = 0
-            for i in chosen:
-                for f in rules[i]:
-                    mask |= bit[f]
-            key = (mask, max(chosen))
-            terms[key] = terms.get(key, 0) + (1 if size % 2 else -1)
-    sets = [[f for f in fields if bit[f] & mask] for mask in sorted({m for m, _ in terms})]
+    masks = [sum({bit[f] for f in rule}) for rule in rules]
+    signed = []
+    for i, mask in enumerate(masks):
+        earlier = {m | mask for m in masks[:i]}
+        if mask in earlier:
+            continue
+        least = [m for m in earlier if not any(o != m and o & m == o for o in earlier)]
+        terms = {mask: 1}
+        for other in least:
+            for known, sign in list(terms.items()):
+                terms[known | other] = terms.get(known | other, 0) - sign
+        signed += [(m, i, sign) for m, sign in terms.items() if sign]
+    sets = [[f for f in fields if bit[f] & mask] for mask in sorted({m for m, _, _ in signed})]
     counts = _pairs_per_set(both, fields, sets, b is not None)
-    signs = both.sparkSession.createDataFrame([(m, i, t) for (m, i), t in terms.items()], "mask int, rule_index int, sign int")
+    signs = both.sparkSession.createDataFrame(signed, "mask long, rule_index int, sign int")
     return counts.join(F.broadcast(signs), "mask").groupBy("rule_index").agg(F.sum(F.col("c") * F.col("sign")).alias("n"))
 
 
 def candidate_count(a, rules, b=None):
     """Exact size of the candidate set for a rule list, without making pairs."""
-    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
-    rules = [[f for f in rule if f in a.columns] for rule in rules]
+    both = both_tables(a, b)
+    rules = [rule if residual(rule) else [f for f in rule if f in a.columns] for rule in rules]
     rules = [rule for rule in rules if rule]
     if not rules:
         return a.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_pairs"))
-    if len(rules) == 1:
+    if len(rules) == 1 and not residual(rules[0]):
         return block_counts(both, rules[0], link=b is not None)
     return rule_increments(a, rules, b).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
@@ -351,8 +404,9 @@ def truth_pairs(records, link=False, hot_block=HOT_BLOCK):
 
 
 def truth_pair_count(records, link=False):
-    """Number of ground-truth pairs from cluster sizes per source; no pairs are made."""
-    sized = records.dropna(subset=["cluster"]).groupBy("cluster", "source_dataset").agg(F.count("*").alias("n"))
-    total = sized.groupBy("cluster").agg(F.sum("n").alias("t"), F.sum(pairs_of("n")).alias("inside"))
-    pairs = pairs_of("t") - F.col("inside") if link else pairs_of("t")
+    """Number of ground-truth pairs from cluster sizes per source; no pairs are made. Records of one id are no pair."""
+    per_id = records.dropna(subset=["cluster"]).groupBy("cluster", "source_dataset", "unique_id").agg(F.count("*").alias("k"))
+    sized = per_id.groupBy("cluster", "source_dataset").agg(F.sum("k").alias("n"), F.sum(pairs_of("k")).alias("same"))
+    total = sized.groupBy("cluster").agg(F.sum("n").alias("t"), F.sum(pairs_of("n")).alias("inside"), F.sum("same").alias("same"))
+    pairs = pairs_of("t") - F.col("inside") if link else pairs_of("t") - F.col("same")
     return total.agg(F.coalesce(F.sum(pairs), F.lit(0)).cast("long").alias("n_gt_edges"))

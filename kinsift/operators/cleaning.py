@@ -66,8 +66,8 @@ def values_present(df):
     return total
 
 
-def sparse_row_filter(df, as_coded=True):
-    """Keep rows with at least three values; a table with fewer columns may ask for all of them."""
+def sparse_row_filter(df, as_coded=False):
+    """Keep rows with at least three values, or all values of a narrower table; `as_coded` asks for three of any table."""
     need = 3 if as_coded else min(3, len(df.columns))
     return df.where(values_present(df) >= need)
 
@@ -155,7 +155,7 @@ class CleanResult:
         return self.data.sparkSession.createDataFrame(rows, "step string, key string, value string")
 
 
-def clean_records(df, id_col=None, prenormalise=False, as_coded=True):
+def clean_records(df, id_col=None, prenormalise=False, as_coded=False):
     """The whole cleaning chain in its fixed order. One pass finds the empty columns and sparse rows,
     one the date columns; the cleaned table itself stays lazy."""
     df, renamed = clean_field_names(df)
@@ -212,6 +212,15 @@ def suffix_b(uid):
     return F.when(uid.endswith("_B"), uid).otherwise(F.concat(uid, F.lit("_B")))
 
 
+def suffix_ids(b):
+    """The ids of a second table with _B after them, unless all of them end so already. The table decides once, so two
+    ids that differ stay different."""
+    marked = b.agg(F.coalesce(F.min(F.coalesce(F.col("unique_id").cast("string"), F.lit("NA")).endswith("_B")), F.lit(True)).alias("_marked"), F.lit(1).alias("_one"))
+    uid = F.coalesce(F.col("unique_id").cast("string"), F.lit("NA"))
+    return (b.withColumn("_one", F.lit(1)).join(F.broadcast(marked), "_one")
+            .withColumn("unique_id", F.when(F.col("_marked"), uid).otherwise(F.concat(uid, F.lit("_B")))).drop("_one", "_marked"))
+
+
 def assign_ground_truth(a, b=None):
     """Source labels, truth clusters (an id of B without its _B suffix) and suffixed ids for B."""
     a = a.withColumn("source_dataset", F.lit("A"))
@@ -221,7 +230,7 @@ def assign_ground_truth(a, b=None):
         return a, None
     if "cluster" not in b.columns:
         b = b.withColumn("cluster", _without_b(F.col("unique_id")))
-    return a, b.withColumn("unique_id", suffix_b(F.col("unique_id"))).withColumn("source_dataset", F.lit("B"))
+    return a, suffix_ids(b).withColumn("source_dataset", F.lit("B"))
 
 
 def prepare(df, source):

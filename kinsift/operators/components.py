@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinsift.operators.blocking import node
-from kinsift.session import materialise
+from kinsift.session import materialise, release
 
 HOT_NODE = 1_000_000
 
@@ -54,7 +54,8 @@ def component_labels(edges, hot_node=HOT_NODE, max_rounds=60):
         # Small star: hang a node's lower neighbours, and the node itself, under the lowest of them.
         least = up.groupBy("hi").agg(F.min("lo").alias("low"))
         moved = _join_unique(up, least, "hi", "inner", high_degree, hot_node).where("lo <> low").selectExpr("lo AS hi", "low AS lo")
-        stars = materialise(moved.unionByName(least.selectExpr("hi", "low AS lo")).distinct())
+        before, stars = stars, materialise(moved.unionByName(least.selectExpr("hi", "low AS lo")).distinct())
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     heads = stars.selectExpr("lo AS node").distinct().selectExpr("node", "node AS label")

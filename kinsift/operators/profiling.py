@@ -28,11 +28,12 @@ def suggest_blocking(types):
 
 
 def auto_select_fields(types, columns, max_fields=12):
-    """Comparison fields by type priority and the rules switched on for them."""
-    ranked = sorted((c for c in columns if c not in BOOKKEEPING),
-                    key=lambda c: SELECT_PRIORITY.get(types.get(c, "text"), SELECT_PRIORITY["text"]))
-    fields = ranked[:max_fields]
-    return fields, {c: types.get(c, "text") in SELECTIVE_TYPES or c in SELECTIVE_COLUMNS for c in fields}
+    """Comparison fields, the kinds of text that tell people apart best first, and which of them get a rule of their own."""
+    kinds = {c: types.get(c, "text") for c in columns if c not in BOOKKEEPING}
+    places = {c: SELECT_PRIORITY.get(kind, SELECT_PRIORITY["text"]) for c, kind in kinds.items()}
+    fields = [c for place in sorted(set(places.values())) for c in kinds if places[c] == place][:max_fields]
+    on = {c for c, kind in kinds.items() if kind in SELECTIVE_TYPES}.union(SELECTIVE_COLUMNS)
+    return fields, {c: c in on for c in fields}
 
 
 def unpivot(df, columns):

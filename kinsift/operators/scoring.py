@@ -4,7 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from kinsift.fixed_values import PRIOR_FALLBACK, WEIGHT_THRESHOLD
-from kinsift.operators.blocking import candidate_pairs
+from kinsift.operators.blocking import HOT_BLOCK, candidate_pairs
 from kinsift.operators.comparators import level_gammas, with_gammas
 
 
@@ -48,12 +48,17 @@ def best_weights(comparison):
     return max(weights[first], 0.0), max(others + [0.0])
 
 
+#: Sharper keys that may stand for one rule. Each is one more copy of every record, so a rule that would need more stays as
+#: it is, and hopeless pairs are dropped after the join instead.
+KEYS_PER_RULE = 3
+
+
 def reachable_rules(model, rules, threshold):
     """Join keys that cover every pair able to reach the threshold.
 
     A pair found by a rule but exact on nothing else has a largest possible weight. Where that stays
     below the threshold, further exact agreement is needed, and it moves into the join key: blocks
-    get smaller and no pair that could pass is lost.
+    get smaller and no pair that could pass is lost. A rule that no agreement can save is left out.
     """
     table = {c["output_column_name"]: best_weights(c) for c in model["comparisons"]}
     start = prior_log_odds(model["probability_two_random_records_match"])
@@ -65,11 +70,15 @@ def reachable_rules(model, rules, threshold):
     out = []
     for rule in rules:
         spare = [f for f in table if f not in rule]
+        if ceiling(set(rule) | set(spare)) < threshold - slack:
+            continue
         fits = []
         frontier = [tuple()]
-        while frontier:
+        while frontier and len(fits) <= KEYS_PER_RULE:
             nxt = []
             for extra in frontier:
+                if len(fits) > KEYS_PER_RULE:
+                    break
                 if any(set(done) <= set(extra) for done in fits):
                     continue
                 if ceiling(set(rule) | set(extra)) >= threshold - slack:
@@ -77,8 +86,9 @@ def reachable_rules(model, rules, threshold):
                 else:
                     tail = spare.index(extra[-1]) + 1 if extra else 0
                     nxt += [extra + (f,) for f in spare[tail:]]
-            frontier = nxt
-        out += [list(rule) + list(extra) for extra in fits]
+            frontier = nxt if len(nxt) <= 1000 else []
+            fits = fits if frontier or not nxt else [()] * (KEYS_PER_RULE + 1)
+        out += [list(rule) + list(extra) for extra in (fits if len(fits) <= KEYS_PER_RULE else [()])]
     kept = []
     for rule in out:
         if not any(set(other) <= set(rule) for other in kept):
@@ -106,7 +116,7 @@ def score(pairs, model, threshold=WEIGHT_THRESHOLD):
     return scored.withColumn("match_probability", probability(F.col("match_weight")))
 
 
-def predict(a, rules, model, b=None, threshold=WEIGHT_THRESHOLD, keep=(), hot_block=50_000):
+def predict(a, rules, model, b=None, threshold=WEIGHT_THRESHOLD, keep=(), hot_block=HOT_BLOCK):
     """Candidates of the rules, scored. Exact pruning keeps hopeless pairs from being made."""
     fields = [c["output_column_name"] for c in model["comparisons"]]
     carried = list(dict.fromkeys(fields + list(keep)))

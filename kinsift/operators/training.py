@@ -1,32 +1,31 @@
 """Estimating the model: prior, u-probabilities and EM for the m-probabilities."""
 import copy
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinsift.fixed_values import (EM_CONVERGENCE, MAX_ITERATIONS, RECALL, TRAINING_HINTS, U_SAMPLE_PAIRS)
 from kinsift.functions.draws import SPAN, draw
 from kinsift.functions.numbers import pairs_of, ratio
-from kinsift.operators.blocking import block_counts, field_counts, paired
+from kinsift.operators.blocking import block_counts, both_tables, common_types, field_counts, paired
 from kinsift.operators.comparators import level_gammas, with_gammas
 from kinsift.session import materialise
 
 FLOOR = 1e-10
 U_SAMPLE_RECORDS = 4000
-DRIVER_PATTERNS = 100_000
 
 
 def rank_training_fields(fields, toggles=None):
-    """Fields to block on while training: enabled single-field rules first choice, hinted names first."""
-    active = [f for f, on in (toggles or {}).items() if on and "+" not in f and f in fields]
-    place = {name: i for i, name in enumerate(TRAINING_HINTS)}
-    return sorted(active or list(fields), key=lambda f: (place.get(f, len(place)), f))
+    """Fields to block on while training: hinted names in their fixed order, then the others by name; only fields with a
+    rule of their own switched on, if there are any."""
+    on = {f for f, wanted in (toggles or {}).items() if wanted}.intersection(fields)
+    hinted = [f for f in TRAINING_HINTS if f in fields]
+    return [f for f in hinted + sorted(set(fields).difference(hinted)) if f in on or not on]
 
 
 def estimate_prior(a, rule, recall=RECALL, b=None):
     """Probability that two random records match: pairs agreeing on the rule / recall / all pairs."""
-    both = a if b is None else a.unionByName(b, allowMissingColumns=True)
+    both = both_tables(a, b)
     found = block_counts(both, rule, link=b is not None).withColumn("_one", F.lit(1))
     total = both.agg(F.count("*").alias("n"), F.count_if(F.col("source_dataset") == "A").alias("na"))
     every = F.expr("na * (n - na)") if b is not None else pairs_of("n")
@@ -67,13 +66,56 @@ def random_pairs(a, fields, b=None, n_records=None, target=U_SAMPLE_PAIRS, seed=
     return joined.select(*[f"{f}_{s}" for f in fields for s in "lr"])
 
 
-def estimate_u(a, comparisons, b=None, n_records=None, target=U_SAMPLE_PAIRS, seed=42):
+def estimate_u(a, comparisons, b=None, n_records=None, target=U_SAMPLE_PAIRS, seed=42, sample=U_SAMPLE_RECORDS):
     """Share of each level among random pairs where both values are present: (field, gamma, n, u_prob)."""
     fields = [c["output_column_name"] for c in comparisons]
-    scored = with_gammas(random_pairs(a, fields, b, n_records, target, seed), comparisons)
+    scored = with_gammas(random_pairs(a, fields, b, n_records, target, seed, sample), comparisons)
     return level_shares(scored, fields)
 
 
+def estimate_u_exact(a, fields, b=None):
+    """u of plain equality, from all records: (field, n_agree, n_both, u_prob). n_agree is the number of pairs with equal
+    values, n_both that of pairs with both values, each from group sizes; no pair is made and nothing is sampled."""
+    both = both_tables(a, b)
+    present = both.agg(*[F.count(f).alias(f"n_{f}") for f in fields],
+                       *[F.count_if((F.col("source_dataset") == "A") & F.col(f).isNotNull()).alias(f"a_{f}") for f in fields])
+    size = (lambda f: F.col(f"a_{f}") * (F.col(f"n_{f}") - F.col(f"a_{f}"))) if b is not None else (lambda f: pairs_of(f"n_{f}"))
+    known = present.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), size(f).cast("long").alias("n_both")) for f in fields])).alias("x")).select("x.*")
+    return (field_counts(a, fields, b).withColumnRenamed("n_pairs", "n_agree").join(F.broadcast(known), "field")
+            .select("field", "n_agree", "n_both", ratio(F.col("n_agree"), F.col("n_both")).alias("u_prob")))
+
+
+def _tests_equality(comparison):
+    """Whether the highest level is plain equality of the column."""
+    field = comparison["output_column_name"]
+    first = next(level for level in comparison["comparison_levels"] if not level.get("is_null_level"))
+    return first["sql_condition"].replace(" ", "") == f'"{field}_l"="{field}_r"'
+
+
+def u_of_levels(a, comparisons, b=None, target=U_SAMPLE_PAIRS, seed=42, sample=U_SAMPLE_RECORDS):
+    """{field: {gamma: (u, observed)}}. Equality is counted over all records; the other levels share what is left as they do among
+    sampled pairs that are not equal. A level that no sampled pair shows is given less than one pair's share and marked
+    as not observed."""
+    fields = [c["output_column_name"] for c in comparisons]
+    exact = {r["field"]: r["u_prob"] for r in estimate_u_exact(a, fields, b).collect()}     # one row per field
+    counts = {}
+    for row in estimate_u(a, comparisons, b, target=target, seed=seed, sample=sample).collect():     # one row per level of the model
+        counts.setdefault(row["field"], {})[row["gamma"]] = row["n"]
+    out = {}
+    for c in comparisons:
+        f, seen = c["output_column_name"], counts.get(c["output_column_name"], {})
+        levels = [g for g in level_gammas(c) if g >= 0]
+        known = exact.get(f) if _tests_equality(c) else None
+        sampled = [g for g in levels if known is None or g != max(levels)]
+        total = sum(seen.get(g, 0) for g in sampled)
+        rest = 1.0 if known is None else 1.0 - known
+        shares = {g: rest * seen[g] / total for g in sampled if seen.get(g)}
+        out[f] = {g: (shares[g], True) if g in shares else (rest / (total + 1) / 2, False) for g in sampled}
+        if known is not None:
+            out[f][max(levels)] = (known, True) if known else (0.5 / max(1, total), False)
+    return out
+
+
 def level_shares(scored, fields, weight=None):
     n = F.lit(1) if weight is None else F.col(weight)
     long = scored.select(n.alias("_n"), F.explode(F.array(*[
@@ -99,6 +141,8 @@ def pattern_counts(a, rule, comparisons, b=None):
             F.min("unique_id").alias("unique_id"), F.min("source_dataset").alias("source_dataset"),
             F.count("*").alias("_copies"))
 
+    if b is not None:
+        a, b = common_types(a, b)
     left = profiles(a)
     pairs = paired(left, None if b is None else profiles(b), [list(rule)], columns + ["_copies"])
     weighted = pairs.select(*[f"{f}_{s}" for f in fields for s in "lr"], (F.col("_copies_l") * F.col("_copies_r")).alias("_w"))
@@ -118,12 +162,12 @@ def starting_m(comparison):
 
 
 def _likelihood(params, fields):
+    """Product over fields of the level's probability. The probabilities are array literals, so all rounds run the same
+    generated code."""
     total = F.lit(1.0)
     for f in fields:
-        value = F.lit(1.0)
-        for g, p in params[f].items():
-            value = F.when(F.col(f"gamma_{f}") == g, F.lit(max(float(p), FLOOR))).otherwise(value)
-        total = total * value
+        table = F.array(*[F.lit(max(float(params[f].get(g, 1.0)), FLOOR)) for g in range(max(params[f]) + 1)])
+        total = total * F.when(F.col(f"gamma_{f}") >= 0, F.coalesce(F.get(table, F.col(f"gamma_{f}")), F.lit(1.0))).otherwise(F.lit(1.0))
     return total
 
 
@@ -154,63 +198,25 @@ def em_rows(step, m):
     return step.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def _step_on_spark(patterns, fields):
-    """Parameters after a step, from one aggregation; only that row reaches the driver."""
-    def step(m, u, prior):
-        row = em_step(patterns, m, u, prior).first()
-        return {f: {g: row[f"m_{f}_{g}"] for g in m[f]} for f in fields}, row["prior"]
-    return step
-
-
-def _step_on_driver(patterns, fields):
-    """The same step on a pattern table that the model bounds to a few rows."""
-    rows = patterns.collect()
-    n = np.array([float(r["n"]) for r in rows])
-    seen = {f: np.array([r[f"gamma_{f}"] for r in rows]) for f in fields}
-
-    def likelihood(params):
-        total = np.ones(len(n))
-        for f in fields:
-            for g, p in params[f].items():
-                total[seen[f] == g] *= max(p, FLOOR)
-        return total
-
-    def step(m, u, prior):
-        match, other = prior * likelihood(m), (1.0 - prior) * likelihood(u)
-        expected = n * match / (match + other)
-        new = {f: {g: _share(expected, seen[f] == g, seen[f] >= 0) for g in m[f]} for f in fields}
-        return new, (expected.sum() / n.sum() if n.sum() else None)
-    return step
-
-
-def _share(expected, hit, known):
-    whole = expected[known].sum()
-    return float(expected[hit].sum() / whole) if hit.any() and whole else None
-
-
-def em_train(patterns, m, u, prior, max_iterations=MAX_ITERATIONS, convergence=EM_CONVERGENCE, driver_patterns=DRIVER_PATTERNS):
-    """Iterate over the pattern table. The model bounds its size to the product of its level counts;
-    up to `driver_patterns` it is iterated in memory, beyond that every round is an aggregation.
-    A level that no pair shows keeps its starting value."""
+def em_train(patterns, m, u, prior, max_iterations=MAX_ITERATIONS, convergence=EM_CONVERGENCE):
+    """Iterate over the pattern table, which the model bounds to the product of its level counts. Every round is one
+    aggregation, of which one row of parameters reaches the driver. A level that no pair shows keeps its starting value."""
     fields = list(m)
-    bound = 1
-    for f in fields:
-        bound *= len(m[f]) + 1
     patterns = materialise(patterns)
-    step = (_step_on_driver if bound <= driver_patterns else _step_on_spark)(patterns, fields)
     m, unseen = copy.deepcopy(m), set()
     for _ in range(max_iterations):
-        new, found = step(m, u, prior)
+        row = em_step(patterns, m, u, prior).first()
         change = 0.0
         for f in fields:
-            for g, value in new[f].items():
+            for g in m[f]:
+                value = row[f"m_{f}_{g}"]
                 if value is None:
                     unseen.add((f, g))
                     continue
                 value = max(value, FLOOR)
                 change = max(change, abs(value - m[f][g]))
                 m[f][g] = value
-        prior = min(max(found or FLOOR, FLOOR), 1.0 - FLOOR)
+        prior = min(max(row["prior"] or FLOOR, FLOOR), 1.0 - FLOOR)
         if change < convergence:
             break
     return m, prior, unseen
@@ -236,9 +242,8 @@ def train(a, comparisons, toggles=None, b=None, hyperparams=None, seed=42):
     if not usable:
         raise ValueError("Could not train: none of the fields " + ", ".join(candidates) + " is shared by two records.")
     prior = estimate_prior(a, [usable[0]], hp.get("recall_estimate", RECALL), b).first()["prior"]
-    u = {f: {g: FLOOR for g in starting_m(c)} for f, c in zip(fields, comparisons)}
-    for row in estimate_u(a, comparisons, b, seed=seed).collect():   # one row per level of the model
-        u[row["field"]][row["gamma"]] = max(row["u_prob"], FLOOR)
+    levels = u_of_levels(a, comparisons, b, hp.get("u_sample_pairs", U_SAMPLE_PAIRS), seed, hp.get("u_sample_records", U_SAMPLE_RECORDS))
+    u = {f: {g: max(value, FLOOR) for g, (value, _) in known.items()} for f, known in levels.items()}
     sessions = []
     for held_out in usable[:2]:
         trained = [c for c in comparisons if c["output_column_name"] != held_out]
@@ -258,4 +263,5 @@ def train(a, comparisons, toggles=None, b=None, hyperparams=None, seed=42):
             if g >= 0:
                 level["m_probability"] = merged.get(f, start).get(g, start[g])
                 level["u_probability"] = u[f][g]
+                level["u_observed"] = levels[f][g][1]
     return prior, filled

@@ -47,3 +47,14 @@ def materialise(df):
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df):
+    """Delete the files of a table written by `materialise`; nothing outside the shared folder is touched."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.getCheckpointDir()
+    jvm = spark.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if shared and folder.split(":", 1)[-1].lstrip("/").startswith(shared.split(":", 1)[-1].lstrip("/") + "/table-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
