@@ -176,13 +176,33 @@ def em_single_step(spark, sf_dir):
     return training.em_rows(step, m).select("field", "gamma", rounded(F.col("m_prob"), 9).alias("m_prob"))
 
 
-@query("em_train")
+ROUNDS = 3
+
+
+def q_em_rounds():
+    """Each round reads the values of the round before; a level that no pair shows keeps its start."""
+    m, u = start_values()
+    other = _q_likelihood(u)
+    parts = [f"prior0 AS (SELECT {x.PRIOR}::DOUBLE AS prior)",
+             "m0(field, gamma, m_prob, seen) AS (VALUES " + ", ".join(f"('{f}', {g}::INT, {p!r}::DOUBLE, true)" for f in m for g, p in m[f].items()) + ")"]
+    for k in range(ROUNDS):
+        match = " * ".join("CASE gamma_{} {} ELSE 1.0::DOUBLE END".format(f, " ".join(
+            f"WHEN {g} THEN (SELECT m_prob FROM m{k} WHERE field = '{f}' AND gamma = {g})" for g in m[f])) for f in EM_FIELDS)
+        parts += [f"e{k + 1} AS MATERIALIZED (SELECT patterns.*, prior * {match} AS yes, (1 - prior) * {other} AS no FROM patterns, prior{k})",
+                  f"prior{k + 1} AS (SELECT sum(n * (yes / (yes + no))) / sum(n) AS prior FROM e{k + 1})",
+                  f"m{k + 1} AS MATERIALIZED (SELECT field, gamma, greatest(coalesce(v, old), 1e-10) AS m_prob, v IS NOT NULL AS seen FROM (" + " UNION ALL ".join(
+                      f"""SELECT '{f}' AS field, {g}::INT AS gamma, (SELECT sum(CASE WHEN gamma_{f} = {g} THEN n * (yes / (yes + no)) END) / sum(CASE WHEN gamma_{f} >= 0 THEN n * (yes / (yes + no)) END) FROM e{k + 1}) AS v,
+  (SELECT m_prob FROM m{k} WHERE field = '{f}' AND gamma = {g}) AS old""" for f in EM_FIELDS for g in m[f]) + "))"]
+    return ", ".join(parts)
+
+
+@query("em_train", q_with(x.PART, Q_PATTERNS, q_em_rounds()) + f"SELECT field, gamma, {q_round('m_prob', 7)} AS m_prob, seen FROM m{ROUNDS}")
 def em_train(spark, sf_dir):
-    """All rounds; checked by properties in the tests."""
+    """Three rounds of EM over the pattern table."""
     m, u = start_values()
-    trained, prior, unseen = training.em_train(em_pattern_counts(spark, sf_dir), m, u, x.PRIOR)
+    trained, _, unseen = training.em_train(em_pattern_counts(spark, sf_dir), m, u, x.PRIOR, ROUNDS, 0.0)
     rows = [(f, g, float(p), (f, g) not in unseen) for f in trained for g, p in trained[f].items()]
-    return spark.createDataFrame(rows, "field string, gamma int, m_prob double, seen boolean")
+    return spark.createDataFrame(rows, "field string, gamma int, m_prob double, seen boolean").withColumn("m_prob", rounded(F.col("m_prob"), 7))
 
 
 # ---- the model as tables: u from random pairs and m from one EM step over the records ------------------------------------------
@@ -243,9 +263,25 @@ def parameter_estimates(spark, sf_dir):
     return reports.parameter_estimates(spark, estimated_model(spark, sf_dir)).withColumn("log_odds", rounded(F.col("log_odds"), 6))
 
 
-@query("model_levels", q_with(Q_MODEL) + "SELECT field, level, label, condition, is_null FROM params")
+@query("model_levels", q_with(Q_MODEL) + "SELECT field, level::INT AS level, condition, m_prob, u_prob FROM params")
 def model_levels(spark, sf_dir):
-    return reports.comparison_levels(spark, estimated_model(spark, sf_dir))
+    """The levels of a written document, with the values estimated from the records."""
+    path = shared_path(spark, "levels")
+    models.write_model(spark, estimated_model(spark, sf_dir), path)
+    return models.levels_of(spark, path)
+
+
+@query("score_from_params", q_with(x.RUN1) + f"SELECT {IDS}, match_key, match_weight FROM run1")
+def score_from_params(spark, sf_dir):
+    """An untrained model is given m and u as rows, written, read back and replayed."""
+    model = x.part_model()
+    rows = scoring.model_params(spark, model).collect()     # one row per level
+    bare = {**model, "comparisons": [{**c, "comparison_levels": [{k: v for k, v in level.items() if k not in ("m_probability", "u_probability")}
+                                                                for level in c["comparison_levels"]]} for c in model["comparisons"]]}
+    path = shared_path(spark, "params")
+    models.write_model(spark, models.stored(models.with_params(bare, rows)), path)
+    run = Linker.from_model(x.part_records(spark, sf_dir), models.read_model(spark, path))
+    return x.score_columns(run.predict()).select(*IDS.split(", "), "match_key", "match_weight")
 
 
 # ---- whole runs ----------------------------------------------------------------------------------------------------------------

@@ -454,3 +454,81 @@ def test_a_third_of_all_records_in_one_block(spark):
     links = blocking.deterministic_links(rows, [["name"]], ["name", "city"])
     sizes = components.cluster_records(rows, links, hot_node=1000).groupBy("cluster_id").count().agg(F.max("count"), F.sum("count")).first()
     assert tuple(sizes) == (hot, n)
+
+
+# ---- keys of unlike types, repeated ids, stored rules, made-up ids ---------------------------------------------------------------
+
+@pytest.mark.parametrize("one,other", [("int", "bigint"), ("bigint", "double"), ("int", "string"), ("date", "string"), ("string", "string")])
+def test_pairs_counts_and_links_agree_over_types(spark, one, other):
+    make = lambda ids, source, kind: spark.createDataFrame([(str(i), source, v) for i, v in ids], "unique_id string, source_dataset string, v int").withColumn(
+        "key", (F.date_add(F.lit("2020-01-01").cast("date"), F.col("v")) if "date" in (one, other) else F.col("v")).cast(kind)).drop("v")
+    a, b = make([(1, 1), (2, 2), (3, None), (4, 1)], "A", one), make([(5, 1), (6, 2), (7, 9), (8, None)], "B", other)
+    assert pair_set(blocking.candidate_pairs(a, [["key"]], [], b)) == {("1", "5"), ("4", "5"), ("2", "6")}
+    assert blocking.candidate_count(a, [["key"]], b).first()["n_pairs"] == 3
+    assert blocking.deterministic_pairs(a, [["key"]], ["key"], b).count() == 3
+    links = blocking.deterministic_links(a, [["key"]], ["key"], b)
+    sizes = components.cluster_records(blocking.both_tables(a, b), links).groupBy("cluster_id").count().collect()
+    assert sorted(r["count"] for r in sizes) == [1, 1, 1, 2, 3]
+
+
+def test_repeated_ids_are_no_pairs(spark):
+    df = table(spark, [("1", "x", "k"), ("1", "x", "k"), ("2", "x", "m"), ("2", "y", "k"), ("3", "y", None)], ["name", "city"])
+    for rules in ([["name"]], [["name"], ["city"]], [["name", "city"]]):
+        pairs = blocking.candidate_pairs(df, rules, []).count()
+        assert blocking.candidate_count(df, rules).first()["n_pairs"] == pairs
+    truth_rows = df.withColumn("cluster", F.lit("c")).limit(3)
+    assert blocking.truth_pair_count(truth_rows).first()["n_gt_edges"] == blocking.truth_pairs(truth_rows).count() == 2
+
+
+def test_stored_rules_are_read_as_written():
+    read = models.read_rule
+    assert read('l."a" = r."a"') == (["`a`"], None)
+    assert read("(l.a = r.a) AND (r.b = l.b)") == (["`a`", "`b`"], None)
+    assert read('SUBSTR(l."a",1,2) = SUBSTR(r."a",1,2) and l.c <> r.c') == (["SUBSTR(`a`,1,2)"], "(`c_l` <> `c_r`)")
+    assert read("l.a = r.a AND (l.b = r.b OR l.c = r.c)") == (["`a`"], "((`b_l` = `b_r` OR `c_l` = `c_r`))") or read(
+        "l.a = r.a AND (l.b = r.b OR l.c = r.c)")[1].count("OR") == 1
+    assert read("l.a = r.a AND l.note <> 'x AND y'")[1] == "(`note_l` <> 'x AND y')"
+    for bad in ("l.a < r.a", "l.a = r.b", "l.a = r.a OR l.b = r.b", "1 = 1"):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_second_table_is_suffixed_as_a_whole(spark):
+    ids = lambda values: spark.createDataFrame([(v,) for v in values], "unique_id string")
+    from kinsift.operators import cleaning
+
+    suffixed = lambda values: sorted(r[0] for r in cleaning.suffix_ids(ids(values)).collect())
+    assert suffixed(["5", "5_B"]) == ["5_B", "5_B_B"] and suffixed(["5_B", "6_B"]) == ["5_B", "6_B"] and suffixed([]) == []
+
+
+def test_made_up_ids_hold_through_a_run_and_its_tables_go(spark):
+    import os
+
+    rows = spark.range(400).selectExpr("concat('n', id % 150) AS name", "concat('c', id % 7) AS city").repartition(5).distinct()
+    run = Linker(rows, LinkConfig(["name", "city"], {"name": True}, linkage_type="deterministic"))
+    export = {r["unique_id"]: r["name"] for r in run.export().collect()}
+    assert len(export) == rows.count()
+    for pair in run.predict().collect():
+        assert export[pair["unique_id_l"]] == pair["name_l"] and export[pair["unique_id_r"]] == pair["name_r"]
+    folders = {f.split(":", 1)[-1].rsplit("/", 1)[0] for df in run._written for f in df.inputFiles()}
+    assert folders and all(os.path.isdir(f) for f in folders)
+    run.close()
+    assert not any(os.path.isdir(f) for f in folders)
+
+
+def test_a_rare_equality_gets_its_counted_u(spark):
+    df = spark.range(3000).selectExpr("cast(id as string) AS unique_id", "'A' AS source_dataset", "concat('e', id div 2) AS email")
+    comparisons = build_comparisons(["email"])
+    u = training.u_of_levels(df, comparisons, target=2000, sample=200)["email"]
+    assert abs(u[1][0] - 1500 / (3000 * 2999 / 2)) < 1e-12 and u[1][1] and abs(sum(v for v, _ in u.values()) - 1) < 1e-9
+
+
+def test_sharper_keys_stay_few(spark):
+    model = {"probability_two_random_records_match": 1e-8, "comparisons": build_comparisons([f"f{i}" for i in range(12)])}
+    for c in model["comparisons"]:
+        for level in c["comparison_levels"]:
+            if not level["is_null_level"]:
+                top = "=" in level["sql_condition"]
+                level["m_probability"], level["u_probability"] = (0.9, 0.05) if top else (0.1, 0.95)
+    rules = [[f"f{i}"] for i in range(5)]
+    assert len(scoring.reachable_rules(model, rules, -5.0)) <= scoring.KEYS_PER_RULE * len(rules)
