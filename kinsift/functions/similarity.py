@@ -1,7 +1,7 @@
 """String similarities Spark has no built-in for, as Arrow UDFs.
 
-Each batch is reduced to its distinct value pairs first; Jaro works on whole arrays of code
-points, one column position at a time.
+Each batch is reduced to its distinct unequal value pairs first. Pairs are then taken in groups of like length and worked on
+as whole arrays of code points, so a stray long text costs its own length and no other pair's; very long ones go one by one.
 """
 import sys
 
@@ -29,6 +29,56 @@ def _code_points(values):
     return text.astype(f"<U{width}").view(np.uint32).reshape(len(text), width), np.char.str_len(text)
 
 
+#: Characters beyond which a pair is worked on alone, and cells of a group that are held at once.
+LONG, CELLS = 64, 2_000_000
+
+
+def jaro_of_long(a, b):
+    """Jaro of one pair in time linear in its length: the window only moves right, so a passed place never comes back."""
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    places = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    following = dict.fromkeys(places, 0)
+    of_a, used = [], []
+    for i, x in enumerate(a):
+        own = places.get(x)
+        if own is None:
+            continue
+        k = following[x]
+        while k < len(own) and own[k] < i - reach:
+            k += 1
+        if k < len(own) and own[k] <= i + reach:
+            of_a.append(x)
+            used.append(own[k])
+            k += 1
+        following[x] = k
+    hits = len(used)
+    if not hits:
+        return 0.0
+    swaps = sum(x != b[j] for x, j in zip(of_a, sorted(used))) // 2
+    return (hits / len(a) + hits / len(b) + (hits - swaps) / hits) / 3.0
+
+
+def by_length(function, single=None):
+    """`function` over groups of pairs of like length, each of bounded size; `single` takes pairs with a long value."""
+    def run(left, right):
+        out = np.zeros(len(left))
+        sizes = np.fromiter((max(len(a), len(b), 1) for a, b in zip(left, right)), dtype=np.int64, count=len(left))
+        groups = np.ceil(np.log2(sizes)).astype(np.int64)
+        for g in np.unique(groups):
+            at = np.flatnonzero(groups == g)
+            if single is not None and 2 ** g > LONG:
+                out[at] = [single(left[i], right[i]) for i in at]
+                continue
+            step = max(1, CELLS // (4 ** int(g)))
+            for k in range(0, len(at), step):
+                some = at[k:k + step]
+                out[some] = function(left[some], right[some])
+        return out
+    return run
+
+
 def jaro_array(left, right):
     a, len_a = _code_points(left)
     b, len_b = _code_points(right)
@@ -55,39 +105,37 @@ def jaro_array(left, right):
     return np.where(hits == 0, 0.0, score)
 
 
-def jaro_winkler_array(left, right):
-    base = jaro_array(left, right)
-    a, len_a = _code_points(left)
-    b, len_b = _code_points(right)
-    width = min(4, a.shape[1], b.shape[1])
-    same = (a[:, :width] == b[:, :width]) & (np.arange(width)[None, :] < np.minimum(len_a, len_b)[:, None])
-    prefix = np.cumprod(same, axis=1).sum(axis=1)
+def _winkler(base, left, right):
+    prefix = np.fromiter((next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+                          for a, b in zip(left, right)), dtype=np.int64, count=len(left))
     return np.where(base > 0.7, base + 0.1 * prefix * (1.0 - base), base)
 
 
-def damerau_distance(a, b):
-    """Edit distance with insertions, deletions, substitutions and (unrestricted) transpositions."""
-    far = len(a) + len(b)
-    grid = np.full((len(a) + 2, len(b) + 2), far, dtype=int)
-    grid[1:, 1] = np.arange(len(a) + 1)
-    grid[1, 1:] = np.arange(len(b) + 1)
-    last_row = {}
-    for i, x in enumerate(a, 1):
-        last_col = 0
-        for j, y in enumerate(b, 1):
-            row, col = last_row.get(y, 0), last_col
-            cost = 0 if x == y else 1
-            if cost == 0:
-                last_col = j
-            grid[i + 1, j + 1] = min(
-                grid[i, j] + cost, grid[i + 1, j] + 1, grid[i, j + 1] + 1,
-                grid[row, col] + (i - row - 1) + 1 + (j - col - 1))
-        last_row[x] = i
-    return int(grid[-1, -1])
+def jaro_winkler_array(left, right):
+    return _winkler(jaro_array(left, right), left, right)
 
 
-def _damerau_array(left, right):
-    return np.array([damerau_distance(a, b) for a, b in zip(left, right)], dtype=float)
+def damerau_array(left, right):
+    """Edit distance with insertions, deletions, substitutions and (unrestricted) transpositions, of many pairs at once: one
+    step for each cell of the table, over all pairs."""
+    a, len_a = _code_points(left)
+    b, len_b = _code_points(right)
+    rows = np.arange(len(a))
+    grid = np.zeros((a.shape[1] + 2, b.shape[1] + 2, len(a)), dtype=np.int32)
+    grid[0, :], grid[:, 0] = (far := a.shape[1] + b.shape[1]), far
+    grid[1:, 1] = np.arange(a.shape[1] + 1)[:, None]
+    grid[1, 1:] = np.arange(b.shape[1] + 1)[:, None]
+    last_row = np.zeros((b.shape[1], len(a)), dtype=np.int64)  # by place of b: the last row before this one with its character
+    for i in range(1, a.shape[1] + 1):
+        last_col = np.zeros(len(a), dtype=np.int64)
+        for j in range(1, b.shape[1] + 1):
+            same = a[:, i - 1] == b[:, j - 1]
+            row = last_row[j - 1]
+            swapped = grid[row, last_col, rows] + (i - row - 1) + 1 + (j - last_col - 1)
+            grid[i + 1, j + 1] = np.minimum(np.minimum(grid[i, j] + ~same, swapped), np.minimum(grid[i + 1, j], grid[i, j + 1]) + 1)
+            last_col[same] = j
+        last_row[(b == a[:, i - 1:i]).T] = i
+    return grid[len_a + 1, len_b + 1, rows].astype(float)
 
 
 def _batched(function, left, right, equal):
@@ -103,15 +151,15 @@ def _batched(function, left, right, equal):
 
 
 def _jaro(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batched(jaro_array, left, right, 1.0)
+    return _batched(by_length(jaro_array, jaro_of_long), left, right, 1.0)
 
 
 def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batched(jaro_winkler_array, left, right, 1.0)
+    return _batched(by_length(jaro_winkler_array, lambda a, b: float(_winkler(np.array([jaro_of_long(a, b)]), [a], [b])[0])), left, right, 1.0)
 
 
 def _damerau(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batched(_damerau_array, left, right, 0.0).astype("Int32")
+    return _batched(by_length(damerau_array), left, right, 0.0).astype("Int32")
 
 
 # Declared nondeterministic so that the optimizer evaluates each call once, in its own column, instead

@@ -62,23 +62,34 @@ def rates(counts):
         rounded(F.col("_s"), 4).alias("fstar"))
 
 
+def _strip(probability):
+    """Strip of a sixteenth of a bit of match weight that a probability falls in: at most 2050 strips, in order; null is lowest."""
+    odds = F.log2(probability / (1 - probability))
+    inside = F.greatest(F.lit(-1024), F.least(F.lit(1024), F.floor(odds * 16)))
+    return (F.when(probability.isNull(), -2000).when(probability >= 1, 1024).when(probability <= 0, -1024).otherwise(inside)).cast("int")
+
+
 def truth_space(pairs, records, link=False, strict=False):
     """Counts and rates at every distinct probability, highest first.
 
     fn counts true pairs predicted at lower probabilities; `strict` adds the true pairs never
-    predicted. Unpredicted truth shows up as one last row without a probability. The window runs
-    over one row per distinct probability, never over pairs.
+    predicted. Unpredicted truth shows up as one last row without a probability. Running totals are
+    taken inside strips of probability, on top of the totals of higher strips; the only window
+    without a partition runs over the strips.
     """
     grouped = label_predictions(pairs, records).groupBy("match_probability").agg(
         F.count_if("is_true_match").alias("tp1"), F.count_if(~F.col("is_true_match")).alias("fp1"))
     rest = pairs.sparkSession.createDataFrame([(None, 0, 0)], "match_probability double, tp1 long, fp1 long")
-    grouped = grouped.unionByName(rest).groupBy("match_probability").agg(F.sum("tp1").alias("tp1"), F.sum("fp1").alias("fp1"))
-    high_first = Window.orderBy(F.col("match_probability").desc_nulls_last())
-    up = high_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = high_first.rowsBetween(1, Window.unboundedFollowing)
-    table = grouped.select(
-        "match_probability", F.sum("tp1").over(up).alias("tp"), F.sum("fp1").over(up).alias("fp"),
-        F.coalesce(F.sum("tp1").over(down), F.lit(0)).alias("fn"), F.sum("tp1").over(Window.partitionBy()).alias("tp_all"), (F.col("tp1") + F.col("fp1")).alias("n"))
+    grouped = (grouped.unionByName(rest).groupBy("match_probability").agg(F.sum("tp1").alias("tp1"), F.sum("fp1").alias("fp1"))
+               .withColumn("_strip", _strip(F.col("match_probability"))))
+    strips = grouped.groupBy("_strip").agg(F.sum("tp1").alias("_tp"), F.sum("fp1").alias("_fp"))
+    higher = Window.orderBy(F.desc("_strip")).rowsBetween(Window.unboundedPreceding, -1)
+    strips = strips.select("_strip", F.coalesce(F.sum("_tp").over(higher), F.lit(0)).alias("_tp"),
+                           F.coalesce(F.sum("_fp").over(higher), F.lit(0)).alias("_fp"), F.sum("_tp").over(Window.partitionBy()).alias("tp_all"))
+    inside = Window.partitionBy("_strip").orderBy(F.desc("match_probability")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    table = grouped.join(F.broadcast(strips), "_strip").select(
+        "match_probability", (F.col("_tp") + F.sum("tp1").over(inside)).alias("tp"), (F.col("_fp") + F.sum("fp1").over(inside)).alias("fp"),
+        "tp_all", (F.col("tp1") + F.col("fp1")).alias("n")).withColumn("fn", F.col("tp_all") - F.col("tp"))
     table = _with_truth_count(table, records, link).withColumn("missed", F.col("n_gt_edges") - F.col("tp_all"))
     if strict:
         table = table.where("match_probability is not null").withColumn("fn", F.col("fn") + F.col("missed"))

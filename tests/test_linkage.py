@@ -532,3 +532,36 @@ def test_sharper_keys_stay_few(spark):
                 level["m_probability"], level["u_probability"] = (0.9, 0.05) if top else (0.1, 0.95)
     rules = [[f"f{i}"] for i in range(5)]
     assert len(scoring.reachable_rules(model, rules, -5.0)) <= scoring.KEYS_PER_RULE * len(rules)
+
+
+def test_similarities_of_long_values_and_plain_damerau():
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    def plain(a, b):
+        """Distance by table, one cell at a time."""
+        far, seen = len(a) + len(b), {}
+        grid = {(-1, -1): far, **{(i, -1): far for i in range(len(a) + 1)}, **{(-1, j): far for j in range(len(b) + 1)},
+                **{(i, 0): i for i in range(len(a) + 1)}, **{(0, j): j for j in range(len(b) + 1)}}
+        for i in range(1, len(a) + 1):
+            col = 0
+            for j in range(1, len(b) + 1):
+                row, before = seen.get(b[j - 1], 0), col
+                if a[i - 1] == b[j - 1]:
+                    col = j
+                grid[i, j] = min(grid[i - 1, j - 1] + (a[i - 1] != b[j - 1]), grid[i, j - 1] + 1, grid[i - 1, j] + 1,
+                                 grid[row - 1, before - 1] + i - row + j - before - 1)
+            seen[a[i - 1]] = i
+        return grid[len(a), len(b)]
+
+    rng = random.Random(3)
+    left, right = (["".join(rng.choices("abcé", k=rng.randint(0, 11))) for _ in range(400)] for _ in range(2))
+    got = similarity._damerau(pd.Series(left), pd.Series(right))
+    assert [int(x) for x in got] == [plain(a, b) for a, b in zip(left, right)]
+    some = [(a, b) for a, b in zip(left, right) if a and b]
+    fast = similarity.jaro_array(*(np.array(x, dtype=object) for x in zip(*some)))
+    assert np.allclose(fast, [similarity.jaro_of_long(a, b) for a, b in some])
+    far = similarity._jaro_winkler(pd.Series(["x" * 10_000, "ab"]), pd.Series(["xy" * 5_000, "ab"]))
+    assert abs(far[0] - 2 / 3) < 1e-9 and far[1] == 1.0
