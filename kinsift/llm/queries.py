@@ -55,16 +55,20 @@ def op3(spark, sf_dir):
                FROM documents),
     k AS (SELECT *, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
                  len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 10 AS long FROM u),
-    r AS (SELECT *, long AND row_number() OVER (PARTITION BY norm, long ORDER BY doc_id NULLS LAST, unit) > 1 AS gone FROM k)
-    SELECT doc_id, count(*)::INT AS n_units, count(*) FILTER (gone) AS n_removed,
-           md5(coalesce(string_agg(body, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS text_digest
-    FROM r GROUP BY doc_id""")
+    r AS (SELECT *, long AND row_number() OVER (PARTITION BY norm, long ORDER BY doc_id NULLS LAST, unit) > 1 AS gone,
+                 coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS opens FROM k)
+    SELECT doc_id, count(*)::INT AS n_units, count(*) FILTER (gone)::INT AS n_removed,
+           string_agg(opens || '-' || (opens + length(body)), ',' ORDER BY unit) FILTER (gone) AS removed_spans,
+           coalesce(string_agg(body, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text
+    FROM r GROUP BY doc_id HAVING count(*) FILTER (gone) > 0""")
 def op4(spark, sf_dir):
-    """Every document with the lines that an earlier document (or line) has already taken out."""
+    """Every document that repeats a line of an earlier document (or its own): the text without those lines, and where they
+    stood, in code points of the original. Documents that are not in the result stay as they are."""
     from kinsift.llm.line_dedup import dedup_units
 
-    out = dedup_units(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_digest"))
+    out = dedup_units(common.table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("removed") > 0)
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
+    return out.select("doc_id", "n_units", F.size("removed").alias("n_removed"), spans.alias("removed_spans"), "text")
 
 
 @query("op5_benchmark_decontamination", f"""
