@@ -152,7 +152,7 @@ def stable_unique_id(spark, sf_dir):
 
 @query("assign_ground_truth", f"""WITH src AS (SELECT c_custkey::VARCHAR AS id FROM customer)
 SELECT id AS unique_id, id AS cluster, 'A' AS source_dataset FROM src
-UNION ALL SELECT id || '_B', id, 'B' FROM src""")
+UNION ALL SELECT id || CASE WHEN {x.q_hit(0.5, 'marked', 'id')} THEN '_B_B' ELSE '_B' END, id, 'B' FROM src""")
 def assign_ground_truth(spark, sf_dir):
     ids = x.load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("unique_id"))
     marked = F.when(x.hit(0.5, "marked", F.col("unique_id")), F.concat("unique_id", F.lit("_B"))).otherwise(F.col("unique_id"))
