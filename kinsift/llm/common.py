@@ -1,6 +1,10 @@
 """Expressions and readers shared by the operators of this folder."""
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
+from kinsift.session import materialise
+
 #: Fixed by the contract of the queries: what separates words, and what a word is.
 SPACE_CHARS = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +34,28 @@ def row_key(*columns):
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]))
 
 
+#: Rows of a table of keys (some 32 bytes each) up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def keys(df):
+    """A stored table of keys, marked for broadcast if it is counted to be small."""
+    stored = materialise(df)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_KEYS else stored
+
+
+@contextmanager
+def arrow_rows(spark, rows):
+    """While jobs run inside, Arrow batches hold at most so many rows: whole texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value, body):
     """body(value) with the value computed once: inside nested lambdas Spark evaluates an outer expression anew for
     every element, but not what an enclosing lambda has bound."""

@@ -7,7 +7,7 @@ document is. Candidates are verified by exact containment of the item's shingle
 """
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import let, lower_ascii, row_key, words
+from kinsift.llm.common import keys, let, lower_ascii, row_key, words
 from kinsift.session import materialise
 
 #: Places of the bounded filter that document shingles pass before they are exploded; one byte each, 64 KB in the plan.
@@ -51,21 +51,19 @@ def contained_items(documents, items, threshold=0.75, n=5, doc_id="doc_id", item
     wanted = materialise(items.select(F.col(item_id).alias("item_id"), row_key(item_id, text).alias("item_key"), shingles(F.col(text), n).alias("shingles")))
     unique = wanted.select("item_key", "shingles").dropDuplicates(["item_key"])
     sketch = materialise(sketches(unique, threshold))
-    places = [r[0] for r in sketch.select(F.pmod("hash", F.lit(FILTER_PLACES)).cast("int")).distinct().collect()]
+    every = materialise(unique.select("item_key", F.size("shingles").alias("n_item"), F.explode("shingles").alias("hash")))
+    hashes = materialise(every.select("hash").distinct())
     marks = bytearray(FILTER_PLACES)
-    for p in places:
-        marks[p] = 1
+    for row in hashes.select(F.pmod("hash", F.lit(FILTER_PLACES)).cast("int")).distinct().collect():
+        marks[row[0]] = 1
     passes = F.lit(bytes(marks))
     body = documents.select(F.md5(F.col(text)).alias("text_key"), F.col(text).alias("text")).where("text IS NOT NULL")
     near = F.filter(shingles(F.col("text"), n), lambda h: F.substr(passes, F.pmod(h, F.lit(FILTER_PLACES)).cast("int") + F.lit(1), F.lit(1)) == F.lit(b"\x01"))
-    asked = body.select("text_key", F.explode(near).alias("hash"))
-    met = (asked.join(sketch, "hash").groupBy("text_key", "item_key")
-           .agg(F.countDistinct("hash").alias("met"), F.first("needed").alias("needed")).where("met >= needed"))
-    pairs = materialise(met.select("text_key", "item_key"))
-    held = (body.join(pairs.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-            .select("text_key", shingles(F.col("text"), n).alias("has")))
-    exact = (pairs.join(held, "text_key").join(unique, "item_key")
-             .select("text_key", "item_key", F.size(F.array_intersect("has", "shingles")).alias("n_shared"), F.size("shingles").alias("n_item"))
+    held = materialise(body.select("text_key", F.explode(near).alias("hash")).join(hashes, "hash").distinct())
+    met = (held.join(sketch, "hash").groupBy("text_key", "item_key")
+           .agg(F.count(F.lit(1)).alias("met"), F.first("needed").alias("needed")).where("met >= needed"))
+    exact = (held.join(every, "hash").join(met.select("text_key", "item_key"), ["text_key", "item_key"])
+             .groupBy("text_key", "item_key").agg(F.count(F.lit(1)).cast("int").alias("n_shared"), F.first("n_item").alias("n_item"))
              .where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)))
     found = materialise(exact)
     named = documents.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key")).join(found, "text_key")
@@ -77,4 +75,4 @@ def without_contaminated(documents, items, threshold=0.75, n=5, text="text"):
     """The rows of `documents` that contain no item, with all their columns; null and empty texts stay."""
     found = contained_items(documents.select(F.md5(F.col(text)).alias("doc_id"), F.col(text).alias("text")),
                             items, threshold, n).select(F.col("doc_id").alias("bad_text")).distinct()
-    return documents.join(found, F.md5(F.col(text)) == F.col("bad_text"), "left_anti")
+    return documents.join(keys(found), F.md5(F.col(text)) == F.col("bad_text"), "left_anti")
