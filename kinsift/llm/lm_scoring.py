@@ -19,12 +19,16 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinsift.llm.arrays import BASE, mix, pieces, word_hashes
+from kinsift.llm.common import arrow_rows
 from kinsift.session import materialise
 
-#: Words that every task knows (16 MB), pairs that every task knows (1 MB), tokens that a block holds on average.
-HOT, HEAVY, BLOCK_TOKENS = 1 << 20, 1 << 16, 4_000_000
-#: Text bytes whose pairs a task folds at once.
-FOLD_BYTES = 6_000_000
+#: Words that every task knows (12 MB), pairs that every task knows (1 MB), tokens that a block holds on average.
+HOT, HEAVY, BLOCK_TOKENS = 1 << 19, 1 << 16, 1_000_000
+#: Text bytes whose pairs a task folds at once. With more memory than the 3 GB that this was measured in, raise both together: fewer,
+#: larger blocks and pieces mean fewer rows in the shuffle.
+FOLD_BYTES = 2_000_000
+#: Texts that a task takes from Spark at once.
+BATCH_ROWS = 1_000
 END = np.uint64(0x5851F42D4C957F2D)
 RARE = np.uint64(1 << 63)
 PER_OCTAVE, OCTAVES = 8, 40
@@ -400,6 +404,17 @@ def train(docs):
     return Model(words, weights, total, vocabulary, heavy["key"].to_numpy().view(np.uint64), heavy["n"].to_numpy()), counts
 
 
+def _run(docs):
+    """All jobs of a run: (model, word counts, rows that tasks scored, rows of the blocks)."""
+    model, counts = train(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    blocks = max(1, -(-model.total // BLOCK_TOKENS))
+    dealt = _deal_pairs(docs, sent, blocks)
+    own = materialise(_own_scores(dealt.where("block = -1")))
+    apart = materialise(_block_scores(dealt.where("block >= 0"), sent))
+    return model, counts, own, apart
+
+
 def score(documents, doc_id="doc_id", text="text"):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -410,12 +425,8 @@ def score(documents, doc_id="doc_id", text="text"):
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), _folds(F.col(doc_id)).cast("int").alias("fold"), F.col(text).alias("body"),
                             F.xxhash64(F.lit("a"), F.col(doc_id), F.col(text)).alias("key1"), F.xxhash64(F.lit("b"), F.col(text), F.col(doc_id)).alias("key2"))
-    model, counts = train(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    blocks = max(1, -(-model.total // BLOCK_TOKENS))
-    dealt = _deal_pairs(docs, sent, blocks)
-    own = materialise(_own_scores(dealt.where("block = -1")))
-    apart = materialise(_block_scores(dealt.where("block >= 0"), sent))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        model, counts, own, apart = _run(docs)
     c = F.coalesce("train", F.lit(0))
     rare = (apart.where("kind = 1").join(counts.select("word", "train"), "word", "left")
             .select("key1", "key2", F.log10((c + 1.0) / F.lit(float(model.total + model.vocabulary + 1))).alias("base"),
