@@ -15,6 +15,8 @@ How it runs:
    block receives the documents of a very frequent pair.
 6. Words that are not hot meet their counts by an equi-join.
 """
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ HOT, HEAVY, BLOCK_TOKENS = 1 << 19, 1 << 16, 1_000_000
 #: Text bytes whose pairs a task folds at once. With more memory than the 3 GB that this was measured in, raise both together: fewer,
 #: larger blocks and pieces mean fewer rows in the shuffle.
 FOLD_BYTES = 2_000_000
-#: Texts that a task takes from Spark at once.
+#: Texts that a task takes from Spark at once; under 65 536, so that a text's place in a piece has two bytes.
 BATCH_ROWS = 1_000
 END = np.uint64(0x5851F42D4C957F2D)
 RARE = np.uint64(1 << 63)
@@ -280,12 +282,29 @@ class Model:
         return np.log10(fixed + factor * word)
 
 
-_DEALT = ["block", "key1", "key2", "fold", "codes", "code_doc", "v", "w", "doc"]
-_SCORED = "kind int, key1 long, key2 long, word long, base double, score double, factor double, n_tokens long, n_known long"
+_DEALT = ["block", "piece", "place", "fold", "codes", "code_doc", "v", "w", "doc"]
+_OWN = "piece long, place long, key1 long, key2 long, base double, score double, n_tokens long, n_known long"
+_SCORED = "kind int, piece long, place long, word long, score double, factor double"
+
+
+def _names(schema):
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _small(values):
+    """Numbers under 65 536 as two byte planes."""
+    return values.astype(np.uint16).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _small_back(data):
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(2, -1).T).view(np.uint16).ravel().astype(np.int64)
 
 
 def _deal_pairs(docs, model, blocks):
-    """Pairs with their documents, packed by block; block -1 has what a task could score itself."""
+    """Pairs with their documents, packed by block; block -1 has what a task could score itself.
+
+    A document goes by its place in a piece, and a piece by a digest of its documents' keys, so that equal pieces stay equal
+    when a task runs again."""
     def run(batches):
         import pyarrow as pa
 
@@ -308,16 +327,16 @@ def _deal_pairs(docs, model, blocks):
                     got = m.score(m.heavy_n[place[done]], m.words.train[v[done].astype(np.int64)], m.words.train[w[done].astype(np.int64)])
                     score = np.bincount(doc[done], got, len(lengths))
                     v, w, doc, hot, code = v[~done], w[~done], doc[~done], hot[~done], code[~done]
-                out = [(-1, key1[rows].tobytes(), key2[rows].tobytes(), b"", base.tobytes(), score.tobytes(), lengths.astype(np.int64).tobytes(), known.tobytes(), b"")]
+                piece = hashlib.blake2b(key1[rows].tobytes() + key2[rows].tobytes(), digest_size=8).digest()
+                out = [(-1, piece, key1[rows].tobytes(), key2[rows].tobytes(), base.tobytes(), score.tobytes(), lengths.astype(np.int64).tobytes(), known.tobytes(), b"")]
                 block = _blocks_of(v, w, blocks)
                 for b, places in _split(block):
                     here, own = np.unique(doc[places], return_inverse=True)
-                    own = own.astype(np.uint32)
                     pair = hot[places]
                     order = np.argsort(code[places][pair], kind="stable")
                     rest = places[~pair]
-                    out.append((b, key1[rows][here].tobytes(), key2[rows][here].tobytes(), folds[rows][here].astype(np.uint8).tobytes(),
-                                _pack(code[places][pair][order]), own[pair][order].tobytes(), v[rest].tobytes(), w[rest].tobytes(), own[~pair].tobytes()))
+                    out.append((b, piece, _small(here), folds[rows][here].astype(np.uint8).tobytes(),
+                                _pack(code[places][pair][order]), _small(own[pair][order]), v[rest].tobytes(), w[rest].tobytes(), _small(own[~pair])))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=_DEALT)
 
@@ -331,14 +350,12 @@ def _own_scores(dealt):
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key1, key2, base, score, n, known = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=t) for c, t in (
-                    (1, np.int64), (2, np.int64), (4, np.float64), (5, np.float64), (6, np.int64), (7, np.int64)))
-                zero = np.zeros(len(n))
-                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(key1), pa.array(key2), pa.array(zero.astype(np.int64)),
-                                                  pa.array(base), pa.array(score), pa.array(zero), pa.array(n), pa.array(known)],
-                                                 names=[c.split()[0] for c in _SCORED.split(", ")])
+                piece, key1, key2, base, score, n, known = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=t) for c, t in (
+                    (1, np.int64), (2, np.int64), (3, np.int64), (4, np.float64), (5, np.float64), (6, np.int64), (7, np.int64)))
+                columns = [np.full(len(n), piece[0]), np.arange(len(n)), key1, key2, base, score, n, known]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(_OWN))
 
-    return dealt.mapInArrow(run, _SCORED)
+    return dealt.mapInArrow(run, _OWN)
 
 
 def _block_scores(dealt, model):
@@ -347,12 +364,14 @@ def _block_scores(dealt, model):
         import pyarrow as pa
 
         m = model.value
-        key1, key2, fold = _joined(table, "key1", np.int64), _joined(table, "key2", np.int64), _joined(table, "fold", np.uint8)
+        fold = _joined(table, "fold", np.uint8)
         sizes = [len(x) for x in table["fold"].to_pylist()]
+        piece = np.repeat(_joined(table, "piece", np.int64), sizes)
+        place = np.concatenate([_small_back(x) for x in table["place"].to_pylist()] or [np.empty(0, dtype=np.int64)])
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.empty(0, dtype=np.int64)
 
         def documents(name):
-            parts = [np.frombuffer(x, dtype=np.uint32).astype(np.int64) + o for x, o in zip(table[name].to_pylist(), offsets)]
+            parts = [_small_back(x) + o for x, o in zip(table[name].to_pylist(), offsets)]
             return np.concatenate(parts or [np.empty(0, dtype=np.int64)])
 
         codes = np.concatenate([_unpack(x) for x in table["codes"].to_pylist()] or [np.empty(0, dtype=np.uint64)])
@@ -360,7 +379,7 @@ def _block_scores(dealt, model):
         found, of, (pair,) = _sum_by(codes, fold[doc] != HELD_OUT)
         v, w = (found >> np.uint64(20)).astype(np.int64), (found & np.uint64((1 << 20) - 1)).astype(np.int64)
         value = m.score(pair, m.words.train[v], m.words.train[w]) if len(found) else np.empty(0)
-        score = np.bincount(doc, value[of], len(key1)) if len(doc) else np.zeros(len(key1))
+        score = np.bincount(doc, value[of], len(piece)) if len(doc) else np.zeros(len(piece))
 
         v, w, doc = _joined(table, "v", np.uint64), _joined(table, "w", np.uint64), documents("doc")
         rare = w >= RARE
@@ -373,14 +392,13 @@ def _block_scores(dealt, model):
             fixed, factor = m.parts(pair[of_pair], context)
             hot = ~rare
             got = np.log10(fixed[hot] + factor[hot] * m.words.train[w[hot].astype(np.int64)]) if hot.any() else np.empty(0)
-            score = score + np.bincount(doc[hot], got, len(key1)) if hot.any() else score
+            score = score + np.bincount(doc[hot], got, len(piece)) if hot.any() else score
             fixed, factor, doc, w = fixed[rare], factor[rare], doc[rare], w[rare]
-        n, k = len(key1), len(doc) if len(v) else 0
+        n, k = len(piece), len(doc) if len(v) else 0
         doc, w = (doc, w) if len(v) else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))
-        columns = [np.concatenate([np.zeros(n), np.ones(k)]).astype(np.int32), np.concatenate([key1, key1[doc]]), np.concatenate([key2, key2[doc]]),
-                   np.concatenate([np.zeros(n, dtype=np.int64), (w & ~RARE).view(np.int64)]), np.zeros(n + k), np.concatenate([score, fixed]),
-                   np.concatenate([np.zeros(n), factor]), np.zeros(n + k, dtype=np.int64), np.zeros(n + k, dtype=np.int64)]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _SCORED.split(", ")])
+        columns = [np.concatenate([np.zeros(n), np.ones(k)]).astype(np.int32), np.concatenate([piece, piece[doc]]), np.concatenate([place, place[doc]]),
+                   np.concatenate([np.zeros(n, dtype=np.int64), (w & ~RARE).view(np.int64)]), np.concatenate([score, fixed]), np.concatenate([np.zeros(n), factor])]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=_names(_SCORED))
 
     return dealt.groupBy("block").applyInArrow(run, _SCORED)
 
@@ -429,15 +447,18 @@ def score(documents, doc_id="doc_id", text="text"):
         model, counts, own, apart = _run(docs)
     c = F.coalesce("train", F.lit(0))
     rare = (apart.where("kind = 1").join(counts.select("word", "train"), "word", "left")
-            .select("key1", "key2", F.log10((c + 1.0) / F.lit(float(model.total + model.vocabulary + 1))).alias("base"),
-                    F.log10(F.col("score") + F.col("factor") * c).alias("score"), F.lit(0).cast("long").alias("n_tokens"), (c > 0).cast("long").alias("n_known")))
-    columns = ["key1", "key2", "base", "score", "n_tokens", "n_known"]
-    sums = (own.select(*columns, F.lit(1).alias("copies")).unionByName(apart.where("kind = 0").select(*columns, F.lit(0).alias("copies")))
-            .unionByName(rare.select(*columns, F.lit(0).alias("copies"))).groupBy("key1", "key2")
-            .agg(*[F.sum(x).alias(x) for x in (*columns[2:], "copies")]))
-    # Rows with the same id and text share a key; their sums come out that many times too large.
+            .select("piece", "place", F.log10((c + 1.0) / F.lit(float(model.total + model.vocabulary + 1))).alias("base"),
+                    F.log10(F.col("score") + F.col("factor") * c).alias("score"), (c > 0).cast("long").alias("n_known")))
+    parts = (own.withColumn("copies", F.lit(1)).unionByName(apart.where("kind = 0").select("piece", "place", "score"), allowMissingColumns=True)
+             .unionByName(rare, allowMissingColumns=True))
+    # Equal pieces share their places, so sums come out as many times too large as there are copies.
+    sums = parts.groupBy("piece", "place").agg(F.max("key1").alias("key1"), F.max("key2").alias("key2"), *[F.sum(x).alias(x) for x in (
+        "base", "score", "n_tokens", "n_known", "copies")])
     each = [(F.col(a) / F.col("copies")).cast(kind).alias(b) for a, b, kind in (
         ("n_tokens", "n_tokens", "long"), ("n_known", "n_known", "long"), ("base", "base_score", "double"), ("score", "score", "double"))]
-    return (docs.select("doc_id", "fold", "key1", "key2").join(sums.select("key1", "key2", *each), ["key1", "key2"])
+    # Rows with the same id and text share a key and, but for the order of summing, their sums.
+    named = sums.select("key1", "key2", *each)
+    named = named.groupBy("key1", "key2").agg(*[F.min(x).alias(x) for x in named.columns[2:]])
+    return (docs.select("doc_id", "fold", "key1", "key2").join(named, ["key1", "key2"])
             .select(F.col("doc_id").alias(doc_id), (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
                     F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"))
