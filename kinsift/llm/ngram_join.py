@@ -4,25 +4,30 @@ Documents with equal sets are one class. A set is ordered rare shingles first; t
 of their prefixes, so only prefixes meet, by an equi-join on the shingle. Length, positional and suffix filters (Xiao et
 al., Efficient Similarity Joins for Near Duplicate Detection, 2011) drop meetings before a pair is verified once, on whole sets.
 
-A group of k classes that share a shingle is not expanded into its k * k pairs. First every class meets the group's leader
-(its smallest class). Verified links make components; after that only pairs of classes in different components are
-candidates, and they are made from the members outside the group's largest component. A pair left out that way is
-connected already, so components are those of all links.
+A group of k classes that share a shingle is not expanded into its k * k pairs. First every class meets the group's leader (its
+smallest class; a large group is cut into parts with a leader each). Verified links make components; after that only pairs
+of classes in different components are candidates, and they are made from the members outside the group's largest
+component. A pair left out that way is connected already, so components are those of all links.
 """
 import hashlib
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinsift.llm.arrays import pieces, shingle_set, word_hashes
-from kinsift.llm.common import WORD
+from kinsift.llm.common import keys
 from kinsift.operators.components import component_labels
-from kinsift.session import materialise
+from kinsift.session import materialise, release
 
 #: Counters for the order of shingles, over all documents; 2**17 numbers, whatever the input. A shingle's rarity is the count
 #: of its counter, so frequent shingles come last; any order gives the same links.
 COUNTERS = 1 << 17
 SUFFIX_PARTS, PART_LIMIT = 4, 0xFFFF
+#: Bits of the filter of shared shingles that tasks hold (4 MB). It only spares shuffling; what passes it wrongly is joined away.
+FILTER_BITS = 1 << 25
+#: Rows of one shingle that are put before one leader; a shingle with more has several leaders.
+GROUP_ROWS = 100_000
 
 
 def prefix_length(size, percent):
@@ -89,28 +94,39 @@ def _describe(documents, n, doc_id, text):
     return documents.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key"), F.col(text).alias("body")).mapInArrow(run, schema)
 
 
-def _prefixes(documents, counts, n, percent, text):
-    """(shingle, class, size, position, suffix) of every prefix shingle; copies of a text repeat their rows."""
+def _prefixes(documents, counts, n, percent, text, shared=None):
+    """(shingle, class, size, position, suffix) of every prefix shingle that `shared` may hold; without it, shingles alone.
+
+    A text that occurs again in its batch is passed over; copies further apart repeat their rows."""
+    names = ["shingle"] if shared is None else ["shingle", "class", "size", "position", "suffix"]
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            seen = set()
             for sets in _sets(batch.column(0), n):
                 parts = []
                 for found in sets:
-                    if len(found):
-                        length = prefix_length(len(found), percent)
-                        ordered = rare_first(found, counts)
-                        parts.append((ordered[:length].view(np.int64), _class_number(digest_of(found)), len(found), suffix_counts(ordered, length)))
+                    digest = digest_of(found)
+                    if not len(found) or digest in seen:
+                        continue
+                    seen.add(digest)
+                    length = prefix_length(len(found), percent)
+                    ordered = rare_first(found, counts)
+                    if shared is None:
+                        parts.append((ordered[:length].view(np.int64),))
+                        continue
+                    place = ordered[:length] & np.uint64(FILTER_BITS - 1)
+                    at = np.flatnonzero(shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        parts.append((ordered[at].view(np.int64), np.full(len(at), _class_number(digest)), np.full(len(at), len(found), dtype=np.int32),
+                                      at.astype(np.int32), suffix_counts(ordered, length)[at]))
                 if parts:
-                    lengths = [len(p[0]) for p in parts]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.repeat([p[1] for p in parts], lengths)),
-                         pa.array(np.repeat([p[2] for p in parts], lengths).astype(np.int32)),
-                         pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])), pa.array(np.concatenate([p[3] for p in parts]))],
-                        names=["shingle", "class", "size", "position", "suffix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
 
-    return documents.select(F.col(text).alias("body")).mapInArrow(run, "shingle long, class long, size int, position int, suffix long")
+    kinds = dict(zip(["shingle", "class", "size", "position", "suffix"], ["long", "long", "int", "int", "long"]))
+    return documents.select(F.col(text).alias("body")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def passes(percent, a="a", b="b"):
@@ -128,29 +144,62 @@ def passes(percent, a="a", b="b"):
             f" AND {100 + percent} * ({before} + {' + '.join(parts)}) >= {wanted}")
 
 
-def _verify(pairs, documents, members, n, percent, text):
-    """Links (digest_l, digest_r) among candidate pairs (class_l, class_r): one exact test a pair, on whole sets."""
-    asked = pairs.select(F.explode(F.array("class_l", "class_r")).alias("class")).distinct()
-    texts = members.join(asked, "class", "left_semi").groupBy("digest").agg(F.min("text_key").alias("text_key")).select("text_key")
-    body = (documents.select(F.md5(F.col(text)).alias("text_key"), F.col(text).alias("body"))
-            .join(texts, "text_key", "left_semi").dropDuplicates(["text_key"]).select("body"))
+def _bodies(classes, documents, members, text):
+    """One text of each of the given classes, as far as copies within a task allow."""
+    texts = members.join(classes, "class", "left_semi").groupBy("digest").agg(F.min("text_key").alias("text_key")).select("text_key")
+    return (documents.select(F.md5(F.col(text)).alias("text_key"), F.col(text).alias("body"))
+            .join(keys(texts), "text_key", "left_semi").select("body"))
 
+
+def _sets_of(classes, documents, members, n, text):
+    """(class, digest, shingles) of the given classes; a text that recurs in a batch is passed over."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [found.view(np.int64) for part in _sets(batch.column(0), n) for found in part]
-            digests = [digest_of(found) for found in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_class_number(d) for d in digests], pa.int64()), pa.array([d.hex() for d in digests]), pa.array(sets, pa.list_(pa.int64()))],
-                names=["class", "digest", "shingles"])
+            found = {digest_of(s): s.view(np.int64) for part in _sets(batch.column(0), n) for s in part if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array([_class_number(d) for d in found], pa.int64()), pa.array([d.hex() for d in found], pa.string()),
+                                              pa.array(list(found.values()), pa.list_(pa.int64()))], names=["class", "digest", "shingles"])
+
+    return _bodies(classes, documents, members, text).mapInArrow(run, "class long, digest string, shingles array<long>")
+
+
+def _outlines_of(classes, documents, members, n, text):
+    """(class, outline, size, lost): the distinct first 16 bits of the shingles, a quarter of the set's bytes or less; lost is
+    how many shingles fell together with another."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = {digest_of(s): (np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16), len(s)) for part in _sets(batch.column(0), n) for s in part if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array([_class_number(d) for d in found], pa.int64()), pa.array([o for o, _ in found.values()], pa.list_(pa.int16())),
+                                              pa.array([k for _, k in found.values()], pa.int32()), pa.array([k - len(o) for o, k in found.values()], pa.int32())],
+                                             names=["class", "outline", "size", "lost"])
+
+    return _bodies(classes, documents, members, text).mapInArrow(run, "class long, outline array<smallint>, size int, lost int")
+
+
+def _plausible(pairs, documents, members, n, percent, text):
+    """The pairs whose outlines leave room for enough shared shingles: shared shingles have shared first bits, and those that
+    fell together are given to both. No link is lost; what passes is verified on whole sets."""
+    pairs = keys(pairs)
+    side = {s: _outlines_of(pairs.select(F.col(f"class_{s}").alias("class")).distinct(), documents, members, n, text).toDF(
+        f"class_{s}", f"outline_{s}", f"size_{s}", f"lost_{s}") for s in "lr"}
+    most = F.size(F.array_intersect("outline_l", "outline_r")) + F.least("lost_l", "lost_r")
+    return (side["r"].join(pairs, "class_r").join(side["l"], "class_l")
+            .where((100 + percent) * most >= percent * (F.col("size_l") + F.col("size_r"))).select("class_l", "class_r").distinct())
+
+
+def _verify(pairs, documents, members, n, percent, text):
+    """Links (digest_l, digest_r) among candidate pairs (class_l, class_r): one exact test a pair, on whole sets.
 
-    sets = materialise(body.mapInArrow(run, "class long, digest string, shingles array<long>"))
-    left = sets.select(F.col("class").alias("class_l"), F.col("digest").alias("digest_l"), F.col("shingles").alias("set_l"))
-    right = sets.select(F.col("class").alias("class_r"), F.col("digest").alias("digest_r"), F.col("shingles").alias("set_r"))
+    The set of the right class travels to the left class once for each pair; few classes stand on the left."""
+    pairs = keys(pairs)
+    named = {s: _sets_of(pairs.select(F.col(f"class_{s}").alias("class")).distinct(), documents, members, n, text)
+             .select(F.col("class").alias(f"class_{s}"), F.col("digest").alias(f"digest_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "lr"}
     both = F.size(F.array_intersect("set_l", "set_r"))
-    return (pairs.join(right, "class_r").join(left, "class_l")
-            .where((100 + percent) * both >= percent * (F.size("set_l") + F.size("set_r"))).select("digest_l", "digest_r"))
+    return (named["r"].join(pairs, "class_r").join(named["l"], "class_l")
+            .where((100 + percent) * both >= percent * (F.size("set_l") + F.size("set_r"))).select("digest_l", "digest_r").distinct())
 
 
 def _labels(links):
@@ -173,12 +222,19 @@ def near_duplicates(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     counts = np.zeros(COUNTERS, dtype=np.int64)
     counts[table["counter"].to_numpy()] = table["count"].to_numpy()
 
-    prefixes = _prefixes(documents, counts, n, percent, text)
-    leaders = materialise(prefixes.groupBy("shingle").agg(F.min("class").alias("leader"), F.max("class").alias("last"))
-                          .where("leader <> last").select("shingle", "leader"))
-    shared = materialise(prefixes.join(leaders, "shingle").distinct())
-    met = shared.where("class <> leader").alias("b").join(shared.where("class = leader").alias("a"), "shingle").where(passes(percent))
-    first = materialise(met.select(F.col("a.class").alias("class_l"), F.col("b.class").alias("class_r")).distinct())
+    # Which prefix shingles occur more than once; then the full rows of those alone.
+    twice = materialise(_prefixes(documents, counts, n, percent, text).groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    held = np.zeros(FILTER_BITS, dtype=bool)
+    held[twice.select(F.pmod("shingle", F.lit(FILTER_BITS)).cast("int").alias("place")).distinct().toArrow()["place"].to_numpy()] = True
+    held = documents.sparkSession.sparkContext.broadcast(np.packbits(held, bitorder="little"))
+    near = _prefixes(documents, counts, n, percent, text, held).join(twice, "shingle")
+    salted = near.withColumn("salt", F.pmod("class", F.ceil(F.col("k") / F.lit(GROUP_ROWS)))).drop("k")
+    group = Window.partitionBy("shingle", "salt")
+    row = F.struct("size", "position", "suffix")
+    shared = materialise(salted.select("*", F.min("class").over(group).alias("leader"), F.min_by(row, "class").over(group).alias("a")))
+    release(twice)
+    met = shared.where("class <> leader").withColumn("b", row).where(passes(percent))
+    first = met.select(F.col("leader").alias("class_l"), F.col("class").alias("class_r")).distinct()
     links = materialise(_verify(first, documents, members, n, percent, text))
 
     # Pairs that no leader has settled: of one group, but of different components so far.
@@ -186,15 +242,18 @@ def near_duplicates(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     placed = (members.where("digest IS NOT NULL").select("class", "digest").distinct()
               .join(labels.withColumnRenamed("node", "digest"), "digest", "left")
               .groupBy("class").agg(F.min(F.coalesce("label", "digest")).alias("part")))
-    rest = shared.where("class <> leader").join(placed, "class")
+    rest = shared.drop("a", "leader", "salt").join(placed, "class")
     parts = rest.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = materialise(rest.join(mixed.select("shingle", "main"), "shingle"))
+    rest = materialise(rest.join(mixed.select("shingle", "main"), "shingle").distinct())
     a, b = rest.where("part <> main").alias("a"), rest.alias("b")
     open_pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & F.expr(
         f"a.part <> b.part AND (b.part = b.main OR a.class < b.class) AND {passes(percent)}"))
     second = materialise(open_pairs.select(F.least("a.class", "b.class").alias("class_l"), F.greatest("a.class", "b.class").alias("class_r")).distinct())
+    release(rest)
+    release(shared)
     if not second.isEmpty():
+        second = _plausible(second, documents, members, n, percent, text)
         links = materialise(links.unionByName(_verify(second, documents, members, n, percent, text)))
         labels = _labels(links)
 
@@ -213,9 +272,11 @@ def keep_one(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     smallest text and other columns. Texts without words are in no group and all stay."""
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
     groups = near_duplicates(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), n, percent, "id", "text")
-    firsts = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("place")).select("place")
+    rows = groups.where("component IS NOT NULL").select("component", place.alias("place"))
+    firsts = rows.groupBy("component").agg(F.min("place").alias("first"))
+    gone = keys(rows.join(firsts, "component").where("place <> first").select("place").distinct())
+    twice = keys(rows.groupBy("place").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("place"))
     keyed = (documents.select(F.col(doc_id).alias("id"), F.md5(F.col(text)).alias("text_key"), F.struct(*documents.columns).alias("row"))
-             .withColumn("place", place))
-    has_words = F.coalesce(F.col(f"row.{text}").rlike(WORD), F.lit(False))
-    kept = keyed.where(has_words).join(firsts, "place", "left_semi").groupBy("place").agg(F.min("row").alias("row"))
-    return keyed.where(~has_words).select("row.*").unionByName(kept.select("row.*"))
+             .select(place.alias("place"), "row").join(gone, "place", "left_anti"))
+    repeated = keyed.join(twice, "place", "left_semi").groupBy("place").agg(F.min("row").alias("row"))
+    return keyed.join(twice, "place", "left_anti").select("row.*").unionByName(repeated.select("row.*"))
