@@ -96,7 +96,8 @@ def test_ids(spark):
     assert sorted(values(plain, "unique_id")) == [f"A_{i}" for i in range(5)]
     assert cleaning.ensure_unique_id(df, "k").columns == ["unique_id"]
     a, b = cleaning.assign_ground_truth(spark.createDataFrame([("1",)], "unique_id string"), spark.createDataFrame([("1_B",), ("2",)], "unique_id string"))
-    assert sorted((r["unique_id"], r["cluster"]) for r in b.collect()) == [("1_B", "1"), ("2_B", "2")]
+    # Not all ids end in _B, so all get the suffix: 1_B and a plain 1 must stay apart.
+    assert sorted((r["unique_id"], r["cluster"]) for r in b.collect()) == [("1_B_B", "1"), ("2_B", "2")]
     assert a.first()["cluster"] == "1"
 
 
