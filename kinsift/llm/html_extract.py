@@ -2,9 +2,9 @@
 
 A page becomes lines (blocks of text) in page order. Pages of a host are put in the order of their URL paths; each is
 paired with the neighbour whose path shares the longest prefix. The two line sequences are aligned by their longest common
-subsequence: lines in it belong to the site, not to the page, and go. Markup then settles what one pairing cannot see: lines
+subsequence: lines in it belong to the site, not to the page, and go. Markup then corrects what one pairing cannot see: lines
 in menus, footers, adverts, forms and the like go although the neighbour lacks them, and lines inside <article> or
-<main> stay although a copy of the article stands at the next URL.
+<main> stay although a copy of the article stands at the next URL. Where no line is shared, markup alone decides.
 
 Only digests of lines meet in the pairing; a page's markup is shuffled once, to meet its neighbour's digests.
 """
@@ -154,17 +154,18 @@ def shared(own, other):
 def main_text(page, neighbour=None):
     """Blocks of the main text, joined by an empty line.
 
-    With <article> or <main> the text is what stands in it; without, it is what differencing leaves. A neighbour that has all
-    lines of the page is a copy and tells nothing.
+    Lines that the neighbour shares go, on pages with <article> or <main> too; what stands in these stays. A neighbour that has
+    all lines of the page is a copy and tells nothing, nor does one that has none of them: then the text is what stands in
+    <article> or <main>, if that has at least half of the words outside frames, and otherwise every line outside frames.
     """
     found = lines(page or "")
     if not found:
         return ""
-    marked = any(article for _, _, article in found)
     common = shared(digests(found), neighbour) if neighbour else set()
-    if len(common) == len(found):
-        common = set()
-    return "\n\n".join(text for i, (text, framed, article) in enumerate(found) if not framed and (article or not (marked or i in common)))
+    if 0 < len(common) < len(found):
+        return "\n\n".join(text for i, (text, framed, article) in enumerate(found) if not framed and (article or i not in common))
+    inside, outside = (sum(len(text.split()) for text, framed, article in found if not framed and article == side) for side in (True, False))
+    return "\n\n".join(text for text, framed, article in found if not framed and (article or inside < outside))
 
 
 def nearest(pages):

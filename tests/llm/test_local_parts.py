@@ -102,6 +102,15 @@ def test_differencing_drops_what_the_neighbour_has_outside_articles():
     assert html_extract.main_text("<article>" + own + "</article>", other) == html_extract.main_text(own)
 
 
+def test_differencing_decides_on_pages_with_articles_too():
+    site = "<p>Site name</p><article><p>{}</p></article><p>{}</p><p>Contact us</p>"
+    other = html_extract.digests(html_extract.lines(site.format("Teaser b", "Another long story of the other page")))
+    assert html_extract.main_text(site.format("Teaser a", "My own story stands outside"), other) == "Teaser a\n\nMy own story stands outside"
+    teaser = "<article>Short teaser</article><p>The story itself has many more words than its teaser</p>"
+    assert html_extract.main_text(teaser) == "Short teaser\n\nThe story itself has many more words than its teaser"
+    assert html_extract.main_text("<article>The story itself has many words</article><p>Contact us</p>") == "The story itself has many words"
+
+
 def test_long_pages_stay_fast():
     own = list(range(0, 8000, 2)) + list(range(4000))
     other = list(range(0, 8000, 3)) + list(range(4000))
