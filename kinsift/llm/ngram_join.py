@@ -8,6 +8,9 @@ A group of k classes that share a shingle is not expanded into its k * k pairs.
 smallest class; a large group is cut into parts with a leader each). Verified links make components; after that only pairs
 of classes in different components are candidates, and they are made from the members outside the group's largest
 component. A pair left out that way is connected already, so components are those of all links.
+
+`class_links` is the join itself: it verifies every candidate pair of classes and returns all links. Components need far
+fewer, so `near_duplicates` stands beside it.
 """
 import hashlib
 
@@ -26,6 +29,10 @@ COUNTERS = 1 << 17
 SUFFIX_PARTS, PART_LIMIT = 4, 0xFFFF
 #: Bits of the filter of shared shingles that tasks hold (4 MB). It only spares shuffling; what passes it wrongly is joined away.
 FILTER_BITS = 1 << 25
+#: Bits of the filter that one row brings to the driver; the rows are 4 MB together.
+FILTER_CHUNK = 1 << 18
+#: Classes of one shingle that a tile of the join holds on a side: at most four million pairs, whatever the group.
+TILE_ROWS = 2_000
 #: Rows of one shingle that are put before one leader; a shingle with more has several leaders.
 GROUP_ROWS = 100_000
 
@@ -206,6 +213,75 @@ def _labels(links):
     return component_labels(links.select(F.col("digest_l").alias("node_l"), F.col("digest_r").alias("node_r")))
 
 
+def _shared_bits(twice):
+    """The filter of shared shingles, packed in the tasks: bit p of it is set if a shingle falls on place p."""
+    def pack(rows):
+        import pyarrow as pa
+
+        bits = np.zeros(FILTER_CHUNK, dtype=bool)
+        bits[rows["place"].to_numpy() & (FILTER_CHUNK - 1)] = True
+        return pa.table({"chunk": rows["chunk"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    places = twice.select(F.pmod("shingle", F.lit(FILTER_BITS)).cast("int").alias("place")).distinct()
+    packed = (places.select(F.expr(f"place div {FILTER_CHUNK}").cast("int").alias("chunk"), "place")
+              .groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").toArrow())
+    held = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for chunk, bits in zip(packed["chunk"].to_pylist(), packed["bits"].to_pylist()):
+        held[chunk * FILTER_CHUNK // 8:(chunk + 1) * FILTER_CHUNK // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return held
+
+
+def _meetings(documents, n, percent, doc_id, text):
+    """The described rows, the prefix rows of shingles that occur more than once with their number k, and those shingles."""
+    described = materialise(_describe(documents, n, doc_id, text))
+    members = described.where("counter IS NULL").drop("counter", "count")
+    table = described.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[table["counter"].to_numpy()] = table["count"].to_numpy()
+
+    # Which prefix shingles occur more than once; then the full rows of those alone.
+    twice = materialise(_prefixes(documents, counts, n, percent, text).groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    held = documents.sparkSession.sparkContext.broadcast(_shared_bits(twice))
+    return members, _prefixes(documents, counts, n, percent, text, held).join(twice, "shingle"), twice
+
+
+def _tiles(rows, percent):
+    """All pairs (class_l, class_r) of classes that share a prefix shingle and pass the filters, each once.
+
+    A shingle of more than TILE_ROWS classes is cut into chunks, and every two chunks meet in a tile of their own, so no task
+    holds a whole group."""
+    sizes = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > TILE_ROWS)
+    cut = (rows.join(sizes, "shingle", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("k") / F.lit(TILE_ROWS)), F.lit(1)).cast("int"))
+           .withColumn("chunk", F.pmod(F.hash("class"), F.col("chunks"))).drop("k"))
+    a = cut.withColumns({"low": F.col("chunk"), "high": F.explode(F.sequence("chunk", F.col("chunks") - 1))}).alias("a")
+    b = cut.withColumns({"high": F.col("chunk"), "low": F.explode(F.sequence(F.lit(0), F.col("chunk")))}).alias("b")
+    met = a.join(b, F.expr(f"a.shingle = b.shingle AND a.low = b.low AND a.high = b.high AND (a.low < a.high OR a.class < b.class) AND {passes(percent)}"))
+    return met.select(F.least("a.class", "b.class").alias("class_l"), F.greatest("a.class", "b.class").alias("class_r")).distinct()
+
+
+def class_links(documents, n=5, percent=75, doc_id="doc_id", text="text"):
+    """class_l and class_r (class_l < class_r) of every two different shingle sets that link, each pair once.
+
+    Every candidate pair is verified, whatever other links its component has. Links, sets and classes are those of
+    `near_duplicates`, whose rows say which documents are in a class; documents of one class are alike and no pair here. Texts
+    without words are in no pair; an empty table gives an empty result. A group of k near copies gives up to k * k / 2 rows.
+    """
+    members, near, twice = _meetings(documents, n, percent, doc_id, text)
+    rows = materialise(near.select("shingle", "class", "size", "position", "suffix").distinct())
+    release(twice)
+    pairs = materialise(_tiles(rows, percent))
+    release(rows)
+    links = _verify(_plausible(pairs, documents, members, n, percent, text), documents, members, n, percent, text)
+    return links.select(F.least("digest_l", "digest_r").alias("class_l"), F.greatest("digest_l", "digest_r").alias("class_r")).distinct()
+
+
+def link_counts(documents, n=5, percent=75, doc_id="doc_id", text="text"):
+    """class, n_links of every class that links with another: the number of other classes it links with."""
+    links = class_links(documents, n, percent, doc_id, text)
+    ends = links.select(F.explode(F.array("class_l", "class_r")).alias("class"))
+    return ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+
+
 def near_duplicates(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     """doc_id, n_shingles, component_id, class and component of every row.
 
@@ -216,18 +292,7 @@ def near_duplicates(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     ids are passed over when the smallest id is sought; repeated rows and repeated ids stay; an empty table gives an empty
     result; other columns are not looked at.
     """
-    described = materialise(_describe(documents, n, doc_id, text))
-    members = described.where("counter IS NULL").drop("counter", "count")
-    table = described.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    counts[table["counter"].to_numpy()] = table["count"].to_numpy()
-
-    # Which prefix shingles occur more than once; then the full rows of those alone.
-    twice = materialise(_prefixes(documents, counts, n, percent, text).groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
-    held = np.zeros(FILTER_BITS, dtype=bool)
-    held[twice.select(F.pmod("shingle", F.lit(FILTER_BITS)).cast("int").alias("place")).distinct().toArrow()["place"].to_numpy()] = True
-    held = documents.sparkSession.sparkContext.broadcast(np.packbits(held, bitorder="little"))
-    near = _prefixes(documents, counts, n, percent, text, held).join(twice, "shingle")
+    members, near, twice = _meetings(documents, n, percent, doc_id, text)
     salted = near.withColumn("salt", F.pmod("class", F.ceil(F.col("k") / F.lit(GROUP_ROWS)))).drop("k")
     group = Window.partitionBy("shingle", "salt")
     row = F.struct("size", "position", "suffix")

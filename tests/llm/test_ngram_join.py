@@ -79,6 +79,29 @@ def test_supplied_documents_match_brute_force(spark):
     assert got(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [2, 2_000])
+def test_every_link_between_classes_is_returned(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", tile)
+    rng = random.Random(9)
+    base = rng.choices([f"w{i}" for i in range(300)], k=80)
+    rows = [(10_000 + i, " ".join(base[:i + 60] + [f"own{i}"])) for i in range(12)] + [r for r in corpus(3, 90) if r[0] is not None and r[0] != 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    named = {r.doc_id: r["class"] for r in ngram_join.near_duplicates(docs).collect()}
+    sets = {named[doc]: shingles(text) for doc, text in rows if words(text)}
+    wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    found = [tuple(r) for r in ngram_join.class_links(docs).collect()]
+    assert sorted(found) == sorted(wanted) and len({c for c in wanted if set(c) <= {named[10_000 + i] for i in range(12)}}) > 12
+    counts = {r["class"]: r.n_links for r in ngram_join.link_counts(docs).collect()}
+    assert counts == {c: sum(c in pair for pair in wanted) for pair in wanted for c in pair}
+    assert ngram_join.class_links(docs.limit(0)).collect() == []
+
+
+def test_bits_of_shared_shingles(spark):
+    shingle = [3, -1, 1 << 40, (1 << 25) + 5, 7, 1 << 18]
+    held = ngram_join._shared_bits(spark.createDataFrame([(x,) for x in shingle], "shingle long"))
+    assert np.flatnonzero(np.unpackbits(held, bitorder="little")).tolist() == sorted({x % (1 << 25) for x in shingle})
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
