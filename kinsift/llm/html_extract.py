@@ -168,29 +168,34 @@ def main_text(page, neighbour=None):
     return "\n\n".join(text for text, framed, article in found if not framed and (article or inside < outside))
 
 
+def nearer(first, second):
+    """Key of that of two (path, key) structs, either of them null, whose path has the longer common start with `path`; the first if equal."""
+    def common_start(path):
+        """Length of the longest common prefix, by halving."""
+        pairs = F.zip_with(F.split(F.col("path"), ""), F.split(path, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return F.coalesce(F.nullif(F.array_position(pairs, False), F.lit(0)) - 1, F.length("path"))
+
+    return F.when(second["key"].isNull(), first["key"]).when(first["key"].isNull(), second["key"]).otherwise(
+        F.when(common_start(first["path"]) >= common_start(second["path"]), first["key"]).otherwise(second["key"]))
+
+
 def nearest(pages):
     """(page_key, neighbour_key) from (page_key, host, path): of the two neighbours in path order the one with the longer
     common start, the earlier if equal.
 
     Pages are ordered inside a directory block: the host, the path without its last part, and the first two characters of that
     part, so a host that holds a third of all pages is many windows. A page alone in its block has its host's smallest
-    page of the directory for a neighbour, found by a folded aggregate; without any it has none.
+    page of the directory for a neighbour, found by a folded aggregate; without any it has none here. A slash at the end
+    belongs to the last part. `neighbours` goes on to the parent directories and the host.
     """
-    last = F.regexp_extract("path", r"([^/]*)/?$", 1)
+    last = F.regexp_extract("path", r"[^/]*/?$", 0)
     folder = F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(last))
     placed = pages.withColumns({"folder": folder, "block": F.substring(last, 1, 2)})
     order = Window.partitionBy("host", "folder", "block").orderBy("path", "page_key")
     side = {k: F.struct(f("path").over(order).alias("path"), f("page_key").over(order).alias("key")) for k, f in (("lag", F.lag), ("lead", F.lead))}
 
-    def common_start(path):
-        """Length of the longest common prefix, by halving."""
-        pairs = F.zip_with(F.split(F.col("path"), ""), F.split(path, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.coalesce(F.nullif(F.array_position(pairs, False), F.lit(0)) - 1, F.length("path"))
-
     near = placed.withColumns(side)
-    chosen = F.when(F.col("lead.key").isNull(), F.col("lag.key")).when(F.col("lag.key").isNull(), F.col("lead.key")).otherwise(
-        F.when(common_start(F.col("lag.path")) >= common_start(F.col("lead.path")), F.col("lag.key")).otherwise(F.col("lead.key")))
-    near = near.select("page_key", "host", "folder", chosen.alias("neighbour_key"))
+    near = near.select("page_key", "host", "folder", nearer(F.col("lag"), F.col("lead")).alias("neighbour_key"))
     ends = (placed.groupBy("host", "folder").agg(F.min(F.struct("path", "page_key"))["page_key"].alias("low"),
                                                  F.max(F.struct("path", "page_key"))["page_key"].alias("high")))
     alone = near.where("neighbour_key IS NULL").drop("neighbour_key").join(ends, ["host", "folder"])
@@ -199,6 +204,42 @@ def nearest(pages):
             .unionByName(alone.select("page_key", other.alias("neighbour_key")).where("neighbour_key IS NOT NULL")))
 
 
+def neighbours(pages):
+    """(page_key, neighbour_key) of every page whose host has another page: as `nearest` has it, and for a page alone in its
+    directory from the deepest parent directory, up to the host, that holds another page.
+
+    There it meets, in path order, the pages that are alone in the same way and begin alike (two characters of the next part),
+    or else the first or last page below that directory. First and last pages fold up from those of each directory.
+    """
+    from kinsift.session import materialise
+
+    found = materialise(nearest(pages))
+    left = materialise(pages.join(found.select("page_key"), "page_key", "left_anti"))
+    if left.isEmpty():
+        return found
+    place = F.struct("path", F.col("page_key").alias("key"))
+    ends = (pages.groupBy("host", F.regexp_extract("path", r"^(.*/)?", 0).alias("folder"))
+            .agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("k")))
+
+    def upward(path):
+        """The path's directories, the host's own ('') first."""
+        parts = F.split(path, "/")
+        return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(
+            F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+
+    above = (ends.select("host", F.explode(upward(F.col("folder"))).alias("up"), "low", "high", "k").groupBy("host", "up")
+             .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("k").alias("k")).where("k > 1"))
+    met = left.select("*", F.explode(upward(F.col("path"))).alias("up")).join(above, ["host", "up"])
+    deepest = met.groupBy("page_key", "host", "path").agg(F.max_by(F.struct("up", "low", "high"), F.length("up")).alias("at"))
+    placed = deepest.select("page_key", "host", "path", "at.*").withColumn("block", F.expr("substring(path, length(up) + 1, 2)"))
+    order = Window.partitionBy("host", "up", "block").orderBy("path", "page_key")
+    sides = placed.select("*", *[F.struct(f("path").over(order).alias("path"), f("page_key").over(order).alias("key")).alias(k)
+                                 for k, f in (("lag", F.lag), ("lead", F.lead))])
+    end = {k: F.when(F.col(k)["key"] != F.col("page_key"), F.col(k)) for k in ("low", "high")}
+    chosen = F.coalesce(nearer(F.col("lag"), F.col("lead")), nearer(end["low"], end["high"]))
+    return found.unionByName(sides.select("page_key", chosen.alias("neighbour_key")))
+
+
 def extract(pages, page_id="page_id", url="url", html="html"):
     """page_id, url, text and n_chars (code points) of every row.
 
@@ -221,7 +262,7 @@ def extract(pages, page_id="page_id", url="url", html="html"):
 
     lined = materialise(placed.mapInArrow(digest_lines, "page_key string, host string, path string, line_digests array<long>")
                         .dropDuplicates(["page_key"]))
-    pairs = nearest(lined.where("host <> ''").select("page_key", "host", "path"))
+    pairs = neighbours(lined.where("host <> ''").select("page_key", "host", "path"))
     across = pairs.join(lined.select(F.col("page_key").alias("neighbour_key"), "line_digests"), "neighbour_key").drop("neighbour_key")
     met = named.join(across, "page_key", "left").select("page_id", "url", "html", "line_digests")
     kinds = {f.name: f.dataType.simpleString() for f in named.schema}

@@ -130,6 +130,20 @@ def test_nearest_prefers_the_longer_common_start(spark):
     assert got == {"k1": "k2", "k2": "k1", "k3": "k2", "k4": "k1"}
 
 
+def test_pages_alone_in_their_folder_get_a_neighbour(spark):
+    rows = [("k1", "h", "/2024/05/one/index.html"), ("k2", "h", "/2024/05/two/index.html"), ("k3", "h", "/2024/06/x/"), ("k4", "h", "/2024/06/y/"),
+            ("k5", "h", "/about/us"), ("k6", "g", "/en/742/"), ("k7", "g", "/en/913/"), ("k8", "g", ""), ("k9", "alone", "/a/b"),
+            ("l1", "q", "/z/a"), ("l2", "q", "/z/b"), ("l3", "q", "/z/deep/er/c"), ("l4", "h", "/2024/05/twin/index.html")]
+    df = spark.createDataFrame(rows, "page_key string, host string, path string")
+    assert dict(rows_of(html_extract.nearest(df))) == {"k3": "k4", "k4": "k3", "k6": "k7", "k7": "k6", "l1": "l2", "l2": "l1"}
+    got = dict(rows_of(html_extract.neighbours(df)))
+    assert got.pop("k8") in ("k6", "k7") and got.pop("k5") in ("k1", "k3", "k4") and got.pop("l3") in ("l1", "l2")
+    assert got == {"k1": "k2", "k2": "l4", "l4": "k2", "k3": "k4", "k4": "k3", "k6": "k7", "k7": "k6", "l1": "l2", "l2": "l1"}
+    page = "<p>Site</p><p>{}</p><p>Contact</p>"
+    pages = spark.createDataFrame([(i, f"http://h{p}", page.format(f"story {i}")) for i, (_, _, p) in enumerate(rows[:5])], "page_id long, url string, html string")
+    assert sorted(r.text for r in html_extract.extract(pages).collect()) == [f"story {i}" for i in range(5)]
+
+
 def test_token_counts_and_licenses_of_odd_rows(spark):
     rows = [(1, "ab a"), (None, "ab"), (2, None), (3, ""), (1, "ab a"), (4, "a " * 60_000), (5, "x\nReleased under the mit license! x Released under the MIT License")]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, license string").repartition(2)
