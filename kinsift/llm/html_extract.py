@@ -30,39 +30,61 @@ MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored p
             "notices alert sidebar comment comments commentlist disqus respond menu nav navbar navigation breadcrumb breadcrumbs footer "
             "masthead share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar "
             "pagination pager login signup search skip copyright".split())
+#: Words that turn such a word into its opposite: no-sidebar, ad-free.
+NEGATIONS = set("no not non without with has have hide hidden is free off disable disabled".split())
+#: Words that only say what holds such a thing or where it is: ad-slot, share-buttons, related-posts.
+HOLDERS = set("area bar block blocks box button buttons container content form group icons inner item items left link links list panel posts right "
+              "section slot top bottom unit wrap wrapper".split())
+#: Share of a page's words beyond which an element is the page itself, whatever its class says.
+WHOLE = 0.9
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_WORDS = re.compile(r"[A-Za-z]+")
+_JOINTS = re.compile(r"[^a-z]+")
 
 
-def _is_frame(tag, attributes, in_article):
-    if tag in FRAMES or (tag == "header" and not in_article):
+def _is_marked(name):
+    """Whether one class or id names a frame: as a whole (ad, sidebar), or a compound by its last word (site-footer, siteFooter) or
+    with holders after it (ad-slot), unless a word of it negates (no-sidebar). Before other words it says nothing: social-science."""
+    if name.lower() in MARKS:
         return True
+    parts = [p for p in _JOINTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    return bool(parts) and not NEGATIONS.intersection(parts) and parts[-1] in MARKS
+
+
+def _frame(tag, attributes, in_article):
+    """2 if the element is a frame by its tag, role or invisibility, 1 if by its class, its id or as a form, else 0."""
+    if tag != "form" and (tag in FRAMES or (tag == "header" and not in_article)):
+        return 2
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return int(tag == "form")
     values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if values.get("role", "").lower() in ROLES or values.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attributes, re.I):
-        return True
+        return 2
     if "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
+        return 2
     if tag in ("html", "body", "article", "main"):
-        return False
-    named = " ".join((values.get("class", ""), values.get("id", "")))
-    return any(w.lower() in MARKS for w in _WORDS.findall(named))
+        return 0
+    return int(tag == "form" or any(map(_is_marked, f"{values.get('class', '')} {values.get('id', '')}".split())))
 
 
 def lines(page):
     """[(text, framed, in article)] of a page in page order. Broken markup is read as far as it makes sense: an open tag
-    at the end closes there, a closing tag without its opening one is passed over."""
-    out, words, stack = [], [], []  # stack: (tag, framed, in article)
-    framed = article = False
+    at the end closes there, a closing tag without its opening one is passed over.
+
+    An element that only its class or id marks, or a form, frames nothing if it contains the page's article (the outermost <article>
+    or <main> with the most words) or, on a page without one, more than WHOLE of the words outside other frames."""
+    out, words, stack = [], [], []  # stack: (tag, framed for certain, numbers of the marked elements around, number of the article)
+    certain, marks, article = False, (), 0
+    around, marked = {}, 0  # around: marked elements in which an outermost article stands
 
     def flush():
         text = " ".join(entities.unescape("".join(words)).split())
         if text:
-            out.append((text, framed, article))
+            out.append((text, certain, marks, article))
         words.clear()
 
     at, size = 0, len(page)
@@ -87,12 +109,13 @@ def lines(page):
             if tag == "hr":
                 flush()
             continue
+        kind = 0 if closing else _frame(tag, attributes, bool(article))
         if tag in BLOCKS or tag == "menu":
             flush()
-        elif not closing and not _is_frame(tag, attributes, article):
+        elif not closing and not kind:
             continue
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if any(s[0] == tag for s in stack):
                 if tag not in BLOCKS:
                     flush()
                 while stack.pop()[0] != tag:
@@ -101,12 +124,35 @@ def lines(page):
             flush()
             if tag in SELF_CLOSING and stack and stack[-1][0] in SELF_CLOSING[tag]:
                 stack.pop()
-                framed, article = stack[-1][1:] if stack else (False, False)
-            inside = article or tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes))
-            stack.append((tag, framed or _is_frame(tag, attributes, article), inside))
-        framed, article = stack[-1][1:] if stack else (False, False)
+                certain, marks, article = stack[-1][1:] if stack else (False, (), 0)
+            inside, held = article, marks
+            if kind == 1:
+                marked += 1
+                held = (*marks, marked)
+            if not article and (tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes)):
+                inside = len(around) + 1
+                around[inside] = held
+            stack.append((tag, certain or kind == 2, held, inside))
+        certain, marks, article = stack[-1][1:] if stack else (False, (), 0)
     flush()
-    return out
+    void = _void_marks(out, around) if marked else set()
+    return [(text, certain or any(m not in void for m in marks), article > 0) for text, certain, marks, article in out]
+
+
+def _void_marks(out, around):
+    """Numbers of the marked elements that are a wrapper of the page's article or of the whole page."""
+    sizes, of_article, of_mark = 0, {}, {}
+    for text, certain, marks, article in out:
+        if not certain:
+            n = len(text.split())
+            sizes += n
+            if article:
+                of_article[article] = of_article.get(article, 0) + n
+            for m in marks:
+                of_mark[m] = of_mark.get(m, 0) + n
+    if of_article:
+        return set(around[max(of_article, key=lambda a: (of_article[a], -a))])
+    return {m for m, n in of_mark.items() if n > WHOLE * sizes}
 
 
 def digests(found):

@@ -111,6 +111,17 @@ def test_differencing_decides_on_pages_with_articles_too():
     assert html_extract.main_text("<article>The story itself has many words</article><p>Contact us</p>") == "The story itself has many words"
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "ad-free", "social-science", "notice", "layout sidebar-right"])
+def test_wrappers_do_not_frame_the_page(name):
+    for wrapped in (f'<div class="{name}">{{}}</div>', f'<form id="{name.replace(" ", "_")}">{{}}</form>'):
+        page = wrapped.format('<article><p>One story here</p><div class="ad">Buy now</div></article><div class="site-footer">Imprint</div>')
+        assert html_extract.main_text(page) == "One story here"
+        page = wrapped.format('<p>A long story of ten words or more stands in here alone</p>')
+        assert html_extract.main_text(page) == "A long story of ten words or more stands in here alone"
+    for mark in ("ad", "left sidebar", "site-footer", "siteFooter", "share", "ad-slot", "cookie-banner-inner"):
+        assert html_extract.main_text(f'<div class="{mark}">Frame</div><p>Story of its own</p>') == "Story of its own"
+
+
 def test_long_pages_stay_fast():
     own = list(range(0, 8000, 2)) + list(range(4000))
     other = list(range(0, 8000, 3)) + list(range(4000))
