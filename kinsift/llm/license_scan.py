@@ -4,6 +4,8 @@ Winnowed word fingerprints of the templates form an inverted index; a document's
 diagonal) candidates from it, and a banded alignment of each candidate gives the words that match, in order. Templates
 are few and fixed, so their index travels with the code; documents are never shuffled.
 """
+from bisect import bisect_right
+
 import numpy as np
 
 from kinsift.llm.arrays import PUNCTUATION, grams, pieces, word_hashes, word_spans
@@ -102,9 +104,13 @@ def scan_words(hashes, index, coverage):
         matched, first, last = align(template.tolist(), window)
         if matched >= coverage * len(template):
             out.append((t, matched, start + first - lead, start + last - lead))
-    best = []
+    best, kept = [], {}  # kept: starts and ends of a template's spans in order; they are apart, so one of them settles a hit
     for hit in sorted(out, key=lambda x: (x[0], -x[1], x[3] - x[2], x[2])):
-        if not any(hit[0] == b[0] and hit[2] <= b[3] and b[2] <= hit[3] for b in best[-64:]):
+        starts, ends = kept.setdefault(hit[0], ([], []))
+        at = bisect_right(starts, hit[3])
+        if not at or ends[at - 1] < hit[2]:
+            starts.insert(at, hit[2])
+            ends.insert(at, hit[3])
             best.append(hit)
     return sorted(best, key=lambda x: (x[2], x[0]))
 

@@ -142,6 +142,14 @@ def test_every_template_is_found_in_running_text(name):
     assert [(h[1], h[2], h[3]) for h in hits] == [(len(index.words[t]), 150, 150 + len(index.words[t]) - 1)]
 
 
+def test_overlapping_finds_are_dropped_however_many_there_are():
+    index = license_scan.Index({"t": " ".join(f"w{i}" for i in range(40))})
+    own = [f"w{i}" for i in range(40)]
+    once = own[:15] + ["x"] * 5 + own[15:30] + ["y"] * 5 + own[30:] + ["prose"] * 52  # a multiple of the band, so every copy meets the same diagonals
+    hashes = arrays.word_hashes([" ".join(once * 100).encode()], separators=arrays.PUNCTUATION)[0]
+    assert [h[1:3] for h in license_scan.scan_words(hashes, index, 0.5)] == [(30, 102 * i) for i in range(100)]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_edited_wordings_match_brute_force(seed):
     """Every template against every window, without an index, finds the same templates in lightly edited texts."""
