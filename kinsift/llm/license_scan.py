@@ -30,6 +30,51 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_KEEP = ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+         "documentation and/or other materials provided with the distribution. ")
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+          "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+          "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+          "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+          "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+          "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_USE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+              "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+              "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+              "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+_FREE = "free software{} you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation"
+_CC = "This work is licensed under a Creative Commons Attribution-{} 4.0 International License."
+
+#: Whole texts of short licenses, without title and copyright line.
+TEMPLATES |= {
+    "mit-text": TEMPLATES["mit-grant"] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+                "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+                "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+                "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+                "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+                "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+                "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-clause-text": _GRANT + _KEEP + _AS_IS,
+    "bsd-3-clause-text": _GRANT + _KEEP + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                         "derived from this software without specific prior written permission. " + _AS_IS,
+    "isc-text": _USE + ", provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_AS_IS,
+    "0bsd-text": _USE + ". " + _ISC_AS_IS,
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+                 "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+}
+#: Headers and notices of longer licenses.
+TEMPLATES |= {
+    "lgpl-header": "This library is " + _FREE.format(";", "Lesser"),
+    "agpl-header": "This program is " + _FREE.format(":", "Affero"),
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    **{f"cc-by-{k}-4.0-notice": _CC.format(v) for k, v in (("sa", "ShareAlike"), ("nc", "NonCommercial"), ("nd", "NoDerivatives"),
+                                                          ("nc-sa", "NonCommercial-ShareAlike"), ("nc-nd", "NonCommercial-NoDerivatives"))},
+}
+
 SCHEMA = "license string, coverage double, matched int, template_words int, start long, end long"
 
 

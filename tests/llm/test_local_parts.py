@@ -142,6 +142,21 @@ def test_every_template_is_found_in_running_text(name):
     assert [(h[1], h[2], h[3]) for h in hits] == [(len(index.words[t]), 150, 150 + len(index.words[t]) - 1)]
 
 
+def test_whole_texts_and_headers_of_further_licenses():
+    index = license_scan.Index(license_scan.TEMPLATES)
+
+    def best(text):
+        hits = license_scan.scan_words(arrays.word_hashes([text.encode()], separators=arrays.PUNCTUATION)[0], index, 0.8)
+        return index.names[max(hits, key=lambda h: h[1])[0]] if hits else None
+
+    assert best("/* This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n"
+                " * License as published by the Free Software Foundation; either */") == "lgpl-header"
+    assert best("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted. "
+                + license_scan.TEMPLATES["isc-text"].split("copies. ")[1]) == "0bsd-text"
+    assert best("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License") == "cc-by-sa-4.0-notice"
+    assert best("This is free prose about software and its source code.") is None
+
+
 def test_overlapping_finds_are_dropped_however_many_there_are():
     index = license_scan.Index({"t": " ".join(f"w{i}" for i in range(40))})
     own = [f"w{i}" for i in range(40)]
