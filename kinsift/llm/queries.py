@@ -143,3 +143,90 @@ def op10(spark, sf_dir):
     from kinsift.llm.license_scan import scan_licenses
 
     return scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
+def _tree_sql():
+    """Levels of a tree of `name`(grp, idx, n, h), one row a node, and the path of every node: H of a run is sha256 of its digests in order."""
+    def levels(name):
+        return f"""{name}_tree AS (
+            SELECT grp, 0 AS level, idx, n, h FROM {name}
+            UNION ALL
+            SELECT grp, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM {name}_tree WHERE n > 1
+            GROUP BY grp, level, idx // 16, n)"""
+
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # crc32 of the decimal id, bit by bit: polynomial 0xEDB88320, reflected.
+    shift = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)"
+    bytes_of = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::UBIGINT)"
+    crc = f"list_reduce(list_prepend(4294967295::UBIGINT, {bytes_of}), lambda c, b: {shift})"
+    return f"""
+    WITH RECURSIVE raw AS (SELECT coalesce('=' || source, '') AS grp, doc_id, {leaf("text")} AS h, xor({crc}, 4294967295::UBIGINT) % 5 = 0 AS hit,
+                                  {leaf("low")} AS other
+                           FROM (SELECT *, {SQL_LOWER.format("text")} AS low FROM documents)),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM raw),
+    {levels("leaves")},
+    tops AS (SELECT row_number() OVER (ORDER BY grp) - 1 AS idx, grp AS src, h, count(*) OVER () AS n, 0 AS grp FROM leaves_tree WHERE n = 1),
+    {levels("tops")},
+    root AS (SELECT h AS root FROM tops_tree WHERE n = 1),
+    heights AS (SELECT grp, max(level) AS height FROM leaves_tree GROUP BY grp),
+    steps AS (
+        SELECT grp AS src, 0 AS part, level, idx, string_agg(h, '' ORDER BY idx) OVER before AS pre, string_agg(h, '' ORDER BY idx) OVER after AS post
+        FROM leaves_tree WHERE n > 1
+        WINDOW before AS (PARTITION BY grp, level, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+               after AS (PARTITION BY grp, level, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    top_steps AS (
+        SELECT level, idx, string_agg(h, '' ORDER BY idx) OVER before AS pre, string_agg(h, '' ORDER BY idx) OVER after AS post
+        FROM tops_tree WHERE n > 1
+        WINDOW before AS (PARTITION BY level, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+               after AS (PARTITION BY level, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    path AS (
+        SELECT l.grp, l.idx, s.level, coalesce(s.pre, '') AS pre, coalesce(s.post, '') AS post
+        FROM leaves l JOIN steps s ON s.src = l.grp AND s.idx = l.idx // (16 ** s.level)::BIGINT
+        UNION ALL
+        SELECT l.grp, l.idx, height + s.level, coalesce(s.pre, ''), coalesce(s.post, '')
+        FROM leaves l JOIN heights USING (grp) JOIN tops t ON t.src = l.grp JOIN top_steps s ON s.idx = t.idx // (16 ** s.level)::BIGINT),
+    proofs AS (SELECT grp, idx, string_agg(pre || post, '' ORDER BY level) AS proof, max(level) + 1 AS steps FROM path GROUP BY grp, idx),
+    fold AS (
+        SELECT grp, idx, 0 AS level, CASE WHEN hit THEN other ELSE h END AS now FROM leaves
+        UNION ALL
+        SELECT f.grp, f.idx, f.level + 1, sha256(pre || now || post) FROM fold f JOIN path p ON p.grp = f.grp AND p.idx = f.idx AND p.level = f.level)
+    SELECT l.doc_id, CASE WHEN l.grp <> '' THEN substr(l.grp, 2) END AS source, l.h AS leaf, t.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+           f.now AS folded_root, f.now = root AS verified
+    FROM leaves l JOIN tops t ON t.src = l.grp CROSS JOIN root LEFT JOIN proofs p ON p.grp = l.grp AND p.idx = l.idx
+    JOIN fold f ON f.grp = l.grp AND f.idx = l.idx AND f.level = coalesce(steps, 0)"""
+
+
+@query("op12_merkle_manifest", _tree_sql())
+def op12(spark, sf_dir):
+    """Leaf, roots and proof of every document, and whether what was found later still gives the root."""
+    from kinsift.llm.merkle import manifest
+
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, common.lower_ascii(F.col("text")))
+    return manifest(common.table(spark, sf_dir, "documents"), found={"text": lowered})
+
+
+def _rounds_sql(k=40, rounds=5, size=64):
+    """Rounds of assignment and mean, one after the other, each over all vectors and all centroids."""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v)",
+             f"""c0 AS MATERIALIZED (SELECT place - 1 AS c, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM (
+                   SELECT v, row_number() OVER (ORDER BY vec_id IS NULL, sha256('2:' || vec_id), v) AS place FROM v) WHERE place <= {k})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+                   SELECT r, c, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(m.y, o.y) AS y FROM c{n} o LEFT JOIN (
+                   SELECT a.best.c AS c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS y FROM a{n} a JOIN x USING (r) GROUP BY ALL) m USING (c, i))""")
+    return "WITH " + ", ".join(parts) + f"""
+    SELECT vec_id, a.best.c::INT AS cluster, a.best.d AS distance, sum(a.best.d) OVER (PARTITION BY a.best.c)::BIGINT AS cluster_inertia, sum(a.best.d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+    FROM a{rounds} a JOIN v USING (r) JOIN (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c) hashed ON hashed.c = a.best.c"""
+
+
+@query("op13_centroid_clusters", _rounds_sql())
+def op13(spark, sf_dir):
+    """Nearest centroid of every whole vector after five rounds."""
+    from kinsift.llm.centroid_clusters import cluster
+
+    return cluster(common.table(spark, sf_dir, "embeddings"))
