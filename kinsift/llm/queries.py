@@ -230,3 +230,11 @@ def op13(spark, sf_dir):
     from kinsift.llm.centroid_clusters import cluster
 
     return cluster(common.table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_quality_classifier")
+def op11(spark, sf_dir):
+    """Quality of every document."""
+    from kinsift.llm.quality_net import score_quality
+
+    return score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
