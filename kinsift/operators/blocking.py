@@ -9,13 +9,12 @@ from itertools import combinations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from kinsift.functions.numbers import pairs_of
 
 #: Records of a block that one tile holds on a side: at most four million pairs, whatever the block.
 HOT_BLOCK = 2_000
-#: Grouping sets of one aggregation; more sets are counted in several.
-SETS_AT_ONCE = 64
 
 
 def node(source="source_dataset", uid="unique_id"):
@@ -41,7 +40,7 @@ def rules_from_toggles(toggles, mode="OR"):
 
 
 def rule_sql(rule):
-    return " AND ".join(f'l."{f}" = r."{f}"' for f in rule)
+    return getattr(rule, "text", None) or " AND ".join(f'l."{f}" = r."{f}"' for f in rule)
 
 
 def covers(fields):
@@ -50,17 +49,26 @@ def covers(fields):
 
 
 class Rule(list):
-    """A rule as a list of key columns, with what else must hold of a pair: SQL over <column>_l and <column>_r."""
+    """A rule as a list of key columns, with what else must hold of a pair: SQL over <column>_l and <column>_r.
 
-    def __init__(self, fields, residual=None, needs=()):
+    A rule with an OR has no column that all its pairs share; its `alternatives` are lists of key columns of which each of
+    its pairs shares one.
+    """
+
+    def __init__(self, fields, residual=None, needs=(), alternatives=None, text=None):
         super().__init__(fields)
-        self.residual, self.needs = residual, list(needs)
+        self.residual, self.needs, self.alternatives, self.text = residual, list(needs), alternatives or [list(fields)], text
 
 
 def residual(rule):
     return getattr(rule, "residual", None)
 
 
+def join_keys(rules):
+    """Lists of key columns that find every pair of the rules."""
+    return [list(keys) for rule in rules for keys in getattr(rule, "alternatives", [rule])]
+
+
 def _first_cover(rules):
     """Index of the first rule whose fields are all equal on both sides and whose further test holds."""
     steps = " ".join("WHEN {} THEN {}".format(" AND ".join(
@@ -68,20 +76,29 @@ def _first_cover(rules):
     return F.expr(f"CASE {steps} END")
 
 
+def _wider(spark, x, y):
+    """The type in which Spark compares a column of type x with one of type y, taken from its own analysis; text gives way to the other."""
+    kind = lambda t: "bigint" if t in ("tinyint", "smallint", "int", "bigint") else "double" if t in ("float", "double") or t.startswith("decimal") else t
+    if "string" in (x, y):
+        return kind(y if x == "string" else x)
+    empty = spark.range(0)
+    try:
+        # The comparison itself must be allowed; two values of an array get the type that the comparison gives them.
+        empty.where(F.lit(None).cast(x) == F.lit(None).cast(y))
+        return empty.select(F.array(F.lit(None).cast(x), F.lit(None).cast(y)).alias("v")).schema["v"].dataType.elementType.simpleString()
+    except AnalysisException as error:
+        raise ValueError(f"values of type {x} and {y} cannot be compared") from error
+
+
 def common_types(a, b):
-    """Both tables with the columns they share in one type: the wider of two numbers, else text.
+    """Both tables with the columns they share in the type in which Spark compares them; columns that it does not compare are refused.
 
-    A join key is hashed, and a hash tells an int 1 from a bigint 1, so this comes before any key is made.
+    A join key is hashed, and a hash tells an int 1 from a bigint 1, so this comes before any key is made. A text that
+    is no value of the other side's type becomes null and matches nothing.
     """
-    numbers = ["byte", "short", "int", "bigint", "float", "double"]
-    rank = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "float": 4, "double": 5}
     kinds_a, kinds_b = dict(a.dtypes), dict(b.dtypes)
-    casts = {}
-    for c in a.columns:
-        x, y = kinds_a[c], kinds_b.get(c)
-        if y is not None and x != y:
-            casts[c] = numbers[max(rank[x], rank[y])] if x in rank and y in rank else "string"
-    change = lambda df: df.withColumns({c: F.col(c).cast(t) for c, t in casts.items()}) if casts else df
+    casts = {c: _wider(a.sparkSession, kinds_a[c], kinds_b[c]) for c in a.columns if kinds_b.get(c, kinds_a[c]) != kinds_a[c]}
+    change = lambda df: df.withColumns({c: F.col(c).try_cast(t) if dict(df.dtypes)[c] == "string" else F.col(c).cast(t) for c, t in casts.items()}) if casts else df
     return change(a), change(b)
 
 
@@ -160,7 +177,7 @@ def sharpen(rules, fields, at_least):
     `at_least`, so joining on those composites finds the same pairs from far smaller blocks.
     """
     out = []
-    for rule in rules:
+    for rule in join_keys(rules):
         missing = at_least - sum(1 for f in rule if f in fields)
         if missing <= 0:
             out.append(list(rule))
@@ -179,8 +196,9 @@ def candidate_pairs(a, rules, fields, b=None, join_rules=None, hot_block=HOT_BLO
 
     `join_rules` may name a sharper set of composites (see `sharpen`) that covers the pairs wanted.
     """
-    needed = list(dict.fromkeys([f for rule in rules for f in [*rule, *getattr(rule, "needs", ())]] + list(fields)))
-    pairs = paired(a, b, join_rules or rules, needed, hot_block)
+    keys = join_rules or join_keys(rules)
+    needed = list(dict.fromkeys([f for key in keys for f in key] + [f for rule in rules for f in [*rule, *getattr(rule, "needs", ())]] + list(fields)))
+    pairs = paired(a, b, keys, needed, hot_block)
     kept = ["unique_id_l", "unique_id_r", "source_dataset_l", "source_dataset_r"]
     shown = [f"{f}_{s}" for f in needed if f not in ("unique_id", "source_dataset") for s in "lr"]
     out = pairs.select(*kept, _first_cover(rules).cast("int").alias("match_key"), *shown)
@@ -235,50 +253,82 @@ def block_counts(records, rule, link=False):
     return counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_pairs"))
 
 
+def _masked(rows, fields, masks, by=()):
+    """(by, mask, n, na): how many records share all values of each mask's fields, for every mask in one aggregation.
+
+    A row becomes one row per mask whose fields it has, keyed by 128 bits of hash: the exclusive or of the hashes of its values.
+    Values are hashed once a row and the masks are one literal, so the plan is the same for ten masks and for ten thousand.
+    """
+    hashes = [F.when(F.col(f).isNotNull(), F.xxhash64(F.lit(f"{i}.{salt}"), F.col(f))).otherwise(F.lit(0)).alias(f"_h{salt}_{i}")
+              for i, f in enumerate(fields) for salt in (1, 2)]
+    there = F.lit(0).cast("long")
+    for i, f in enumerate(fields):
+        there = there.bitwiseOR(F.when(F.col(f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    spread = rows.select(*by, "n", "na", there.alias("_there"), *hashes).withColumn(
+        "mask", F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")))
+
+    def key(salt):
+        out = F.lit(0).cast("long")
+        for i in range(len(fields)):
+            out = out.bitwiseXOR(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"_h{salt}_{i}")).otherwise(F.lit(0)))
+        return out.alias(f"_k{salt}")
+
+    return (spread.where(F.col("mask").bitwiseAND(F.col("_there")) == F.col("mask")).select(*by, "mask", key(1), key(2), "n", "na")
+            .groupBy(*by, "mask", "_k1", "_k2").agg(F.sum("n").alias("n"), F.sum("na").alias("na")))
+
+
 def _pairs_per_set(records, fields, sets, link):
-    """Pairs that agree on all fields of each set: (mask, c), from grouping-sets aggregations.
+    """Pairs that agree on all fields of each set: (mask, c), from one aggregation over all sets.
 
-    Rows are folded before the shuffle, so a frequent value costs no more than a rare one. Records are first folded by
-    identity and values; what records of one id and the same values would make among themselves is taken off again.
+    Records are folded to distinct profiles first, and rows are folded before each shuffle, so a frequent value costs no more than a
+    rare one. What records of one id and the same values would make among themselves is taken off again; ids that
+    occur once add nothing, and if there are no others adaptive execution drops that branch.
     """
-    parts = []
-    for start in range(0, len(sets), SETS_AT_ONCE):
-        some = sets[start:start + SETS_AT_ONCE]
-        used = [f for f in fields if any(f in one for one in some)]
-        there = " AND ".join(f"(_out_{f} = 1 OR `{f}` IS NOT NULL)" for f in used)
-        mask = " + ".join(f"(1 - cast(_out_{f} as int)) * {1 << fields.index(f)}L" for f in used)
-        outs = [F.grouping(f).alias(f"_out_{f}") for f in used]
-        grouped = records.select("source_dataset", *used).groupingSets(some, *used).agg(
-            F.count_if(F.col("source_dataset") == "A").alias("na"), F.count("*").alias("n"), *outs)
-        size = F.expr("na * (n - na)") if link else pairs_of("n")
-        counted = grouped.where(there).select(F.expr(mask).alias("mask"), size.alias("c"))
-        if not link:
-            # Same identity on both sides: pairs inside an id, by the same sets. Ids that occur once add nothing.
-            repeated = records.groupBy("source_dataset", "unique_id").agg(F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
-            twice = records.select("source_dataset", "unique_id", *used).join(repeated, ["source_dataset", "unique_id"], "left_semi")
-            within = twice.groupingSets([["source_dataset", "unique_id", *one] for one in some], "source_dataset", "unique_id", *used).agg(
-                F.count("*").alias("n"), *outs)
-            counted = counted.unionByName(within.where(there).select(F.expr(mask).alias("mask"), (-pairs_of("n")).alias("c")))
-        parts.append(counted.groupBy("mask").agg(F.sum("c").alias("c")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    used = [f for f in fields if any(f in one for one in sets)]
+    bit = {f: 1 << fields.index(f) for f in used}
+    local = [sum(1 << used.index(f) for f in one) for one in sets]
+
+    def counted(rows, by=()):
+        """Groups of equal values under every set; a single set is grouped by its own columns."""
+        in_a = F.count_if(F.col("source_dataset") == "A").alias("na")
+        profiles = rows.dropna(subset=used) if len(sets) == 1 else rows
+        profiles = profiles.groupBy(*by, *used).agg(F.count("*").alias("n"), in_a)
+        return profiles.select(F.lit(local[0]).cast("long").alias("mask"), "n", "na") if len(sets) == 1 else _masked(profiles, used, local, by)
+
+    size = F.expr("na * (n - na)") if link else pairs_of("n")
+    # Groups of one record make no pair.
+    pairs = counted(records).where("n > 1").select("mask", size.alias("c"))
+    if not link:
+        # Same identity on both sides: pairs inside an id, by the same sets.
+        ids = ["source_dataset", "unique_id"]
+        repeated = records.groupBy(*ids).agg(F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
+        twice = records.select(*ids, *used).join(repeated, ids, "left_semi")
+        pairs = pairs.unionByName(counted(twice.withColumnsRenamed({"unique_id": "_uid", "source_dataset": "_sid"}).withColumn(
+            "source_dataset", F.col("_sid")), ["_sid", "_uid"]).where("n > 1").select("mask", (-pairs_of("n")).alias("c")))
+    out = pairs.groupBy("mask").agg(F.sum("c").alias("c"))
+    if used == list(fields):
+        return out
+    parts = F.lit(0).cast("long")
+    for i, f in enumerate(used):
+        parts = parts.bitwiseOR(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(bit[f])).otherwise(F.lit(0)).cast("long"))
+    return out.select(parts.alias("mask"), "c")
 
 
 def agreement_patterns(records, fields, link=False):
     """How many record pairs agree on exactly which of the fields, for every pattern that occurs.
 
-    Pairs agreeing on at least a set of fields are counted from group sizes (one grouping-sets
-    aggregation over the distinct value combinations), then inclusion and exclusion over supersets
-    leaves the exact counts. No pair is made, so a value shared by a third of all records costs the
-    same as any other. Gives covers_<f> flags and n_pairs; pairs agreeing on nothing are left out.
+    Pairs agreeing on at least a set of fields are counted from group sizes, for all sets in one aggregation over the distinct
+    profiles; then inclusion and exclusion over supersets (a Moebius transform) leaves the exact counts. No pair is made, so a value
+    shared by a third of all records costs the same as any other. Gives covers_<f> flags and n_pairs; pairs agreeing on
+    nothing are left out.
     """
     sets = [list(c) for k in range(1, len(fields) + 1) for c in combinations(fields, k)]
-    at_least = _pairs_per_set(records, fields, sets, link)
-    subset = F.filter(F.sequence(F.lit(1).cast("long"), F.col("mask")), lambda s: s.bitwiseAND(F.col("mask")) == s)
+    at_least = _pairs_per_set(records, fields, sets, link).where("c <> 0")
+    # All subsets of a mask, by dropping its bits one after the other: 3 ** fields rows in all at most.
+    subsets = F.aggregate(F.array(*[F.lit(1 << i).cast("long") for i in range(len(fields))]), F.array("mask"), lambda known, b: F.when(
+        F.col("mask").bitwiseAND(b) != 0, F.concat(known, F.transform(known, lambda m: m.bitwiseXOR(b)))).otherwise(known))
     sign = F.when(F.bit_count(F.col("mask").bitwiseXOR(F.col("sub"))) % 2 == 0, F.col("c")).otherwise(-F.col("c"))
-    exact = (at_least.select("mask", "c", F.explode(subset).alias("sub"))
+    exact = (at_least.select("mask", "c", F.explode(subsets).alias("sub")).where("sub <> 0")
              .groupBy("sub").agg(F.sum(sign).alias("n_pairs")).where("n_pairs > 0"))
     flags = [(F.col("sub").bitwiseAND(F.lit(1 << i)) != 0).alias(f"covers_{f}") for i, f in enumerate(fields)]
     return exact.select(*flags, "n_pairs")
@@ -343,7 +393,7 @@ def candidate_count(a, rules, b=None):
     """Exact size of the candidate set for a rule list, without making pairs."""
     both = both_tables(a, b)
     rules = [rule if residual(rule) else [f for f in rule if f in a.columns] for rule in rules]
-    rules = [rule for rule in rules if rule]
+    rules = [rule for rule in rules if rule or residual(rule)]
     if not rules:
         return a.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_pairs"))
     if len(rules) == 1 and not residual(rules[0]):

@@ -1,7 +1,8 @@
 """Run-to-run comparison."""
 from pyspark.sql import functions as F
 
-from kinsift.functions.numbers import rounded
+from kinsift.functions.numbers import ratio, rounded
+from kinsift.functions.quantiles import probability_strip, weighted_quantiles
 from kinsift.operators import cluster_metrics, edge_metrics
 from kinsift.operators.components import cluster_pairs
 
@@ -39,11 +40,12 @@ def labelled_runs(df1, df2):
 def prob_comparison(pairs1, pairs2):
     both = labelled_runs(pairs1.select("match_probability"), pairs2.select("match_probability"))
     counted = both.groupBy("run", "match_probability").agg(F.count("*").alias("n"))
-    mean = F.sum(F.col("match_probability") * F.col("n")) / F.sum("n")
-    return counted.groupBy("run").agg(
-        rounded(mean, 4).alias("mean_match_prob"),
-        rounded(F.expr("percentile(match_probability, 0.5D, n)"), 4).alias("median_match_prob"),
-        F.sum("n").alias("n_edges"))
+    middle = weighted_quantiles(counted, "match_probability", {"median": 0.5}, probability_strip, ["run"])
+    known = F.when(F.col("match_probability").isNotNull(), F.col("n"))
+    sums = counted.groupBy("run").agg(edge_metrics.exact_sum(F.col("match_probability"), F.col("n")).cast("double").alias("s"),
+                                      F.sum(known).alias("known"), F.sum("n").alias("n_edges"))
+    return sums.join(F.broadcast(middle), "run", "left").select(
+        "run", rounded(ratio(F.col("s"), F.col("known")), 4).alias("mean_match_prob"), rounded(F.col("median"), 4).alias("median_match_prob"), "n_edges")
 
 
 def cluster_overlap(clusters1, clusters2):

@@ -3,6 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinsift.fixed_values import UNLINKABLE_GRID
+from kinsift.functions.quantiles import probability_strip, weight_strip, weighted_quantiles
 from kinsift.functions.numbers import pairs_of, ratio, rounded
 
 
@@ -24,22 +25,22 @@ def _by_value(pairs, column):
     return pairs.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def exact_sum(value, weight):
+    """Sum of value x weight as a decimal: the same in any order of the rows."""
+    return F.sum((value.cast("decimal(22,15)") * weight.cast("decimal(16,0)")).cast("decimal(38,15)"))
+
+
 def match_prob_stats(pairs):
     p = F.col("match_probability")
-    counted = _by_value(pairs, "match_probability")
-    mean = F.sum(p * F.col("n")) / F.sum(F.when(p.isNotNull(), F.col("n")))
-    stats = counted.agg(
-        mean.alias("mean"), F.expr("percentile(match_probability, 0.5D, n)").alias("median"),
-        F.min(p).alias("low"), F.max(p).alias("high"),
-        F.sum(F.when(p.isNotNull(), F.col("n"))).alias("n"))
-    spread = (counted.where(p.isNotNull()).withColumn("_one", F.lit(1))
-              .join(F.broadcast(stats.select("mean", F.lit(1).alias("_one"))), "_one")
-              .agg(F.sum(F.col("n") * (p - F.col("mean")) * (p - F.col("mean"))).alias("ss"))
-              .withColumn("_one", F.lit(1)))
-    both = stats.withColumn("_one", F.lit(1)).join(F.broadcast(spread), "_one")
-    stddev = F.sqrt(F.try_divide(F.col("ss"), (F.col("n") - 1).cast("double")))
+    counted = _by_value(pairs, "match_probability").where(p.isNotNull())
+    sums = counted.agg(exact_sum(p, F.col("n")).cast("double").alias("s"), exact_sum(p * p, F.col("n")).cast("double").alias("ss"),
+                       F.min(p).alias("low"), F.max(p).alias("high"), F.sum("n").alias("n"), F.lit(1).alias("_one"))
+    median = weighted_quantiles(counted, "match_probability", {"median": 0.5}, probability_strip).withColumn("_one", F.lit(1))
+    both = sums.join(F.broadcast(median), "_one")
+    mean = F.try_divide(F.col("s"), F.col("n").cast("double"))
+    stddev = F.sqrt(F.try_divide(F.greatest(F.col("ss") - F.col("s") * mean, F.lit(0.0)), (F.col("n") - 1).cast("double")))
     return both.select(
-        rounded(F.col("mean"), 4).alias("mean_match_prob"), rounded(F.col("median"), 4).alias("median_match_prob"),
+        rounded(mean, 4).alias("mean_match_prob"), rounded(F.col("median"), 4).alias("median_match_prob"),
         rounded(F.col("low"), 4).alias("min_match_prob"), rounded(F.col("high"), 4).alias("max_match_prob"),
         rounded(stddev, 4).alias("stddev_match_prob"))
 
@@ -57,9 +58,8 @@ def match_weight_hist(pairs):
 
 
 def weight_percentiles(pairs):
-    counted = _by_value(pairs, "match_weight")
-    return counted.agg(*[
-        rounded(F.expr(f"percentile(match_weight, {p / 100}D, n)"), 4).alias(f"p{p}") for p in (10, 25, 75, 90)])
+    wanted = weighted_quantiles(_by_value(pairs, "match_weight"), "match_weight", {f"p{p}": p / 100 for p in (10, 25, 75, 90)}, weight_strip)
+    return wanted.select(*[rounded(F.col(f"p{p}"), 4).alias(f"p{p}") for p in (10, 25, 75, 90)])
 
 
 def gamma_columns(pairs):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinsift.fixed_values import (AGREEMENT_SHARE, BOOKKEEPING, SELECT_PRIORITY, SELECTIVE_COLUMNS, SELECTIVE_TYPES,
                                   SUGGESTED_BLOCKING_TYPES, SUGGESTED_COMPARATOR, TYPE_RULES)
+from kinsift.operators.blocking import join_keys
 from kinsift.functions.numbers import rounded
 
 YEAR = r"^(18|19|20)\d{2}$"
@@ -115,7 +116,7 @@ def classify_field_kind(df, fields, parse):
 def blocking_diagnostic(a, rules, b=None):
     """Per enabled field: filled values, distinct values, values shared by two or more rows."""
     both = a if b is None else a.unionByName(b, allowMissingColumns=True)
-    fields = list(dict.fromkeys(f for rule in rules for f in rule))
+    fields = list(dict.fromkeys(f for keys in join_keys(rules) for f in keys))
     present = [f for f in fields if f in both.columns]
     counts = (unpivot(both, present).where("value is not null and trim(value) <> ''")
               .groupBy("column", "value").agg(F.count("*").alias("n")))

@@ -4,7 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from kinsift.fixed_values import PRIOR_FALLBACK, WEIGHT_THRESHOLD
-from kinsift.operators.blocking import HOT_BLOCK, candidate_pairs
+from kinsift.operators.blocking import HOT_BLOCK, candidate_pairs, join_keys
 from kinsift.operators.comparators import level_gammas, with_gammas
 
 
@@ -68,7 +68,7 @@ def reachable_rules(model, rules, threshold):
         return start + sum((e if f in exact else b) for f, (e, b) in table.items())
 
     out = []
-    for rule in rules:
+    for rule in join_keys(rules):
         spare = [f for f in table if f not in rule]
         if ceiling(set(rule) | set(spare)) < threshold - slack:
             continue

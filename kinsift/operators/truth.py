@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinsift.fixed_values import EPSILON_STEPS
 from kinsift.functions.numbers import ratio, rounded
+from kinsift.functions.quantiles import probability_strip
 from kinsift.operators.blocking import truth_pair_count, truth_pairs
 
 
@@ -62,13 +63,6 @@ def rates(counts):
         rounded(F.col("_s"), 4).alias("fstar"))
 
 
-def _strip(probability):
-    """Strip of a sixteenth of a bit of match weight that a probability falls in: at most 2050 strips, in order; null is lowest."""
-    odds = F.log2(probability / (1 - probability))
-    inside = F.greatest(F.lit(-1024), F.least(F.lit(1024), F.floor(odds * 16)))
-    return (F.when(probability.isNull(), -2000).when(probability >= 1, 1024).when(probability <= 0, -1024).otherwise(inside)).cast("int")
-
-
 def truth_space(pairs, records, link=False, strict=False):
     """Counts and rates at every distinct probability, highest first.
 
@@ -81,7 +75,7 @@ def truth_space(pairs, records, link=False, strict=False):
         F.count_if("is_true_match").alias("tp1"), F.count_if(~F.col("is_true_match")).alias("fp1"))
     rest = pairs.sparkSession.createDataFrame([(None, 0, 0)], "match_probability double, tp1 long, fp1 long")
     grouped = (grouped.unionByName(rest).groupBy("match_probability").agg(F.sum("tp1").alias("tp1"), F.sum("fp1").alias("fp1"))
-               .withColumn("_strip", _strip(F.col("match_probability"))))
+               .withColumn("_strip", probability_strip(F.col("match_probability"))))
     strips = grouped.groupBy("_strip").agg(F.sum("tp1").alias("_tp"), F.sum("fp1").alias("_fp"))
     higher = Window.orderBy(F.desc("_strip")).rowsBetween(Window.unboundedPreceding, -1)
     strips = strips.select("_strip", F.coalesce(F.sum("_tp").over(higher), F.lit(0)).alias("_tp"),
@@ -104,12 +98,24 @@ def truth_space(pairs, records, link=False, strict=False):
         rounded(ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("fstar"))
 
 
+#: F* is rounded to six places, so its sum is taken as a whole number of millionths: exact in any order.
+MILLION = 1_000_000
+
+
+def _millionths(column):
+    return F.floor(F.col(column) * F.lit(float(MILLION)) + F.lit(0.5)).cast("long")
+
+
+def _mean_of(total, n):
+    return total.cast("double") / (n * F.lit(MILLION)).cast("double")
+
+
 def crl_score(space, epsilon=0.1, as_coded=False):
     """Mean F* times the width of the probability range where fdr and fnr stay within epsilon."""
     rows = space if as_coded else space.where("match_probability is not null")
     rows = rows.where((F.col("fdr") <= epsilon) & (F.col("fnr") <= epsilon) & F.col("fstar").isNotNull())
     return rows.agg(F.max("match_probability").alias("t_upper"), F.min("match_probability").alias("t_lower"),
-                    F.avg("fstar").alias("_mean")).select(
+                    _mean_of(F.sum(_millionths("fstar")), F.count("fstar")).alias("_mean")).select(
         F.lit(float(epsilon)).alias("epsilon"), "t_upper", "t_lower",
         F.coalesce(F.col("_mean") * (F.col("t_upper") - F.col("t_lower")), F.lit(0.0)).alias("crl_score"))
 
@@ -125,13 +131,13 @@ def crl_curve(space, as_coded=False, steps=EPSILON_STEPS):
             .otherwise(guess))
     entering = (rows.where("fdr is not null and fnr is not null and fstar is not null")
                 .select(F.greatest(step, F.lit(0)).alias("step"), "fstar", "match_probability")
-                .groupBy("step").agg(F.sum("fstar").alias("s"), F.count("*").alias("n"),
+                .groupBy("step").agg(F.sum(_millionths("fstar")).alias("s"), F.count("*").alias("n"),
                                      F.max("match_probability").alias("hi"), F.min("match_probability").alias("lo")))
     grid = space.sparkSession.range(steps).withColumnRenamed("id", "step").join(entering, "step", "left")
     so_far = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     curve = grid.select("step", F.sum("s").over(so_far).alias("s"), F.sum("n").over(so_far).alias("n"),
                         F.max("hi").over(so_far).alias("hi"), F.min("lo").over(so_far).alias("lo"))
-    score = F.coalesce(F.col("s") / F.col("n") * (F.col("hi") - F.col("lo")), F.lit(0.0))
+    score = F.coalesce(_mean_of(F.col("s"), F.col("n")) * (F.col("hi") - F.col("lo")), F.lit(0.0))
     return curve.select((F.col("step") / F.lit(last)).alias("epsilon"), score.alias("crl_score"))
 
 

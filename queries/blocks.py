@@ -110,6 +110,38 @@ def agreement_patterns(spark, sf_dir):
     return blocking.agreement_patterns(x.part_records(spark, sf_dir), x.PART_FIELDS)
 
 
+# ---- thirteen fields: 8191 sets of fields, twelve rules of one field each ---------------------------------------------------
+
+WIDE = {"colour": ("split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 1)"), "thing": ("split_part(p_name, ' ', 2)", "split_part(p_name, ' ', 2)"),
+        "name": ("p_name", "p_name"), "brand": ("p_brand", "p_brand"), "digit": ("right(p_brand, 1)", "right(p_brand, 1)"), "type": ("p_type", "p_type"),
+        "initial": ("left(p_type, 1)", "left(p_type, 1)"), "size": ("p_size", "p_size"), "tens": ("p_size div 10", "p_size // 10"),
+        "band": ("cast(floor(p_retailprice / 10) as bigint)", "floor(p_retailprice / 10)::BIGINT"),
+        "price": ("cast(floor(p_retailprice) as bigint)", "floor(p_retailprice)::BIGINT"), "odd": ("p_size % 2", "p_size % 2"),
+        "long": ("CASE WHEN p_size % 7 <> 0 THEN length(p_name) END", "CASE WHEN p_size % 7 <> 0 THEN length(p_name) END")}
+Q_WIDE = "wide AS (SELECT p_partkey::VARCHAR AS unique_id, 'A' AS source_dataset, " + ", ".join(f"{sql} AS {f}" for f, (_, sql) in WIDE.items()) + " FROM part)"
+
+
+def wide_records(spark, sf_dir):
+    return x.load(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) AS unique_id", "'A' AS source_dataset", *[f"{e} AS {f}" for f, (e, _) in WIDE.items()])
+
+
+@query("agreement_patterns_wide", q_with(Q_WIDE) + "SELECT *, count(*) AS n_pairs FROM (SELECT " + ", ".join(f"coalesce(a.{f} = b.{f}, false) AS covers_{f}" for f in WIDE)
+       + " FROM wide a JOIN wide b ON a.unique_id < b.unique_id) WHERE " + " OR ".join(f"covers_{f}" for f in WIDE) + " GROUP BY ALL")
+def agreement_patterns_wide(spark, sf_dir):
+    """Agreement of all record pairs on any of 8191 sets of fields."""
+    return blocking.agreement_patterns(wide_records(spark, sf_dir), list(WIDE))
+
+
+ANY_FIELD = [[f] for f in WIDE if f != "odd"]
+
+
+@query("candidate_count_any_field", q_with(Q_WIDE) + "SELECT count(*) AS n_pairs FROM wide a JOIN wide b ON a.unique_id < b.unique_id WHERE "
+       + " OR ".join(f"a.{f} = b.{f}" for (f,) in ANY_FIELD))
+def candidate_count_any_field(spark, sf_dir):
+    """Preflight of twelve rules of one field each."""
+    return blocking.candidate_count(wide_records(spark, sf_dir), ANY_FIELD)
+
+
 def q_rule_counts(rules):
     names = ", ".join(f"({i}::INT, '{blocking.rule_sql(r)}')" for i, r in enumerate(rules))
     return (f"SELECT rule_index, rule_sql, count(*) AS n FROM ({q_pairs('part_records', rules, [])}) "
