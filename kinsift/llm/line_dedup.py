@@ -1,84 +1,171 @@
-"""Line or paragraph deduplication: units that occur more than once stay where they rank first and go elsewhere.
-
-A unit is a line (or a paragraph: lines up to an empty one). It is normalised (A-Z lower-cased, white space collapsed, trimmed) and
-hashed; digests meet in one global grouping, folded on the map side, so a line that a third of all texts share is one row
-of each task there. Only digests and positions are shuffled there, never whole texts.
+"""Substring deduplication by hashing pieces of lines: a passage that occurs more than once stays where it ranks first.
+
+A piece is a stretch of a line up to a mark that ends a sentence or clause; long ones are cut again after words whose own checksum
+says so. Equal passages are thus cut alike wherever they begin. A unit is as many whole pieces as make MIN_WORDS words; one begins at
+every piece. Units are normalised (A-Z lower-cased, white space collapsed) and hashed; digests meet in one global grouping, folded
+on the map side, so a passage that a third of all texts share is one row of each task there. The pieces of every unit that ranks
+after an equal one go, and so do the words next to it, up to EDGE on either side, that equal those next to the first one:
+a passage that starts inside a piece is taken from its first word. Digests travel, and texts once, at the end.
 """
-from pyspark.sql import functions as F
-
-from kinsift.llm.common import let, lower_ascii, n_words, row_key
-from kinsift.session import materialise
-
-BREAKS = {"line": "\n", "paragraph": "\n\n"}
-
-
-def normalise(unit):
-    return F.trim(F.regexp_replace(lower_ascii(unit), r"[\x20\x09-\x0D]+", " "))
-
+import hashlib
+import re
+from zlib import crc32
 
-def units(documents, key, rank, text, by):
-    """One row per unit: key, rank, unit (its number), start (code points before it), body."""
-    sep = BREAKS[by]
-    cut = F.split(F.col(text), sep)
-
-    def placed(parts):
-        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
-        return F.aggregate(parts, first, lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + F.lit(len(sep))).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
-
-    return documents.select(key, rank, F.posexplode(cut).alias("unit", "body"))
-
-
-def repeated_units(documents, rank="doc_id", text="text", by="line", min_words=10):
-    """Units to remove: (row_key, unit) of each unit of `min_words` words or more that ranks after an equal one.
-
-    Rank is (rank column, null last; row_key; unit number): reruns agree. Rows equal in both rank and text are one
-    document, of which all copies are treated alike.
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from kinsift.llm.common import arrow_rows
+from kinsift.session import materialise, release
+
+#: Words of a unit at least; words beside a unit that are compared with those beside its first occurrence.
+MIN_WORDS, EDGE = 25, 8
+#: Pieces of more words are also cut after words whose checksum is a multiple of CUT.
+LONG, CUT = 16, 8
+MARKS = frozenset(".!?,;:")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+TO_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def pieces(text):
+    """(words in lower case, the first word of each piece and the end of the last)."""
+    words, firsts = [], [0]
+    for line in text.translate(TO_LOWER).split("\n"):
+        own = WORDS.findall(line)
+        if not own:
+            continue
+        base = len(words)
+        words += own
+        cuts = [base + i for i, word in enumerate(own, 1) if word[-1] in MARKS]
+        if not cuts or cuts[-1] < len(words):
+            cuts.append(len(words))
+        for end in cuts:
+            if end - firsts[-1] > LONG:
+                firsts += [i + 1 for i in range(firsts[-1], end - 1) if crc32(words[i].encode("utf-8", "surrogatepass")) % CUT == 0]
+            firsts.append(end)
+    return words, firsts
+
+
+def unit_ends(firsts, min_words):
+    """For each piece, the word after the shortest unit that begins there; None where the text ends before."""
+    ends, last = [], 0
+    for start in firsts[:-1]:
+        while last < len(firsts) and firsts[last] - start < min_words:
+            last += 1
+        ends.append(firsts[last] if last < len(firsts) else None)
+    return ends
+
+
+def marks_of(words):
+    """Two bytes of checksum for each word, and EDGE words of zeros on either side."""
+    sums = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words))
+    return np.concatenate([np.zeros(EDGE, "<u2"), sums.astype("<u2"), np.zeros(EDGE, "<u2")])
+
+
+def edges(marks, start, end):
+    """Checksums of the words next to a unit: EDGE before it, nearest first, and EDGE after it; zeros where the text ends."""
+    return marks[start:start + EDGE][::-1].tobytes() + marks[end + EDGE:end + 2 * EDGE].tobytes()
+
+
+def _units(min_words, with_edges, rank_type):
+    """mapInArrow over (rank, key, text): rank, key, piece, digest and, if wanted, edges of every unit."""
+    def walk(batches):
+        for batch in batches:
+            row, piece, digest, beside = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                words, firsts = pieces(text or "")
+                marks = marks_of(words) if with_edges else None
+                for number, end in enumerate(unit_ends(firsts, min_words)):
+                    if end is None:
+                        break
+                    start = firsts[number]
+                    row.append(i)
+                    piece.append(number)
+                    digest.append(hashlib.md5(" ".join(words[start:end]).encode("utf-8", "surrogatepass")).digest())
+                    if with_edges:
+                        beside.append(edges(marks, start, end))
+            at = pa.array(row, pa.int32())
+            columns = [batch.column("rank").take(at).cast(rank_type), batch.column("key").take(at), pa.array(piece, pa.int32()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(beside, pa.binary())] if with_edges else []),
+                                             ["rank", "key", "piece", "digest"] + (["beside"] if with_edges else []))
+    return walk
+
+
+def repeated_units(documents, rank, text, min_words):
+    """(rank, key, hits): per document that loses something, its units that rank after an equal one, each as (piece, piece of the
+    first occurrence if that is in the same document or else -1, edges of the first occurrence).
+
+    Rank is (rank column, null last; a hash of the text; piece): reruns agree. Rows equal in both rank and text are one document,
+    of which all copies are treated alike.
     """
-    docs = documents.select(row_key(rank, text).alias("row_key"), F.col(rank).alias("rank"), F.col(text).alias("body_text"))
-    found = units(docs, "row_key", "rank", "body_text", by).where(n_words(F.col("body")) >= min_words)
-    place = F.struct(F.col("rank").isNull().alias("last"), F.col("rank"), F.col("row_key"), F.col("unit"))
-    rows = materialise(found.select(F.unhex(F.md5(normalise(F.col("body")))).alias("digest"), place.alias("place")))
-    first = rows.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final")
-    later = rows.join(first.select("digest", "first"), "digest").where("place <> first")
-    return later.select("place.row_key", "place.unit").distinct()
-
-
-def dedup_units(documents, rank="doc_id", text="text", by="line", min_words=10):
-    """`documents` with repeated units taken out of the text, and what was taken.
-
-    Adds removed: array of (start, end, unit) in code points of the original text, end exclusive and without the break;
-    n_units; and original_chars. Kept units stay as they were, joined by the break. Units under `min_words` words stay: short
-    lines recur by chance. A null text stays null with n_units 0; an empty text is one empty unit; an empty table gives
-    an empty one; columns named removed, n_units or original_chars are replaced.
+    docs = documents.select(F.col(rank).alias("rank"), F.hash(text).alias("key"), F.col(text).alias("text"))
+    kind, name = to_arrow_type(docs.schema["rank"].dataType), docs.schema["rank"].dataType.simpleString()
+    place = F.struct(F.col("rank").isNull().alias("last"), "rank", "key", "piece")
+    first = (docs.mapInArrow(_units(min_words, True, kind), f"rank {name}, key int, piece int, digest binary, beside binary")
+             .groupBy("digest").agg(F.min(F.struct(place.alias("place"), "beside")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+             .select("digest", "first.place", "first.beside"))
+    rows = docs.mapInArrow(_units(min_words, False, kind), f"rank {name}, key int, piece int, digest binary")
+    later = rows.join(first, "digest").where(place != F.col("place"))
+    same = F.when(F.col("rank").eqNullSafe(F.col("place.rank")) & (F.col("key") == F.col("place.key")), F.col("place.piece")).otherwise(F.lit(-1))
+    hits = F.collect_set(F.struct("piece", same.alias("same"), "beside"))
+    return later.groupBy("rank", "key").agg(hits.alias("hits"))
+
+
+def cut(text, hits, min_words):
+    """(text without what the hits take, [(start, end)] in code points of the original). A unit that begins inside its first
+    occurrence in the same text stays."""
+    words, firsts = pieces(text)
+    ends, marks, gone = unit_ends(firsts, min_words), marks_of(words), np.zeros(len(words), bool)
+    for hit in hits:
+        start, end, floor = firsts[hit["piece"]], ends[hit["piece"]], 0
+        if hit["same"] >= 0:
+            floor = ends[hit["same"]]
+            if start < floor:
+                continue
+        theirs, own = np.frombuffer(hit["beside"], "<u2"), np.frombuffer(edges(marks, start, end), "<u2")
+        left = right = 0
+        while left < EDGE and start - left > floor and theirs[left] == own[left]:
+            left += 1
+        while right < EDGE and end + right < len(words) and theirs[EDGE + right] == own[EDGE + right]:
+            right += 1
+        gone[start - left:end + right] = True
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    spans = [found.span() for found in WORDS.finditer(text)]
+    removed = [(spans[a][0], spans[b][0] if b < len(words) else len(text)) for a, b in zip(turns[::2], turns[1::2])]
+    kept, at = [], 0
+    for start, end in removed:
+        kept.append(text[at:start])
+        at = end
+    return "".join([*kept, text[at:]]), removed
+
+
+def dedup_units(documents, rank="doc_id", text="text", min_words=MIN_WORDS):
+    """`documents` with repeated passages taken out of the text, and what was taken.
+
+    Adds removed: array of (start, end) in code points of the original text, end exclusive, with the white space up to the next word
+    that stays; and original_chars. A passage counts from `min_words` words in whole pieces on, so short lines and phrases that recur
+    by chance stay. A null text stays null, an empty one or one without words stays as it is; rows of one rank with different
+    texts are told apart by a hash of the text; an empty table gives an empty one; columns named removed or original_chars are
+    replaced. The result is stored.
     """
-    sep = BREAKS[by]
-    gone = (repeated_units(documents, rank, text, by, min_words).groupBy("row_key")
-            .agg(F.sort_array(F.collect_list("unit")).alias("gone_units")))
-    own = [c for c in documents.columns if c not in ("removed", "n_units", "original_chars")]
-    boxed = documents.select(F.struct(*own).alias("row"), row_key(rank, text).alias("row_key"))
-    body = F.col(f"row.{text}")
-
-    def spans(parts):
-        """Kept units and removed spans in one walk; `at` is the start of the next unit."""
-        nothing = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("unit"), F.lit(0).alias("next"),
-                           F.array().cast("array<struct<start:long,end:long,unit:int>>").alias("removed"))
-
-        def step(acc, p):
-            end = acc["at"] + F.length(p)
-            out = F.get(F.col("gone_units"), acc["next"]) == acc["unit"]
-            span = F.struct(acc["at"].alias("start"), end.alias("end"), acc["unit"].alias("unit"))
-            return F.struct((end + F.lit(len(sep))).alias("at"), (acc["unit"] + 1).alias("unit"),
-                            (acc["next"] + F.when(out, 1).otherwise(0)).alias("next"),
-                            F.when(out, F.concat(acc["removed"], F.array(span))).otherwise(acc["removed"]).alias("removed"))
-
-        return F.aggregate(parts, nothing, step)["removed"]
-
-    cut = F.split(body, sep)
-    kept = F.array_join(F.filter(cut, lambda p, i: ~F.array_contains("gone_units", i)), sep)
-    none = F.array().cast("array<struct<start:long,end:long,unit:int>>")
-    joined = boxed.join(gone, "row_key", "left")
-    return joined.select(
-        *[F.when(F.col("gone_units").isNull(), body).otherwise(kept).alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in own],
-        F.when(F.col("gone_units").isNull(), none).otherwise(spans(cut)).alias("removed"),
-        F.coalesce(F.size(cut), F.lit(0)).alias("n_units"), F.length(body).cast("long").alias("original_chars"))
+    own = [c for c in documents.columns if c not in ("removed", "original_chars")]
+
+    @F.pandas_udf("text string, removed array<struct<start:long,end:long>>")
+    def clean(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        out = [(None, None) if body is None else cut(body, found, min_words) for body, found in zip(texts, hits)]
+        return pd.DataFrame([(body, removed and [{"start": a, "end": b} for a, b in removed]) for body, removed in out], columns=["text", "removed"])
+
+    with arrow_rows(documents.sparkSession, 256):
+        gone = materialise(repeated_units(documents, rank, text, min_words))
+        boxed = documents.select(F.struct(*own).alias("row"), F.col(rank).alias("own_rank"), F.hash(text).alias("own_key"))
+        same = F.col("own_rank").eqNullSafe(F.col("rank")) & (F.col("own_key") == F.col("key"))
+        body = F.col(f"row.{text}")
+        # Only texts that lose something go to Python.
+        joined = boxed.join(gone, same, "left").select("row", "hits", clean(F.when(F.col("hits").isNotNull(), body), F.col("hits")).alias("now"))
+        out = materialise(joined.select(
+            *[F.when(F.col("hits").isNull(), body).otherwise(F.col("now.text")).alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in own],
+            F.coalesce("now.removed", F.array().cast("array<struct<start:long,end:long>>")).alias("removed"), F.length(body).cast("long").alias("original_chars")))
+    release(gone)
+    return out

@@ -50,25 +50,51 @@ def op3(spark, sf_dir):
     return count_tokens(common.table(spark, sf_dir, "documents"), read_pieces(VOCABULARY))
 
 
-@query("op4_line_dedup", r"""
-    WITH u AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-               FROM documents),
-    k AS (SELECT *, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
-                 len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 10 AS long FROM u),
-    r AS (SELECT *, long AND row_number() OVER (PARTITION BY norm, long ORDER BY doc_id NULLS LAST, unit) > 1 AS gone,
-                 coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS opens FROM k)
-    SELECT doc_id, count(*)::INT AS n_units, count(*) FILTER (gone)::INT AS n_removed,
-           string_agg(opens || '-' || (opens + length(body)), ',' ORDER BY unit) FILTER (gone) AS removed_spans,
-           coalesce(string_agg(body, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text
-    FROM r GROUP BY doc_id HAVING count(*) FILTER (gone) > 0""")
+#: crc32 of the bytes in a list of UBIGINT, bit by bit: polynomial 0xEDB88320, reflected.
+SQL_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, {}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)), 4294967295::UBIGINT)"""
+SQL_BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::UBIGINT)"
+
+
+@query("op4_line_dedup", rf"""
+    WITH d AS (SELECT doc_id, text, {SQL_LOWER.format("text")} AS low FROM documents WHERE text IS NOT NULL),
+    lines AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, generate_subscripts(string_split(low, chr(10)), 1) AS ln FROM d),
+    split AS (SELECT doc_id, ln, regexp_extract_all(line, {SQL_WORD}) AS w FROM lines),
+    spread AS (SELECT doc_id, ln, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS m FROM split),
+    marked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) - 1 AS i, word,
+                      k = m OR right(word, 1) IN ('.', '!', '?', ',', ';', ':') AS stop FROM spread),
+    coarse AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM marked),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, c) AS n FROM coarse),
+    fine AS (SELECT *, stop OR (CASE WHEN n > 16 THEN {SQL_CRC.format(SQL_BYTES.format("word"))} % 8 = 0 ELSE false END) AS ends FROM sized),
+    worded AS (SELECT doc_id, i, word, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS piece FROM fine),
+    p AS (SELECT doc_id, piece, min(i) AS a, max(i) + 1 AS b FROM worded GROUP BY ALL),
+    u AS (SELECT p.doc_id, p.piece, p.a, min(q.b) AS b FROM p JOIN p q ON q.doc_id = p.doc_id AND q.piece BETWEEN p.piece AND p.piece + 25 AND q.b >= p.a + 25 GROUP BY ALL),
+    lists AS (SELECT doc_id, list(word ORDER BY i) AS ws FROM worded GROUP BY doc_id),
+    k AS (SELECT u.*, array_to_string(ws[a + 1:b], ' ') AS norm FROM u JOIN lists USING (doc_id)),
+    f AS (SELECT *, first_value(doc_id) OVER x AS fd, first_value(piece) OVER x AS fp, first_value(a) OVER x AS fa, first_value(b) OVER x AS fb FROM k
+          WINDOW x AS (PARTITION BY norm ORDER BY doc_id, piece)),
+    h AS (SELECT f.*, own.ws, other.ws AS fw, CASE WHEN f.doc_id = fd THEN fb ELSE 0 END AS low FROM f JOIN lists own ON own.doc_id = f.doc_id JOIN lists other ON other.doc_id = fd
+          WHERE NOT (f.doc_id = fd AND piece = fp) AND (f.doc_id <> fd OR a >= fb)),
+    g AS (SELECT doc_id, a + 1 - coalesce(list_filter(range(1, 9), lambda x: a - x < low OR fa < x OR ws[a - x + 1] <> fw[fa - x + 1])[1], 9) AS s,
+                 b + coalesce(list_filter(range(0, 8), lambda x: b + x >= len(ws) OR fb + x >= len(fw) OR ws[b + x + 1] <> fw[fb + x + 1])[1], 8) AS e FROM h),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS i FROM g),
+    raw AS (SELECT doc_id, regexp_extract(text, '^[\x20\x09-\x0D]*') AS lead, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS toks FROM d),
+    t AS (SELECT doc_id, lead, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS i FROM raw),
+    placed AS (SELECT *, length(lead) + coalesce(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS opens FROM t),
+    st AS (SELECT placed.*, gone.i IS NOT NULL AS out, placed.i - row_number() OVER (PARTITION BY placed.doc_id, gone.i IS NOT NULL ORDER BY placed.i) AS island
+           FROM placed LEFT JOIN gone ON gone.doc_id = placed.doc_id AND gone.i = placed.i),
+    spans AS (SELECT doc_id, count(*)::INT AS n, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM (
+              SELECT doc_id, min(opens) AS s, max(opens + length(tok)) AS e FROM st WHERE out GROUP BY doc_id, island) GROUP BY doc_id),
+    kept AS (SELECT doc_id, any_value(lead) || coalesce(string_agg(tok, '' ORDER BY i) FILTER (NOT out), '') AS body FROM st GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::INT AS n_removed, coalesce(spans, '') AS removed_spans, coalesce(body, text) AS text, length(text)::BIGINT AS original_chars
+    FROM documents LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)""")
 def op4(spark, sf_dir):
-    """Every document that repeats a line of an earlier document (or its own): the text without those lines, and where they
-    stood, in code points of the original. Documents that are not in the result stay as they are."""
+    """Every document without the passages that an earlier one (or itself) has, and where they stood, in code points of the original."""
     from kinsift.llm.line_dedup import dedup_units
 
-    out = dedup_units(common.table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("removed") > 0)
+    out = dedup_units(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
-    return out.select("doc_id", "n_units", F.size("removed").alias("n_removed"), spans.alias("removed_spans"), "text")
+    return out.select("doc_id", F.size("removed").alias("n_removed"), spans.alias("removed_spans"), "text", "original_chars")
 
 
 @query("op5_benchmark_decontamination", f"""
@@ -156,12 +182,9 @@ def _tree_sql():
 
     field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
     leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
-    # crc32 of the decimal id, bit by bit: polynomial 0xEDB88320, reflected.
-    shift = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)"
-    bytes_of = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::UBIGINT)"
-    crc = f"list_reduce(list_prepend(4294967295::UBIGINT, {bytes_of}), lambda c, b: {shift})"
+    crc = SQL_CRC.format(SQL_BYTES.format("doc_id::VARCHAR"))
     return f"""
-    WITH RECURSIVE raw AS (SELECT coalesce('=' || source, '') AS grp, doc_id, {leaf("text")} AS h, xor({crc}, 4294967295::UBIGINT) % 5 = 0 AS hit,
+    WITH RECURSIVE raw AS (SELECT coalesce('=' || source, '') AS grp, doc_id, {leaf("text")} AS h, {crc} % 5 = 0 AS hit,
                                   {leaf("low")} AS other
                            FROM (SELECT *, {SQL_LOWER.format("text")} AS low FROM documents)),
     leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM raw),

@@ -2,6 +2,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -20,50 +21,103 @@ def rows_of(df):
 
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
-def plain_dedup(rows, min_words=10):
-    """rows: (doc_id, text) told apart by both; text after dedup and removed spans."""
-    place = {}
-    out = {}
-    for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, line_dedup_key(r))):
-        kept, removed, at = [], [], 0
-        for n, line in enumerate([] if text is None else text.split("\n")):
-            norm = " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split(" "))
-            norm = re.sub(r"[\x20\x09-\x0D]+", " ", norm).strip(" ")
-            if len(words(line)) >= min_words and norm in place:
-                removed.append((at, at + len(line), n))
+def keyed(df):
+    """(doc_id, text, hash of the text) of every row."""
+    return [tuple(r) for r in df.select("doc_id", "text", F.hash("text")).collect()]
+
+
+def plain_pieces(text):
+    """Words in lower case with their spans, and the (first, end) of the pieces, word by word."""
+    found = [(m.group(), m.span()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    lower = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w, _ in found]
+    stops = [w[-1] in ".!?,;:" or i == len(found) - 1 or "\n" in text[found[i][1][1]:found[i + 1][1][0]] for i, w in enumerate(lower)]
+    out, start = [], 0
+    for i, stop in enumerate(stops):
+        if stop:
+            long = i + 1 - start > 16
+            for j in range(start, i):
+                if long and zlib.crc32(lower[j].encode()) % 8 == 0:
+                    out.append((start, j + 1))
+                    start = j + 1
+            out.append((start, i + 1))
+            start = i + 1
+    return lower, [s for _, s in found], out
+
+
+def plain_dedup(rows, least=25, edge=8):
+    """rows: (doc_id, text, key); text after dedup and removed spans of each (doc_id, text), comparing words themselves."""
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    cut = {(d, t): plain_pieces(t) if t is not None else ([], [], []) for d, t, _ in order}
+    first, out = {}, {}
+    for d, t, _ in order:
+        lower, spans, parts = cut[d, t]
+        gone = set()
+        for start, _ in parts:
+            ends = [e for _, e in parts if e - start >= least]
+            if not ends:
+                break
+            end = ends[0]
+            doc, a, b = first.setdefault(tuple(lower[start:end]), ((d, t), start, end))
+            if (doc, a) == ((d, t), start) or (doc == (d, t) and start < b):
+                continue
+            theirs, floor = cut[doc][0], b if doc == (d, t) else 0
+            left = right = 0
+            while left < edge and start - left > floor and a - left > 0 and lower[start - left - 1] == theirs[a - left - 1]:
+                left += 1
+            while right < edge and end + right < len(lower) and b + right < len(theirs) and lower[end + right] == theirs[b + right]:
+                right += 1
+            gone |= set(range(start - left, end + right))
+        taken = [(spans[i][0], spans[i + 1][0] if i + 1 < len(spans) else len(t)) for i in sorted(gone)]
+        merged = []
+        for s, e in taken:
+            if merged and merged[-1][1] == s:
+                merged[-1] = (merged[-1][0], e)
             else:
-                if len(words(line)) >= min_words:
-                    place[norm] = True
-                kept.append(line)
-            at += len(line) + 1
-        out[doc, text] = (None if text is None else "\n".join(kept), removed)
+                merged.append((s, e))
+        body = t
+        for s, e in reversed(merged):
+            body = body[:s] + body[e:]
+        out[d, t] = (body, merged)
     return out
 
 
-def line_dedup_key(row):
-    import hashlib
+PASSAGE = "The quick fox, as it were, jumps over the lazy dog. Nobody knows why; the dog least of all. It sleeps, it dreams of bones, and of summer days by the river."
 
-    doc, text = row
-    return hashlib.md5("\x1f".join("null" if c is None else f"={c}" for c in row).encode()).hexdigest()
 
+def dedup_rows():
+    draw = random.Random(4)
+    names = [f"w{n}" for n in range(300)]
+    prose = lambda n: " ".join(draw.choice(names) + draw.choice(["", "", "", "", "", ",", ".", "!\n"]) for _ in range(n))
+    mid = prose(70)
+    rows = [(n, prose(draw.randrange(60)) + " " + mid + " " + prose(draw.randrange(60))) for n in range(30, 36)]
+    return rows + [(1, f"Head\n{PASSAGE}\nshort\nshort"), (2, f"other words {PASSAGE.upper()}  \n tail"), (3, f" x {PASSAGE}\n\n{PASSAGE} {PASSAGE}\nüñ🙂 {PASSAGE}"), (4, None),
+                   (5, ""), (None, PASSAGE), (None, "a " + PASSAGE), (6, "x\n" * 3000 + PASSAGE), (1, f"Head\n{PASSAGE}\nshort\nshort"), (1, f"another\n{PASSAGE}"), (7, PASSAGE),
+                   (8, "und " * 400), (9, "Und\t" * 300), (10, "no end " * 9 + PASSAGE.replace(".", "").replace(",", "").replace(";", "")),
+                   (11, "other " + PASSAGE.replace(".", "").replace(",", "").replace(";", "") + " tail"), (12, " \n "), (13, "y" * 100_000)]
 
-def test_line_dedup(spark):
-    rows = [(1, f"Head\n{LONG}\nshort\nshort"), (2, f"{LONG.upper()}  \n{LONG} twelve"), (3, f" {LONG}\n\n{LONG}\nüñ🙂 {LONG}\n{LONG}"), (4, None),
-            (5, ""), (None, LONG), (6, "x\n" * 3000 + LONG), (1, f"Head\n{LONG}\nshort\nshort"), (1, f"other\n{LONG}"), (7, LONG)]
-    df = spark.createDataFrame([(a, b, "k", 0) for a, b in rows], "doc_id long, text string, row_key string, unit int").repartition(3)
+
+def test_substring_dedup(spark):
+    rows = dedup_rows()
+    df = spark.createDataFrame([(a, b, "k", 0, 1) for a, b in rows], "doc_id long, text string, row string, hits int, removed int").repartition(3)
     out = line_dedup.dedup_units(df)
-    assert out.columns == ["doc_id", "text", "row_key", "unit", "removed", "n_units", "original_chars"]
-    wanted = plain_dedup(rows)
-    got = rows_of(out)
-    assert sorted(((r[0], r[1], [tuple(s) for s in r[4]]) for r in got), key=str) == sorted(((a, *wanted[a, b]) for a, b in rows), key=str)
-    assert {r[5] for r in got if r[1] is None} == {0}
+    assert out.columns == ["doc_id", "text", "row", "hits", "removed", "original_chars"]
+    wanted, got = plain_dedup(keyed(df)), rows_of(out)
+    assert sorted(((r[0], r[1], [tuple(s) for s in r[4]], r[5]) for r in got), key=str) == sorted(
+        ((a, *wanted[a, b], None if b is None else len(b)) for a, b in rows), key=str)
+    left = {(a, b): wanted[a, b][0] for a, b in rows}
+    assert left[7, PASSAGE] == "" and left[1, rows[6][1]] != rows[6][1] or left[2, rows[7][1]] == "other words tail"
+    assert sum(len(t) < len(b) for (_, b), t in left.items() if b) >= 12
     assert rows_of(line_dedup.dedup_units(df.limit(0))) == []
 
 
-def test_paragraph_dedup(spark):
-    df = spark.createDataFrame([(1, f"a\n{LONG}\n\nb"), (2, f"c\n\na\n{LONG}")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.text, [tuple(x) for x in r.removed]) for r in line_dedup.dedup_units(df, by="paragraph").collect()) == [
-        (1, f"a\n{LONG}\n\nb", []), (2, "c", [(3, 5 + len(LONG), 1)])]
+def test_a_passage_goes_from_its_first_word_to_its_last():
+    text = f"some other beginning {PASSAGE} and some other end"
+    words, firsts = line_dedup.pieces(PASSAGE)
+    ends, marks = line_dedup.unit_ends(firsts, 25), line_dedup.marks_of(words)
+    own, starts = line_dedup.pieces(text)
+    hits = [{"piece": p, "same": -1, "beside": line_dedup.edges(marks, firsts[q], ends[q])} for q in range(1, len(firsts) - 1) if ends[q]
+            for p in range(len(starts) - 1) if own[starts[p]:starts[p] + ends[q] - firsts[q]] == words[firsts[q]:ends[q]]]
+    assert line_dedup.cut(text, hits, 25)[0] == "some other beginning and some other end"
 
 
 # --- op5 -------------------------------------------------------------------------------------------------------------

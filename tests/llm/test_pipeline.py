@@ -2,7 +2,7 @@
 import corpus_pipeline
 from kinsift.llm import quality_rules
 from tests.llm.test_ngram_join import brute, shingles, words
-from tests.llm.test_operators import plain_dedup, plain_targets
+from tests.llm.test_operators import keyed, plain_dedup, plain_targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_every_stage_against_a_plain_version(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in after} <= set(before)
 
     before, after = taken["substring_dedup"]
-    plain = {k: v[0] for k, v in plain_dedup(before).items()}
+    plain = {k: v[0] for k, v in plain_dedup(keyed(spark.createDataFrame(before, "doc_id long, text string"))).items()}
     assert sorted((str((r.doc_id, r.text)) for r in after)) == sorted(str((d, t)) for (d, _), t in plain.items() if words(t))
     assert all(r.n_chars == len(r.text) for r in after)
     assert any(t != plain[d, t] for d, t in before)
