@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. A caller
 writes each result as Parquet and reads it again as the next stage's docs, as run() does.
+
+All stages: an empty table gives an empty one; null ids, sources and texts are allowed; rows of one id are separate documents; ties
+are settled by id, then by text, so reruns agree; other columns are carried, whatever their names.
 """
 from pyspark.sql import functions as F
 
@@ -15,17 +18,18 @@ from kinsift.session import materialise
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that the weakly supervised rules reject go; the rest stays as it is."""
+    """Documents that the weakly supervised rules reject go, null and empty texts among them; the rest stays as it is."""
     return keep_good(docs)
 
 
 def near_copies(spark, docs, sf_dir):
-    """One document of each group of near copies stays: the one with the smallest id. Texts without words all stay."""
+    """One document of each group of near copies stays: the one with the smallest id, null last. Texts without words all stay."""
     return keep_one(docs)
 
 
 def substrings(spark, docs, sf_dir):
-    """Lines of ten words or more that an earlier document has go out of the text; a document left without words goes."""
+    """Passages of 25 words or more that an earlier document has go out of the text, n_chars follows; a document without words, or
+    left without, goes."""
     cut = dedup_units(docs).select(*docs.columns)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast("long"))
@@ -33,12 +37,13 @@ def substrings(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty texts contain none."""
     return without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark, docs, sf_dir):
-    """How often the mix takes each document that is left: copies and words beside the document's own columns."""
+    """How often the mix takes each document that is left: copies, and words with repeats counted; a null text has size 0 and a null source
+    is a source of its own, the last."""
     sized = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"))
     return mix(materialise(sized)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
