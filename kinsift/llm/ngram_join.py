@@ -4,33 +4,41 @@ Documents with equal sets are one class. A set is ordered rare shingles first; t
 of their prefixes, so only prefixes meet, by an equi-join on the shingle. Length, positional and suffix filters (Xiao et
 al., Efficient Similarity Joins for Near Duplicate Detection, 2011) drop meetings before a pair is verified once, on whole sets.
 
-A group of k classes that share a shingle is not expanded into its k * k pairs. First every class meets the group's leader (its
-smallest class; a large group is cut into parts with a leader each). Verified links make components; after that only pairs
-of classes in different components are candidates, and they are made from the members outside the group's largest
-component. A pair left out that way is connected already, so components are those of all links.
+How rare a shingle is comes from its exact count over all classes. Tasks deal packed arrays of their shingles to blocks of the
+range of hashes, whose number follows the counted shingles; a block sends back, to the piece of the corpus they come from, those
+that occur more than once. All others come first in every order and match nothing. So a prefix is the rarest of the shared
+shingles, a document with too many shingles of its own is done, and what is left of a set, its shared shingles, is enough
+for every later test. Texts are read twice and never shuffled.
+
+A group of k classes that share a shingle is not expanded into its k * k pairs. First every class meets the group's leader (the class
+whose shingles are the most common, which is likely to be the original; a large group is cut into parts with a leader each).
+Verified links make components; after that only pairs of classes in different components are candidates, and they are made
+from the members outside the group's largest component. A pair left out that way is connected already, so components are those
+of all links.
 
 `class_links` is the join itself: it verifies every candidate pair of classes and returns all links. Components need far
 fewer, so `near_duplicates` stands beside it.
 """
 import hashlib
+from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinsift.llm.arrays import pieces, shingle_set, word_hashes
-from kinsift.llm.common import keys
+from kinsift.llm.common import BROADCAST_KEYS, arrow_rows, keys
 from kinsift.operators.components import component_labels
 from kinsift.session import materialise, release
 
-#: Counters for the order of shingles, over all documents; 2**17 numbers, whatever the input. A shingle's rarity is the count
-#: of its counter, so frequent shingles come last; any order gives the same links.
-COUNTERS = 1 << 17
+#: Shingles that a block counts, on average, and shingles that a task deals at once. Their product bounds how finely rows are cut.
+BLOCK_SHINGLES, PIECE_SHINGLES = 2_000_000, 4_000_000
+#: Counts are told apart up to here; more frequent shingles are ordered by hash, and a block does not hold their places.
+FREQUENT = 65_535
 SUFFIX_PARTS, PART_LIMIT = 4, 0xFFFF
-#: Bits of the filter of shared shingles that tasks hold (4 MB). It only spares shuffling; what passes it wrongly is joined away.
-FILTER_BITS = 1 << 25
-#: Bits of the filter that one row brings to the driver; the rows are 4 MB together.
-FILTER_CHUNK = 1 << 18
 #: Classes of one shingle that a tile of the join holds on a side: at most four million pairs, whatever the group.
 TILE_ROWS = 2_000
 #: Rows of one shingle that are put before one leader; a shingle with more has several leaders.
@@ -42,10 +50,6 @@ def prefix_length(size, percent):
     return size - (percent * size + 99) // 100 + 1
 
 
-def rare_first(shingles, counts):
-    return shingles[np.lexsort((shingles, counts[shingles & np.uint64(COUNTERS - 1)]))]
-
-
 def suffix_counts(ordered, length):
     """For each prefix position, how many later shingles fall into each of four ranges of hashes; 16 bits a range, held
     at PART_LIMIT, which stands for that many or more."""
@@ -62,10 +66,6 @@ def digest_of(shingles):
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _class_number(digest):
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def _sets(column, n):
     """Shingle sets of all texts of an Arrow column, a list for each piece."""
     for _, texts in pieces(column):
@@ -74,175 +74,237 @@ def _sets(column, n):
 
 
 def _describe(documents, n, doc_id, text):
-    """One pass over the texts: (doc_id, text_key, n_shingles, digest, class) a row, and the counters of each task."""
-    import pyarrow as pa
-
+    """One pass over the texts: (doc_id, text_key, n_shingles, digest) a row; the digest names the class, null for an empty set."""
     kind = documents.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key string, n_shingles long, digest string, class long, counter int, count long"
-    names = ["doc_id", "text_key", "n_shingles", "digest", "class", "counter", "count"]
 
     def run(batches):
-        counts, id_type = np.zeros(COUNTERS, dtype=np.int64), None
         for batch in batches:
-            sizes, digests, id_type = [], [], batch.column(0).type
-            for sets in _sets(batch.column(2), n):
-                sizes += map(len, sets)
-                digests += [digest_of(s) if len(s) else None for s in sets]
-                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            none = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([d and d.hex() for d in digests], pa.string()),
-                 pa.array([d and _class_number(d) for d in digests], pa.int64()), *none], names=names)
-        at = np.flatnonzero(counts)
-        if len(at):
-            none = [pa.nulls(len(at), t) for t in (id_type, pa.string(), pa.int64(), pa.string(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
+            found = [(len(s), digest_of(s).hex() if len(s) else None) for sets in _sets(batch.column(2), n) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())],
+                                             names=["doc_id", "text_key", "n_shingles", "digest"])
 
-    return documents.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key"), F.col(text).alias("body")).mapInArrow(run, schema)
+    return (documents.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key"), F.col(text).alias("body"))
+            .mapInArrow(run, f"doc_id {kind}, text_key string, n_shingles long, digest string"))
 
 
-def _prefixes(documents, counts, n, percent, text, shared=None):
-    """(shingle, class, size, position, suffix) of every prefix shingle that `shared` may hold; without it, shingles alone.
+def _firsts(documents, members, doc_id, text):
+    """The texts of `documents` that stand first in their class. Rows equal in id and text all stay."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    rows = members.where("digest IS NOT NULL").select("digest", place.alias("place"))
+    firsts = rows.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("digest", "first")
+    copies = materialise(rows.join(firsts, "digest").where("place <> first").select(F.col("place.doc_id").alias("copy_id"), F.col("place.text_key").alias("copy_key")).distinct())
+    few = copies.count() <= BROADCAST_KEYS
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key"), F.col(text).alias("body"))
+    same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("text_key") == F.col("copy_key"))
+    left = docs.join(F.broadcast(copies) if few else copies, same, "left_anti")
+    # A piece that is dealt again after a loss must be the same piece: rows that came through a shuffle are put in order.
+    return (left if few else left.sortWithinPartitions("text_key", "doc_id")).select("body"), copies
 
-    A text that occurs again in its batch is passed over; copies further apart repeat their rows."""
-    names = ["shingle"] if shared is None else ["shingle", "class", "size", "position", "suffix"]
 
-    def run(batches):
-        import pyarrow as pa
+def pack(values):
+    """(first value, bytes a difference, differences) of ascending 64-bit numbers."""
+    steps = np.diff(values)
+    width = max((int(steps.max()).bit_length() + 7) // 8, 1) if len(steps) else 1
+    return int(values[0]), width, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
 
+def unpack(first, width, data):
+    steps = np.zeros((len(data) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return np.concatenate([[np.uint64(first)], np.uint64(first) + np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)])
+
+
+DEALT = "block int, piece string, head boolean, first long, width int, data binary, owners binary"
+
+
+def _deal(n, n_blocks, most):
+    """mapInArrow over texts: the shingles of a piece of the corpus, dealt to blocks, and a head (classes, sizes) for each piece.
+
+    A class that recurs in a piece is passed over. An owner is a document's number in its piece.
+    """
+    def flush(name, sets, digests):
+        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+        block = (((values >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        rows = [(crc32(name.encode()) % n_blocks, name, True, None, None, b"".join(digests), sizes.astype("<i4").tobytes())]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            first, width, data = pack(values[a:b])
+            rows.append((int(block[a]), name, False, int(np.uint64(first).view(np.int64)), width, data, owners[a:b].tobytes()))
+        kinds = [pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split(" ")[0] for x in DEALT.split(", ")])
+
+    def run(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        sets, digests, seen, held = [], [], set(), 0
         for batch in batches:
-            seen = set()
-            for sets in _sets(batch.column(0), n):
-                parts = []
-                for found in sets:
+            for some in _sets(batch.column(0), n):
+                for found in some:
                     digest = digest_of(found)
                     if not len(found) or digest in seen:
                         continue
                     seen.add(digest)
-                    length = prefix_length(len(found), percent)
-                    ordered = rare_first(found, counts)
-                    if shared is None:
-                        parts.append((ordered[:length].view(np.int64),))
-                        continue
-                    place = ordered[:length] & np.uint64(FILTER_BITS - 1)
-                    at = np.flatnonzero(shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                    if len(at):
-                        parts.append((ordered[at].view(np.int64), np.full(len(at), _class_number(digest)), np.full(len(at), len(found), dtype=np.int32),
-                                      at.astype(np.int32), suffix_counts(ordered, length)[at]))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+                    sets.append(found)
+                    digests.append(digest)
+                    held += len(found)
+                    if held >= most or len(sets) > 65_000:
+                        yield flush(f"{part}-{number}", sets, digests)
+                        sets, digests, seen, held, number = [], [], set(), 0, number + 1
+        if sets:
+            yield flush(f"{part}-{number}", sets, digests)
 
-    kinds = dict(zip(["shingle", "class", "size", "position", "suffix"], ["long", "long", "int", "int", "long"]))
-    return documents.select(F.col(text).alias("body")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return run
 
 
-def passes(percent, a="a", b="b"):
-    """Length, positional and suffix filter on two prefix rows of one shingle. Shingles before the shared one can only meet
-    among themselves, those after it likewise, and in the suffix only within the same range of hashes."""
-    low, high = f"least({a}.size, {b}.size)", f"greatest({a}.size, {b}.size)"
-    before = f"least({a}.position, {b}.position) + 1"
-    after = f"least({a}.size - {a}.position, {b}.size - {b}.position) - 1"
-    parts = []
-    for k in range(SUFFIX_PARTS):
-        x, y = (f"(shiftrightunsigned({s}.suffix, {16 * k}) & {PART_LIMIT})" for s in (a, b))
-        parts.append(f"if({x} = {PART_LIMIT} AND {y} = {PART_LIMIT}, 2147483647L, least({x}, {y}))")
-    wanted = f"{percent} * ({a}.size + {b}.size)"
-    return (f"100 * {low} >= {percent} * {high} AND {100 + percent} * ({before} + {after}) >= {wanted}"
-            f" AND {100 + percent} * ({before} + {' + '.join(parts)}) >= {wanted}")
-
+SHARED = "piece string, head boolean, data binary, owners binary, counts binary"
 
-def _bodies(classes, documents, members, text):
-    """One text of each of the given classes, as far as copies within a task allow."""
-    texts = members.join(classes, "class", "left_semi").groupBy("digest").agg(F.min("text_key").alias("text_key")).select("text_key")
-    return (documents.select(F.md5(F.col(text)).alias("text_key"), F.col(text).alias("body"))
-            .join(keys(texts), "text_key", "left_semi").select("body"))
 
+def _shared_rows(pieces_, names, values, owners, counts):
+    """A row for each piece with the shared shingles of one block that come from it."""
+    order = np.argsort(pieces_, kind="stable")
+    pieces_, values, owners, counts = pieces_[order], values[order], owners[order], counts[order].astype("<u2")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(pieces_)) + 1, [len(pieces_)]])
+    rows = [(names[pieces_[a]], False, values[a:b].tobytes(), owners[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+    return _as_batch(rows)
 
-def _sets_of(classes, documents, members, n, text):
-    """(class, digest, shingles) of the given classes; a text that recurs in a batch is passed over."""
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            found = {digest_of(s): s.view(np.int64) for part in _sets(batch.column(0), n) for s in part if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array([_class_number(d) for d in found], pa.int64()), pa.array([d.hex() for d in found], pa.string()),
-                                              pa.array(list(found.values()), pa.list_(pa.int64()))], names=["class", "digest", "shingles"])
+def _as_batch(rows):
+    kinds = [pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split(" ")[0] for x in SHARED.split(", ")])
 
-    return _bodies(classes, documents, members, text).mapInArrow(run, "class long, digest string, shingles array<long>")
 
+def _count_block(most, frequent):
+    """The shingles of a block that occur more than once, with their counts, sent back to their pieces; heads pass through.
 
-def _outlines_of(classes, documents, members, n, text):
-    """(class, outline, size, lost): the distinct first 16 bits of the shingles, a quarter of the set's bytes or less; lost is
-    how many shingles fell together with another."""
-    def run(batches):
-        import pyarrow as pa
+    When `most` places are held, those of shingles seen `frequent` times are sent on at once, so a shingle that a third of all
+    documents have takes no more room than another.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, hot = [], np.empty(0, np.uint64)
+        held, n_held, limit = [], 0, most
+
+        def settled(last):
+            """What can be sent, and what has to wait, of all that is held."""
+            nonlocal hot
+            values, owners, at = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(values, kind="stable")
+            values, owners, at = values[order], owners[order], at[order]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
+            count = np.diff(starts)
+            often = count >= frequent
+            hot = np.union1d(hot, values[starts[:-1]][often])
+            counts = np.repeat(np.minimum(count, frequent), count)
+            out = counts > 1 if last else np.repeat(often, count)
+            return (at[out], values[out], owners[out], counts[out]), [(values[~out], owners[~out], at[~out])]
 
         for batch in batches:
-            found = {digest_of(s): (np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16), len(s)) for part in _sets(batch.column(0), n) for s in part if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array([_class_number(d) for d in found], pa.int64()), pa.array([o for o, _ in found.values()], pa.list_(pa.int16())),
-                                              pa.array([k for _, k in found.values()], pa.int32()), pa.array([k - len(o) for o, k in found.values()], pa.int32())],
-                                             names=["class", "outline", "size", "lost"])
-
-    return _bodies(classes, documents, members, text).mapInArrow(run, "class long, outline array<smallint>, size int, lost int")
+            passed = []
+            for row in batch.to_pylist():
+                if row["head"]:
+                    passed.append((row["piece"], True, row["data"], row["owners"], None))
+                    continue
+                values = unpack(np.int64(row["first"]).view(np.uint64), row["width"], row["data"])
+                owners = np.frombuffer(row["owners"], np.uint16)
+                names.append(row["piece"])
+                known = np.isin(values, hot) if len(hot) else None
+                if known is not None and known.any():
+                    passed.append((row["piece"], False, values[known].tobytes(), owners[known].tobytes(), np.full(known.sum(), frequent, "<u2").tobytes()))
+                    values, owners = values[~known], owners[~known]
+                held.append((values, owners, np.full(len(values), len(names) - 1, np.int64)))
+                n_held += len(values)
+            if passed:
+                yield _as_batch(passed)
+            if n_held > limit:
+                out, held = settled(False)
+                n_held = len(held[0][0])
+                limit = max(limit, 2 * n_held)
+                if len(out[0]):
+                    yield _shared_rows(out[0], names, *out[1:])
+        if n_held:
+            out, _ = settled(True)
+            if len(out[0]):
+                yield _shared_rows(out[0], names, *out[1:])
+
+    return run
+
+
+NEAR = "digest string, class long, size int, shared int, central double, prefix array<long>, suffix array<long>, shingles array<long>"
+
+
+def _order_piece(percent):
+    """Per document of a piece that may have a partner: its class, the size of its set, and of its shared shingles, rarest first, the
+    prefix with what comes after each; central is how common they are."""
+    def run(table):
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["head"])
+        digests, sizes = head["data"], np.frombuffer(head["owners"], "<i4")
+        rest = [r for r in rows if not r["head"]]
+        join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rest]) if rest else np.empty(0, kind)
+        values, owners, counts = join("data", np.uint64), join("owners", np.uint16), join("counts", "<u2")
+        order = np.lexsort((values, counts, owners))
+        values, owners, counts = values[order], owners[order], counts[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(owners)) + 1, [len(owners)]]) if len(owners) else np.zeros(1, int)
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            owner = int(owners[a])
+            size, ordered = int(sizes[owner]), values[a:b]
+            # Shingles of its own come first in a prefix and meet nobody.
+            length = prefix_length(size, percent) - (size - len(ordered))
+            if length > 0:
+                digest = digests[16 * owner:16 * owner + 16]
+                out.append((digest.hex(), int.from_bytes(digest[:8], "little", signed=True), size, len(ordered), float(counts[a:b].sum()) / size,
+                            ordered[:length].view(np.int64), suffix_counts(ordered, length), ordered.view(np.int64)))
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()] + [pa.list_(pa.int64())] * 3
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split(" ")[0] for x in NEAR.split(", ")])
+
+    return run
 
 
-def _plausible(pairs, documents, members, n, percent, text):
-    """The pairs whose outlines leave room for enough shared shingles: shared shingles have shared first bits, and those that
-    fell together are given to both. No link is lost; what passes is verified on whole sets."""
-    pairs = keys(pairs)
-    side = {s: _outlines_of(pairs.select(F.col(f"class_{s}").alias("class")).distinct(), documents, members, n, text).toDF(
-        f"class_{s}", f"outline_{s}", f"size_{s}", f"lost_{s}") for s in "lr"}
-    most = F.size(F.array_intersect("outline_l", "outline_r")) + F.least("lost_l", "lost_r")
-    return (side["r"].join(pairs, "class_r").join(side["l"], "class_l")
-            .where((100 + percent) * most >= percent * (F.col("size_l") + F.col("size_r"))).select("class_l", "class_r").distinct())
-
+def passes(percent, a="a", b="b"):
+    """Length, positional and suffix filter on two prefix rows of one shingle, over shared shingles: those before the shared one can
+    only meet among themselves, those after it likewise, and in the suffix only within the same range of hashes."""
+    low, high = f"least({a}.size, {b}.size)", f"greatest({a}.size, {b}.size)"
+    before = f"least({a}.position, {b}.position) + 1"
+    after = f"least({a}.shared - {a}.position, {b}.shared - {b}.position) - 1"
+    parts = []
+    for k in range(SUFFIX_PARTS):
+        x, y = (f"(shiftrightunsigned({s}.suffix, {16 * k}) & {PART_LIMIT})" for s in (a, b))
+        parts.append(f"if({x} = {PART_LIMIT} AND {y} = {PART_LIMIT}, 2147483647L, least({x}, {y}))")
+    wanted = f"{percent} * ({a}.size + {b}.size)"
+    return (f"100 * {low} >= {percent} * {high} AND {100 + percent} * ({before} + {after}) >= {wanted}"
+            f" AND {100 + percent} * ({before} + {' + '.join(parts)}) >= {wanted}")
 
-def _verify(pairs, documents, members, n, percent, text):
-    """Links (digest_l, digest_r) among candidate pairs (class_l, class_r): one exact test a pair, on whole sets.
 
-    The set of the right class travels to the left class once for each pair; few classes stand on the left."""
-    pairs = keys(pairs)
-    named = {s: _sets_of(pairs.select(F.col(f"class_{s}").alias("class")).distinct(), documents, members, n, text)
-             .select(F.col("class").alias(f"class_{s}"), F.col("digest").alias(f"digest_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "lr"}
-    both = F.size(F.array_intersect("set_l", "set_r"))
+def _verify(pairs, near, percent):
+    """Links (digest_l, digest_r) among candidate pairs (class_l, class_r): one exact test a pair. Shingles that two sets have in common
+    are shared ones, so these are all that is needed."""
+    named = {s: near.select(*[F.col(c).alias(f"{c}_{s}") for c in ("class", "digest", "size", "shingles")]) for s in "lr"}
+    both = F.size(F.array_intersect("shingles_l", "shingles_r"))
     return (named["r"].join(pairs, "class_r").join(named["l"], "class_l")
-            .where((100 + percent) * both >= percent * (F.size("set_l") + F.size("set_r"))).select("digest_l", "digest_r").distinct())
+            .where((100 + percent) * both >= percent * (F.col("size_l") + F.col("size_r"))).select("digest_l", "digest_r").distinct())
 
 
 def _labels(links):
     return component_labels(links.select(F.col("digest_l").alias("node_l"), F.col("digest_r").alias("node_r")))
 
 
-def _shared_bits(twice):
-    """The filter of shared shingles, packed in the tasks: bit p of it is set if a shingle falls on place p."""
-    def pack(rows):
-        import pyarrow as pa
-
-        bits = np.zeros(FILTER_CHUNK, dtype=bool)
-        bits[rows["place"].to_numpy() & (FILTER_CHUNK - 1)] = True
-        return pa.table({"chunk": rows["chunk"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    places = twice.select(F.pmod("shingle", F.lit(FILTER_BITS)).cast("int").alias("place")).distinct()
-    packed = (places.select(F.expr(f"place div {FILTER_CHUNK}").cast("int").alias("chunk"), "place")
-              .groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").toArrow())
-    held = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for chunk, bits in zip(packed["chunk"].to_pylist(), packed["bits"].to_pylist()):
-        held[chunk * FILTER_CHUNK // 8:(chunk + 1) * FILTER_CHUNK // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return held
-
-
 def _meetings(documents, n, percent, doc_id, text):
-    """The described rows, the prefix rows of shingles that occur more than once with their number k, and those shingles."""
-    described = materialise(_describe(documents, n, doc_id, text))
-    members = described.where("counter IS NULL").drop("counter", "count")
-    table = described.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    counts[table["counter"].to_numpy()] = table["count"].to_numpy()
-
-    # Which prefix shingles occur more than once; then the full rows of those alone.
-    twice = materialise(_prefixes(documents, counts, n, percent, text).groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
-    held = documents.sparkSession.sparkContext.broadcast(_shared_bits(twice))
-    return members, _prefixes(documents, counts, n, percent, text, held).join(twice, "shingle"), twice
+    """The described rows; a row for each class that may have a partner; and the prefix rows of shingles that several classes have
+    in their prefixes."""
+    members = materialise(_describe(documents, n, doc_id, text))
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    n_blocks = max(1, -(-total // BLOCK_SHINGLES))
+    texts, copies = _firsts(documents, members, doc_id, text)
+    with arrow_rows(documents.sparkSession, 64):
+        shared = texts.mapInArrow(_deal(n, n_blocks, PIECE_SHINGLES), DEALT).groupBy("block").applyInArrow(_count_block(4 * BLOCK_SHINGLES, FREQUENT), SHARED)
+        near = materialise(shared.groupBy("piece").applyInArrow(_order_piece(percent), NEAR).dropDuplicates(["digest"]))
+    release(copies)
+    rows = near.select("class", "size", "shared", "central", F.posexplode(F.arrays_zip("prefix", "suffix")).alias("position", "at")).select(
+        F.col("at.prefix").alias("shingle"), "class", "size", "shared", "central", "position", F.col("at.suffix").alias("suffix"))
+    several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return members, near, rows.join(several, "shingle")
 
 
 def _tiles(rows, percent):
@@ -263,20 +325,21 @@ def class_links(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     """class_l and class_r (class_l < class_r) of every two different shingle sets that link, each pair once.
 
     Every candidate pair is verified, whatever other links its component has. Links, sets and classes are those of
-    `near_duplicates`, whose rows say which documents are in a class; documents of one class are alike and no pair here. Texts
+    `near_duplicates`, whose rows say which documents are in a class; documents of one class are alike and no pair here. Null and empty texts, and texts
     without words are in no pair; an empty table gives an empty result. A group of k near copies gives up to k * k / 2 rows.
     """
-    members, near, twice = _meetings(documents, n, percent, doc_id, text)
-    rows = materialise(near.select("shingle", "class", "size", "position", "suffix").distinct())
-    release(twice)
-    pairs = materialise(_tiles(rows, percent))
-    release(rows)
-    links = _verify(_plausible(pairs, documents, members, n, percent, text), documents, members, n, percent, text)
-    return links.select(F.least("digest_l", "digest_r").alias("class_l"), F.greatest("digest_l", "digest_r").alias("class_r")).distinct()
+    members, near, met = _meetings(documents, n, percent, doc_id, text)
+    rows = materialise(met.drop("k"))
+    links = _verify(_tiles(rows, percent), near, percent)
+    out = materialise(links.select(F.least("digest_l", "digest_r").alias("class_l"), F.greatest("digest_l", "digest_r").alias("class_r")).distinct())
+    for table in (rows, members, near):
+        release(table)
+    return out
 
 
 def link_counts(documents, n=5, percent=75, doc_id="doc_id", text="text"):
-    """class, n_links of every class that links with another: the number of other classes it links with."""
+    """class, n_links of every class that links with another: the number of other classes it links with. Nulls, empty texts, repeated rows,
+    ties and empty tables are as in `class_links`, which reads the two columns named and no others."""
     links = class_links(documents, n, percent, doc_id, text)
     ends = links.select(F.explode(F.array("class_l", "class_r")).alias("class"))
     return ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
@@ -292,35 +355,34 @@ def near_duplicates(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     ids are passed over when the smallest id is sought; repeated rows and repeated ids stay; an empty table gives an empty
     result; other columns are not looked at.
     """
-    members, near, twice = _meetings(documents, n, percent, doc_id, text)
-    salted = near.withColumn("salt", F.pmod("class", F.ceil(F.col("k") / F.lit(GROUP_ROWS)))).drop("k")
+    members, near, met = _meetings(documents, n, percent, doc_id, text)
     group = Window.partitionBy("shingle", "salt")
-    row = F.struct("size", "position", "suffix")
-    shared = materialise(salted.select("*", F.min("class").over(group).alias("leader"), F.min_by(row, "class").over(group).alias("a")))
-    release(twice)
-    met = shared.where("class <> leader").withColumn("b", row).where(passes(percent))
-    first = met.select(F.col("leader").alias("class_l"), F.col("class").alias("class_r")).distinct()
-    links = materialise(_verify(first, documents, members, n, percent, text))
+    row = F.struct("class", "size", "shared", "position", "suffix")
+    rows = materialise(met.withColumn("salt", F.pmod("class", F.ceil(F.col("k") / F.lit(GROUP_ROWS)))).drop("k")
+                       .withColumn("a", F.max_by(row, F.struct("central", "class")).over(group)).drop("central"))
+    led = rows.where("class <> a.class").withColumn("b", row).where(passes(percent))
+    first = led.select(F.col("a.class").alias("class_l"), F.col("class").alias("class_r")).distinct()
+    links = materialise(_verify(first, near, percent))
 
     # Pairs that no leader has settled: of one group, but of different components so far.
     labels = _labels(links)
-    placed = (members.where("digest IS NOT NULL").select("class", "digest").distinct()
-              .join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-              .groupBy("class").agg(F.min(F.coalesce("label", "digest")).alias("part")))
-    rest = shared.drop("a", "leader", "salt").join(placed, "class")
+    placed = near.select("class", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("class", F.coalesce("label", "digest").alias("part"))
+    rest = rows.drop("a", "salt").join(placed, "class")
     parts = rest.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = materialise(rest.join(mixed.select("shingle", "main"), "shingle").distinct())
+    rest = materialise(rest.join(mixed.select("shingle", "main"), "shingle"))
     a, b = rest.where("part <> main").alias("a"), rest.alias("b")
     open_pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & F.expr(
         f"a.part <> b.part AND (b.part = b.main OR a.class < b.class) AND {passes(percent)}"))
     second = materialise(open_pairs.select(F.least("a.class", "b.class").alias("class_l"), F.greatest("a.class", "b.class").alias("class_r")).distinct())
     release(rest)
-    release(shared)
+    release(rows)
     if not second.isEmpty():
-        second = _plausible(second, documents, members, n, percent, text)
-        links = materialise(links.unionByName(_verify(second, documents, members, n, percent, text)))
+        one, links = links, materialise(links.unionByName(_verify(second, near, percent)))
+        release(one)
         labels = _labels(links)
+    for table in (second, near, links):
+        release(table)
 
     classes = (members.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"))
                .join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("label", "digest")))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,10 +97,54 @@ def test_every_link_between_classes_is_returned(spark, monkeypatch, tile):
     assert ngram_join.class_links(docs.limit(0)).collect() == []
 
 
-def test_bits_of_shared_shingles(spark):
-    shingle = [3, -1, 1 << 40, (1 << 25) + 5, 7, 1 << 18]
-    held = ngram_join._shared_bits(spark.createDataFrame([(x,) for x in shingle], "shingle long"))
-    assert np.flatnonzero(np.unpackbits(held, bitorder="little")).tolist() == sorted({x % (1 << 25) for x in shingle})
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for values in ([5], [0, 1 << 63], [7, 7, 7], sorted(rng.integers(0, 1 << 63, 200).tolist()), [(1 << 64) - 1]):
+        values = np.array(values, np.uint64)
+        first, width, data = ngram_join.pack(values)
+        assert (ngram_join.unpack(np.uint64(first), width, data) == values).all()
+
+
+def test_a_block_sends_back_what_occurs_twice():
+    rng = np.random.default_rng(2)
+    pieces, batches = {}, []
+    for k in range(9):
+        values = np.sort(np.concatenate([rng.integers(0, 60, 40), np.full(12, 99)]).astype(np.uint64))
+        owners = rng.integers(0, 50, len(values)).astype(np.uint16)
+        pieces[f"p{k}"] = list(zip(values.tolist(), owners.tolist()))
+        first, width, data = ngram_join.pack(values)
+        rows = [(0, f"p{k}", True, None, None, b"head", b"sizes"), (0, f"p{k}", False, first, width, data, owners.tobytes())]
+        names = [x.split(" ")[0] for x in ngram_join.DEALT.split(", ")]
+        batches.append(pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows]))
+    every = [v for rows in pieces.values() for v, _ in rows]
+    for most in (30, 10_000):
+        got, heads = {}, 0
+        for batch in ngram_join._count_block(most, 20)(iter(batches)):
+            for row in batch.to_pylist():
+                heads += row["head"]
+                if not row["head"]:
+                    got.setdefault(row["piece"], []).extend(zip(np.frombuffer(row["data"], np.uint64).tolist(), np.frombuffer(row["owners"], np.uint16).tolist(),
+                                                                np.frombuffer(row["counts"], "<u2").tolist()))
+        assert heads == 9
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted((v, o, min(every.count(v), 20)) for v, o in rows if every.count(v) > 1) for k, rows in pieces.items()}
+
+
+def test_small_blocks_and_pieces_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 40)
+    monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", 150)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    rows = corpus(6, 120)
+    assert got(spark, rows) == brute(rows)
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 5)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    long = rng.choices([f"w{i}" for i in range(4000)], k=120_000)
+    rows = [(1, " ".join(long)), (2, " ".join(long[:100_000] + ["end"])), (3, " ".join(long[:40_000])), (4, "a " * 90_000), (5, "x" * 300_000)]
+    assert got(spark, rows) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -123,7 +168,8 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_filters_never_drop_a_link():
     rng = np.random.default_rng(3)
-    counts = rng.integers(0, 5, ngram_join.COUNTERS)
+    counts = rng.integers(0, 5, 1 << 10)
+    rare_first = lambda found: found[np.lexsort((found, counts[found & np.uint64(1023)]))]
     for _ in range(300):
         base = rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64)
         a = np.unique(base)
@@ -131,7 +177,7 @@ def test_filters_never_drop_a_link():
         same = len(np.intersect1d(a, b))
         if not len(b) or 100 * same < 75 * (len(a) + len(b) - same):
             continue
-        x, y = ngram_join.rare_first(a, counts), ngram_join.rare_first(b, counts)
+        x, y = rare_first(a), rare_first(b)
         p, q = (ngram_join.prefix_length(len(s), 75) for s in (x, y))
         common = np.intersect1d(x[:p], y[:q])
         assert len(common)
