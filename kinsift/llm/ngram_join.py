@@ -13,15 +13,13 @@ for every later test. Texts are read twice and never shuffled.
 A group of k classes that share a shingle is not expanded into its k * k pairs. First every class meets the group's leader (the class
 whose shingles are the most common, which is likely to be the original; a large group is cut into parts with a leader each).
 Verified links make components; after that only pairs of classes in different components are candidates, and they are made
-from the members outside the group's largest component. A pair left out that way is connected already, so components are those
+from the members outside the group's largest component, as far as the outlines of their sets leave room for a link. A pair left out that way is connected already, so components are those
 of all links.
 
 `class_links` is the join itself: it verifies every candidate pair of classes and returns all links. Components need far
 fewer, so `near_duplicates` stands beside it.
 """
 import hashlib
-from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinsift.llm import dealing
 from kinsift.llm.arrays import pieces, shingle_set, word_hashes
 from kinsift.llm.common import BROADCAST_KEYS, arrow_rows, keys
 from kinsift.operators.components import component_labels
 from kinsift.session import materialise, release
 
-#: Shingles that a block counts, on average, and shingles that a task deals at once. Their product bounds how finely rows are cut.
-BLOCK_SHINGLES, PIECE_SHINGLES = 2_000_000, 4_000_000
-#: Counts are told apart up to here; more frequent shingles are ordered by hash, and a block does not hold their places.
-FREQUENT = 65_535
+#: Shingles that a block counts on average, that a task deals at once, and up to which counts are told apart.
+BLOCK_SHINGLES, PIECE_SHINGLES, FREQUENT = dealing.BLOCK_NUMBERS, dealing.PIECE_NUMBERS, dealing.FREQUENT
 SUFFIX_PARTS, PART_LIMIT = 4, 0xFFFF
 #: Classes of one shingle that a tile of the join holds on a side: at most four million pairs, whatever the group.
 TILE_ROWS = 2_000
@@ -101,40 +98,14 @@ def _firsts(documents, members, doc_id, text):
     return (left if few else left.sortWithinPartitions("text_key", "doc_id")).select("body"), copies
 
 
-def pack(values):
-    """(first value, bytes a difference, differences) of ascending 64-bit numbers."""
-    steps = np.diff(values)
-    width = max((int(steps.max()).bit_length() + 7) // 8, 1) if len(steps) else 1
-    return int(values[0]), width, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack(first, width, data):
-    steps = np.zeros((len(data) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return np.concatenate([[np.uint64(first)], np.uint64(first) + np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)])
-
-
-DEALT = "block int, piece string, head boolean, first long, width int, data binary, owners binary"
-
-
 def _deal(n, n_blocks, most):
-    """mapInArrow over texts: the shingles of a piece of the corpus, dealt to blocks, and a head (classes, sizes) for each piece.
+    """mapInArrow over texts: the shingles of a piece of the corpus, dealt to blocks, with a head (classes, sizes).
 
-    A class that recurs in a piece is passed over. An owner is a document's number in its piece.
+    A class that recurs in a piece is passed over. The owner of a shingle is its document's number in the piece.
     """
     def flush(name, sets, digests):
-        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
-        values = np.concatenate(sets)
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
-        block = (((values >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)).astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-        rows = [(crc32(name.encode()) % n_blocks, name, True, None, None, b"".join(digests), sizes.astype("<i4").tobytes())]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            first, width, data = pack(values[a:b])
-            rows.append((int(block[a]), name, False, int(np.uint64(first).view(np.int64)), width, data, owners[a:b].tobytes()))
-        kinds = [pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split(" ")[0] for x in DEALT.split(", ")])
+        sizes = np.fromiter(map(len, sets), "<i4", len(sets))
+        return dealing.deal(name, (b"".join(digests), sizes.tobytes()), np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes), n_blocks)
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -149,7 +120,7 @@ def _deal(n, n_blocks, most):
                     sets.append(found)
                     digests.append(digest)
                     held += len(found)
-                    if held >= most or len(sets) > 65_000:
+                    if held >= most or len(sets) > dealing.OWNERS:
                         yield flush(f"{part}-{number}", sets, digests)
                         sets, digests, seen, held, number = [], [], set(), 0, number + 1
         if sets:
@@ -158,91 +129,33 @@ def _deal(n, n_blocks, most):
     return run
 
 
-SHARED = "piece string, head boolean, data binary, owners binary, counts binary"
-
+NEAR = "digest string, class long, size int, shared int, central double, prefix array<long>, suffix array<long>, shingles array<long>, marks array<long>"
+#: Bits of the outline of a set, 64 in each number.
+OUTLINE = 16
 
-def _shared_rows(pieces_, names, values, owners, counts):
-    """A row for each piece with the shared shingles of one block that come from it."""
-    order = np.argsort(pieces_, kind="stable")
-    pieces_, values, owners, counts = pieces_[order], values[order], owners[order], counts[order].astype("<u2")
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(pieces_)) + 1, [len(pieces_)]])
-    rows = [(names[pieces_[a]], False, values[a:b].tobytes(), owners[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-    return _as_batch(rows)
 
+def outline(shingles):
+    """A bit for each of 1024 places that a shingle of the set falls on."""
+    bits = np.zeros(64 * OUTLINE, bool)
+    bits[(shingles >> np.uint64(20)) & np.uint64(64 * OUTLINE - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
-def _as_batch(rows):
-    kinds = [pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split(" ")[0] for x in SHARED.split(", ")])
 
-
-def _count_block(most, frequent):
-    """The shingles of a block that occur more than once, with their counts, sent back to their pieces; heads pass through.
-
-    When `most` places are held, those of shingles seen `frequent` times are sent on at once, so a shingle that a third of all
-    documents have takes no more room than another.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hot = [], np.empty(0, np.uint64)
-        held, n_held, limit = [], 0, most
-
-        def settled(last):
-            """What can be sent, and what has to wait, of all that is held."""
-            nonlocal hot
-            values, owners, at = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(values, kind="stable")
-            values, owners, at = values[order], owners[order], at[order]
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
-            count = np.diff(starts)
-            often = count >= frequent
-            hot = np.union1d(hot, values[starts[:-1]][often])
-            counts = np.repeat(np.minimum(count, frequent), count)
-            out = counts > 1 if last else np.repeat(often, count)
-            return (at[out], values[out], owners[out], counts[out]), [(values[~out], owners[~out], at[~out])]
-
-        for batch in batches:
-            passed = []
-            for row in batch.to_pylist():
-                if row["head"]:
-                    passed.append((row["piece"], True, row["data"], row["owners"], None))
-                    continue
-                values = unpack(np.int64(row["first"]).view(np.uint64), row["width"], row["data"])
-                owners = np.frombuffer(row["owners"], np.uint16)
-                names.append(row["piece"])
-                known = np.isin(values, hot) if len(hot) else None
-                if known is not None and known.any():
-                    passed.append((row["piece"], False, values[known].tobytes(), owners[known].tobytes(), np.full(known.sum(), frequent, "<u2").tobytes()))
-                    values, owners = values[~known], owners[~known]
-                held.append((values, owners, np.full(len(values), len(names) - 1, np.int64)))
-                n_held += len(values)
-            if passed:
-                yield _as_batch(passed)
-            if n_held > limit:
-                out, held = settled(False)
-                n_held = len(held[0][0])
-                limit = max(limit, 2 * n_held)
-                if len(out[0]):
-                    yield _shared_rows(out[0], names, *out[1:])
-        if n_held:
-            out, _ = settled(True)
-            if len(out[0]):
-                yield _shared_rows(out[0], names, *out[1:])
-
-    return run
+def outlines_pass(percent, a="a", b="b"):
+    """Two sets have in common at most the places that both outlines have, and what fell on a place that was taken."""
+    count = lambda x: " + ".join(f"bit_count({x.format(i)})" for i in range(OUTLINE))
+    both = count(f"{a}.marks[{{0}}] & {b}.marks[{{0}}]")
+    return f"{100 + percent} * ({both} + least({a}.taken, {b}.taken)) >= {percent} * ({a}.size + {b}.size)"
 
 
-NEAR = "digest string, class long, size int, shared int, central double, prefix array<long>, suffix array<long>, shingles array<long>"
 
 
 def _order_piece(percent):
     """Per document of a piece that may have a partner: its class, the size of its set, and of its shared shingles, rarest first, the
     prefix with what comes after each; central is how common they are."""
     def run(table):
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["head"])
-        digests, sizes = head["data"], np.frombuffer(head["owners"], "<i4")
-        rest = [r for r in rows if not r["head"]]
-        join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rest]) if rest else np.empty(0, kind)
-        values, owners, counts = join("data", np.uint64), join("owners", np.uint16), join("counts", "<u2")
+        (digests, sizes), values, owners, counts = dealing.of_piece(table)
+        sizes = np.frombuffer(sizes, "<i4")
         order = np.lexsort((values, counts, owners))
         values, owners, counts = values[order], owners[order], counts[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(owners)) + 1, [len(owners)]]) if len(owners) else np.zeros(1, int)
@@ -255,8 +168,8 @@ def _order_piece(percent):
             if length > 0:
                 digest = digests[16 * owner:16 * owner + 16]
                 out.append((digest.hex(), int.from_bytes(digest[:8], "little", signed=True), size, len(ordered), float(counts[a:b].sum()) / size,
-                            ordered[:length].view(np.int64), suffix_counts(ordered, length), ordered.view(np.int64)))
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()] + [pa.list_(pa.int64())] * 3
+                            ordered[:length].view(np.int64), suffix_counts(ordered, length), ordered.view(np.int64), outline(ordered)))
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()] + [pa.list_(pa.int64())] * 4
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split(" ")[0] for x in NEAR.split(", ")])
 
     return run
@@ -298,7 +211,7 @@ def _meetings(documents, n, percent, doc_id, text):
     n_blocks = max(1, -(-total // BLOCK_SHINGLES))
     texts, copies = _firsts(documents, members, doc_id, text)
     with arrow_rows(documents.sparkSession, 64):
-        shared = texts.mapInArrow(_deal(n, n_blocks, PIECE_SHINGLES), DEALT).groupBy("block").applyInArrow(_count_block(4 * BLOCK_SHINGLES, FREQUENT), SHARED)
+        shared = dealing.sent_back(texts.mapInArrow(_deal(n, n_blocks, PIECE_SHINGLES), dealing.DEALT), 4 * BLOCK_SHINGLES, FREQUENT)
         near = materialise(shared.groupBy("piece").applyInArrow(_order_piece(percent), NEAR).dropDuplicates(["digest"]))
     release(copies)
     rows = near.select("class", "size", "shared", "central", F.posexplode(F.arrays_zip("prefix", "suffix")).alias("position", "at")).select(
@@ -367,13 +280,15 @@ def near_duplicates(documents, n=5, percent=75, doc_id="doc_id", text="text"):
     # Pairs that no leader has settled: of one group, but of different components so far.
     labels = _labels(links)
     placed = near.select("class", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("class", F.coalesce("label", "digest").alias("part"))
+    held = F.expr(" + ".join(f"bit_count(marks[{i}])" for i in range(OUTLINE)))
+    outlines = near.select("class", "marks", (F.col("shared") - held).alias("taken"))
     rest = rows.drop("a", "salt").join(placed, "class")
     parts = rest.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = materialise(rest.join(mixed.select("shingle", "main"), "shingle"))
+    rest = materialise(rest.join(mixed.select("shingle", "main"), "shingle").join(outlines, "class"))
     a, b = rest.where("part <> main").alias("a"), rest.alias("b")
     open_pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & F.expr(
-        f"a.part <> b.part AND (b.part = b.main OR a.class < b.class) AND {passes(percent)}"))
+        f"a.part <> b.part AND (b.part = b.main OR a.class < b.class) AND {passes(percent)} AND {outlines_pass(percent)}"))
     second = materialise(open_pairs.select(F.least("a.class", "b.class").alias("class_l"), F.greatest("a.class", "b.class").alias("class_r")).distinct())
     release(rest)
     release(rows)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinsift.llm import arrays, ngram_join
+from kinsift.llm import arrays, dealing, ngram_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,8 +101,8 @@ def test_packed_numbers_come_back():
     rng = np.random.default_rng(1)
     for values in ([5], [0, 1 << 63], [7, 7, 7], sorted(rng.integers(0, 1 << 63, 200).tolist()), [(1 << 64) - 1]):
         values = np.array(values, np.uint64)
-        first, width, data = ngram_join.pack(values)
-        assert (ngram_join.unpack(np.uint64(first), width, data) == values).all()
+        first, width, data = dealing.pack(values)
+        assert (dealing.unpack(np.uint64(first), width, data) == values).all()
 
 
 def test_a_block_sends_back_what_occurs_twice():
@@ -112,14 +112,14 @@ def test_a_block_sends_back_what_occurs_twice():
         values = np.sort(np.concatenate([rng.integers(0, 60, 40), np.full(12, 99)]).astype(np.uint64))
         owners = rng.integers(0, 50, len(values)).astype(np.uint16)
         pieces[f"p{k}"] = list(zip(values.tolist(), owners.tolist()))
-        first, width, data = ngram_join.pack(values)
+        first, width, data = dealing.pack(values)
         rows = [(0, f"p{k}", True, None, None, b"head", b"sizes"), (0, f"p{k}", False, first, width, data, owners.tobytes())]
-        names = [x.split(" ")[0] for x in ngram_join.DEALT.split(", ")]
+        names = [x.split(" ")[0] for x in dealing.DEALT.split(", ")]
         batches.append(pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows]))
     every = [v for rows in pieces.values() for v, _ in rows]
     for most in (30, 10_000):
         got, heads = {}, 0
-        for batch in ngram_join._count_block(most, 20)(iter(batches)):
+        for batch in dealing.repeated(most, 20)(iter(batches)):
             for row in batch.to_pylist():
                 heads += row["head"]
                 if not row["head"]:
@@ -187,3 +187,18 @@ def test_filters_never_drop_a_link():
             most = min(i, j) + 1 + min(len(x) - i, len(y) - j) - 1
             parts = sum(min(int(sx[i]) >> (16 * k) & 0xFFFF, int(sy[j]) >> (16 * k) & 0xFFFF) for k in range(4))
             assert same <= most and same <= min(i, j) + 1 + parts
+
+
+def test_outlines_never_drop_a_link(spark):
+    rng = np.random.default_rng(5)
+    rows, same = [], {}
+    for k in range(120):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.5, 0.85, 0.95])], rng.integers(0, 1 << 63, rng.integers(1, 30)).astype(np.uint64)]))
+        taken = [len(s) - len(np.unique(s >> np.uint64(20) & np.uint64(1023))) for s in (a, b)]
+        both = len(np.intersect1d(a, b))
+        same[k] = 175 * both >= 75 * (len(a) + len(b))
+        rows.append((k, *[(ngram_join.outline(s).tolist(), t, len(s)) for s, t in zip((a, b), taken)]))
+    side = "struct<marks:array<long>,taken:int,size:int>"
+    kept = {r.k for r in spark.createDataFrame(rows, f"k int, a {side}, b {side}").where(ngram_join.outlines_pass(75)).collect()}
+    assert {k for k, link in same.items() if link} <= kept and len(kept) < len(rows) - 20

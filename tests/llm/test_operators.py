@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from kinsift.llm import (decontaminate, html_extract, license_scan, line_dedup, mixing, quality_rules, token_counts,
+from kinsift.llm import (dealing, decontaminate, html_extract, license_scan, line_dedup, mixing, quality_rules, token_counts,
                          url_filters)
 from tests.llm.test_ngram_join import shingles, words
 
@@ -110,14 +110,22 @@ def test_substring_dedup(spark):
     assert rows_of(line_dedup.dedup_units(df.limit(0))) == []
 
 
-def test_a_passage_goes_from_its_first_word_to_its_last():
-    text = f"some other beginning {PASSAGE} and some other end"
-    words, firsts = line_dedup.pieces(PASSAGE)
-    ends, marks = line_dedup.unit_ends(firsts, 25), line_dedup.marks_of(words)
-    own, starts = line_dedup.pieces(text)
-    hits = [{"piece": p, "same": -1, "beside": line_dedup.edges(marks, firsts[q], ends[q])} for q in range(1, len(firsts) - 1) if ends[q]
-            for p in range(len(starts) - 1) if own[starts[p]:starts[p] + ends[q] - firsts[q]] == words[firsts[q]:ends[q]]]
-    assert line_dedup.cut(text, hits, 25)[0] == "some other beginning and some other end"
+def test_substring_dedup_of_many_and_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(dealing, "OWNERS", 9)
+    monkeypatch.setattr(dealing, "BLOCK_NUMBERS", 20)
+    rows = dedup_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = plain_dedup(keyed(df))
+    assert sorted(((r.doc_id, r.text, [tuple(s) for s in r.removed]) for r in line_dedup.dedup_units(df).collect()), key=str) == sorted(
+        ((a, *wanted[a, b]) for a, b in rows), key=str)
+
+
+def test_a_passage_goes_from_its_first_word_to_its_last(spark):
+    rows = [(1, PASSAGE), (2, f"some other beginning {PASSAGE} and some other end")]
+    out = line_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"))
+    # The first piece of the second text begins elsewhere, so its whole units begin later: the words before are found word by word.
+    assert {r.doc_id: r.text for r in out.collect()} == {1: PASSAGE, 2: "some other beginning and some other end"}
 
 
 # --- op5 -------------------------------------------------------------------------------------------------------------
