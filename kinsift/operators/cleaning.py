@@ -2,11 +2,13 @@
 import re
 from functools import cached_property
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from kinsift.fixed_values import BOOKKEEPING, CLEAN_NULL_TOKENS, DETECTED_GENDER, LOAD_NULL_TOKENS
 from kinsift.operators.profiling import infer_types
+from kinsift.session import materialise
 
 # Date formats tried in this order.
 DATE_FORMATS = ["yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "yyyyMMdd"]
@@ -66,10 +68,14 @@ def values_present(df):
     return total
 
 
+def values_needed(df, as_coded=False):
+    """Values that a row must have to stay."""
+    return 3 if as_coded else min(3, len(df.columns))
+
+
 def sparse_row_filter(df, as_coded=False):
     """Keep rows with at least three values, or all values of a narrower table; `as_coded` asks for three of any table."""
-    need = 3 if as_coded else min(3, len(df.columns))
-    return df.where(values_present(df) >= need)
+    return df.where(values_present(df) >= values_needed(df, as_coded))
 
 
 def sparse_row_counts(df):
@@ -128,14 +134,21 @@ def standardise_dates(df, columns=None):
 class CleanResult:
     """A cleaned table, the inferred types, and a log that is counted only when asked for."""
 
-    def __init__(self, data, types, facts, before):
-        self.data, self.types = data, types
-        self._facts, self._before = facts, before
+    def __init__(self, data, types, facts):
+        self.data, self.types, self._facts, self._final = data, types, facts, None
+
+    def store(self):
+        """Write the cleaned table once to the shared folder; its rows are counted while they are written. `data` then reads what was
+        written, and the log needs no pass of its own."""
+        seen = Observation()
+        self.data = materialise(self.data.observe(seen, F.count(F.lit(1)).alias("rows")))
+        self._final = seen.get["rows"]
+        return self
 
     @cached_property
     def log(self):
-        kept, final = self._before.count(), self.data.count()
-        rows = self._facts["rows"]
+        rows, kept = self._facts["rows"], self._facts["kept"]
+        final = self.data.count() if self._final is None else self._final
         return {
             "field_names": self._facts["renamed"], "null_columns_dropped": self._facts["empty"],
             "null_rows_removed": self._facts["sparse"], "dates_standardised": self._facts["dates"],
@@ -157,7 +170,7 @@ class CleanResult:
 
 def clean_records(df, id_col=None, prenormalise=False, as_coded=False):
     """The whole cleaning chain in its fixed order. One pass finds the empty columns and sparse rows,
-    one the date columns; the cleaned table itself stays lazy."""
+    one the date columns; the cleaned table itself stays lazy. With the log, or stored with it, the input is read three times."""
     df, renamed = clean_field_names(df)
     if prenormalise:
         df = normalise_null_tokens(df)
@@ -166,13 +179,16 @@ def clean_records(df, id_col=None, prenormalise=False, as_coded=False):
         *[F.count(F.col(c)).alias(f"c_{c}") for c in df.columns], F.count("*").alias("n_rows"),
         *[F.count_if(n == k).alias(f"rows_{k}") for k in (0, 1, 2)]).first()
     empty = [c for c in df.columns if passes[f"c_{c}"] == 0]
-    kept = clean_text(sparse_row_filter(df.drop(*empty), as_coded))
+    filled = df.drop(*empty)
+    need = values_needed(filled, as_coded)
+    kept = clean_text(sparse_row_filter(filled, as_coded))
     dated, dates = standardise_dates(kept)
     facts = {"renamed": renamed, "empty": empty, "dates": dates, "rows": passes["n_rows"],
+             "kept": passes["n_rows"] - sum(passes[f"rows_{k}"] for k in range(need)),
              "sparse": {"100%_null": passes["rows_0"], "n-1_null": passes["rows_1"], "n-2_null": passes["rows_2"]}}
     unique = drop_exact_duplicates(dated)
     mapped = renamed.get(id_col, id_col) if id_col else None
-    return CleanResult(unique, infer_types(unique.columns, mapped), facts, kept)
+    return CleanResult(unique, infer_types(unique.columns, mapped), facts)
 
 
 # ---- ids, sources and truth -----------------------------------------------------------------------

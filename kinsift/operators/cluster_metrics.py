@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from kinsift.functions.numbers import rounded
+from kinsift.operators.blocking import node
 
 
 def n_clusters(clusters):
@@ -70,9 +71,22 @@ def value_breakdown(clusters, column):
 
 
 def with_linked_flag(clusters):
-    """Records with linked = their cluster has more than one record."""
-    sizes = nodes_per_cluster(clusters).select("cluster_id", (F.col("n_nodes") > 1).alias("linked"))
-    return clusters.join(sizes, "cluster_id")
+    """Records with linked = their cluster has more than one record.
+
+    A cluster is named after its smallest record. Any other record of it is linked, which needs no join; only the records that name a
+    cluster, one each, are joined with the names of the clusters that have others. Without that naming, sizes are joined.
+    """
+    if not {"source_dataset", "unique_id"} <= set(clusters.columns):
+        sizes = nodes_per_cluster(clusters).select("cluster_id", (F.col("n_nodes") > 1).alias("linked"))
+        return clusters.join(sizes, "cluster_id")
+    head = F.coalesce(node() == F.col("cluster_id"), F.lit(False))
+    others = clusters.select("cluster_id", head.alias("head")).groupBy("cluster_id").agg(
+        F.count_if("head").alias("heads"), F.count_if(~F.col("head")).alias("rest")).where("heads > 1 OR heads = 1 AND rest > 0 OR heads = 0 AND rest = 1")
+    # Clusters of one record that does not name it are flagged by name too, so that other namings give the same flags.
+    heads = clusters.where(head).join(others.where("heads > 0").select("cluster_id", F.lit(True).alias("linked")), "cluster_id", "left")
+    rest = clusters.where(~head).join(others.where("heads = 0").select("cluster_id", F.lit(False).alias("alone")), "cluster_id", "left")
+    return (heads.withColumn("linked", F.coalesce("linked", F.lit(False)))
+            .unionByName(rest.withColumn("linked", F.coalesce("alone", F.lit(True))).drop("alone")))
 
 
 def linked_unlinked(clusters):

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from kinsift.operators.blocking import node
 from kinsift.session import materialise, release
 
-HOT_NODE = 1_000_000
+#: Edges of one node above which it is a hub, and hubs that are joined by broadcast at most: the largest ones. Any other node then has
+#: less than a ten thousandth of all edges, or less than HOT_NODE.
+HOT_NODE, HUBS = 1_000_000, 10_000
 
 
 def _down(edges):
@@ -17,12 +19,12 @@ def _down(edges):
 def _join_unique(edges, values, key, how, hottest, hot_node):
     """Join edges with a table that has one row per `key`.
 
-    Keys met by more than `hot_node` edges are joined by broadcast: there are at most
-    n_edges / hot_node of them, and no task then receives all edges of one hub.
+    Keys met by more than `hot_node` edges are joined by broadcast, so no task receives all edges of one hub. They are at
+    most HUBS rows, whatever the size of the graph.
     """
     if hottest <= hot_node:
         return edges.join(values, key, how)
-    hubs = edges.groupBy(key).count().where(F.col("count") > hot_node).select(key)
+    hubs = edges.groupBy(key).count().where(F.col("count") > hot_node).orderBy(F.desc("count"), key).limit(HUBS).select(key)
     hub_values = values.join(F.broadcast(hubs), key, "left_semi")
     hot = edges.join(F.broadcast(hubs), key, "left_semi").join(F.broadcast(hub_values), key, how)
     cold = edges.join(F.broadcast(hubs), key, "left_anti").join(values, key, how)

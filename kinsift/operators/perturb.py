@@ -20,6 +20,11 @@ def hash_sample(df, fraction, key="unique_id", seed=42):
     return df.where(hit(fraction, "sample", F.col(key), seed))
 
 
+def blank(value, share, purpose, key, seed=42):
+    """No value for a share of the records."""
+    return F.when(~hit(share, purpose, key, seed), value)
+
+
 def typo(value, purpose, key, seed=42):
     """One character replaced by a random letter."""
     place = F.pmod(draw(purpose, key, 1, seed), F.length(value)).cast("int") + 1

@@ -1,6 +1,8 @@
 """Estimating the model: prior, u-probabilities and EM for the m-probabilities."""
 import copy
+import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from kinsift.functions.draws import SPAN, draw
 from kinsift.functions.numbers import pairs_of, ratio
 from kinsift.operators.blocking import block_counts, both_tables, common_types, field_counts, paired
 from kinsift.operators.comparators import level_gammas, with_gammas
+from kinsift.operators.value_join import counted_levels, level_pairs
 from kinsift.session import materialise
 
 FLOOR = 1e-10
@@ -85,6 +88,26 @@ def estimate_u_exact(a, fields, b=None):
             .select("field", "n_agree", "n_both", ratio(F.col("n_agree"), F.col("n_both")).alias("u_prob")))
 
 
+def estimate_u_fuzzy(a, comparisons, b=None):
+    """u of the fuzzy levels that few pairs reach, from all records: (field, gamma, n_pairs, n_both, u_prob). Values that are alike are found by
+    a similarity join over the distinct values and weighted by how often they occur, so nothing is sampled and no pair of records
+    is made. Levels that many pairs reach are not in the result."""
+    both = both_tables(a, b)
+    known = [c for c in comparisons if counted_levels(c)]
+    if not known:
+        return both.sparkSession.createDataFrame([], "field string, gamma int, n_pairs long, n_both long, u_prob double")
+    present = estimate_u_exact(a, [c["output_column_name"] for c in known], b).select("field", "n_both")
+    counts, shown = None, []
+    for c in known:
+        one = level_pairs(both, c, b is not None)
+        counts = one if counts is None else counts.unionByName(one)
+        shown += [(c["output_column_name"], g) for g, _, _ in counted_levels(c)]
+    levels = both.sparkSession.createDataFrame(shown, "field string, gamma int")
+    return (F.broadcast(levels).join(counts, ["field", "gamma"], "left").join(F.broadcast(present), "field")
+            .select("field", "gamma", F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"), "n_both")
+            .withColumn("u_prob", ratio(F.col("n_pairs"), F.col("n_both"))))
+
+
 def _tests_equality(comparison):
     """Whether the highest level is plain equality of the column."""
     field = comparison["output_column_name"]
@@ -93,11 +116,12 @@ def _tests_equality(comparison):
 
 
 def u_of_levels(a, comparisons, b=None, target=U_SAMPLE_PAIRS, seed=42, sample=U_SAMPLE_RECORDS):
-    """{field: {gamma: (u, observed)}}. Equality is counted over all records; the other levels share what is left as they do among
-    sampled pairs that are not equal. A level that no sampled pair shows is given less than one pair's share and marked
-    as not observed."""
+    """{field: {gamma: (u, observed)}}. Equality and the fuzzy levels that few pairs reach are counted over all records; the other levels share
+    what is left as they do among sampled pairs that reach none of those. A level that no pair shows is given less than
+    one pair's share and marked as not observed."""
     fields = [c["output_column_name"] for c in comparisons]
-    exact = {r["field"]: r["u_prob"] for r in estimate_u_exact(a, fields, b).collect()}     # one row per field
+    exact = {r["field"]: (r["u_prob"], r["n_both"]) for r in estimate_u_exact(a, fields, b).collect()}     # one row per field
+    fuzzy = {(r["field"], r["gamma"]): r["u_prob"] for r in estimate_u_fuzzy(a, comparisons, b).collect()}     # one row per level
     counts = {}
     for row in estimate_u(a, comparisons, b, target=target, seed=seed, sample=sample).collect():     # one row per level of the model
         counts.setdefault(row["field"], {})[row["gamma"]] = row["n"]
@@ -105,14 +129,16 @@ def u_of_levels(a, comparisons, b=None, target=U_SAMPLE_PAIRS, seed=42, sample=U
     for c in comparisons:
         f, seen = c["output_column_name"], counts.get(c["output_column_name"], {})
         levels = [g for g in level_gammas(c) if g >= 0]
-        known = exact.get(f) if _tests_equality(c) else None
-        sampled = [g for g in levels if known is None or g != max(levels)]
+        known = {g: fuzzy[f, g] for g in levels if fuzzy.get((f, g)) is not None}
+        if _tests_equality(c) and exact.get(f, (None, 0))[0] is not None:
+            known[max(levels)] = exact[f][0]
+        sampled = [g for g in levels if g not in known]
         total = sum(seen.get(g, 0) for g in sampled)
-        rest = 1.0 if known is None else 1.0 - known
+        rest = max(1.0 - sum(known.values()), 0.0)
         shares = {g: rest * seen[g] / total for g in sampled if seen.get(g)}
         out[f] = {g: (shares[g], True) if g in shares else (rest / (total + 1) / 2, False) for g in sampled}
-        if known is not None:
-            out[f][max(levels)] = (known, True) if known else (0.5 / max(1, total), False)
+        pairs = exact.get(f, (None, 0))[1] or 1
+        out[f].update({g: (u, True) if u else (0.5 / pairs, False) for g, u in known.items()})
     return out
 
 
@@ -198,14 +224,45 @@ def em_rows(step, m):
     return step.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
+#: Rows up to which a pattern table is trained as arrays on the driver; the model bounds them to the product of its level counts.
+LOCAL_PATTERNS = 100_000
+
+
+def _local_step(counts, gammas, m, u, prior):
+    """The E and M step of `em_step` over arrays of counts and gammas."""
+    match, other = np.full(len(counts), prior), np.full(len(counts), 1.0 - prior)
+    for f, g in gammas.items():
+        for level in m[f]:
+            at = g == level
+            match[at] *= max(m[f][level], FLOOR)
+            other[at] *= max(u[f].get(level, 1.0), FLOOR)
+    expected = counts * (match / (match + other))
+    out = {"prior": expected.sum() / counts.sum() if counts.sum() else None}
+    for f, g in gammas.items():
+        seen = expected[g >= 0].sum()
+        for level in m[f]:
+            at = g == level
+            out[f"m_{f}_{level}"] = expected[at].sum() / seen if seen and at.any() else None
+    return out
+
+
 def em_train(patterns, m, u, prior, max_iterations=MAX_ITERATIONS, convergence=EM_CONVERGENCE):
-    """Iterate over the pattern table, which the model bounds to the product of its level counts. Every round is one
-    aggregation, of which one row of parameters reaches the driver. A level that no pair shows keeps its starting value."""
+    """Iterate over the pattern table, which the model bounds to the product of its level counts. Where that is at most LOCAL_PATTERNS, one
+    job brings the table over and the rounds run on arrays; a larger one stays in Spark, one aggregation a round. A level that
+    no pair shows keeps its starting value."""
     fields = list(m)
-    patterns = materialise(patterns)
+    bound = math.prod(len(m[f]) + 1 for f in fields)
+    if bound <= LOCAL_PATTERNS:
+        # Values of gamma beyond the model's levels would break the bound; there are none.
+        table = patterns.select("n", *[f"gamma_{f}" for f in fields]).limit(bound + 1).toPandas().sort_values([f"gamma_{f}" for f in fields])
+        counts, gammas = table["n"].to_numpy(float), {f: table[f"gamma_{f}"].to_numpy() for f in fields}
+        step = lambda m, prior: _local_step(counts, gammas, m, u, prior)
+    else:
+        patterns = materialise(patterns)
+        step = lambda m, prior: em_step(patterns, m, u, prior).first()
     m, unseen = copy.deepcopy(m), set()
     for _ in range(max_iterations):
-        row = em_step(patterns, m, u, prior).first()
+        row = step(m, prior)
         change = 0.0
         for f in fields:
             for g in m[f]:
@@ -213,7 +270,7 @@ def em_train(patterns, m, u, prior, max_iterations=MAX_ITERATIONS, convergence=E
                 if value is None:
                     unseen.add((f, g))
                     continue
-                value = max(value, FLOOR)
+                value = max(float(value), FLOOR)
                 change = max(change, abs(value - m[f][g]))
                 m[f][g] = value
         prior = min(max(row["prior"] or FLOOR, FLOOR), 1.0 - FLOOR)

@@ -32,9 +32,22 @@ def scan_delimited(spark, sf_dir):
     return delimited.read_delimited(spark, path, detect=True)
 
 
-@query("scan_row_cap", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000")
+@query("scan_separator", """SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_type || '|' || p_brand AS p_kind, p_size::VARCHAR AS p_size FROM part""")
+def scan_separator(spark, sf_dir):
+    """A file whose separator must be named: values hold it too, in quotes."""
+    path = shared_path(spark, "piped")
+    table = x.load(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat_ws("|", "p_type", "p_brand").alias("p_kind"), "p_size")
+    table.write.option("header", True).option("sep", delimited.NAMED_SEPARATORS["Pipe"]).option("escape", '"').csv(path)
+    return delimited.read_delimited(spark, path, sep=delimited.NAMED_SEPARATORS["Pipe"])
+
+
+@query("scan_row_cap", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus FROM orders ORDER BY orders.o_orderkey LIMIT 1000")
 def scan_row_cap(spark, sf_dir):
-    return x.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").orderBy("o_orderkey").limit(1000)
+    """The first rows of a file, by the reader's own cap."""
+    path = shared_path(spark, "capped")
+    orders = x.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    delimited.write_delimited(orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return delimited.read_delimited(spark, path, rows=1000)
 
 
 def q_stripped(c):
@@ -128,7 +141,7 @@ UNION ALL SELECT 'summary', 'rows_removed', ((SELECT count(*) FROM dirty) - (SEL
 UNION ALL SELECT 'summary', 'final_rows', (SELECT count(*) FROM cleaned)::VARCHAR
 UNION ALL SELECT 'summary', 'cols_removed', '1'""")
 def clean_summary(spark, sf_dir):
-    return cleaning.clean_records(x.dirty_customer(spark, sf_dir)).summary()
+    return cleaning.clean_records(x.dirty_customer(spark, sf_dir)).store().summary()
 
 
 @query("ensure_unique_id", "SELECT o_orderkey::VARCHAR AS unique_id, o_custkey, o_orderstatus FROM orders")

@@ -104,15 +104,14 @@ def inter_metrics(spark, sf_dir):
 Q_TOGGLED = with_recursive(x.RUN1, Q_FILTERED, x.q_components("part_records", "run1", "c1", 0.99), x.q_components("part_records", "filtered", "c2", 0.99))
 
 
-def toggled(spark, sf_dir):
-    pairs = materialise(x.run1(spark, sf_dir))
-    return x.part_records(spark, sf_dir), pairs, explorer.filter_by_rules(pairs, FILTER_TOGGLES)
+def explored(spark, sf_dir):
+    """The run read once: covers, counts and forests of its rules."""
+    return explorer.RuleExplorer(x.part_records(spark, sf_dir), x.run1(spark, sf_dir), list(FILTER_TOGGLES), 0.99)
 
 
 @query("recluster", Q_TOGGLED + "SELECT unique_id, source_dataset, cluster_id FROM c2")
 def recluster(spark, sf_dir):
-    records, _, filtered = toggled(spark, sf_dir)
-    return components.cluster_pairs(records, filtered, 0.99).select("unique_id", "source_dataset", "cluster_id")
+    return explored(spark, sf_dir).clusters(FILTER_TOGGLES).select("unique_id", "source_dataset", "cluster_id")
 
 
 @query("recluster_delta", Q_TOGGLED + """SELECT 'edges_original' AS metric, count(*) AS value FROM run1 UNION ALL SELECT 'edges_retained', count(*) FROM filtered
@@ -120,8 +119,7 @@ def recluster(spark, sf_dir):
   UNION ALL SELECT 'edges_removed', (SELECT count(*) FROM run1) - (SELECT count(*) FROM filtered)
   UNION ALL SELECT 'cluster_delta', (SELECT count(DISTINCT cluster_id) FROM c2) - (SELECT count(DISTINCT cluster_id) FROM c1)""")
 def recluster_delta(spark, sf_dir):
-    records, pairs, filtered = toggled(spark, sf_dir)
-    return compare.recluster_delta(records, pairs, filtered, components.cluster_pairs(records, pairs, 0.99), 0.99)
+    return explored(spark, sf_dir).delta(FILTER_TOGGLES)
 
 
 @query("within_run_toggle", Q_TOGGLED + """SELECT a.unique_id_l, a.unique_id_r, f.effective_rule, CASE WHEN f.unique_id_l IS NULL THEN 'removed' ELSE 'retained' END AS state,
@@ -129,12 +127,11 @@ def recluster_delta(spark, sf_dir):
   JOIN c2 n ON n.unique_id = a.unique_id_l""")
 def within_run_toggle(spark, sf_dir):
     """Each original pair with the rule that keeps it, or removed, and the new cluster of its left record."""
-    records, pairs, filtered = toggled(spark, sf_dir)
-    new = components.cluster_pairs(records, filtered, 0.99).selectExpr("unique_id AS unique_id_l", "cluster_id AS cluster_after")
-    kept = filtered.select("unique_id_l", "unique_id_r", "effective_rule")
+    views = explored(spark, sf_dir)
     state = F.when(F.col("effective_rule").isNull(), "removed").otherwise("retained")
-    return (pairs.select("unique_id_l", "unique_id_r").join(kept, ["unique_id_l", "unique_id_r"], "left").withColumn("state", state)
-            .join(new, "unique_id_l"))
+    new = views.clusters(FILTER_TOGGLES).selectExpr("unique_id AS unique_id_l", "source_dataset AS source_dataset_l", "cluster_id AS cluster_after")
+    return (views.pairs(FILTER_TOGGLES).join(new, ["unique_id_l", "source_dataset_l"])
+            .select("unique_id_l", "unique_id_r", "effective_rule", state.alias("state"), "cluster_after"))
 
 
 # ---- demographics of two groups ----------------------------------------------------------------------------------------------
@@ -157,6 +154,19 @@ def demographic_shift(spark, sf_dir):
     return shift(spark, sf_dir)
 
 
+@query("comparable_fields", q_with(Q_TWO_SNAPS) + f"""SELECT field, CASE WHEN a.field IS NOT NULL AND b.field IS NOT NULL THEN 'both' WHEN b.field IS NULL THEN 'first' ELSE 'second' END AS found
+  FROM (SELECT DISTINCT field FROM s1) a FULL JOIN (SELECT DISTINCT field FROM s2 WHERE field NOT IN ('birth_state', 'gender_code')) b USING (field)""")
+def comparable_fields(spark, sf_dir):
+    """Known demographic fields that both groups have, or only one of them."""
+    people = x.person_records(spark, sf_dir)
+    # At most one row per demographic field.
+    of = lambda snapshot: [r["field"] for r in snapshot.select("field").distinct().collect()]
+    whole = of(demographics.demographic_snapshot(people))
+    part = of(demographics.demographic_snapshot(people.where(SHIFT_FILTER)).where("field NOT IN ('birth_state', 'gender_code')"))
+    rows = [(f, where) for fields, where in zip(demographics.comparison_fields(whole, part), ("both", "first", "second")) for f in fields]
+    return spark.createDataFrame(rows, "field string, found string")
+
+
 @query("biggest_shift", q_with(Q_TWO_SNAPS, Q_SHIFT) + """SELECT field, label, pct_before, pct_after, delta FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY abs(delta) DESC, label) AS k
   FROM shift WHERE state = 'shared' AND delta <> 0) WHERE k = 1""")
 def biggest_shift(spark, sf_dir):

@@ -28,7 +28,7 @@ def hash_sample(spark, sf_dir):
 
 
 one("perturb_typo", "surname", lambda v, key: perturb.typo(v, "t", key), q.q_typo("surname", "t"))
-one("perturb_missing", "dob", lambda v, key: F.when(~x.hit(0.05, "m", key), v), f"CASE WHEN NOT {q_hit(0.05, 'm')} THEN dob END")
+one("perturb_missing", "dob", lambda v, key: perturb.blank(v, 0.05, "m", key), f"CASE WHEN NOT {q_hit(0.05, 'm')} THEN dob END")
 one("perturb_email", "email", lambda v, key: perturb.email_variant(v, "e", key), q.q_email_variant("email", "e"))
 one("perturb_email_digit", "email", lambda v, key: perturb.email_digit(v, "e", key), q.q_email_digit("email", "e"))
 one("perturb_place", "city", lambda v, key: perturb.short_place(v), q.q_short_place("city"))

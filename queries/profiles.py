@@ -2,7 +2,9 @@
 from pyspark.sql import functions as F
 
 from kinsift.operators import cleaning, cluster_metrics, cohort, profiling
+from kinsift.sources import models
 from queries import fixtures as x
+from queries.cleaning import shared_path
 from queries.fixtures import q_parse_date, q_round, q_with
 from queries.registry import query
 
@@ -107,6 +109,15 @@ def cohort_filter(spark, sf_dir):
     return cohort.apply_cohort_filters(people(spark, sf_dir), FILTERS).select(*COHORT_COLUMNS.split(", "))
 
 
+@query("cohort_document", q_with(x.PERSON) + f"SELECT {COHORT_COLUMNS} FROM person_records WHERE {Q_COHORT}")
+def cohort_document(spark, sf_dir):
+    """The cohort of a definition that was written to a file and read back."""
+    path = shared_path(spark, "cohort")
+    models.write_text(spark, cohort.filters_to_json(FILTERS, "chosen"), path)
+    kept = cohort.filters_from_json(models.read_text(spark, path))
+    return cohort.apply_cohort_filters(people(spark, sf_dir), kept).select(*COHORT_COLUMNS.split(", "))
+
+
 @query("cohort_bounds", q_with(x.PERSON) + " UNION ALL ".join(
     f"SELECT '{c}' AS field, min(try_cast({c} AS DOUBLE))::BIGINT AS lo, max(try_cast({c} AS DOUBLE))::BIGINT AS hi FROM person_records"
     for c in ("birth_year", "age_at_year_end")))

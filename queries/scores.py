@@ -118,6 +118,17 @@ def estimate_prior(spark, sf_dir):
     return training.estimate_prior(x.part_records(spark, sf_dir), ["name"]).withColumn("prior", rounded(F.col("prior"), 9))
 
 
+@query("rank_training_fields", q_with(x.PART) + """SELECT position, field, n_pairs FROM (VALUES (0::BIGINT, 'brand'), (1, 'name'), (2, 'size')) t(position, field) JOIN (""" + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, coalesce(sum(n * (n - 1) // 2), 0)::BIGINT AS n_pairs FROM (SELECT count(*) AS n FROM part_records WHERE {f} IS NOT NULL GROUP BY {f})"
+    for f in ("brand", "name", "size")) + ") USING (field) WHERE n_pairs > 0")
+def rank_training_fields(spark, sf_dir):
+    """Fields to block on while training, in order, with the pairs they share: rules of one field switched on, composites and unselected fields left out."""
+    toggles = {"size": True, "type": False, "brand+type": True, "name": True, "brand": True, "colour": True}
+    ranked = training.rank_training_fields(x.PART_FIELDS, toggles)
+    places = spark.createDataFrame(list(enumerate(ranked)), "position long, field string")
+    return places.join(blocking.field_counts(x.part_records(spark, sf_dir), ranked), "field").where("n_pairs > 0").select("position", "field", "n_pairs")
+
+
 SAMPLE, REACH = training.U_SAMPLE_RECORDS, training.U_SAMPLE_PAIRS // training.U_SAMPLE_RECORDS
 Q_U = f"""n AS (SELECT count(*) AS n FROM part_records),
 ranked AS (SELECT *, row_number() OVER (ORDER BY {q_draw('u')}, unique_id) - 1 AS pos, count(*) OVER () AS k_size FROM part_records, n
@@ -176,6 +187,38 @@ def em_single_step(spark, sf_dir):
     return training.em_rows(step, m).select("field", "gamma", rounded(F.col("m_prob"), 9).alias("m_prob"))
 
 
+def q_session(held_out, k):
+    """One EM step over the pairs that share a field, for the other fields."""
+    fields = [f for f in x.PART_FIELDS if f != held_out]
+    m = {c["output_column_name"]: training.starting_m(c) for c in x.part_model()["comparisons"] if c["output_column_name"] in fields}
+    u = {f: {len(x.M_U[f]) - 1 - i: level[1] for i, level in enumerate(x.M_U[f])} for f in fields}
+    likelihood = lambda values: " * ".join("CASE gamma_{} {} ELSE 1.0::DOUBLE END".format(
+        f, " ".join(f"WHEN {g} THEN {p!r}::DOUBLE" for g, p in values[f].items())) for f in fields)
+    match, other = f"{x.PRIOR}::DOUBLE * {likelihood(m)}", f"{1 - x.PRIOR}::DOUBLE * {likelihood(u)}"
+    steps = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, {g}::INT AS gamma, sum(CASE WHEN gamma_{f} = {g} THEN p END) / sum(CASE WHEN gamma_{f} >= 0 THEN p END) AS m_prob FROM e{k}" for f in fields for g in m[f])
+    gammas = ", ".join(f"({x.Q_GAMMA[f]})::INT AS gamma_{f}" for f in fields)
+    return f"b{k} AS ({q_pairs('part_records', [[held_out]], fields)}), g{k} AS (SELECT {gammas} FROM b{k}), e{k} AS (SELECT *, {match} / ({match} + {other}) AS p FROM g{k}), s{k} AS ({steps})"
+
+
+SESSIONS = ["size", "type"]
+
+
+@query("merge_sessions", q_with(x.PART, *[q_session(f, k) for k, f in enumerate(SESSIONS)])
+       + f"SELECT field, gamma, {q_round('avg(m_prob)', 7)} AS m_prob FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) WHERE m_prob IS NOT NULL GROUP BY field, gamma")
+def merge_sessions(spark, sf_dir):
+    """One m per level from two sessions, each one step of EM over the pairs that share its field."""
+    parts, sessions = x.part_records(spark, sf_dir), []
+    for held_out in SESSIONS:
+        comparisons = [c for c in x.part_model()["comparisons"] if c["output_column_name"] != held_out]
+        u = {f: {len(x.M_U[f]) - 1 - i: level[1] for i, level in enumerate(x.M_U[f])} for f in x.PART_FIELDS if f != held_out}
+        start = {c["output_column_name"]: training.starting_m(c) for c in comparisons}
+        m, _, unseen = training.em_train(training.pattern_counts(parts, [held_out], comparisons), start, u, x.PRIOR, 1, 0.0)
+        sessions.append({f: {g: p for g, p in levels.items() if (f, g) not in unseen} for f, levels in m.items()})
+    rows = [(f, g, float(p)) for f, levels in training.merge_sessions(sessions).items() for g, p in levels.items()]
+    return spark.createDataFrame(rows, "field string, gamma int, m_prob double").withColumn("m_prob", rounded(F.col("m_prob"), 7))
+
+
 ROUNDS = 3
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinsift.functions import similarity
-from kinsift.operators import blocking, compare, components, edge_metrics, explorer, reports, scoring, training, truth
+from kinsift.operators import blocking, compare, components, edge_metrics, explorer, reports, scoring, training, truth, value_join
 from kinsift.operators.comparators import build_comparisons, register_comparator, with_gammas
 from kinsift.plans.linker import LinkConfig, Linker
 from kinsift.sources import models, rules
@@ -619,3 +619,110 @@ def test_similarities_of_long_values_and_plain_damerau():
     assert np.allclose(fast, [similarity.jaro_of_long(a, b) for a, b in some])
     far = similarity._jaro_winkler(pd.Series(["x" * 10_000, "ab"]), pd.Series(["xy" * 5_000, "ab"]))
     assert abs(far[0] - 2 / 3) < 1e-9 and far[1] == 1.0
+
+
+# ---- rules switched on and off, hubs, EM on arrays ------------------------------------------------------------------------------
+
+def test_toggles_cluster_from_forests_and_read_the_pairs_once(spark, tmp_path):
+    import shutil
+
+    rows = random_records(spark, 70, 5)
+    records = table(spark, rows, ["name", "city", "size"])
+    scored = blocking.candidate_pairs(records, RULES, ["name", "city", "size"]).withColumn(
+        "match_probability", F.when(F.pmod(F.hash("unique_id_l", "unique_id_r"), F.lit(4)) == 0, 0.3).otherwise(0.9)).withColumn("match_weight", F.lit(1.0))
+    pairs = spark.createDataFrame(scored.collect(), scored.schema)
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    keys = ["name", "city+size", "city", "absent"]
+    views = explorer.RuleExplorer(records, spark.read.parquet(str(tmp_path / "pairs")), keys, 0.8, hot_node=5)
+    shutil.rmtree(tmp_path / "pairs")
+    groups = lambda df: {frozenset(m) for m in _members(df)}
+    for switches in itertools.product([True, False], repeat=len(keys)):
+        toggles = dict(zip(reversed(keys), switches))
+        kept = explorer.filter_by_rules(pairs, toggles)
+        assert groups(views.clusters(toggles)) == groups(components.cluster_pairs(records, kept, 0.8))
+    assert groups(views.clusters()) == groups(components.cluster_pairs(records, pairs, 0.8))
+    toggles = {"city": True, "name": False, "city+size": True}
+    kept = explorer.filter_by_rules(pairs, toggles)
+    label = lambda df: {(r["unique_id_l"], r["unique_id_r"], r["effective_rule"]) for r in df.where("effective_rule IS NOT NULL").collect()}
+    assert label(views.pairs(toggles)) == label(kept)
+    old = compare.recluster_delta(records, pairs, kept, components.cluster_pairs(records, pairs, 0.8), 0.8)
+    assert sorted(map(tuple, views.delta(toggles).collect())) == sorted(map(tuple, old.collect()))
+    assert {r["unique_id"] for r in views.touched(toggles).collect()} == {r["unique_id"] for r in explorer.touched_records(records, kept).collect()}
+    views.close()
+
+
+def plain_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _members(clusters):
+    out = {}
+    for r in clusters.collect():
+        out.setdefault(r["cluster_id"], []).append(r["unique_id"])
+    return out.values()
+
+
+def test_hubs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUBS", 2)
+    rng = random.Random(3)
+    edges = [(f"n{i % 4}", f"m{i}") for i in range(300)] + [(f"m{rng.randrange(300)}", f"x{i}") for i in range(200)]
+    df = spark.createDataFrame(edges, "node_l string, node_r string")
+    parent = {}
+
+    def root(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {r["node"]: r["label"] for r in components.component_labels(df, hot_node=10).collect()} == {n: root(n) for n in list(parent)}
+
+
+def test_em_on_arrays_is_em_in_spark(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.randint(1, 400), a, b, c) for a in (-1, 0, 1, 2) for b in (-1, 0, 1) for c in (0, 2)]
+    patterns = spark.createDataFrame(rows, "n long, gamma_a int, gamma_b int, gamma_c int")
+    m = {"a": {0: 0.05, 1: 0.05, 2: 0.9}, "b": {0: 0.1, 1: 0.9}, "c": {0: 0.05, 1: 0.05, 2: 0.9}}
+    u = {"a": {0: 0.9, 1: 0.07, 2: 0.03}, "b": {0: 0.8, 1: 0.2}, "c": {0: 0.7, 1: 0.2, 2: 0.1}}
+    one = training.em_train(patterns, m, u, 0.01, 8, 0.0)
+    monkeypatch.setattr(training, "LOCAL_PATTERNS", 0)
+    two = training.em_train(patterns, m, u, 0.01, 8, 0.0)
+    assert one[2] == two[2] == {("c", 1)} and abs(one[1] - two[1]) < 1e-12
+    assert all(abs(one[0][f][g] - two[0][f][g]) < 1e-12 for f in m for g in m[f])
+
+
+@pytest.mark.parametrize("function,threshold", [("levenshtein", 1), ("levenshtein", 2), ("jaro_similarity", 0.85), ("jaro_winkler_similarity", 0.88), ("jaro_winkler_similarity", 0.92)])
+def test_alike_values_are_all_found(spark, function, threshold):
+    rng = random.Random(threshold)
+    words = {"", "a", "aa", "ab", "ba"} | {"".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(160)}
+    near = {w[:i] + c + w[i + 1:] for w in list(words)[:60] for i, c in [(rng.randrange(max(len(w), 1)), rng.choice("abcdé"))]}
+    words = sorted(words | near)
+    values = spark.createDataFrame([(w, 1, 1) for w in words], "value string, n long, na long")
+    similarity.register(spark)
+    test = f"levenshtein(value_l, value_r) <= {threshold}" if function == "levenshtein" else f"{function}(value_l, value_r) >= {threshold}"
+    every = values.select(F.col("value").alias("value_l")).crossJoin(values.select(F.col("value").alias("value_r"))).where("value_l < value_r").where(test)
+    found = value_join.alike(values, function, threshold)
+    wanted = {tuple(r) for r in every.collect()}
+    got = [(r["value_l"], r["value_r"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and wanted <= set(got) and len(wanted) > 20
+
+
+def test_u_of_rare_levels_is_counted_and_the_rest_shared(spark):
+    rng = random.Random(5)
+    rows = [(str(i), "".join(rng.choices("abcd", k=4)), "A") for i in range(120)]
+    df = spark.createDataFrame(rows, "unique_id string, name string, source_dataset string")
+    comparisons = build_comparisons(["name"], {"name": "LevenshteinAtThresholds"})
+    u = training.u_of_levels(df, comparisons, target=500, sample=100)["name"]
+    n = {}
+    pairs = [(a[1], b[1]) for a, b in itertools.combinations(rows, 2)]
+    for a, b in pairs:
+        d = plain_levenshtein(a, b)
+        g = 3 if d == 0 else 2 if d == 1 else 1 if d == 2 else 0
+        n[g] = n.get(g, 0) + 1
+    assert all(abs(u[g][0] - n.get(g, 0) / len(pairs)) < 1e-12 for g in (1, 2, 3)) and abs(sum(v for v, _ in u.values()) - 1) < 1e-9

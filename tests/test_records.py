@@ -219,3 +219,23 @@ def test_cap_on_unknowns(spark):
 def test_draws_are_spread(spark):
     rate = spark.range(4000).select((draw("x", F.col("id").cast("string")) < 2 ** 31).cast("int").alias("h")).agg(F.avg("h")).first()[0]
     assert 0.46 < rate < 0.54
+
+
+def test_a_stored_clean_table_and_its_log_read_the_input_three_times(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        reads.add(1)
+        yield from batches
+
+    source = spark.createDataFrame([("1", "ann", "2020-01-02", "x"), ("1", "ann", "2020-01-02", "x"), ("2", None, None, None), (None, None, None, None),
+                                    ("3", "bob", "1999-5-6", None)], "id string, name string, `birth date` string, kind string").coalesce(1).mapInPandas(
+        rows, "id string, name string, `birth date` string, kind string")
+    result = cleaning.clean_records(source).store()
+    log = result.log
+    assert reads.value <= 3
+    assert log["summary"] == {"original_rows": 5, "rows_removed": 3, "final_rows": 2, "cols_removed": 0} and log["duplicates_removed"] == 1
+    assert sorted(r["id"] for r in result.data.collect()) == ["1", "3"] and reads.value <= 3
+    assert cleaning.clean_records(source).log == log
+    narrow = cleaning.clean_records(source.select("id", "name")).log
+    assert narrow["summary"]["final_rows"] == 2 and narrow["duplicates_removed"] == 1
