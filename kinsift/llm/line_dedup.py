@@ -169,7 +169,8 @@ def repeated_runs(documents, rank, text, min_words):
             _rows, f"digest long, rank {name}, key int, piece int"))
 
     place = F.struct(F.col("rank").isNull().alias("last"), "rank", "key", "piece")
-    first = rows.groupBy("digest").agg(F.min(place).alias("first"))
+    # Stored, so that the join is one of two plain tables and the rows of a hot digest can be split among tasks.
+    first = materialise(rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").select("digest", "first"))
     later = rows.join(first, "digest").where(place != F.col("first")).select(
         "rank", "key", "piece", F.col("first.rank").alias("f_rank"), F.col("first.key").alias("f_key"), F.col("first.piece").alias("f_piece")).distinct()
     # Units of one document that follow each other, here and at their first occurrence, are one run.
@@ -177,7 +178,8 @@ def repeated_runs(documents, rank, text, min_words):
     line = Window.partitionBy("rank", "key", "f_rank", "f_key", "shift").orderBy("piece")
     chained = later.repartition("rank", "key").withColumn("shift", shift).withColumn("island", F.col("piece") - F.row_number().over(line))
     runs = materialise(chained.groupBy("rank", "key", "f_rank", "f_key", "shift", "island").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).drop("island"))
-    release(rows)
+    for table in (rows, first):
+        release(table)
 
     own = _same("", "f_")
     apart = runs.where(~own)

@@ -53,9 +53,10 @@ def _rate(size, mean, tilt, cap):
 def _solve(folded, goals, cap, rounds=80, tolerance=1e-9):
     """(source, mean, tilt) by safeguarded Newton steps: lo..hi always holds the root of a growing function.
 
-    Each step is one aggregation over `folded`; what comes back has one row per source. A step that would leave the bracket
-    halves it instead. Sources whose target is all they may give need no step.
+    Each step is one aggregation over `folded`; what comes back has one row per source. Sums are taken as decimals, so they are the
+    same in any order of the rows, and reruns agree to the last copy. A step that would leave the bracket halves it instead. Sources whose target is all they may give need no step.
     """
+    exact = lambda column: F.sum(column.cast("decimal(38,9)")).cast("double")
     full = F.col("target") >= cap * F.col("words")
     state = materialise(goals.select("source", "target", "mean", F.when(~full, F.lit(0.0)).alias("tilt"),
                                      F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi"), full.alias("done")))
@@ -66,7 +67,7 @@ def _solve(folded, goals, cap, rounds=80, tolerance=1e-9):
         rest = state.where("not done").drop("done").withColumnRenamed("source", "goal_source")
         at = (folded.join(rest, F.col("source").eqNullSafe(F.col("goal_source")))
               .groupBy("source", "target", "mean", "tilt", "lo", "hi")
-              .agg(F.sum(words * F.least(F.lit(cap), raw)).alias("got"), F.sum(F.when(raw < cap, words * raw * z)).alias("slope")))
+              .agg(exact(words * F.least(F.lit(cap), raw)).alias("got"), exact(F.when(raw < cap, words * raw * z)).alias("slope")))
         miss = F.col("got") - F.col("target")
         lo = F.when(miss < 0, F.col("tilt")).otherwise(F.col("lo"))
         hi = F.when(miss > 0, F.col("tilt")).otherwise(F.col("hi"))
