@@ -14,7 +14,7 @@ from kinsift.llm.line_dedup import dedup_units
 from kinsift.llm.mixing import mix
 from kinsift.llm.ngram_join import keep_one
 from kinsift.llm.quality_rules import keep_good
-from kinsift.session import materialise
+from kinsift.session import materialise, release
 
 
 def quality(spark, docs, sf_dir):
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
