@@ -5,14 +5,19 @@ blocks of the range of numbers. A block counts, and sends back to every piece th
 number costs some eight bytes of shuffle, and only repeated ones travel twice; nothing is broadcast. The number of
 blocks follows the counted input. A head goes from the task to whoever reads the piece afterwards.
 """
+import math
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 
-#: Numbers that a block holds, on average, and numbers of a piece at most. Owners are told in 16 bits.
-BLOCK_NUMBERS, PIECE_NUMBERS, OWNERS = 2_000_000, 4_000_000, 65_000
+#: Numbers that a block holds, on average, and numbers of a piece at most, in a corpus of up to some ten billion numbers: 50 MB of arrays in
+#: a task. Owners are told in 16 bits.
+BLOCK_NUMBERS, PIECE_NUMBERS, OWNERS = 500_000, 1_000_000, 65_000
+#: Numbers that one piece deals to one block, on average, at least, and how large pieces and blocks may become for it. Fewer
+#: would make a row of each number.
+ROW_NUMBERS, LARGEST = 32, 16_000_000
 #: Counts are told apart up to here; a block does not hold the places of more frequent numbers.
 FREQUENT = 65_535
 
@@ -20,6 +25,13 @@ DEALT = "block int, piece string, head boolean, first long, width int, data bina
 SHARED = "piece string, head boolean, data binary, owners binary, counts binary"
 
 
+def sizes(total, block=None, piece=None):
+    """(blocks, numbers a block, numbers a piece) for a counted total."""
+    side = min(math.isqrt(ROW_NUMBERS * total), LARGEST)
+    block, piece = max(block or BLOCK_NUMBERS, side), max(piece or PIECE_NUMBERS, side)
+    return max(1, -(-total // block)), block, piece
+
+
 def _names(schema):
     return [x.split(" ")[0] for x in schema.split(", ")]
 

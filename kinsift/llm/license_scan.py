@@ -93,6 +93,7 @@ class Index:
     def __init__(self, templates):
         self.names = list(templates)
         self.words = [word_hashes([templates[n].encode()], separators=PUNCTUATION)[0] for n in self.names]
+        self.bags = [np.unique(hashes, return_counts=True) for hashes in self.words]
         self.places = {}
         for t, hashes in enumerate(self.words):
             at, found = winnow(hashes)
@@ -129,6 +130,13 @@ def align(template, words, band=BAND):
     return matched, first, first - span
 
 
+def most_matched(bag, words):
+    """Words of a template that a window can match at most, in whatever order: a bound that costs no alignment."""
+    kinds, counts = bag
+    at = np.minimum(np.searchsorted(kinds, words), len(kinds) - 1)
+    return int(np.minimum(np.bincount(at[kinds[at] == words], minlength=len(kinds)), counts).sum())
+
+
 def scan_words(hashes, index, coverage):
     """(template, matched, first word, last word) of every place where a template is covered well enough."""
     at, found = winnow(hashes)
@@ -145,7 +153,10 @@ def scan_words(hashes, index, coverage):
         template = index.words[t]
         start = max(0, diagonal - BAND)
         lead = BAND - (diagonal - start)
-        window = [None] * lead + hashes[start:diagonal + len(template) + BAND].tolist()
+        inside = hashes[start:diagonal + len(template) + BAND]
+        if most_matched(index.bags[t], inside) < coverage * len(template):
+            continue
+        window = [None] * lead + inside.tolist()
         matched, first, last = align(template.tolist(), window)
         if matched >= coverage * len(template):
             out.append((t, matched, start + first - lead, start + last - lead))

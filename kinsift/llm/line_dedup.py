@@ -161,11 +161,11 @@ def repeated_runs(documents, rank, text, min_words):
     """
     docs = documents.select(F.col(rank).alias("rank"), F.hash(text).alias("key"), F.col(text).alias("text"))
     chars = documents.agg(F.sum(F.length(text))).first()[0] or 0
-    n_blocks = max(1, chars // UNIT_CHARS // dealing.BLOCK_NUMBERS)
+    n_blocks, block, _ = dealing.sizes(chars // UNIT_CHARS)
     name = docs.schema["rank"].dataType.simpleString()
     with arrow_rows(documents.sparkSession, 256):
         dealt = docs.mapInArrow(_deal(min_words, n_blocks, dealing.OWNERS), dealing.DEALT)
-        rows = materialise(dealing.sent_back(dealt, 4 * dealing.BLOCK_NUMBERS, dealing.FREQUENT).groupBy("piece").applyInArrow(
+        rows = materialise(dealing.sent_back(dealt, 4 * block, dealing.FREQUENT).groupBy("piece").applyInArrow(
             _rows, f"digest long, rank {name}, key int, piece int"))
 
     place = F.struct(F.col("rank").isNull().alias("last"), "rank", "key", "piece")

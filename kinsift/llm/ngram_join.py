@@ -33,7 +33,7 @@ from kinsift.llm.common import BROADCAST_KEYS, arrow_rows, keys
 from kinsift.operators.components import component_labels
 from kinsift.session import materialise, release
 
-#: Shingles that a block counts on average, that a task deals at once, and up to which counts are told apart.
+#: Shingles that a block counts on average at least, that a task deals at once, and up to which counts are told apart.
 BLOCK_SHINGLES, PIECE_SHINGLES, FREQUENT = dealing.BLOCK_NUMBERS, dealing.PIECE_NUMBERS, dealing.FREQUENT
 SUFFIX_PARTS, PART_LIMIT = 4, 0xFFFF
 #: Classes of one shingle that a tile of the join holds on a side: at most four million pairs, whatever the group.
@@ -208,10 +208,10 @@ def _meetings(documents, n, percent, doc_id, text):
     in their prefixes."""
     members = materialise(_describe(documents, n, doc_id, text))
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_SHINGLES))
+    n_blocks, block, piece = dealing.sizes(total, BLOCK_SHINGLES, PIECE_SHINGLES)
     texts, copies = _firsts(documents, members, doc_id, text)
     with arrow_rows(documents.sparkSession, 64):
-        shared = dealing.sent_back(texts.mapInArrow(_deal(n, n_blocks, PIECE_SHINGLES), dealing.DEALT), 4 * BLOCK_SHINGLES, FREQUENT)
+        shared = dealing.sent_back(texts.mapInArrow(_deal(n, n_blocks, piece), dealing.DEALT), 4 * block, FREQUENT)
         near = materialise(shared.groupBy("piece").applyInArrow(_order_piece(percent), NEAR).dropDuplicates(["digest"]))
     release(copies)
     rows = near.select("class", "size", "shared", "central", F.posexplode(F.arrays_zip("prefix", "suffix")).alias("position", "at")).select(

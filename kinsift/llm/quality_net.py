@@ -22,7 +22,7 @@ ROWS = WORD_ROWS + SHAPE_ROWS
 #: Labelled documents that the network learns from at most: those with the smallest hash of their id. A fifth sets the temperature.
 SAMPLE = 8192
 HIDDEN, STEPS, RATE, DECAY, SEED = 32, 400, 0.01, 1e-3, 11
-#: Places whose pairs are counted at once.
+#: Places that are counted at once.
 SLICE = 1 << 15
 SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -34,6 +34,14 @@ def random_vectors():
     return axes, np.tile(np.array([1.0, -1.0] * (ENTRIES // 2)), (ROWS, 1))
 
 
+def dense_vectors():
+    """The random vectors as a table, with a last row of zeros for places between texts."""
+    axes, signs = random_vectors()
+    table = np.zeros((ROWS + 1, AXES), np.int16)
+    np.put_along_axis(table[:ROWS], axes, signs.astype(np.int16), 1)
+    return table
+
+
 def unit_rows(text):
     """Rows of the words of a text, and of their shapes: letters, capitals, digits and signs with repeats taken once."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -45,34 +53,38 @@ def unit_rows(text):
             np.fromiter(map(crc32, shapes), np.int64, count) % SHAPE_ROWS + WORD_ROWS)
 
 
-def add_contexts(total, words, shapes, axes, signs):
-    """Add to `total` (flat, ROWS x AXES) the random vectors of all neighbours; WINDOW places of -1 separate texts."""
+def add_contexts(total, words, shapes, vectors):
+    """Add to `total` (ROWS x AXES) for every place the random vectors of its neighbours; WINDOW places of -1 separate texts."""
     for start in range(0, len(words), SLICE):
-        cells, values = [], []
+        low, high = max(start - WINDOW, 0), min(start + SLICE + WINDOW, len(words))
+        here = vectors[words[low:high]] + vectors[shapes[low:high]]
+        around = np.zeros_like(here)
         for off in range(1, WINDOW + 1):
-            left = np.arange(start, min(start + SLICE, len(words) - off))
-            left = left[(words[left] >= 0) & (words[left + off] >= 0)]
-            for a, b in ((left, left + off), (left + off, left)):
-                for target in (words[a], shapes[a]):
-                    for near in (words[b], shapes[b]):
-                        cells.append((target[:, None] * AXES + axes[near]).ravel())
-                        values.append(signs[near].ravel())
-        if cells:
-            total += np.bincount(np.concatenate(cells), np.concatenate(values), ROWS * AXES)
+            around[off:] += here[:-off]
+            around[:-off] += here[off:]
+        inside = slice(start - low, min(start + SLICE, len(words)) - low)
+        around = around[inside]
+        for rows in (words[low:high][inside], shapes[low:high][inside]):
+            order = np.argsort(rows, kind="stable")
+            order = order[np.searchsorted(rows[order], 0):]
+            if len(order):
+                ordered = rows[order]
+                first = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
+                total[ordered[first]] += np.add.reduceat(around[order], first, 0, dtype=np.int32)
 
 
 def _fold_contexts(batches):
-    axes, signs = random_vectors()
-    total, seen = np.zeros(ROWS * AXES), np.zeros(ROWS)
+    vectors = dense_vectors()
+    total, seen = np.zeros((ROWS, AXES), np.int64), np.zeros(ROWS)
     gap = np.full(WINDOW, -1, np.int64)
     for batch in batches:
         parts = [unit_rows(text) for text in batch.column("text").to_pylist()]
         words = np.concatenate([x for w, _ in parts for x in (w, gap)])
         shapes = np.concatenate([x for _, s in parts for x in (s, gap)])
-        add_contexts(total, words, shapes, axes, signs)
+        add_contexts(total, words, shapes, vectors)
         seen += np.bincount(np.concatenate([words[words >= 0], shapes[words >= 0]]), minlength=ROWS)
     some = np.flatnonzero(seen)
-    sums = total.reshape(ROWS, AXES)[some].astype(np.int64)
+    sums = total[some]
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some].astype(np.int64)), pa.array(list(sums), pa.list_(pa.int64()))],
                                      ["unit", "n", "sums"])
 

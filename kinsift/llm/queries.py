@@ -26,12 +26,25 @@ def query(name, sql=None):
     return add
 
 
-@query("op1_ngram_jaccard_join")
+SQL_SHINGLES = """CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
+
+
+@query("op1_ngram_jaccard_join", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER.format("text")}, {SQL_WORD}) AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({SQL_SHINGLES}) AS s FROM d),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM met JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+    edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id
+    FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY doc_id""")
 def op1(spark, sf_dir):
     """Size of every document's shingle set, and the group of near copies it is in."""
     from kinsift.llm.ngram_join import near_duplicates
 
-    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class", "component")
+    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op2_lm_scoring")

@@ -133,6 +133,7 @@ def test_small_blocks_and_pieces_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 40)
     monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", 150)
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(dealing, "LARGEST", 1)
     rows = corpus(6, 120)
     assert got(spark, rows) == brute(rows)
     monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
@@ -140,6 +141,13 @@ def test_small_blocks_and_pieces_change_nothing(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_blocks_and_pieces_grow_so_that_rows_stay_full():
+    for total in (0, 10, 10 ** 6, 10 ** 9, 10 ** 12):
+        blocks, block, piece = dealing.sizes(total)
+        assert blocks * block >= total and piece * block >= 31 * total
+    assert dealing.sizes(10 ** 14)[1:] == (dealing.LARGEST, dealing.LARGEST)
+
+
 def test_very_long_texts(spark):
     rng = random.Random(12)
     long = rng.choices([f"w{i}" for i in range(4000)], k=120_000)

@@ -114,6 +114,7 @@ def test_substring_dedup_of_many_and_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(dealing, "OWNERS", 9)
     monkeypatch.setattr(dealing, "BLOCK_NUMBERS", 20)
+    monkeypatch.setattr(dealing, "LARGEST", 1)
     rows = dedup_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     wanted = plain_dedup(keyed(df))
@@ -357,3 +358,20 @@ def test_junk_of_the_supplied_labels_scores_lower(spark):
         spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "label"), "doc_id")
     share = {r[0]: (r[1], r[2]) for r in out.where("NOT base_failed").groupBy("label").agg(F.avg(F.col("kept").cast("int")), F.count("*")).collect()}
     assert share[1][0] > 0.99 and share[0][0] < 0.5
+
+
+def test_license_bound_is_never_under_the_alignment_and_spares_hopeless_ones():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        template, window = rng.integers(0, 9, 12).astype(np.uint64), rng.integers(0, 9, 24).astype(np.uint64)
+        matched, _, _ = license_scan.align(template.tolist(), window.tolist())
+        assert matched <= license_scan.most_matched(np.unique(template, return_counts=True), window)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    hashes, _ = license_scan.word_hashes([b"the software is provided as is " * 4000], separators=license_scan.PUNCTUATION)
+    start = time.perf_counter()
+    license_scan.scan_words(hashes, index, 0.8)
+    assert time.perf_counter() - start < 5

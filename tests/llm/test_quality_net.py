@@ -47,15 +47,14 @@ def test_units(text):
 
 
 def test_slices_change_nothing(monkeypatch):
-    axes, signs = q.random_vectors()
     units = [q.unit_rows(t) for t in TEXTS]
     gap = np.full(q.WINDOW, -1, np.int64)
     words, shapes = (np.concatenate([x for u in units for x in (u[k], gap)]) for k in (0, 1))
     for size in (7, 1 << 15):
         monkeypatch.setattr(q, "SLICE", size)
-        total = np.zeros(q.ROWS * q.AXES)
-        q.add_contexts(total, words, shapes, axes, signs)
-        assert (total.reshape(q.ROWS, q.AXES) == plain_sums(TEXTS)).all()
+        total = np.zeros((q.ROWS, q.AXES), np.int64)
+        q.add_contexts(total, words, shapes, q.dense_vectors())
+        assert (total == plain_sums(TEXTS)).all()
 
 
 def test_vectors_are_those_of_plain_loops(spark):
