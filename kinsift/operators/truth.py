@@ -3,9 +3,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinsift.fixed_values import EPSILON_STEPS
-from kinsift.functions.numbers import ratio, rounded
+from kinsift.functions.numbers import pairs_of, ratio, rounded
 from kinsift.functions.quantiles import probability_strip
-from kinsift.operators.blocking import truth_pair_count, truth_pairs
+from kinsift.operators.blocking import HOT_BLOCK, node, paired, truth_pair_count, truth_pairs
 
 
 def label_predictions(pairs, records):
@@ -28,6 +28,46 @@ def missed_pairs(pairs, records, link=False):
     return truth_pairs(records, link).join(pairs.select(*keys), keys, "left_anti")
 
 
+def _block(fields, side=""):
+    """Records that a run cannot tell apart: the values of all fields that it looks at, as one text."""
+    return F.to_json(F.array(*[F.col(f"{f}{side}").cast("string") for f in fields]))
+
+
+def missed_blocks(pairs, records, fields, link=False, hot_block=HOT_BLOCK):
+    """The misses factorised: (cluster, block_l, block_r, n_missed), block_l <= block_r.
+
+    `fields` are all columns that decide whether a run predicts a pair (those of its rules and of its comparisons). Records of a
+    cluster that are alike in them form a block, and a run predicts all pairs of two blocks or none. A cluster thus costs
+    its blocks, however many records are in them, and no pair of records is made; `expand_missed` makes them for the blocks one
+    wants to see. Ids are taken to be unique.
+    """
+    sized = records.where(F.col("cluster").isNotNull()).select("cluster", _block(fields).alias("block"), "source_dataset").groupBy("cluster", "block").agg(
+        F.count("*").alias("n"), F.count_if(F.col("source_dataset") == "A").alias("na"))
+    # A block stands in for its records: tiles keep a cluster of very many blocks apart, as they do for pairs.
+    units = sized.select("cluster", F.concat_ws("|", F.col("cluster").cast("string"), "block").alias("unique_id"), F.lit("A").alias("source_dataset"), "block", "n", "na")
+    apart = paired(units, None, [["cluster"]], ["cluster", "block", "n", "na"], hot_block).select(
+        F.col("cluster_l").alias("cluster"), "block_l", "block_r", F.expr("na_l * (n_r - na_r) + (n_l - na_l) * na_r" if link else "n_l * n_r").alias("n_missed"))
+    inside = sized.select("cluster", F.col("block").alias("block_l"), F.col("block").alias("block_r"), (F.expr("na * (n - na)") if link else pairs_of("n")).alias("n_missed"))
+    known = pairs.where("cluster_l = cluster_r") if {"cluster_l", "cluster_r"} <= set(pairs.columns) else label_predictions(pairs, records).where("is_true_match")
+    sides = [_block(fields, "_l"), _block(fields, "_r")]
+    found = known.select(F.col("cluster_l").alias("cluster"), F.least(*sides).alias("block_l"), F.greatest(*sides).alias("block_r")).distinct()
+    ordered = apart.select("cluster", F.least("block_l", "block_r").alias("block_l"), F.greatest("block_l", "block_r").alias("block_r"), "n_missed")
+    return ordered.unionByName(inside).where("n_missed > 0").join(found, ["cluster", "block_l", "block_r"], "left_anti")
+
+
+def expand_missed(blocks, records, fields, link=False):
+    """The record pairs of missed blocks, ordered as ground-truth pairs are."""
+    member = records.select("cluster", _block(fields).alias("block"), "unique_id", "source_dataset", node().alias("node"))
+    side = lambda s: member.toDF("cluster", f"block_{s}", f"unique_id_{s}", f"source_dataset_{s}", f"node_{s}")
+    both = blocks.join(side("l"), ["cluster", "block_l"]).join(side("r"), ["cluster", "block_r"])
+    both = both.where("node_l <> node_r AND (block_l <> block_r OR node_l < node_r)")
+    if link:
+        both = both.where("source_dataset_l <> source_dataset_r")
+    turned = F.col("node_l") > F.col("node_r")
+    pick = lambda c, a, b: F.when(turned, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}"))
+    return both.select(*[pick(c, a, b).alias(f"{c}_{a}") for c in ("unique_id", "source_dataset") for a, b in ("lr", "rl")], F.lit(1.0).alias("clerical_match_score"))
+
+
 def _with_truth_count(counts, records, link):
     total = truth_pair_count(records, link).withColumn("_one", F.lit(1))
     return counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")

@@ -726,3 +726,29 @@ def test_u_of_rare_levels_is_counted_and_the_rest_shared(spark):
         g = 3 if d == 0 else 2 if d == 1 else 1 if d == 2 else 0
         n[g] = n.get(g, 0) + 1
     assert all(abs(u[g][0] - n.get(g, 0) / len(pairs)) < 1e-12 for g in (1, 2, 3)) and abs(sum(v for v, _ in u.values()) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("link", [False, True])
+def test_missed_blocks_expand_to_the_missed_pairs(spark, link):
+    rng = random.Random(11)
+    rows = [(f"{i}", rng.choice(["x", "y", None]), rng.choice(["p", "q", "r", None]), f"c{rng.randrange(6)}" if rng.random() < 0.9 else None, rng.choice("AB")) for i in range(80)]
+    records = spark.createDataFrame(rows, "unique_id string, name string, city string, cluster string, source_dataset string")
+    if not link:
+        records = records.withColumn("source_dataset", F.lit("A"))
+    rules, fields = [["name", "city"]], ["name", "city"]
+    pairs = (blocking.deterministic_pairs(records.where("source_dataset = 'A'"), rules, fields, records.where("source_dataset = 'B'"), keep=["cluster"]) if link
+             else blocking.deterministic_pairs(records, rules, fields, keep=["cluster"]))
+    blocks = truth.missed_blocks(pairs, records, fields, link, hot_block=3)
+    plain = {frozenset([r["unique_id_l"], r["unique_id_r"]]) for r in truth.missed_pairs(pairs, records, link).collect()}
+    got = [frozenset([r["unique_id_l"], r["unique_id_r"]]) for r in truth.expand_missed(blocks, records, fields, link).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain and plain
+    assert blocks.agg(F.sum("n_missed")).first()[0] == len(plain)
+    without = pairs.drop("cluster_l", "cluster_r")
+    assert sorted(map(tuple, truth.missed_blocks(without, records, fields, link).collect())) == sorted(map(tuple, blocks.collect()))
+
+
+def test_a_large_cluster_costs_its_blocks(spark):
+    rows = spark.range(100_000).selectExpr("cast(id as string) AS unique_id", "'A' AS source_dataset", "concat('n', id % 3) AS name", "'one' AS cluster")
+    pairs = spark.createDataFrame([], "unique_id_l string, unique_id_r string, name_l string, name_r string, cluster_l string, cluster_r string")
+    found = truth.missed_blocks(pairs, rows, ["name"]).collect()
+    assert len(found) == 6 and sum(r["n_missed"] for r in found) == 100_000 * 99_999 // 2
