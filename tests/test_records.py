@@ -1,4 +1,6 @@
 """Hand-made tables for scans, cleaning, profiles, cohorts and noise."""
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +241,12 @@ def test_a_stored_clean_table_and_its_log_read_the_input_three_times(spark):
     assert cleaning.clean_records(source).log == log
     narrow = cleaning.clean_records(source.select("id", "name")).log
     assert narrow["summary"]["final_rows"] == 2 and narrow["duplicates_removed"] == 1
+
+
+def test_letters_of_long_values_are_changed_in_time_linear_in_their_length(spark):
+    """The places to change are worked out once a value, not once a character."""
+    df = spark.createDataFrame([(str(i), "aBcDe" * 1200) for i in range(2)], "unique_id string, v string")
+    started = time.monotonic()
+    for r in df.select("v", perturb.change_letters(F.col("v"), 3, "w", F.col("unique_id")).alias("after")).collect():
+        assert len(r["after"]) == 6000 and sum(a != b for a, b in zip(r["v"], r["after"])) == 3
+    assert time.monotonic() - started < 30
