@@ -713,6 +713,22 @@ def test_alike_values_are_all_found(spark, function, threshold):
     assert len(got) == len(set(got)) and wanted <= set(got) and len(wanted) > 20
 
 
+@pytest.mark.parametrize("function,threshold", [("levenshtein", 2), ("jaro_winkler_similarity", 0.9)])
+def test_tokens_of_values_never_pass_the_driver(spark, function, threshold):
+    """A few values become very many tokens, which the planner does not see."""
+    values = spark.range(300).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS value", "1L AS n", "1L AS na")
+    plan = value_join.alike(values, function, threshold)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [token" in plan and "value_l" not in "".join(line for line in plan.splitlines() if "BroadcastExchange" in line)
+
+
+def test_values_that_cannot_reach_the_threshold_are_no_candidates(spark):
+    values = spark.range(400).selectExpr("cast(100000 + id * 7919 % 900000 as string) AS value", "1L AS n", "1L AS na")
+    rows = [r["value"] for r in values.collect()]
+    edits = sum(plain_levenshtein(a, b) <= 2 for a, b in itertools.combinations(rows, 2))
+    assert value_join.alike(values, "levenshtein", 2).count() == edits
+    assert value_join.alike(values, "jaro_winkler_similarity", 0.9).count() < 400 * 399 / 2 / 20
+
+
 def test_u_of_rare_levels_is_counted_and_the_rest_shared(spark):
     rng = random.Random(5)
     rows = [(str(i), "".join(rng.choices("abcd", k=4)), "A") for i in range(120)]
