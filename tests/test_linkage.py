@@ -713,6 +713,60 @@ def test_alike_values_are_all_found(spark, function, threshold):
     assert len(got) == len(set(got)) and wanted <= set(got) and len(wanted) > 20
 
 
+@pytest.fixture(scope="module")
+def alike_rows():
+    """Records of few profiles; some ids and values are null, some ids come twice."""
+    rng = random.Random(3)
+    out = [(f"{i % 170}" if i % 41 else None, rng.choice(["ann", "anne", "bob", None]), rng.choice(["x", "xy", "z", None]), rng.choice("AB")) for i in range(180)]
+    return out + out[:6]
+
+
+def folded_model():
+    comparisons = build_comparisons(["name", "city"], {"name": "JaroWinklerAtThresholds"})
+    for c in comparisons:
+        real = [level for level in c["comparison_levels"] if not level["is_null_level"]]
+        for k, level in enumerate(real):
+            level["m_probability"], level["u_probability"] = 0.6 / (k + 1), 0.2 * (k + 1)
+    return {"comparisons": comparisons, "probability_two_random_records_match": 0.2}
+
+
+@pytest.mark.parametrize("link", [False, True])
+@pytest.mark.parametrize("hot_block", [2, 2000])
+def test_folded_records_give_the_pairs_of_their_records(spark, alike_rows, monkeypatch, link, hot_block):
+    records = spark.createDataFrame(alike_rows, "unique_id string, name string, city string, source_dataset string")
+    a, b = (records.where("source_dataset = 'A'"), records.where("source_dataset = 'B'")) if link else (records, None)
+    rules, found = [["name"], ["city"]], {}
+    for members in (None, 3, 500):
+        monkeypatch.setattr(blocking, "folds_well", lambda *_: members is not None)
+        monkeypatch.setattr(blocking.fold, "__defaults__", (False, members or 500))
+        pairs = scoring.predict_folded(a, rules, folded_model(), b, threshold=-2.0, hot_block=hot_block)
+        assert ("_members_l" in pairs.columns) == (members is not None)
+        plain = blocking.unfold(pairs)
+        ends = components.component_labels(components.edges_of(pairs, 0.3))
+        found[members] = (plain.columns, sorted(map(str, plain.collect())), sorted(map(str, ends.collect())))
+    assert found[None] == found[3] == found[500] and len(found[None][1]) > 500
+
+
+def test_alike_records_are_scored_once(spark):
+    """A thousand records of two profiles: half a million pairs from no more than four scored ones."""
+    records = spark.range(1000).selectExpr("cast(id AS string) AS unique_id", "if(id % 2 = 0, 'ann', 'anne') AS name", "'x' AS city", "'A' AS source_dataset")
+    pairs = scoring.predict_folded(records, [["city"]], folded_model(), threshold=None)
+    assert pairs.count() <= 4 and blocking.unfold(pairs).count() == 1000 * 999 // 2
+
+
+def test_rules_are_read_once_for_alike_records(spark):
+    records = spark.range(400).selectExpr("cast(id AS string) AS unique_id", "concat('n', id % 3) AS name", "'x' AS city", "'A' AS source_dataset")
+    pairs = blocking.candidate_pairs(records, [["city"]], ["name"], folded=True)
+    assert pairs.count() <= 9 and blocking.unfold(pairs).count() == 400 * 399 // 2
+
+
+def test_pairs_of_a_small_table_are_made_in_many_tasks(spark):
+    """Adaptive execution would merge the partitions of a small table, however many pairs it makes."""
+    records = spark.range(2000).selectExpr("cast(id AS string) AS unique_id", "concat('n', id % 200) AS name", "'A' AS source_dataset")
+    used = blocking.candidate_pairs(records, [["name"]], []).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= 4
+
+
 @pytest.mark.parametrize("function,threshold", [("levenshtein", 2), ("jaro_winkler_similarity", 0.9)])
 def test_tokens_of_values_never_pass_the_driver(spark, function, threshold):
     """A few values become very many tokens, which the planner does not see."""
