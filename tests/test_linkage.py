@@ -3,6 +3,7 @@ import itertools
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -822,3 +823,34 @@ def test_a_large_cluster_costs_its_blocks(spark):
     pairs = spark.createDataFrame([], "unique_id_l string, unique_id_r string, name_l string, name_r string, cluster_l string, cluster_r string")
     found = truth.missed_blocks(pairs, rows, ["name"]).collect()
     assert len(found) == 6 and sum(r["n_missed"] for r in found) == 100_000 * 99_999 // 2
+
+
+def test_pairs_without_hope_meet_no_string_similarity(spark, monkeypatch):
+    """A cheap comparison rules the pair out, so its text never reaches the similarity; the pairs kept are those of plain scoring."""
+    from pyspark.sql import types as T
+    from kinsift.functions import similarity
+
+    def poisoned(left, right):
+        assert "poison" not in set(left) | set(right)
+        return pd.Series([1.0 if a == b else 0.95 for a, b in zip(left, right)])
+    poisoned.__annotations__ = {"left": pd.Series, "right": pd.Series, "return": pd.Series}
+    monkeypatch.setattr(similarity, "jaro_winkler_similarity", F.pandas_udf(poisoned, T.DoubleType()).asNondeterministic())
+    comparisons = build_comparisons(["name", "code"], {"name": "JaroWinklerAtThresholds", "code": "LevenshteinAtThresholds"})
+    for c in comparisons:
+        real = [level for level in c["comparison_levels"] if not level["is_null_level"]]
+        for level, (m, u) in zip(real, [(0.6, 0.01), (0.3, 0.1), (0.09, 0.3), (0.0001, 0.59)]):
+            level["m_probability"], level["u_probability"] = m, u
+    model = {"comparisons": comparisons, "probability_two_random_records_match": 0.01}
+    rows_ = [("1", "A", "x", "anna", "1234"), ("2", "A", "x", "hanna", "1235"), ("3", "A", "x", "poison", "987654")]
+    records = spark.createDataFrame(rows_, "unique_id string, source_dataset string, city string, name string, code string")
+    found = scoring.predict(records, [["city"]], model, threshold=-5.0).select("unique_id_l", "unique_id_r", "gamma_name", "gamma_code").collect()
+    assert [tuple(r) for r in found] == [("1", "2", 2, 2)]
+
+
+def test_parts_of_a_side_are_made_once_a_record():
+    """Calls on one side's column become columns of the records; what reads both sides stays."""
+    from kinsift.operators.comparators import by_side
+    made, comparisons = by_side(build_comparisons(["dob", "email"], {"dob": "DateOfBirthComparison", "email": "EmailComparison"}))
+    assert sorted(made.values()) == ["substring_index(`email`, '@', 1)", "try_to_date(`dob`, 'yyyy-MM-dd')"]
+    text = " ".join(level["sql_condition"] for c in comparisons for level in c["comparison_levels"])
+    assert "try_to_date" not in text and "substring_index" not in text and "levenshtein(`dob_l`, `dob_r`)" in text
