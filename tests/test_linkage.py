@@ -854,3 +854,49 @@ def test_parts_of_a_side_are_made_once_a_record():
     assert sorted(made.values()) == ["substring_index(`email`, '@', 1)", "try_to_date(`dob`, 'yyyy-MM-dd')"]
     text = " ".join(level["sql_condition"] for c in comparisons for level in c["comparison_levels"])
     assert "try_to_date" not in text and "substring_index" not in text and "levenshtein(`dob_l`, `dob_r`)" in text
+
+
+def test_rules_that_the_records_make_superfluous_are_not_counted(spark):
+    """Equal names have equal initials and lengths here, so their pairs are among those of the initials; a null determines nothing."""
+    rng = random.Random(5)
+    words = ["ann", "anne", "bob", "carl", "eve"]
+    data = [(str(i), "A", w, w[0], len(w) if i % 9 else None, i % 4, i % 8, f"{i % 3}{i % 5}", str(i % 5)) for i in range(90) for w in [rng.choice(words)]]
+    fields = ["name", "initial", "size", "four", "eight", "mix", "five"]
+    records = spark.createDataFrame(data, "unique_id string, source_dataset string, name string, initial string, size int, four int, eight int, mix string, five string")
+    rules_ = [[f] for f in fields]
+    assert blocking.determined(records, ["name", "initial", "size"]) == {"name": {"initial"}, "initial": set(), "size": set()}
+    assert blocking.needed_rules(records, rules_) == [["initial"], ["size"], ["four"], ["five"]]
+    assert blocking.candidate_count(records, rules_).first()[0] == blocking.candidate_pairs(records, rules_, []).count()
+
+
+@pytest.mark.parametrize("link", [False, True])
+def test_folded_pairs_are_counted_as_their_records_would_be(spark, alike_rows, monkeypatch, link):
+    """Counts, ids and best weights from folded rows, none of them unfolded, with null and repeated ids."""
+    records = spark.createDataFrame(alike_rows, "unique_id string, name string, city string, source_dataset string")
+    a, b = (records.where("source_dataset = 'A'"), records.where("source_dataset = 'B'")) if link else (records, None)
+    monkeypatch.setattr(blocking, "folds_well", lambda *_: True)
+    monkeypatch.setattr(blocking.fold, "__defaults__", (False, 7))
+    folded = blocking.weighed(scoring.predict_folded(a, [["name"], ["city"]], folded_model(), b, threshold=-2.0))
+    plain = blocking.unfold(folded)
+    assert "_members_l" in folded.columns and "_n" not in plain.columns
+    of = lambda df: sorted(map(str, df.collect()))
+    for metric in (edge_metrics.n_edges, edge_metrics.n_ids_with_edge, edge_metrics.match_prob_hist, edge_metrics.match_weight_hist, edge_metrics.match_prob_stats,
+                   edge_metrics.weight_percentiles, edge_metrics.gamma_means, edge_metrics.blocking_counts, lambda p: compare.prob_comparison(p, p),
+                   lambda p: edge_metrics.unlinkables(p, records.agg(F.count("*"))), lambda p: edge_metrics.unlinkables(p, records.agg(F.count("*")), True),
+                   lambda p: explorer.touched_records(records, p.where("match_probability >= 0.3"))):
+        assert of(metric(folded)) == of(metric(plain))
+
+
+def test_status_of_edges_from_folded_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows_ = [(str(i), rng.choice(["ann", "anne", "bob", None]), rng.choice(["x", "y", None]), "A") for i in range(60)]
+    make = lambda data: spark.createDataFrame(data, "unique_id string, name string, city string, source_dataset string")
+    records = make(rows_)
+    monkeypatch.setattr(blocking, "folds_well", lambda *_: True)
+    runs = [scoring.predict_folded(records, rules_, folded_model(), threshold=-2.0) for rules_ in ([["name"], ["city"]], [["name"], ["city", "name"]])]
+    status = compare.folded_status(*runs, records)
+    plain = [blocking.unfold(run) for run in runs]
+    of = lambda df: sorted(map(str, df.collect()))
+    assert of(blocking.unfold(status).select(*compare.KEYS, "category")) == of(compare.edge_status(*plain))
+    assert of(compare.count_status(status)) == of(compare.edge_diff(*plain)) and status.count() < 200
+    assert compare.folded_status(*runs, make(rows_ + rows_[:1])) is None
