@@ -900,3 +900,22 @@ def test_status_of_edges_from_folded_rows(spark, monkeypatch):
     assert of(blocking.unfold(status).select(*compare.KEYS, "category")) == of(compare.edge_status(*plain))
     assert of(compare.count_status(status)) == of(compare.edge_diff(*plain)) and status.count() < 200
     assert compare.folded_status(*runs, make(rows_ + rows_[:1])) is None
+
+
+@pytest.mark.parametrize("link", [False, True])
+def test_small_tiles_copy_no_record_for_each_chunk(spark, link):
+    """A block of 600 records in 300 chunks: chunks are shuffled once, not copied for each chunk they meet; repeated and null ids, all pairs, and several strips."""
+    rows = [(None if i % 97 == 0 else str(i % 590), "ann", str(i % 7) if i % 5 else None) for i in range(600)]
+    a = table(spark, rows, ["name", "size"])
+    b = table(spark, rows[:300], ["name", "size"], "B") if link else None
+    rules, of = [["name"], ["size"]], lambda df: sorted(map(str, df.select("unique_id_l", "unique_id_r", "size_l", "size_r", "match_key").collect()))
+    wanted = of(blocking.candidate_pairs(a, rules, ["size"], b, hot_block=None))
+    old = blocking.HOT_BLOCK
+    try:
+        for strip in (old, 100):
+            blocking.HOT_BLOCK = strip
+            assert of(blocking.candidate_pairs(a, rules, ["size"], b, hot_block=2)) == wanted
+    finally:
+        blocking.HOT_BLOCK = old
+    dealt = blocking._chunked(blocking._keyed(a, rules, ["size"]), blocking._hot(blocking._keyed(a, rules, ["size"]), 2, "_n"), "_n", "_n", 2)
+    assert dealt.agg(F.sum(F.size("_rows"))).first()[0] == sum(1 for r in rows for v in r[1:] if v)
