@@ -919,3 +919,16 @@ def test_small_tiles_copy_no_record_for_each_chunk(spark, link):
         blocking.HOT_BLOCK = old
     dealt = blocking._chunked(blocking._keyed(a, rules, ["size"]), blocking._hot(blocking._keyed(a, rules, ["size"]), 2, "_n"), "_n", "_n", 2)
     assert dealt.agg(F.sum(F.size("_rows"))).first()[0] == sum(1 for r in rows for v in r[1:] if v)
+
+
+def test_values_of_left_records_are_joined_before_pairs_are_unfolded(spark):
+    """As a join with the unfolded pairs, with repeated ids and records without a value; the joined rows are the folded ones."""
+    records = table(spark, [(str(i % 110), "ann" if i % 2 else "bob", str(i % 3)) for i in range(120)], ["name", "size"])
+    folded = blocking.candidate_pairs(records, [["name"]], ["size"], folded=True)
+    values = records.where("unique_id <> '7'").selectExpr("unique_id", "source_dataset", "'v' || unique_id || size AS label")
+    joined = blocking.with_left(folded, values)
+    of = lambda df: sorted(map(tuple, df.select("unique_id_l", "unique_id_r", "size_l", "size_r", "label").collect()))
+    plain = blocking.unfold(folded)
+    wanted = of(plain.join(values.withColumnsRenamed({"unique_id": "unique_id_l", "source_dataset": "source_dataset_l"}), ["unique_id_l", "source_dataset_l"]))
+    assert "_members_l" in joined.columns and joined.count() <= 36 and of(blocking.unfold(joined)) == wanted
+    assert of(blocking.unfold(blocking.with_left(plain, values))) == wanted
