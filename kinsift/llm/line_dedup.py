@@ -248,6 +248,8 @@ def dedup_units(documents, rank="doc_id", text="text", min_words=MIN_WORDS):
         out = [cut(body, found, min_words) for body, found in zip(texts, runs)]
         return pd.DataFrame([(body, [{"start": a, "end": b} for a, b in removed]) for body, removed in out], columns=["text", "removed"])
 
+    # Else a filter on the new text is moved below, with a second run of the function and Python workers for it.
+    clean = clean.asNondeterministic()
     gone = repeated_runs(documents, rank, text, min_words)
     boxed = documents.select(F.struct(*own).alias("row"), F.col(rank).alias("own_rank"), F.hash(text).alias("own_key"))
     body = F.col(f"row.{text}")

@@ -58,3 +58,28 @@ def test_run_chains_the_stages_and_an_empty_table_stays_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_stage_works_out_a_text_again_for_its_filter(spark):
+    """Memory and time: Spark moves filters below the columns they read and works these out once more."""
+    docs = spark.createDataFrame([(i, f"{i} " + "the cat sat on the mat and saw a dog that ran far away from the old house by the big lake in the cold of the night. " * 2,
+                                   "en", "src0", 0) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.substrings(spark, docs, SF)
+    assert _optimized(cut).count("ArrowEvalPython") == 1
+    assert cut.count() == 30 and cut.where("length(text) < 100").count() >= 20
+    kept = quality_rules.keep_good(docs)
+    assert _optimized(kept).count("regexp_extract_all") == 1
+    assert kept.columns == docs.columns
+
+
+def test_kept_rows_are_those_that_the_scores_keep(spark):
+    texts = [None, "", " \n", "word " * 30, "of the cat and the dog " * 12, "# $ % of a sign " * 20, "Of all that is in the house, a cat was by the door for an hour; "
+             "it saw the dog and the old man as they came from the road.\nThen it ran.\nNobody knew where it had been until the morning after.\n", "x1 22 333 " * 30]
+    docs = spark.createDataFrame([(i, t * k if t else t, 1, "q") for i, t in enumerate(texts) for k in (1, 2, 3)], "doc_id long, text string, f_words int, quality string")
+    scored = quality_rules.score(docs.select("doc_id", "text"), ("doc_id",)).where("kept")
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == sorted(r.doc_id for r in scored.collect())
+    assert quality_rules.keep_good(docs).columns == docs.columns
